@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, line_dedup, packing, telephony, warc
+from tidemark.llm import bpe, html_text, langid, line_dedup, packing, quality, telephony, warc
 from tidemark.llm.common import stored
 
 
@@ -21,6 +21,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents")))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.media_features(stored(telephony.encode_media(_table(spark, sf_dir, "documents")), "media"))
 
@@ -29,16 +33,27 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.round_trip(_table(spark, sf_dir, "pages")))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_line_dedup": op3_line_dedup,
+    "op5_html_text": op5_html_text,
     "op6_telephony": op6_telephony,
     "op7_bpe": op7_bpe,
+    "op8_langid": op8_langid,
     "op9_warc": op9_warc,
+    "op10_quality": op10_quality,
 }
 
 ORACLES = {
