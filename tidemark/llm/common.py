@@ -54,6 +54,16 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def with_text(table: pa.RecordBatch | pa.Table, texts: list[str]):
+    """The same columns with another text, and n_chars (where there is one) of that text."""
+    for i, f in enumerate(table.schema):
+        if f.name == "text":
+            table = table.set_column(i, f.name, pa.array(texts, f.type))
+        elif f.name == "n_chars":
+            table = table.set_column(i, f.name, pa.array([len(x) for x in texts], f.type))
+    return table
+
+
 def slices(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
     """[from, to) ranges of rows whose sizes add up to about limit; a larger row stands alone."""
     start = total = i = 0

@@ -190,3 +190,18 @@ def predict(docs: DataFrame, model: WordFirstModel) -> DataFrame:
 def identify(docs: DataFrame, **options) -> DataFrame:
     """Fit on the training rows of docs, predict all rows."""
     return predict(docs, fit(training_rows(docs), **options))
+
+
+def _identified(shipped):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shipped.value
+        for batch in batches:
+            yield batch.filter(pa.array([model.predict(x)[0] != UNKNOWN for x in texts_of(batch, "text")], pa.bool_()))
+
+    return run
+
+
+def identified(docs: DataFrame, model: WordFirstModel) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is not ``und``."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_identified(shipped), docs.schema)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, stored, texts_of
+from tidemark.llm.common import discard, stored, texts_of, with_text
 
 _STRIP = " \t\n\x0b\x0c\r"
 _LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
@@ -148,26 +148,49 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, n_bat
     return lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
 
 
-def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Column names of the joined drop list that no table has.
+_ID, _DROP = "tidemark drop id", "tidemark drop"
+
+
+def _kept(texts: list[str], drops: list) -> tuple[list[str], list[int], list[int]]:
+    """Texts without their dropped lines, numbers of lines, numbers of dropped lines."""
+    kept, n_lines, n_dropped = [], [], []
+    for text, drop in zip(texts, drops, strict=True):
+        lines = text.split("\n")
+        n_lines.append(len(lines))
+        if drop:
+            gone = {(x["h1"], x["h2"]) for x in drop}
+            lines = [x for x in lines if key_hash(line_key(x)) not in gone]
+        n_dropped.append(n_lines[-1] - len(lines))
+        kept.append("\n".join(lines) if drop else text)
+    return kept, n_lines, n_dropped
+
+
+def _with_drops(docs: DataFrame, options: dict) -> DataFrame:
+    drops = dropped_lines(docs, **options).select(F.col("doc_id").alias(_ID), F.col("drop").alias(_DROP))
+    return docs.join(drops, F.col("doc_id").eqNullSafe(F.col(_ID)), "left").drop(_ID)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_lines, n_dropped, kept = [], [], []
-        for text, drop in zip(texts_of(batch, "text"), batch.column("drop").to_pylist(), strict=True):
-            lines = text.split("\n")
-            n_lines.append(len(lines))
-            if drop:
-                gone = {(x["h1"], x["h2"]) for x in drop}
-                lines = [x for x in lines if key_hash(line_key(x)) not in gone]
-            n_dropped.append(n_lines[-1] - len(lines))
-            kept.append("\n".join(lines))
+        kept, n_lines, n_dropped = _kept(texts_of(batch, "text"), batch.column(_DROP).to_pylist())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["doc_id", "kept", "n_lines", "n_dropped"])
 
 
+def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        kept, _, _ = _kept(texts_of(batch, "text"), batch.column(_DROP).to_pylist())
+        yield with_text(batch.drop_columns([_DROP]), kept)
+
+
 def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, kept, n_lines, n_dropped) for each row of docs; options as for dropped_lines()."""
-    docs = docs.select("doc_id", "text")
-    drops = dropped_lines(docs, **options).withColumnRenamed("doc_id", "drop_id")
-    joined = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left").select("doc_id", "text", "drop")
-    return joined.mapInArrow(_apply, "doc_id long, kept string, n_lines long, n_dropped long")
+    return _with_drops(docs.select("doc_id", "text"), options).mapInArrow(_counted, "doc_id long, kept string, n_lines long, n_dropped long")
+
+
+def rewritten(docs: DataFrame, **options) -> DataFrame:
+    """docs with all their columns, their texts without the dropped lines."""
+    return _with_drops(docs, options).mapInArrow(_rewrite, docs.schema)
 
 
 def digest(rows: DataFrame) -> DataFrame:
