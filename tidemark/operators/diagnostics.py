@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import statespace, unitroot
 from tidemark.operators import windows
-from tidemark.operators.series import BY_TIME, WHOLE
+from tidemark.operators.series import by_time, whole
 
 _TEST = "series_id string, stat double, pvalue double, should_diff boolean"
 
@@ -28,13 +28,13 @@ def kpss(df: DataFrame, null: str = "level", lshort: bool = True, alpha: float =
     """
     if null not in ("level", "trend"):
         raise ValueError("null must be 'level' or 'trend'")
-    n = F.count(F.lit(1)).over(WHOLE)
+    n = F.count(F.lit(1)).over(whole())
     e = windows.residuals_of_line(df.select("series_id", "t", "y"), null == "trend").withColumn("n", n)
     longest = e.agg(F.max("n")).first()[0] or 1
     most = unitroot.bandwidth(longest, lshort)
     scale = 4 if lshort else 12
     s = windows.cumulative(e).select("series_id", "t", F.col("y").alias("s"))
-    lags = [(F.col("y") * F.lag("y", k).over(BY_TIME)).alias(f"p{k}") for k in range(1, most + 1)]
+    lags = [(F.col("y") * F.lag("y", k).over(by_time())).alias(f"p{k}") for k in range(1, most + 1)]
     rows = e.select("series_id", "t", "y", "n", *lags).join(s, ["series_id", "t"])
     width = F.floor(scale * F.pow(F.col("n") / 100, 0.25))
     sums = rows.groupBy("series_id", "n").agg(F.sum(F.col("s") ** 2).alias("eta"), F.sum(F.col("y") ** 2).alias("v"), *[F.coalesce(F.sum(f"p{k}"), F.lit(0.0)).alias(f"p{k}") for k in range(1, most + 1)])
@@ -111,7 +111,7 @@ def tsdisplay(df: DataFrame, lag_max: int = 50, bins: int = 25) -> dict[str, Dat
 def residual_panels(models: DataFrame, bins: int = 25, lags: int = 10) -> dict[str, DataFrame]:
     """Standardized residuals, their histogram, normal quantiles and autocorrelations of model rows."""
     rows = models.where("error is null").select("series_id", F.posexplode(F.expr("slice(resid, cast(nobs - nobs_effective as int) + 1, cast(nobs_effective as int))")).alias("t", "e"))
-    standard = rows.select("series_id", F.col("t").cast("long").alias("t"), F.try_divide(F.col("e") - F.avg("e").over(WHOLE), F.stddev_pop("e").over(WHOLE)).alias("y"))
-    place = (F.row_number().over(Window.partitionBy("series_id").orderBy("y")) - 0.5) / F.count(F.lit(1)).over(WHOLE)
+    standard = rows.select("series_id", F.col("t").cast("long").alias("t"), F.try_divide(F.col("e") - F.avg("e").over(whole()), F.stddev_pop("e").over(whole())).alias("y"))
+    place = (F.row_number().over(Window.partitionBy("series_id").orderBy("y")) - 0.5) / F.count(F.lit(1)).over(whole())
     return {"residuals": standard, "histogram": histogram(standard, bins), "quantiles": standard.select("series_id", "y", place.alias("share")), "acf": windows.acf(standard, lags)}
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.series import WHOLE
+from tidemark.operators.series import whole
 
 
 def smape(y: Column, yhat: Column) -> Column:
@@ -63,7 +63,7 @@ def train_test_split(df: DataFrame, test_size: float | None = None, train_size:
     """Heads and tails of all series, without shuffling; sizes are counts or shares, default a quarter for the test."""
     if test_size is None and train_size is None:
         test_size = 0.25
-    n = F.count(F.lit(1)).over(WHOLE)
+    n = F.count(F.lit(1)).over(whole())
 
     def rows(size, up: bool) -> Column:
         if isinstance(size, int):

@@ -9,11 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_TIME = Window.partitionBy("series_id").orderBy("t")
-WHOLE = Window.partitionBy("series_id")
+
+def by_time() -> WindowSpec:
+    return Window.partitionBy("series_id").orderBy("t")
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy("series_id")
 
 
 def regular(events: DataFrame, key: str | Column, ts: str, value: Column, unit: str = "month", drop_last: bool = False, fill: float = 0.0) -> DataFrame:
@@ -105,7 +110,7 @@ def holdout(df: DataFrame, size: int) -> DataFrame:
     """The last ``size`` rows of each series."""
     if size < 0:
         raise ValueError("out_of_sample_size must be a non-negative integer")
-    return df.withColumn("n", F.count(F.lit(1)).over(WHOLE)).where(F.col("t") >= F.col("n") - size).drop("n")
+    return df.withColumn("n", F.count(F.lit(1)).over(whole())).where(F.col("t") >= F.col("n") - size).drop("n")
 
 
 def append(df: DataFrame, new: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.series import BY_TIME, WHOLE
+from tidemark.operators.series import by_time, whole
 
 
 def diff(df: DataFrame, lag: int = 1, differences: int = 1, columns: tuple[str, ...] = ("y",)) -> DataFrame:
@@ -14,7 +14,7 @@ def diff(df: DataFrame, lag: int = 1, differences: int = 1, columns: tuple[str,
     if lag < 1 or differences < 1:
         raise ValueError("lag and differences must be positive integers")
     for _ in range(differences):
-        df = df.select("series_id", "t", *[(F.col(c) - F.lag(c, lag).over(BY_TIME)).alias(c) for c in columns])
+        df = df.select("series_id", "t", *[(F.col(c) - F.lag(c, lag).over(by_time())).alias(c) for c in columns])
     cut = lag * differences
     return df.where(F.col("t") >= cut).withColumn("t", F.col("t") - cut)
 
@@ -35,19 +35,19 @@ def embed(df: DataFrame, k: int) -> DataFrame:
     """Lag matrix, most recent first: columns lag_0 .. lag_{k-1}, rows with a full history."""
     if k < 1:
         raise ValueError("k must be a positive integer")
-    lags = [F.lag("y", i).over(BY_TIME).alias(f"lag_{i}") for i in range(k)]
+    lags = [F.lag("y", i).over(by_time()).alias(f"lag_{i}") for i in range(k)]
     return df.select("series_id", "t", *lags).where(F.col("t") >= k - 1)
 
 
 def cumulative(df: DataFrame) -> DataFrame:
     """Running sum of y."""
-    return df.withColumn("y", F.sum("y").over(BY_TIME.rowsBetween(Window.unboundedPreceding, 0)))
+    return df.withColumn("y", F.sum("y").over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def residuals_of_line(df: DataFrame, trend: bool = False) -> DataFrame:
     """y less its mean, or less its least-squares line over t."""
     if not trend:
-        return df.withColumn("y", F.col("y") - F.avg("y").over(WHOLE))
+        return df.withColumn("y", F.col("y") - F.avg("y").over(whole()))
     fit = df.groupBy("series_id").agg(F.regr_slope("y", "t").alias("slope"), F.regr_intercept("y", "t").alias("base"))
     return df.join(fit, "series_id").withColumn("y", F.col("y") - F.col("base") - F.col("slope") * F.col("t")).drop("slope", "base")
 
@@ -65,17 +65,17 @@ def decompose(df: DataFrame, kind: str, m: int, filter_: list[float] | None = No
     if not isinstance(m, int) or m <= 1:
         raise ValueError("m must be an integer larger than 1")
     h = m // 2
-    n = F.count(F.lit(1)).over(WHOLE)
+    n = F.count(F.lit(1)).over(whole())
     df = df.select("series_id", "t", F.col("y").alias("x"), n.alias("n"))
     short = F.raise_error(F.lit("series is shorter than two periods")).cast("long")
     df = df.withColumn("n", F.when(F.col("n") >= 2 * m, F.col("n")).otherwise(short))
     if filter_ is None:
-        trend = F.avg("x").over(BY_TIME.rowsBetween(-h, m - 1 - h))
+        trend = F.avg("x").over(by_time().rowsBetween(-h, m - 1 - h))
     else:
         if len(filter_) != m:
             raise ValueError("filter_ must have m weights")
         # Convolution: the weights run against the rows.
-        trend = sum(F.lit(float(w)) * F.lag("x", h - m + 1 + k).over(BY_TIME) for k, w in enumerate(filter_))
+        trend = sum(F.lit(float(w)) * F.lag("x", h - m + 1 + k).over(by_time()) for k, w in enumerate(filter_))
     inside = (F.col("t") >= h) & (F.col("t") < F.col("n") - h)
     df = df.withColumn("trend", F.when(inside, trend))
     plain = F.col("x") - F.col("trend") if kind == "additive" else F.try_divide(F.col("x"), F.col("trend"))
@@ -93,8 +93,8 @@ def acf(df: DataFrame, nlags: int, adjusted: bool = False) -> DataFrame:
     The lags are columns of one window pass and one aggregate, so the shuffle does not grow
     with their number.
     """
-    centred = df.select("series_id", "t", (F.col("y") - F.avg("y").over(WHOLE)).alias("d"))
-    products = centred.select("series_id", "d", *[(F.col("d") * F.lag("d", k).over(BY_TIME)).alias(f"p{k}") for k in range(1, nlags + 1)])
+    centred = df.select("series_id", "t", (F.col("y") - F.avg("y").over(whole())).alias("d"))
+    products = centred.select("series_id", "d", *[(F.col("d") * F.lag("d", k).over(by_time())).alias(f"p{k}") for k in range(1, nlags + 1)])
     sums = products.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("d") * F.col("d")).alias("p0"), *[F.sum(f"p{k}").alias(f"p{k}") for k in range(1, nlags + 1)])
     shrink = lambda k: F.col("n") / (F.col("n") - k) if adjusted else F.lit(1.0)
     rows = sums.select("series_id", "n", F.posexplode(F.array(*[F.try_divide(F.col(f"p{k}"), F.col("p0")) * shrink(k) for k in range(nlags + 1)])).alias("lag", "r")).where("lag < n")
@@ -115,6 +115,6 @@ def default_lags(n: int) -> int:
 
 def long_run_variance(df: DataFrame, lags: int) -> DataFrame:
     """(series_id, variance): Bartlett-weighted (Newey-West) variance of residuals y."""
-    products = df.select("series_id", "y", *[(F.col("y") * F.lag("y", k).over(BY_TIME)).alias(f"p{k}") for k in range(1, lags + 1)])
+    products = df.select("series_id", "y", *[(F.col("y") * F.lag("y", k).over(by_time())).alias(f"p{k}") for k in range(1, lags + 1)])
     weights = sum((F.lit(2 * (1 - k / (lags + 1.0))) * F.coalesce(F.sum(f"p{k}"), F.lit(0.0)) for k in range(1, lags + 1)), F.lit(0.0))
     return products.groupBy("series_id").agg(((F.sum(F.col("y") * F.col("y")) + weights) / F.count(F.lit(1))).alias("variance"))
