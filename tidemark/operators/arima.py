@@ -7,7 +7,6 @@ returns DataFrames. A series is one group; a failed fit is a row with ``error``.
 from __future__ import annotations
 
 import math
-import re
 import warnings
 from dataclasses import dataclass, field, replace
 from statistics import NormalDist
@@ -23,14 +22,25 @@ from tidemark.functions.optimise import METHODS
 from tidemark.functions.statespace import Order
 from tidemark.operators.windows import acf
 
-MODEL_SCHEMA = (
-    "series_id string, order struct<p:array<int>,d:int,q:array<int>>, seasonal_order struct<P:array<int>,D:int,Q:array<int>,m:int>,"
-    " trend string, with_intercept boolean, params array<double>, param_names array<string>, bse array<double>, pvalues array<double>,"
-    " resid array<double>, fitted array<double>, y array<double>, exog array<double>, llf double, aic double, aicc double, bic double, hqic double,"
-    " oob double, oob_preds array<double>, sigma2 double, nobs long, nobs_effective long, df_model int, ar_roots array<struct<re:double,im:double>>,"
-    " ma_roots array<struct<re:double,im:double>>, exog_names array<string>, converged boolean, fit_time double, label string, error string, pkg_version string"
-)
-COLUMNS = [c.strip().split(" ")[0] for c in re.split(r",(?![^<]*>)", MODEL_SCHEMA)]
+_ROOTS = "array<struct<re:double,im:double>>"
+MODEL_FIELDS = {
+    "series_id": "string",
+    "order": "struct<p:array<int>,d:int,q:array<int>>",
+    "seasonal_order": "struct<P:array<int>,D:int,Q:array<int>,m:int>",
+    "trend": "string",
+    "with_intercept": "boolean",
+    **dict.fromkeys(("params", "bse", "pvalues", "resid", "fitted", "y", "exog", "oob_preds"), "array<double>"),
+    **dict.fromkeys(("param_names", "exog_names"), "array<string>"),
+    **dict.fromkeys(("llf", "aic", "aicc", "bic", "hqic", "oob", "sigma2", "fit_time"), "double"),
+    **dict.fromkeys(("nobs", "nobs_effective"), "long"),
+    "df_model": "int",
+    "ar_roots": _ROOTS,
+    "ma_roots": _ROOTS,
+    "converged": "boolean",
+    **dict.fromkeys(("label", "error", "pkg_version"), "string"),
+}
+MODEL_SCHEMA = ", ".join(f"`{k}` {v}" for k, v in MODEL_FIELDS.items())
+COLUMNS = list(MODEL_FIELDS)
 
 #: Hold-out scores by name, on arrays.
 KERNEL_SCORES = {

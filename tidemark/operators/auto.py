@@ -128,9 +128,9 @@ class AutoARIMA:
 
         def plan(pdf: pd.DataFrame) -> pd.DataFrame:
             candidates = grid(config, *arrays(pdf, exog))
-            return pd.DataFrame([(pdf.series_id.iloc[0], k, *o, *s, c) for k, (o, s, c) in enumerate(candidates)], columns=["series_id", "candidate", "p", "d", "q", "P", "D", "Q", "m", "c"])
+            return pd.DataFrame([(pdf.series_id.iloc[0], k, *o, *s, c) for k, (o, s, c) in enumerate(candidates)], columns=["series_id", "candidate", "p", "d", "q", "sp", "sd", "sq", "m", "c"])
 
-        plans = rows.groupBy("series_id").applyInPandas(plan, "series_id string, candidate int, p int, d int, q int, P int, D int, Q int, m int, c boolean")
+        plans = rows.groupBy("series_id").applyInPandas(plan, "series_id string, candidate int, p int, d int, q int, sp int, sd int, sq int, m int, c boolean")
         packed = rows.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("t", "y", *exog))).alias("rows"))
         tasks = plans.join(packed, "series_id").repartition("series_id", "candidate")
 
@@ -138,7 +138,7 @@ class AutoARIMA:
             for pdf in frames:
                 for r in pdf.to_dict("records"):
                     one = pd.DataFrame([dict(x) if isinstance(x, dict) else x.asDict() for x in r["rows"]])
-                    model = replace(config.base(), order=(r["p"], r["d"], r["q"]), seasonal_order=(r["P"], r["D"], r["Q"], r["m"]), with_intercept=bool(r["c"]))
+                    model = replace(config.base(), order=(r["p"], r["d"], r["q"]), seasonal_order=(r["sp"], r["sd"], r["sq"], r["m"]), with_intercept=bool(r["c"]))
                     made, oob, preds, error = fit_one(model, *arrays(one.assign(series_id=r["series_id"]), exog))
                     if made is not None and not root_test(made, config.strict_roots):
                         made, error = None, "ValueError: a root is close to the unit circle"

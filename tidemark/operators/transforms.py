@@ -65,10 +65,11 @@ def inverse_box_cox(y: Column, lmbda: Column | float, lmbda2: float = 0.0) -> Co
 
 
 def box_cox_llf(y: np.ndarray, lmbda: float) -> float:
-    """Profile log likelihood of lambda."""
+    """Profile log likelihood of lambda, up to a constant: y is scaled by its geometric mean."""
     logs = np.log(y)
+    logs = logs - logs.mean()
     z = logs if abs(lmbda) < 1e-12 else np.expm1(lmbda * logs) / lmbda
-    return (lmbda - 1) * logs.sum() - len(y) / 2 * math.log(z.var())
+    return -len(y) / 2 * float(np.log(z.var()))
 
 
 def box_cox_lambda(y: np.ndarray) -> float:

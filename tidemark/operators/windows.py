@@ -24,7 +24,7 @@ def diff_inv(df: DataFrame, lag: int = 1, differences: int = 1) -> DataFrame:
     if lag < 1 or differences < 1:
         raise ValueError("lag and differences must be positive integers")
     for _ in range(differences):
-        head = df.select("series_id").distinct().select("series_id", F.explode(F.sequence(F.lit(0), F.lit(lag - 1))).cast("long").alias("t"), F.lit(0.0).alias("y"))
+        head = df.select("series_id").distinct().select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lag - 1).cast("long"))).alias("t"), F.lit(0.0).alias("y"))
         rows = head.unionByName(df.select("series_id", (F.col("t") + lag).alias("t"), "y"))
         phase = Window.partitionBy("series_id", F.pmod("t", F.lit(lag))).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
         df = rows.withColumn("y", F.sum("y").over(phase))
