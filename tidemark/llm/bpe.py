@@ -3,9 +3,8 @@
 Two adjacent bytes that occur side by side inside no vocabulary token can never be joined by
 a merge. Every such pair is a *forced boundary*: the pieces on both sides are encoded on
 their own and concatenated, with the same ids as the whole. Pre-tokens (what the tokenizer's
-own regular expression yields) are cut at forced boundaries; the short fragments repeat far
-more often than words do, so a bounded table of encoded fragments answers nearly all of
-them, and a second one remembers whole words.
+own regular expression yields) are cut at forced boundaries, and the distinct fragments of
+many new words are encoded in one call. A bounded table remembers the ids of whole words.
 
 A word end is part of the vocabulary here ("</w>"), so the last fragment of a pre-token is
 merged with the word-end suffix and the others without it.
@@ -27,12 +26,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from tokenizers import models
+from tokenizers import Tokenizer, models, pre_tokenizers
 
-from tidemark.llm.common import SPACES, texts_of
+from tidemark.llm.common import SPACES, slices, texts_of
 
 #: Entries that a table may hold before it starts anew; bounds the memory of a Python worker.
-WORDS_HELD, FRAGMENTS_HELD = 200_000, 100_000
+WORDS_HELD = 400_000
 
 
 def byte_alphabet() -> list[str]:
@@ -63,12 +62,18 @@ class ForcedBoundaryBPE:
         self.final = models.BPE(vocab=vocab, merges=merges, end_of_word_suffix=self.suffix) if self.suffix else self.inner
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.digits = {i: str(i) for i in self.token}
         self.joined = self._joined_pairs(vocab)
+        self.translation = {b: c for b, c in enumerate(self.alphabet) if b not in (10, 32)}
         self.pretoken = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.is_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        self.chunks = re.compile(f"[^{SPACES}]+").findall
+        self._chunks = re.compile(f"[^{SPACES}]+").findall
+        self._odd = re.compile("[\x1c-\x1f]").search
+        # The tables that map a whole text of fragments, one blank apart, to ids in one call.
+        self.encoders = [Tokenizer(m) for m in (self.inner, self.final)]
+        for e in self.encoders:
+            e.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self._words: dict[str, tuple[int, ...]] = {}
-        self._fragments: tuple[dict, dict] = {}, {}
 
     def _joined_pairs(self, vocab: dict[str, int]) -> np.ndarray:
         """[a, b] is True if byte b follows byte a inside some token."""
@@ -81,36 +86,63 @@ class ForcedBoundaryBPE:
             joined[codes[:-1], codes[1:]] = True
         return joined
 
-    def fragments(self, pretoken: str) -> list[str]:
-        """A pre-token in the byte alphabet, cut at its forced boundaries."""
-        data = pretoken.encode("utf-8", "surrogatepass")
-        text = "".join([self.alphabet[b] for b in data])
-        cuts = [i for i in range(1, len(data)) if not self.joined[data[i - 1], data[i]]]
-        return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-
-    def _fragment(self, text: str, last: bool) -> tuple[int, ...]:
-        table = self._fragments[last]
-        ids = table.get(text)
-        if ids is None:
-            if len(table) >= FRAGMENTS_HELD:
-                table.clear()
-            ids = table[text] = tuple(t.id for t in (self.final if last else self.inner).tokenize(text))
-        return ids
-
-    def word(self, chunk: str) -> tuple[int, ...]:
-        """Ids of a run of non-space characters (normalised)."""
-        ids = self._words.get(chunk)
-        if ids is None:
-            out: list[int] = []
-            for pretoken in self.pretoken.findall(chunk):
-                parts = self.fragments(pretoken)
-                for part in parts[:-1]:
-                    out += self._fragment(part, False)
-                out += self._fragment(parts[-1], True)
-            if len(self._words) >= WORDS_HELD:
-                self._words.clear()
-            ids = self._words[chunk] = tuple(out)
-        return ids
+    def fragments(self, pretokens: list[str]) -> list[list[str]]:
+        """Each pre-token in the byte alphabet, cut at its forced boundaries.
+
+        All pre-tokens are looked at as one array of byte pairs; a blank parts them, and a
+        line end is put at each boundary.
+        """
+        data = np.frombuffer(" ".join(pretokens).encode("utf-8", "surrogatepass"), np.uint8)
+        a, b = data[:-1], data[1:]
+        cuts = (~self.joined[a, b] & (a != 32) & (b != 32)).nonzero()[0] + 1
+        text = np.insert(data, cuts, 10).tobytes().decode("latin-1").translate(self.translation)
+        return [x.split("\n") if "\n" in x else [x] for x in text.split(" ")]
+
+    def _ids(self, parts: list[str], last: bool) -> list[tuple[int, ...]]:
+        """Ids of many fragments, encoded in one call: tokens carry their fragment's number."""
+        if not parts:
+            return []
+        made = self.encoders[last].encode(" ".join(parts), add_special_tokens=False)
+        ids, words = made.ids, np.array(made.word_ids)
+        cuts = np.searchsorted(words, np.arange(len(parts) + 1)).tolist()
+        return [tuple(ids[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def learn(self, chunks: list[str]) -> list[tuple[int, ...]]:
+        """Ids of runs of non-space characters (normalised)."""
+        if not chunks:
+            return []
+        counts: list[int] = []
+        pretokens: list[str] = []
+        for chunk in chunks:
+            if chunk.isalpha():
+                pretokens.append(chunk)
+                counts.append(1)
+            else:
+                found = self.pretoken.findall(chunk)
+                pretokens += found
+                counts.append(len(found))
+        cut = self.fragments(pretokens)
+        ends = self._ids([x[-1] for x in cut], True)
+        heads = iter(self._ids([y for x in cut for y in x[:-1]], False))
+        whole = [end if len(x) == 1 else tuple([i for _ in x[:-1] for i in next(heads)]) + end for x, end in zip(cut, ends, strict=True)]
+        out, at = [], 0
+        for n in counts:
+            out.append(whole[at] if n == 1 else tuple([i for ids in whole[at : at + n] for i in ids]))
+            at += n
+        return out
+
+    def words(self, chunks: list[str]) -> dict[str, tuple[int, ...]]:
+        """The table of words, with all of these chunks in it."""
+        new = [c for c in {*chunks} if c not in self._words]
+        if len(self._words) + len(new) > WORDS_HELD:
+            self._words.clear()
+            new = [*{*chunks}]
+        self._words.update(zip(new, self.learn(new), strict=True))
+        return self._words
+
+    def chunks(self, text: str) -> list[str]:
+        """Runs of non-space characters. str.split() also splits at four control characters that are no spaces here."""
+        return self._chunks(text) if self._odd(text) else text.split()
 
     @staticmethod
     def normalise(text: str) -> str:
@@ -129,7 +161,9 @@ class ForcedBoundaryBPE:
         return out + self._plain(text[at:])
 
     def _plain(self, text: str) -> list[int]:
-        return [i for chunk in self.chunks(self.normalise(text)) for i in self.word(chunk)]
+        chunks = self.chunks(self.normalise(text))
+        table = self.words(chunks)
+        return [i for chunk in chunks for i in table[chunk]]
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode() without a decoder: the tokens joined by spaces."""
@@ -142,27 +176,29 @@ class _Digests:
     def __init__(self, bpe: ForcedBoundaryBPE):
         self.bpe, self.ids, self.decoded = bpe, {}, {}
 
-    def __call__(self, text: str) -> tuple[int, str, str]:
+    def __call__(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """Number of tokens, ids joined by spaces, decoded text."""
         bpe = self.bpe
-        if bpe.is_special.search(text):
-            ids = bpe.encode(text)
-            return len(ids), " ".join(map(str, ids)), bpe.decode(ids)
-        chunks = bpe.chunks(bpe.normalise(text))
-        known = self.ids
-        for chunk in {*chunks}.difference(known):
-            if len(known) >= WORDS_HELD:
-                known.clear()
-                self.decoded.clear()
-                return self(text) if len({*chunks}) < WORDS_HELD else self._whole(text)
-            ids = bpe.word(chunk)
-            known[chunk] = " ".join(map(str, ids))
-            self.decoded[chunk] = bpe.decode(ids)
-        line = " ".join([known[c] for c in chunks])
-        return line.count(" ") + 1 if line else 0, line, " ".join([self.decoded[c] for c in chunks])
-
-    def _whole(self, text: str) -> tuple[int, str, str]:
-        ids = self.bpe.encode(text)
-        return len(ids), " ".join(map(str, ids)), self.bpe.decode(ids)
+        split = [None if bpe.is_special.search(x) else bpe.chunks(bpe.normalise(x)) for x in texts]
+        needed = set().union(*(x for x in split if x))
+        new = [*needed.difference(self.ids)]
+        if len(self.ids) + len(new) > WORDS_HELD:
+            self.ids.clear()
+            self.decoded.clear()
+            new = [*needed]
+        token, digits = bpe.token, bpe.digits
+        for chunk, ids in zip(new, bpe.learn(new), strict=True):
+            self.ids[chunk] = " ".join([digits[i] for i in ids])
+            self.decoded[chunk] = " ".join([token[i] for i in ids])
+        known, decoded, out = self.ids, self.decoded, []
+        for text, chunks in zip(texts, split, strict=True):
+            if chunks is None:
+                ids = bpe.encode(text)
+                out.append((len(ids), " ".join(map(str, ids)), bpe.decode(ids)))
+            else:
+                line = " ".join([known[c] for c in chunks])
+                out.append((line.count(" ") + 1 if line else 0, line, " ".join([decoded[c] for c in chunks])))
+        return out
 
 
 _LOADED: dict[str, ForcedBoundaryBPE] = {}
@@ -211,11 +247,12 @@ def _round_trip(path: str):
         sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:
             n, ids, texts = [], [], []
-            for text in texts_of(batch, "text"):
-                k, line, decoded = digests(text)
-                n.append(k)
-                ids.append(sha(line))
-                texts.append(sha(decoded))
+            whole = texts_of(batch, "text")
+            for a, b in slices((len(x) for x in whole), 1 << 20):
+                for k, line, decoded in digests(whole[a:b]):
+                    n.append(k)
+                    ids.append(sha(line))
+                    texts.append(sha(decoded))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run

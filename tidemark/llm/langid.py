@@ -36,7 +36,7 @@ UNKNOWN = "und"
 SAMPLE_DOCS, MAX_WORDS, MAX_GRAMS = 4000, 10_000, 10_000
 ORDERS = (4, 3, 2, 1)
 #: Words that a worker remembers the scores of.
-WORDS_HELD = 300_000
+WORDS_HELD = 600_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
