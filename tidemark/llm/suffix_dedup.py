@@ -10,10 +10,11 @@ The suffixes that can matter are sorted in buckets, and no task ever holds more
 2. *Segments.* Runs of windows with the same repeated anchor are cut out (a run of w windows
    is w + 49 bytes), made distinct within the block with their smallest doc_id, and sent to
    the suffix bucket of their anchor. Equal windows meet in one bucket.
-3. *Buckets.* A bucket's segments are one text. Suffixes at positions of a difference cover
-   modulo 7 are ranked beforehand (by doubling, in steps that stay within the sample). Then
-   the suffixes are sorted a range of first bytes at a time: by their first eight bytes, and
-   long ties by the ranks of the cover positions that two suffixes reach at the same distance.
+3. *Buckets.* A bucket's distinct segments are one text. Suffixes at positions of a
+   difference cover modulo 21 are ranked beforehand (by doubling, in steps that stay within
+   the sample). Then the suffixes are sorted a range of first bytes at a time: by their first
+   24 bytes, and longer ties by the ranks of the cover positions that two suffixes reach at
+   the same distance.
    Neighbours that agree in 50 bytes are one class; its smallest doc_id goes back.
 4. Blocks mark and remove the bytes of windows whose class has a smaller doc_id.
 
@@ -48,8 +49,10 @@ _SLICE = 1 << 20
 _LAST = np.iinfo(np.int64).max
 #: The column that deals documents to blocks; no table has one of that name.
 _BLOCK = "tidemark block"
-#: Fixed: the smallest difference cover modulo 7.
-PERIOD, COVER = 7, (0, 1, 3)
+#: Fixed: a perfect difference set, so every distance modulo 21 is that of two members.
+PERIOD, COVER = 21, (0, 1, 4, 14, 16)
+#: Bytes by which suffixes are sorted before the cover ranks are asked: at least PERIOD.
+HEAD = 24
 
 
 def words_at(text: np.ndarray, dtype: str = "<u8") -> np.ndarray:
@@ -231,22 +234,24 @@ def cover_distance(r: int, s: int) -> int:
 def sample_ranks(text: np.ndarray) -> np.ndarray:
     """Ranks of the suffixes at cover positions, all different; other positions hold 0.
 
-    Doubling: the names of 7 bytes at p and p + 7 give the names of 14, then 28, 56 and so on
+    Doubling: the names of 21 bytes at p and p + 21 give the names of 42, then 84 and so on
     until all differ. A step is a multiple of the period, so only cover positions are ever
     named. A suffix that ends is less than its continuations.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8 + PERIOD, np.uint8)])
+    wide = words_at(np.concatenate([text, np.zeros(PERIOD + 8, np.uint8)]), ">u8")
     where = np.isin(np.arange(n) % PERIOD, COVER).nonzero()[0]
     names = np.zeros(n, np.uint32)
-    values = words_at(padded, ">u8")[where].astype(np.uint64) >> np.uint64(8)
+    values = np.zeros(len(where), np.uint64)
+    for at, keep in ((0, 8), (8, 8), (16, PERIOD - 16)):
+        piece = wide[where + at].astype(np.uint64) >> np.uint64(64 - 8 * keep)
+        values = _names(values << np.uint64(32) | _names(piece).astype(np.uint64)) if at else _names(piece)
+        values = values.astype(np.uint64)
     span = PERIOD
     while True:
-        order = np.argsort(values, kind="stable")
-        values = values[order]
-        ranks = np.cumsum(np.append(True, values[1:] != values[:-1]))
-        names[where[order]] = ranks
-        if ranks[-1] == len(where) or span > n:
+        ranks = _names(values)
+        names[where] = ranks
+        if len(where) == 0 or int(ranks.max()) == len(where) or span > n:
             return names
         later = where + span
         follow = np.where(later < n, names[np.minimum(later, n - 1)], 0).astype(np.uint64)
@@ -254,10 +259,20 @@ def sample_ranks(text: np.ndarray) -> np.ndarray:
         span *= 2
 
 
+def _names(values: np.ndarray) -> np.ndarray:
+    """1, 2, ... in the order of the distinct values."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    out = np.empty(len(values), np.uint32)
+    out[order] = np.cumsum(np.append(True, ordered[1:] != ordered[:-1]))[: len(values)]
+    return out
+
+
 def sorted_suffixes(text: np.ndarray, starts: np.ndarray, limit: int = RANGE_SUFFIXES):
     """Yield the suffix starts in order, a range of first eight bytes (about ``limit`` suffixes) at a time."""
     ranks = sample_ranks(text)
-    heads = words_at(np.concatenate([text, np.zeros(8, np.uint8)]), ">u8")[starts].astype(np.uint64)
+    wide = words_at(np.concatenate([text, np.zeros(HEAD + 8, np.uint8)]), ">u8")
+    heads = wide[starts].astype(np.uint64)
     n_ranges = -(-len(starts) // limit)
     if n_ranges > 1:
         sample = np.sort(heads[:: max(1, len(heads) // 4096)])
@@ -266,20 +281,41 @@ def sorted_suffixes(text: np.ndarray, starts: np.ndarray, limit: int = RANGE_SUF
         for k in range(len(splitters) + 1):
             own = (of == k).nonzero()[0]
             if len(own):
-                yield _sorted_range(ranks, starts[own], heads[own])
+                yield _sorted_range(wide, ranks, starts[own], heads[own])
     elif len(starts):
-        yield _sorted_range(ranks, starts, heads)
+        yield _sorted_range(wide, ranks, starts, heads)
+
+
+def _tied(group: np.ndarray) -> np.ndarray:
+    """Places whose group (numbers that do not fall) has another member."""
+    same = group[1:] == group[:-1]
+    return (np.append(same, False) | np.append(False, same)).nonzero()[0]
 
 
-def _sorted_range(ranks: np.ndarray, starts: np.ndarray, heads: np.ndarray) -> np.ndarray:
+def _sorted_range(wide: np.ndarray, ranks: np.ndarray, starts: np.ndarray, heads: np.ndarray) -> np.ndarray:
     order = np.argsort(heads, kind="stable")
     starts, heads = starts[order], heads[order]
-    new = np.append(True, heads[1:] != heads[:-1])
-    group = np.cumsum(new) - 1
-    sizes = np.diff(np.append(new.nonzero()[0], len(starts)))
-    tied = (sizes[group] > 1).nonzero()[0]
+    group = np.cumsum(np.append(True, heads[1:] != heads[:-1]))
+    # The next eight bytes, of what is still tied; groups are split, not renumbered in order.
+    for at in range(8, HEAD, 8):
+        tied = _tied(group)
+        if not len(tied):
+            return starts
+        g, s = group[tied], starts[tied]
+        key = wide[s + at].astype(np.uint64)
+        by = np.lexsort((key, g))
+        g, s, key = g[by], s[by], key[by]
+        starts[tied] = s
+        split = np.zeros(len(group), bool)
+        split[tied] = np.append(False, (g[1:] == g[:-1]) & (key[1:] != key[:-1]))
+        group = group + np.cumsum(split)
+    tied = _tied(group)
     if not len(tied):
         return starts
+    group = group - 1
+    new = np.append(True, group[1:] != group[:-1])
+    begins_of = np.zeros(int(group[-1]) + 1, np.int64)
+    begins_of[group[new]] = new.nonzero()[0]
     # Ties: the suffixes of one residue have one order; a suffix's place in its group is the
     # sum of its places in the lists of all residues.
     pos, g = starts[tied], group[tied].astype(np.uint64) << np.uint64(32)
@@ -290,7 +326,6 @@ def _sorted_range(ranks: np.ndarray, starts: np.ndarray, heads: np.ndarray) -> n
         own = (residue == r).nonzero()[0]
         lists.append(own[np.argsort(g[own] | padded[pos[own] + _FIRST[r]], kind="stable")])
     place = np.zeros(len(tied), np.int64)
-    begins = new.nonzero()[0]
     for r, own in enumerate(lists):
         if not len(own):
             continue
@@ -304,7 +339,7 @@ def _sorted_range(ranks: np.ndarray, starts: np.ndarray, heads: np.ndarray) -> n
             keys = g[other] | padded[pos[other] + d]
             place[own] += np.searchsorted(keys, g[own] | padded[pos[own] + d], side="right" if s < r else "left") - np.searchsorted(g[other], g[own], side="left")
     out = starts.copy()
-    out[begins[group[tied]] + place] = pos
+    out[begins_of[group[tied]] + place] = pos
     return out
 
 
@@ -333,7 +368,14 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     columns = {c: table.column(c).to_pylist() for c in ("block", "sizes", "docs", "bytes", "numbers")}
     sizes = np.frombuffer(b"".join(columns["sizes"]), np.uint32).astype(np.int64)
     docs = np.frombuffer(b"".join(columns["docs"]), np.int64)
-    joined = np.frombuffer(b"".join(columns["bytes"]), np.uint8)
+    # Equal segments of several blocks are one segment, with their smallest document.
+    joined, cuts = b"".join(columns["bytes"]), np.cumsum(np.append(0, sizes)).tolist()
+    distinct: dict[bytes, int] = {}
+    which = np.array([distinct.setdefault(joined[a:b], len(distinct)) for a, b in zip(cuts, cuts[1:], strict=False)], np.int64)
+    first = np.unique(which, return_index=True)[1]
+    smallest = np.full(len(distinct), _LAST)
+    np.minimum.at(smallest, which, docs)
+    sizes, docs, joined = sizes[first], smallest, np.frombuffer(b"".join(distinct), np.uint8)
     # Each segment is followed by its number, so that no repeat is longer than a segment.
     number = np.arange(len(sizes))
     text = np.empty(len(joined) + 4 * len(sizes), np.uint8)
@@ -349,8 +391,12 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     new = np.append(True, (least[1:] != least[:-1]) | (segment[1:] != segment[:-1]))
     run = new.nonzero()[0]
     lengths = np.diff(np.append(run, len(least))).astype(np.uint32)
-    counts = np.bincount(segment[run], minlength=len(sizes)).astype(np.uint32)
-    values = least[run]
+    counts = np.bincount(segment[run], minlength=len(sizes))
+    # Back to the segments as they came: the runs of each one's distinct segment.
+    own = counts[which]
+    ends = np.cumsum(own)
+    take = np.arange(ends[-1]) - np.repeat(ends - own - (np.cumsum(counts) - counts)[which], own)
+    lengths, values, counts = lengths[take], least[run][take], own.astype(np.uint32)
     out: dict[str, list] = {"block": [], "numbers": [], "counts": [], "lengths": [], "least": []}
     a = x = 0
     for block, numbers in zip(columns["block"], columns["numbers"], strict=True):
