@@ -16,7 +16,7 @@ and if it holds the keeper's id both copies keep the line; an empty table gives
 from __future__ import annotations
 
 import hashlib
-import re
+import struct
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,23 +28,20 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import discard, stored, texts_of, with_text
 
 _STRIP = " \t\n\x0b\x0c\r"
-_LOWER = str.maketrans({c: chr(c + 32) for c in range(65, 91)})
-_UPPER = re.compile("[A-Z]")
+_TWO = struct.Struct(">qq")
 
 
-def line_key(line: str) -> str:
-    """The line, stripped of ASCII white space, A-Z in lower case."""
-    key = line.strip(_STRIP)
-    if key.isascii():
-        return key.lower()
-    return key.translate(_LOWER) if _UPPER.search(key) else key
+def line_key(line: str) -> bytes:
+    """The line without ASCII white space at its ends, A-Z in lower case, as UTF-8.
 
+    bytes.lower() changes A-Z only.
+    """
+    return line.strip(_STRIP).encode("utf-8", "surrogatepass").lower()
 
-def key_hash(key: str) -> tuple[int, int]:
+
+def key_hash(key: bytes) -> tuple[int, int]:
     """128 bits as two signed 64-bit integers."""
-    x = xxhash.xxh3_128_intdigest(key.encode("utf-8", "surrogatepass"))
-    a, b = x >> 64, x & 0xFFFFFFFFFFFFFFFF
-    return a - (1 << 64) * (a >> 63), b - (1 << 64) * (b >> 63)
+    return _TWO.unpack(xxhash.xxh3_128_digest(key))
 
 
 def _hash_lines(min_chars: int):
@@ -52,7 +49,7 @@ def _hash_lines(min_chars: int):
         for batch in batches:
             ids, h1, h2 = [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text"), strict=True):
-                for a, b in {key_hash(k) for line in text.split("\n") if len(k := line_key(line)) >= min_chars}:
+                for a, b in {key_hash(line_key(x)) for x in text.split("\n") if len(x) >= min_chars and len(x.strip(_STRIP)) >= min_chars}:
                     ids.append(doc)
                     h1.append(a)
                     h2.append(b)
@@ -200,10 +197,10 @@ def digest(rows: DataFrame) -> DataFrame:
 
 def reference(rows: list[tuple], min_chars: int = 20, min_docs: int = 3) -> list[tuple]:
     """Brute force for tests."""
-    where: dict[str, list] = {}
+    where: dict[bytes, list] = {}
     for doc, text in rows:
         for k in {line_key(x) for x in (text or "").split("\n")}:
-            if len(k) >= min_chars:
+            if len(k.decode()) >= min_chars:
                 where.setdefault(k, []).append(doc)
     out = []
     for doc, text in rows:
