@@ -16,23 +16,29 @@ packed each on its own; an empty table gives no rows; extra columns are not read
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tidemark.llm.bpe import byte_alphabet
 from tidemark.llm.common import SPACES, slices, texts_of
 
 SEQUENCE = 2048
 END_ID = 1
 #: Mean number of documents in a group.
 GROUP_DOCS = 4096
+#: Fixed: the regular expression that byte-level tokenizers split texts by.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Chunks that a worker remembers the ids of.
-CHUNKS_HELD = 250_000
+CHUNKS_HELD = 500_000
 
 
 class TournamentTree:
@@ -93,8 +99,28 @@ class ChunkEncoder:
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.chunks = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]").findall
         self.newline = self._ids("\n")
+        self.ranked = self._by_ranks(path)
         self.known: dict[str, bytes] = {}
 
+    @staticmethod
+    def _by_ranks(path: str) -> tiktoken.Encoding | None:
+        """The same merges by rank, several times faster, where ids rise with the merges; None where they don't."""
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab = model["vocab"]
+        merges = [m.split(" ", 1) if isinstance(m, str) else m for m in model["merges"]]
+        order = [vocab.get(a + b, -1) for a, b in merges]
+        if model.get("end_of_word_suffix") or any(y <= x for x, y in zip(order, order[1:], strict=False)) or len(order) + 256 != len(vocab):
+            return None
+        back = {c: b for b, c in enumerate(byte_alphabet())}
+        ranks = {bytes([back[c] for c in token]): i for token, i in vocab.items()}
+        return tiktoken.Encoding("byte level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _array(self, text: str) -> np.ndarray:
+        if self.ranked is None:
+            return np.array(self._ids(text), "<u4")
+        return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -105,18 +131,18 @@ class ChunkEncoder:
     def _learn(self, new: list[str]) -> None:
         joined = []
         for chunk in new:
-            if chunk.isspace() or "\n" in chunk:
+            if chunk.isspace():
                 self.known[chunk] = self._bytes(self._ids(chunk))
             else:
                 joined.append(chunk)
         if not joined:
             return
         (cut,) = self.newline
-        at, ids = 0, self._ids("\n".join(joined)) + [cut]
-        for chunk in joined:
-            end = ids.index(cut, at)
-            self.known[chunk] = self._bytes(ids[at:end])
-            at = end + 1
+        ids = self._array("\n".join(joined))
+        ends = np.append((ids == cut).nonzero()[0], len(ids)) * 4
+        starts = np.append(0, ends[:-1] + 4)
+        data = ids.tobytes()
+        self.known.update(zip(joined, [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if self.special.search(x) else self.chunks(x) for x in texts]
@@ -125,7 +151,7 @@ class ChunkEncoder:
             if len(self.known) + len(new) > CHUNKS_HELD:
                 self.known.clear()
                 new = set().union(*(x for x in split if x))
-            self._learn(sorted(new))
+            self._learn(list(new))
         known = self.known
         return [self._bytes(self._ids(text)) if chunks is None else b"".join([known[c] for c in chunks]) for text, chunks in zip(texts, split, strict=True)]
 
