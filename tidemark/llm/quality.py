@@ -308,7 +308,7 @@ def judge(docs: DataFrame, width: float = WIDTH, least: float = LEAST) -> DataFr
     measured = stored(docs.mapInArrow(_measure(shipped, letters), schema), "perplexities")
     # One row a language, MAX_LANGUAGES + 1 at most.
     out = measured.join(F.broadcast(bands(measured)), "lang", "left")
-    half = F.lit(least) + width * F.col("spread") / F.sqrt("n_chars")
+    half = F.lit(least) + width * F.col("spread") / F.sqrt(F.greatest(F.col("n_chars"), F.lit(1)))
     out = out.withColumns({"low": F.col("center") - half, "high": F.col("center") + half}).drop("center", "spread")
     inside = F.col("log_perplexity").between(F.col("low"), F.col("high"))
     return out.withColumn("kept", F.coalesce(~F.col("base_failed") & inside, F.lit(False)))
