@@ -93,9 +93,15 @@ class Block:
         self.ids = [ids[k] for k in order]
         self.data = [data[k] for k in order]
         self.rank = np.array([_LAST if x is None else x for x in self.ids], np.int64)
+        self._runs: list[tuple] | None = None
 
-    def runs(self):
+    def runs(self) -> list[tuple]:
         """For each slice of documents: their numbers' range, offsets, text, and runs (document, first window, last window, anchor hash)."""
+        if self._runs is None:
+            self._runs = list(self._find_runs())
+        return self._runs
+
+    def _find_runs(self):
         for a, b in slices((len(x) for x in self.data), _SLICE):
             sizes = np.array([len(x) for x in self.data[a:b]], np.int64)
             starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -352,13 +358,18 @@ def least_documents(text: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> n
     # Seven overlapping words cover the 50 bytes.
     offsets = (0, 8, 16, 24, 32, 40, WINDOW - 8)
     wide = words_at(np.concatenate([text, np.zeros(8, np.uint8)]))
+    place = np.empty(len(text), np.int32)
+    place[starts] = np.arange(len(starts), dtype=np.int32)
     for order in sorted_suffixes(text, starts):
-        same = np.ones(len(order) - 1, bool)
+        # Neighbours that agree so far; most pairs leave at the first words.
+        pairs = np.arange(len(order) - 1)
         for o in offsets:
-            w = wide[order + o]
-            same &= w[1:] == w[:-1]
-        first = np.append(True, ~same).nonzero()[0]
-        where = np.searchsorted(starts, order)
+            w = order[pairs] + o, order[pairs + 1] + o
+            pairs = pairs[wide[w[0]] == wide[w[1]]]
+        new = np.ones(len(order), bool)
+        new[pairs + 1] = False
+        first = new.nonzero()[0]
+        where = place[order]
         least = np.minimum.reduceat(docs[where], first)
         out[where] = np.repeat(least, np.diff(np.append(first, len(order))))
     return out
