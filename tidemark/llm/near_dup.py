@@ -138,10 +138,36 @@ def _sign(bands: int, rows: int, width: int):
     return run
 
 
-def _sets(width: int):
+#: Bits of the filter that spares documents without candidates: 2 MB at most, whatever the corpus.
+FILTER_BITS = 1 << 24
+
+
+def _filter_of(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A Bloom filter (two hashes) of the ids as 64-bit words, combined by Spark: bits // 64 rows at most come back.
+
+    It is of a fixed size. As it fills up it passes more documents on; it never drops one.
+    """
+    at = ids.select(F.explode(F.array(*_places("id", bits))).alias("p"))
+    word, bit = F.shiftright("p", 6), F.expr("shiftleft(1L, cast(p & 63 as int))")
+    rows = at.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
+    return out.view(np.uint64)
+
+
+def _places(column: str, bits: int) -> list:
+    return [F.pmod(F.xxhash64(F.lit(k), column), F.lit(bits)).cast("long").alias(f"p{k}") for k in range(2)]
+
+
+def _sets(width: int, shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _WordHashes()
+        table, held = _WordHashes(), shipped.value
         for batch in batches:
+            inside = np.ones(len(batch), bool)
+            for k in range(2):
+                p = batch.column(f"p{k}").to_numpy(zero_copy_only=False).astype(np.uint64)
+                inside &= (held[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+            batch = batch.filter(pa.array(inside))
             texts = texts_of(batch, "text")
             for a, b in slices((len(x) for x in texts), 2 << 20):
                 raw, doc, _ = shingles_of(texts[a:b], table, width)
@@ -214,7 +240,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, b
     members = stored(exploded.join(shared, "bucket"), "buckets")
     mates = members.groupBy("id").agg(F.sum("n").alias("mates"))
     members = members.join(mates, "id").select("bucket", "id", "mates", "n")
-    sets = stored(docs.join(mates.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets(width), "doc_id long, shingles binary").groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    # Texts stay where they are: only the shingle sets of documents with candidates are shuffled.
+    shipped = docs.sparkSession.sparkContext.broadcast(_filter_of(mates.select("id")))
+    with_places = docs.where("doc_id is not null").select("doc_id", "text", *_places("doc_id", FILTER_BITS))
+    every = with_places.mapInArrow(_sets(width, shipped), "doc_id long, shingles binary")
+    sets = stored(every.join(mates.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "shingle-sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
