@@ -115,6 +115,25 @@ def test_near_duplicate_star(spark):
     assert got == near_dup.reference(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("rounds", [0, 4])
+def test_near_duplicate_links_away_from_hubs(spark, rounds):
+    """Groups that are apart from each other but share buckets; some links are far from every star's centre."""
+    rng = random.Random(7)
+    common = words(rng, 150).split()
+    texts = []
+    for _ in range(12):
+        one = common + words(rng, 40).split()
+        for _ in range(4):
+            copy = one.copy()
+            copy[rng.randrange(150, 190)] = words(rng, 1) + "q"
+            texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = near_dup.reference(list(enumerate(texts)))
+    assert len({*want.values()}) == 12
+    got = {r.doc_id: r.class_id for r in near_dup.classes(df, small=2, rounds=rounds).collect()}
+    assert got == want
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 1 << 63, 400).astype(np.uint64)

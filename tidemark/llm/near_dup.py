@@ -12,7 +12,11 @@ texts are one vertex before that. Buckets of at most SMALL members give all thei
 larger ones give stars: every member with the bucket's *hub* (the member with most bucket
 mates over all bands) and with its smallest id. What a star leaves open is settled in rounds:
 from each large bucket the representatives of the components that are still apart are taken
-again, until no new link is found. Rows stay linear in bucket members.
+again, until no new link is found. Rows stay linear in bucket members. What is then still
+apart in a large bucket goes through an exact prefix join: its shingles are ordered rarest
+first, two texts at the threshold share one of their first n - ceil(threshold * n) + 1
+shingles, and the pairs of different components that do so are candidates. So every pair
+that shares a band is either in one class or has been ruled out.
 
 Verification. Every candidate pair is checked by the Jaccard similarity of its two whole
 shingle sets; links are the pairs at or above the threshold, classes are their connected
@@ -40,6 +44,7 @@ WORDS, THRESHOLD = 5, 0.8
 #: A pair at the threshold agrees in no band with probability (1 - 0.8**5) ** 24 = 0.00007.
 BANDS, ROWS = 24, 5
 SMALL = 16
+#: Rounds of stars before the prefix join; any number gives the same classes.
 ROUNDS = 4
 _HELD = 400_000
 
@@ -228,6 +233,41 @@ def _pairs_of(members: DataFrame, small: int) -> DataFrame:
     return few.unionByName(many.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))).distinct()
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shingle of each set, a bounded number of sets at a time."""
+    for batch in batches:
+        sets = [np.frombuffer(x, np.uint32) for x in batch.column("shingles").to_pylist()]
+        for a, b in slices((len(x) for x in sets), 1 << 18):
+            sizes = [len(x) for x in sets[a:b]]
+            at = pa.array(np.repeat(np.arange(a, b), sizes))
+            flat = pa.array(np.concatenate(sets[a:b]).astype(np.int64))
+            n = pa.array(np.repeat(np.array(sizes, np.int64), sizes))
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("label").take(at), n, flat], ["id", "label", "n", "shingle"])
+
+
+def _prefix_pairs(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs a < b of different labels that may reach the threshold, of buckets with several labels.
+
+    large: (bucket, id, label). Prefix filtering over the shingles, rarest first; a shingle
+    of one label only gives no pair. Shared passages are frequent, so they stay out of prefixes.
+    """
+    mixed = large.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    left = stored(large.join(mixed.select("bucket"), "bucket", "left_semi").select("id", "label").distinct(), "apart")
+    rows = left.join(sets.withColumnRenamed("doc_id", "id"), "id").select("id", "label", "shingles")
+    rows = stored(rows.mapInArrow(_shingle_rows, "id long, label long, n long, shingle long"), "apart-shingles")
+    ordered = rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")), "shingle")
+    length = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
+    # The array is one text's own set.
+    prefix = ordered.groupBy("id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s")).select("id", "label", "n", F.explode(F.slice("s", F.lit(1), length)).alias("s"))
+    prefix = stored(prefix.where("s.df > 1").select("id", "label", "n", F.col("s.shingle").alias("shingle")), "prefixes")
+    several = prefix.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle")
+    kept = prefix.join(several, "shingle", "left_semi")
+    a = kept.select("shingle", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
+    b = kept.select("shingle", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
+    near = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
+    return a.join(b, "shingle").where(near).select("a", "b").distinct()
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, class_id, is_first) for each row of docs: class_id is the smallest doc_id of its class."""
     docs = docs.select("doc_id", "text")
@@ -251,13 +291,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, b
         with_b = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
         return stored(with_b.select("a", "b", "set_a", "set_b").mapInArrow(_verify(threshold), "a long, b long"), "verified")
 
+    def labelled(labels: DataFrame) -> DataFrame:
+        large = members.where(F.col("n") > small).join(labels.withColumnRenamed("node", "id"), "id", "left")
+        return large.withColumn("label", F.coalesce("label", "id"))
+
     tried = stored(_pairs_of(members, small), "pairs")
     links = verified(tried)
+    labels = components(links)
     for _ in range(rounds):
-        labels = components(links)
         # Of each large bucket, the member of each component that has most mates.
-        large = members.where(F.col("n") > small).join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        apart = large.groupBy("bucket", "label").agg(F.max_by("id", F.struct("mates", -F.col("id"))).alias("id"), F.max("mates").alias("mates"))
+        apart = labelled(labels).groupBy("bucket", "label").agg(F.max_by("id", F.struct("mates", -F.col("id"))).alias("id"), F.max("mates").alias("mates"))
         pairs = _pairs_of(apart.select("bucket", "id", "mates"), small).join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         if not pairs.limit(1).count():
@@ -266,7 +309,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, b
         tried, links = tried.unionByName(pairs), links.unionByName(more)
         if not more.limit(1).count():
             break
-    labels = components(links)
+        labels = components(links)
+    more = verified(stored(_prefix_pairs(labelled(labels), sets, threshold).join(tried, ["a", "b"], "left_anti"), "pairs"))
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
     named = firsts.join(labels.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", "n_words", F.coalesce("label", "id").alias("class_id"))
     out = signed.select("doc_id", "k1", "k2").join(named, ["k1", "k2"])
     class_id = F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
