@@ -241,30 +241,39 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             sizes = [len(x) for x in sets[a:b]]
             at = pa.array(np.repeat(np.arange(a, b), sizes))
             flat = pa.array(np.concatenate(sets[a:b]).astype(np.int64))
-            n = pa.array(np.repeat(np.array(sizes, np.int64), sizes))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("label").take(at), n, flat], ["id", "label", "n", "shingle"])
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), flat], ["id", "shingle"])
 
 
-def _prefix_pairs(large: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs a < b of different labels that may reach the threshold, of buckets with several labels.
+def _apart(large: DataFrame) -> DataFrame:
+    """(id, label, buckets): members of buckets with several labels, and those buckets, from (bucket, id, label)."""
+    mixed = large.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+    # As many buckets as bands, at most.
+    return large.join(mixed.select("bucket"), "bucket", "left_semi").groupBy("id", "label").agg(F.collect_set("bucket").alias("buckets"))
+
+
+def _prefix_pairs(apart: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs a < b of different labels with a common bucket that may reach the threshold.
 
-    large: (bucket, id, label). Prefix filtering over the shingles, rarest first; a shingle
-    of one label only gives no pair. Shared passages are frequent, so they stay out of prefixes.
+    apart: (id, label, buckets). Prefix and positional filtering over the shingles, rarest
+    first: at the first shingle two sets share, they can share no more than what follows in
+    the shorter rest. A shingle of one label gives no pair. Shared passages are frequent, so
+    they stay out of prefixes.
     """
-    mixed = large.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    left = stored(large.join(mixed.select("bucket"), "bucket", "left_semi").select("id", "label").distinct(), "apart")
-    rows = left.join(sets.withColumnRenamed("doc_id", "id"), "id").select("id", "label", "shingles")
-    rows = stored(rows.mapInArrow(_shingle_rows, "id long, label long, n long, shingle long"), "apart-shingles")
+    rows = apart.join(sets.withColumnRenamed("doc_id", "id"), "id").select("id", "shingles")
+    rows = stored(rows.mapInArrow(_shingle_rows, "id long, shingle long"), "apart-shingles")
     ordered = rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")), "shingle")
-    length = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
     # The array is one text's own set.
-    prefix = ordered.groupBy("id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s")).select("id", "label", "n", F.explode(F.slice("s", F.lit(1), length)).alias("s"))
-    prefix = stored(prefix.where("s.df > 1").select("id", "label", "n", F.col("s.shingle").alias("shingle")), "prefixes")
+    texts = ordered.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s")).withColumn("n", F.size("s"))
+    length = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
+    prefix = texts.select("id", "n", F.posexplode(F.slice("s", F.lit(1), length)).alias("at", "s")).where("s.df > 1")
+    prefix = stored(prefix.join(apart, "id").select("id", "label", "buckets", "n", "at", F.col("s.shingle").alias("shingle")), "prefixes")
     several = prefix.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle")
     kept = prefix.join(several, "shingle", "left_semi")
-    a = kept.select("shingle", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"))
-    b = kept.select("shingle", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    near = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
+    a = kept.select("shingle", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("buckets").alias("ba"))
+    b = kept.select("shingle", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("buckets").alias("bb"))
+    need = F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-6
+    may = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need
+    near = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & may & F.arrays_overlap("ba", "bb")
     return a.join(b, "shingle").where(near).select("a", "b").distinct()
 
 
@@ -310,9 +319,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, b
         if not more.limit(1).count():
             break
         labels = components(links)
-    more = verified(stored(_prefix_pairs(labelled(labels), sets, threshold).join(tried, ["a", "b"], "left_anti"), "pairs"))
-    if more.limit(1).count():
-        labels = components(links.unionByName(more))
+    rest = stored(_apart(labelled(labels)), "apart")
+    if rest.limit(1).count():
+        more = verified(stored(_prefix_pairs(rest, sets, threshold).join(tried, ["a", "b"], "left_anti"), "pairs"))
+        if more.limit(1).count():
+            labels = components(links.unionByName(more))
     named = firsts.join(labels.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", "n_words", F.coalesce("label", "id").alias("class_id"))
     out = signed.select("doc_id", "k1", "k2").join(named, ["k1", "k2"])
     class_id = F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
