@@ -46,6 +46,8 @@ BANDS, ROWS = 24, 5
 SMALL = 16
 #: Rounds of stars before the prefix join; any number gives the same classes.
 ROUNDS = 4
+#: 64-bit words of the parity bitmap of a shingle set; any number gives the same classes.
+PARITY_WORDS = 8
 _HELD = 400_000
 
 
@@ -251,28 +253,36 @@ def _apart(large: DataFrame) -> DataFrame:
     return large.join(mixed.select("bucket"), "bucket", "left_semi").groupBy("id", "label").agg(F.collect_set("bucket").alias("buckets"))
 
 
-def _prefix_pairs(apart: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _prefix_pairs(apart: DataFrame, sets: DataFrame, threshold: float, words: int = PARITY_WORDS) -> DataFrame:
     """Pairs a < b of different labels with a common bucket that may reach the threshold.
 
     apart: (id, label, buckets). Prefix and positional filtering over the shingles, rarest
     first: at the first shingle two sets share, they can share no more than what follows in
     the shorter rest. A shingle of one label gives no pair. Shared passages are frequent, so
-    they stay out of prefixes.
+    they stay out of prefixes. Parity bitmaps bound the overlap too: two sets differ in at
+    least as many shingles as their bitmaps differ in bits. No bound rules out a pair at the
+    threshold.
     """
     rows = apart.join(sets.withColumnRenamed("doc_id", "id"), "id").select("id", "shingles")
     rows = stored(rows.mapInArrow(_shingle_rows, "id long, shingle long"), "apart-shingles")
     ordered = rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")), "shingle")
     # The array is one text's own set.
-    texts = ordered.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s")).withColumn("n", F.size("s"))
+    bit = F.expr("shiftleft(1L, cast(shingle & 63 as int))")
+    word = F.pmod(F.shiftright("shingle", 6), F.lit(max(words, 1)))
+    parity = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(words)]
+    texts = ordered.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"), *parity).withColumn("n", F.size("s"))
+    maps = [f"m{k}" for k in range(words)]
     length = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
-    prefix = texts.select("id", "n", F.posexplode(F.slice("s", F.lit(1), length)).alias("at", "s")).where("s.df > 1")
-    prefix = stored(prefix.join(apart, "id").select("id", "label", "buckets", "n", "at", F.col("s.shingle").alias("shingle")), "prefixes")
+    prefix = texts.select("id", "n", *maps, F.posexplode(F.slice("s", F.lit(1), length)).alias("at", "s")).where("s.df > 1")
+    prefix = stored(prefix.join(apart, "id").select("id", "label", "buckets", "n", "at", *maps, F.col("s.shingle").alias("shingle")), "prefixes")
     several = prefix.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle")
     kept = prefix.join(several, "shingle", "left_semi")
-    a = kept.select("shingle", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("buckets").alias("ba"))
-    b = kept.select("shingle", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("buckets").alias("bb"))
+    a = kept.select("shingle", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("buckets").alias("ba"), *[F.col(m).alias(f"a{m}") for m in maps])
+    b = kept.select("shingle", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("buckets").alias("bb"), *[F.col(m).alias(f"b{m}") for m in maps])
     need = F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-6
     may = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= need
+    differ = sum((F.bit_count(F.col(f"a{m}").bitwiseXOR(F.col(f"b{m}"))) for m in maps), F.lit(0))
+    may &= F.col("na") + F.col("nb") - differ >= 2 * need
     near = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & may & F.arrays_overlap("ba", "bb")
     return a.join(b, "shingle").where(near).select("a", "b").distinct()
 
