@@ -134,6 +134,19 @@ def test_near_duplicate_links_away_from_hubs(spark, rounds):
     assert got == want
 
 
+def test_near_duplicates_with_repeated_lines(spark):
+    """Links are by plain sets, so a line repeated many times must not hide a pair from the bands."""
+    rng = random.Random(11)
+    texts = []
+    for k in range(120):
+        base, line = words(rng, 64), words(rng, 10)
+        texts += [base + (" " + line if k % 2 else ""), base + (" " + line) * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = near_dup.reference(list(enumerate(texts)))
+    assert len({*want.values()}) == 120
+    assert {r.doc_id: r.class_id for r in near_dup.classes(df).collect()} == want
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 1 << 63, 400).astype(np.uint64)

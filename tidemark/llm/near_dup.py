@@ -7,7 +7,10 @@ agree with the probability Jaccard similarity. Arrivals are generated in rounds,
 of a batch at once, and a shingle stops as soon as its last arrival is later than everything
 its document's registers still wait for, so few rounds are needed.
 
-Candidates. Registers are cut into bands; documents with an equal band share a bucket. Equal
+Candidates. Registers are cut into bands; documents with an equal band share a bucket. A text
+with repeated shingles also has the bands of its signature with all weights 1 (that of a text
+without repeats is the same with either weights), so any two texts have bands whose registers
+agree with the Jaccard similarity that is verified, however often a line is repeated. Equal
 texts are one vertex before that. Buckets of at most SMALL members give all their pairs;
 larger ones give stars: every member with the bucket's *hub* (the member with most bucket
 mates over all bands) and with its smallest id. What a star leaves open is settled in rounds:
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import discard, mix, slices, stored, texts_of
 
 WORDS, THRESHOLD = 5, 0.8
-#: A pair at the threshold agrees in no band with probability (1 - 0.8**5) ** 24 = 0.00007.
+#: A pair at the threshold agrees in no unit-weight band with probability (1 - 0.8**5) ** 24 = 0.00007.
 BANDS, ROWS = 24, 5
 SMALL = 16
 #: Rounds of stars before the prefix join; any number gives the same classes.
@@ -120,6 +123,15 @@ def prob_min_hash(shingles: np.ndarray, doc: np.ndarray, weights: np.ndarray, n_
     return (best & np.uint64(0xFFFFFFFF)).astype(np.uint32).reshape(n_docs, registers)
 
 
+def _band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A 64-bit key for each text and band."""
+    keys = np.zeros((len(signature), bands), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(rows):
+            keys = mix(keys * np.uint64(31) + signature[:, k::rows][:, :bands] + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x100000001B3))
+    return keys
+
+
 def _sign(bands: int, rows: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _WordHashes()
@@ -128,15 +140,18 @@ def _sign(bands: int, rows: int, width: int):
             for a, b in slices((len(x) for x in texts), 2 << 20):
                 raw, doc, sizes = shingles_of(texts[a:b], table, width)
                 s, d, n = weighted(raw, doc)
-                signature = prob_min_hash(s, d, 1 + np.log(n), b - a, bands * rows)
-                with np.errstate(over="ignore"):
-                    keys = np.zeros((b - a, bands), np.uint64)
-                    for k in range(rows):
-                        keys = mix(keys * np.uint64(31) + signature[:, k::rows][:, :bands] + np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x100000001B3))
+                keys = _band_keys(prob_min_hash(s, d, 1 + np.log(n), b - a, bands * rows), bands, rows)
+                # Links are by the plain sets: texts with repeated shingles get the bands of unit weights too.
+                again = np.unique(d[n > 1])
+                held = np.isin(d, again)
+                plain = _band_keys(prob_min_hash(s[held], np.searchsorted(again, d[held]), np.ones(held.sum()), len(again), bands * rows), bands, rows)
+                owner = np.concatenate([np.arange(b - a), again])
+                flat = np.concatenate([keys, plain])[np.argsort(owner, kind="stable")]
+                ends = np.cumsum(np.bincount(owner, minlength=b - a) * bands)
                 # The identity of the text as words: two hashes of its shingles in order.
                 ks = [xxhash.xxh3_128_intdigest(" ".join(x.lower().split()).encode("utf-8", "surrogatepass")) for x in texts[a:b]]
                 signed = lambda x: x - (1 << 64) * (x >> 63)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * bands + 1, bands), pa.int32()), pa.array(keys.view(np.int64).ravel()))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(a, b - a), pa.array([signed(x >> 64) for x in ks], pa.int64()), pa.array([signed(x & (1 << 64) - 1) for x in ks], pa.int64()), pa.array(sizes, pa.int64()), lists],
                     ["doc_id", "k1", "k2", "n_words", "bands"],
@@ -249,7 +264,7 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _apart(large: DataFrame) -> DataFrame:
     """(id, label, buckets): members of buckets with several labels, and those buckets, from (bucket, id, label)."""
     mixed = large.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    # As many buckets as bands, at most.
+    # Twice as many buckets as bands, at most.
     return large.join(mixed.select("bucket"), "bucket", "left_semi").groupBy("id", "label").agg(F.collect_set("bucket").alias("buckets"))
 
 
