@@ -312,6 +312,12 @@ def test_html_extraction(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_raw_ends_after_letters_that_grow_in_lower_case():
+    page = "<p>" + "İ" * 40 + "</p><script>var a;</SCRIPT><p>one two</p><style>b</style><p>three</p>"
+    assert [b.text for b in html_text.blocks_of(page)] == ["İ" * 40, "one two", "three"]
+    assert [b.text for b in html_text.blocks_of("<script>'</ſcript>'</script>x")] == ["x"]
+
+
 def test_crf_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     crf = html_text.LinearChainCRF(np.zeros((1, 2)), rng.normal(size=(2, 2)))

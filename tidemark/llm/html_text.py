@@ -34,6 +34,8 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 #: Elements that an opening block-level tag closes when they are open: a paragraph by any block, others by their like.
 CLOSED_BY_LIKE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "option": {"select"}}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Ends of raw elements, searched in the page itself: a lower-cased copy may be longer than the page.
+_RAW_END = {tag: re.compile("</" + tag, re.I | re.A) for tag in RAW}
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _PARTS = re.compile(r"[a-zA-Z][a-z]*|[A-Z]+")
@@ -83,7 +85,7 @@ def blocks_of(page: str) -> list[Block]:
         if any(t == "a" for t, _ in stack):
             link_chars += len(text.strip())
 
-    at, n, lower = 0, len(page), None
+    at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -107,15 +109,13 @@ def blocks_of(page: str) -> list[Block]:
             continue
         attrs = m[3] or ""
         if tag in RAW:
-            if lower is None:
-                lower = page.lower()
-            end = lower.find("</" + tag, at)
+            end = _RAW_END[tag].search(page, at)
             if attrs.rstrip().endswith("/") and tag in ("svg", "math", "iframe"):
                 continue
-            if end < 0:
+            if end is None:
                 at = n if tag in ("script", "style", "title", "textarea") else at
                 continue
-            close = page.find(">", end)
+            close = page.find(">", end.end())
             at = n if close < 0 else close + 1
             continue
         if tag in VOID:
