@@ -370,6 +370,28 @@ def test_quality_rejects_gibberish(spark):
     assert not kept[60] and sum(kept.values()) >= 58
 
 
+def test_quality_tells_letters_apart_in_every_script(spark):
+    """Random letters in the good texts' own word lengths: only the letters differ."""
+    rng = random.Random(4)
+    rows = []
+    for lang, letters in (("ru", "абвгдежзийклмнопрстуфхцчшщъыьэюя"), ("el", "αβγδεζηθικλμνξοπρστυφχψω"), ("hi", "कखगघचछजझटठडढतथदधनपफबभमयरलवशसह")):
+        vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(60)]
+        good = [[rng.choice(vocabulary) for _ in range(200)] for _ in range(60)]
+        bad = ["".join(rng.choice(letters) for _ in w) for w in good[0]]
+        rows += [(len(rows) + k, " ".join(w), lang) for k, w in enumerate([*good, bad])]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for k in range(3):
+        assert not got[61 * k + 60] and sum(got[61 * k + i] for i in range(60)) >= 58
+
+
+def test_grams_of_wide_alphabets():
+    text = "".join(chr(0x20000 + k) for k in range(70000)) + "ab"
+    a, b, which = quality.grams_of([text, "ab"])
+    at = list(zip(a[which].tolist(), b[which].tolist(), strict=True))
+    s = [quality.START] * 3 + [ord(c) for c in text]
+    assert at[:70002] == [(s[i] << 21 | s[i + 1], s[i + 2] << 21 | s[i + 3]) for i in range(70002)] and len(at) == 70004
+
+
 def test_pipeline(spark, tmp_path, docs):
     import corpus_pipeline
 

@@ -1,12 +1,15 @@
 """Quality rules: base counts, and perplexity bands of a modified Kneser-Ney model by language.
 
 The model is over character n-grams (order 4). Invented or rare words make word n-grams of a
-corpus nearly all singletons, whose table grows with the corpus; characters are folded to
-SYMBOLS classes, so a language has at most SYMBOLS**4 n-grams, however large the corpus is.
-Counts are taken over *all* documents: each task counts its own texts and Spark sums the
-counts. The model of a language is a set of sorted 64-bit hash arrays with log probabilities,
-one array an order; a document's perplexity is read from them by binary search (once for each
-distinct n-gram of a batch).
+corpus nearly all singletons. Symbols are the code points themselves, whatever the script;
+letters are lower-cased, decimal digits are one symbol, and so are spaces and line ends. Every
+language has its own model, and every model is a table of Spark's, dealt by the hash of
+language and n-gram: no task and no driver holds a model.
+
+Texts are cut into blocks, each of one language. A block is written once with its texts and
+its distinct n-grams, which are summed over *all* documents. A scored n-gram has been counted,
+so its probability is one row of the table, and a join by language and n-gram gives each block
+the probabilities of its own n-grams, and no others.
 
 A language's band is centred on its median log perplexity. The mean over a text's characters
 strays less from it the longer the text is, so the half width is ``least`` plus ``width``
@@ -15,32 +18,36 @@ the median of |deviation| * sqrt(characters). Both medians are taken over all do
 pass the base rules. Documents above or below the band are rejected.
 
 Defined edge cases: a null or empty text has no words, fails the base rules and has a null
-perplexity; a null lang is the language "und"; languages beyond the MAX_LANGUAGES most
-frequent are pooled in "und"; an empty table gives no rows; repeated rows get equal results.
+perplexity; a null lang is the language "und"; languages beyond the MAX_LANGUAGES most frequent
+are pooled in "und"; an empty table gives no rows; repeated rows get equal results.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix, slices, stored, texts_of
+from tidemark.llm.common import mix, stored, texts_of
 
-SYMBOLS, ORDER, MAX_LANGUAGES = 48, 4, 32
+ORDER, MAX_LANGUAGES = 4, 32
+#: Symbols of the in-memory model that the tests hold probabilities() against.
+SYMBOLS = 48
+#: Characters of a block, and of all blocks that a task holds at a time; any numbers give the same results.
+BLOCK, HELD = 4 << 20, 16 << 20
+#: A code point takes 21 bits; the start symbol is the first number that is none.
+BITS, START = 21, 0x110000
 UNKNOWN = "und"
 #: Band half width in spreads, and what is added to it in log units.
 WIDTH, LEAST = 5.0, 0.02
 _WORDS = re.compile("[^\x20\x09-\x0d]+").findall
 _SYMBOLS = re.compile("[#*$%&|<>]").findall
-#: Classes 0-10 are fixed: start, other, other letter, digit, space, line end, and marks by kind.
-_START, _OTHER, _LETTER, _DIGIT, _SPACE, _LINE = range(6)
-_MARKS = (".", ",;:", "!?", "\"'()[]{}«»", "#*$%&|<>@+=/\\_-~^`")
-_FREE = 6 + len(_MARKS)
 
 
 def base_counts(text: str) -> tuple[int, int, int, int, int]:
@@ -75,26 +82,18 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
     return n_words < 50 or 100 * n_repeat_words > 50 * n_words
 
 
-def class_table(letters: str) -> np.ndarray:
-    """Class of each code point; letters (lower case) get the free classes in order."""
-    table = np.full(0x110000, _OTHER, np.uint8)
-    for c in range(0x250):
-        if chr(c).isalpha():
-            table[c] = _LETTER
-    table[0x250:0x2000] = _LETTER
-    table[0x2C00:0xE000] = _LETTER
-    for c in "0123456789":
-        table[ord(c)] = _DIGIT
-    for c in " \t\xa0":
-        table[ord(c)] = _SPACE
-    table[ord("\n")] = table[ord("\r")] = _LINE
-    for k, marks in enumerate(_MARKS):
-        for c in marks:
-            table[ord(c)] = 6 + k
-    for k, c in enumerate(letters[: SYMBOLS - _FREE]):
-        table[ord(c)] = _FREE + k
-        if len(c.upper()) == 1:
-            table[ord(c.upper())] = _FREE + k
+@cache
+def symbol_table() -> np.ndarray:
+    """Symbol of each code point: lower case, one decimal digit, one space, one line end. No code point is lost."""
+    table = np.arange(START + 1, dtype=np.uint32)
+    for k in range(0x20000):  # no cased letters, digits or spaces beyond
+        c = chr(k)
+        if c.isdecimal():
+            table[k] = ord("0")
+        elif c.isspace():
+            table[k] = ord("\n" if c in "\n\r\x85\u2028\u2029" else " ")
+        elif len(c.lower()) == 1:
+            table[k] = ord(c.lower())
     return table
 
 
@@ -102,83 +101,74 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def codes_of(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram codes of every character of the texts, and where each text begins.
+def grams_of(texts: list[str], where: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of non-empty texts as two longs of two symbols each, and how often or (where) which each character's is.
 
     A text is preceded by ORDER - 1 start symbols, so its first character has a history too.
     """
-    pad = np.full(ORDER - 1, _START, np.uint8)
-    parts, sizes = [], []
-    for x in texts:
-        p = table[points(x)]
-        parts += [pad, p]
-        sizes.append(len(p))
-    symbols = np.concatenate(parts) if parts else np.empty(0, np.uint8)
-    if len(symbols) < ORDER:
-        return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
-    n = len(symbols) - ORDER + 1
-    codes = np.zeros(n, np.uint32)
-    for k in range(ORDER):
-        codes *= SYMBOLS
-        codes += symbols[k : k + n]
-    # Drop the windows that end in a later text's start symbols.
-    keep = np.ones(n, bool)
-    ends = np.cumsum([s + ORDER - 1 for s in sizes])[:-1]
+    pad = np.full(ORDER - 1, START, np.uint32)
+    table = symbol_table()
+    symbols = np.concatenate([x for t in texts for x in (pad, table[points(t)])])
+    keep = np.ones(len(symbols), bool)
+    starts = np.cumsum([0] + [len(t) + ORDER - 1 for t in texts])[:-1]
     for k in range(ORDER - 1):
-        keep[ends - ORDER + 1 + k] = False
-    return codes[keep], np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-
+        keep[starts + k] = False
+    keep = keep[ORDER - 1 :]
+    used = np.zeros(START + 1, bool)
+    used[symbols] = True
+    (letters,) = used.nonzero()
+    ids = (np.cumsum(used) - 1)[symbols].astype(np.uint64)
+    bits = np.uint64(max(1, int(len(letters) - 1).bit_length()))
+    pairs = ids[:-1] << bits | ids[1:]
+    wide = 4 * int(bits) > 64
+    if wide:
+        known, pairs = np.unique(pairs, return_inverse=True)
+        pairs = pairs.astype(np.uint64)
+    half = np.uint64(32) if wide else bits + bits
+    keys = (pairs[:-2] << half | pairs[2:])[keep]
+    found, other = np.unique(keys, return_inverse=True) if where else np.unique(keys, return_counts=True)
+    first, last = found >> half, found & ((np.uint64(1) << half) - np.uint64(1))
+    if wide:
+        first, last = known[first.astype(np.int64)], known[last.astype(np.int64)]
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    unpack = lambda x: letters[(x >> bits).astype(np.int64)] << BITS | letters[(x & low).astype(np.int64)]
+    return unpack(first), unpack(last), other
+
+
+_BLOCK_SCHEMA = "block long, lang string, ids array<long>, sizes array<long>, n_bytes long, texts binary, a array<long>, b array<long>, k array<long>"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a block: its texts, compressed, and its n-grams with their counts."""
+    held: dict[str, list] = {}
+    sizes: dict[str, int] = {}
+    number = TaskContext.get().partitionId() << 32
+
+    def put(lang: str) -> pa.RecordBatch:
+        nonlocal number
+        rows = held.pop(lang)
+        del sizes[lang]
+        texts = [t for _, t in rows]
+        full = [t for t in texts if t]
+        a, b, k = grams_of(full, where=False) if full else [np.empty(0, np.int64)] * 3
+        data = "".join(texts).encode("utf-8", "surrogatepass")
+        packed = pa.Codec("zstd").compress(data, asbytes=True)
+        number += 1
+        lists = [pa.array([x], pa.list_(pa.int64())) for x in ([d for d, _ in rows], list(map(len, texts)))]
+        grams = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype(np.int64))) for x in (a, b, k)]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([lang], pa.string()), *lists, pa.array([len(data)], pa.int64()), pa.array([packed], pa.binary()), *grams], ["block", "lang", "ids", "sizes", "n_bytes", "texts", "a", "b", "k"])
 
-def _count_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0x250, np.int64)
     for batch in batches:
-        texts = texts_of(batch, "text")
-        for a, b in slices((len(x) for x in texts), 4 << 20):
-            p = points("".join(texts[a:b]).lower())
-            total += np.bincount(p[p < 0x250], minlength=0x250)
-    (found,) = total.nonzero()
-    yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["point", "k"])
-
-
-def common_letters(docs: DataFrame) -> str:
-    """The most frequent lower-case letters below U+0250, over all documents; at most 592 rows a task are summed."""
-    rows = docs.mapInArrow(_count_letters, "point long, k long").groupBy("point").agg(F.sum("k").alias("k")).collect()
-    letters = sorted(((r["k"], chr(r["point"])) for r in rows if chr(r["point"]).isalpha()), key=lambda x: (-x[0], x[1]))
-    return "".join(c for _, c in letters[: SYMBOLS - _FREE])
-
-
-def _count_grams(letters: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = class_table(letters)
-        total: dict[str, np.ndarray] = {}
-
-        def flush():
-            for lang, sums in sorted(total.items()):
-                (found,) = sums.nonzero()
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(sums[found], pa.int64())], ["lang", "code", "k"])
-            total.clear()
-
-        for batch in batches:
-            texts, langs = texts_of(batch, "text"), batch.column("lang").to_pylist()
-            for lang in sorted({*langs}):
-                own = [x for x, y in zip(texts, langs, strict=True) if y == lang]
-                for a, b in slices((len(x) for x in own), 4 << 20):
-                    codes, _ = codes_of(own[a:b], table)
-                    sums = np.bincount(codes, minlength=SYMBOLS**ORDER).astype(np.uint32)
-                    if lang in total:
-                        total[lang] += sums
-                    else:
-                        total[lang] = sums
-            if len(total) > 6:  # 21 MB each
-                yield from flush()
-        yield from flush()
-
-    return run
-
-
-def gram_counts(docs: DataFrame, letters: str) -> DataFrame:
-    """(lang, code, k): n-gram counts over all documents, one partial row a task, language and n-gram."""
-    return docs.mapInArrow(_count_grams(letters), "lang string, code long, k long").groupBy("lang", "code").agg(F.sum("k").alias("k"))
+        for d, t, lang in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text"), batch.column("lang").to_pylist(), strict=True):
+            held.setdefault(lang, []).append((d, t))
+            # A row counts too, so that empty texts fill a block.
+            sizes[lang] = sizes.get(lang, 0) + len(t) + 16
+            if sizes[lang] > BLOCK:
+                yield put(lang)
+        while sum(sizes.values()) > HELD:
+            yield put(max(sizes, key=sizes.get))
+    for lang in sorted(held):
+        yield put(lang)
 
 
 def _discounts(n: np.ndarray) -> tuple[float, float, float]:
@@ -191,10 +181,11 @@ def _discounts(n: np.ndarray) -> tuple[float, float, float]:
 
 
 class KneserNey:
-    """Modified Kneser-Ney over the n-grams of one language, in sorted hash arrays."""
+    """Modified Kneser-Ney over the n-grams of one language in memory: for tests, what probabilities() states as joins."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, symbols: int = SYMBOLS):
         """codes: distinct n-grams as base-SYMBOLS numbers, the last symbol lowest; counts: how often."""
+        self.symbols = symbols  # how many the last back-off spreads over
         self.orders: list[tuple[np.ndarray, np.ndarray]] = []  # of each order: hashes, discounted share
         self.backoffs: list[tuple[np.ndarray, np.ndarray]] = []  # of each order's histories: hashes, weight
         grams, n = codes.astype(np.int64), counts.astype(np.float64)
@@ -232,7 +223,7 @@ class KneserNey:
 
     def log_probability(self, grams: np.ndarray) -> np.ndarray:
         """Natural log of P(last symbol | the others) of each full n-gram."""
-        p = np.full(len(grams), 1.0 / SYMBOLS)
+        p = np.full(len(grams), 1.0 / self.symbols)
         for k, order in enumerate(range(1, ORDER + 1)):
             g = grams.astype(np.int64) % SYMBOLS**order
             share = self._find(self.orders[k], self.hashes(g, order), 0.0)
@@ -241,46 +232,74 @@ class KneserNey:
         return np.log(p)
 
 
-def fit_models(counts: DataFrame) -> dict[str, KneserNey]:
-    """A model for each language. A language has at most SYMBOLS**ORDER rows, and MAX_LANGUAGES + 1 languages come."""
-    models = {}
-    for (lang,) in counts.select("lang").distinct().orderBy("lang").collect():
-        rows = counts.where(F.col("lang") == lang).select("code", "k").toArrow()
-        models[lang] = KneserNey(rows.column("code").to_numpy(), rows.column("k").to_numpy())
-    return models
+def probabilities(counts: DataFrame) -> DataFrame:
+    """(lang, a, b, p): P(last symbol | the others) of each counted n-gram of (lang, a, b, n), by language.
 
+    a and b hold two symbols each. Lower orders count the distinct symbols before an n-gram.
+    The lowest spreads over the symbols that the language has.
+    """
+    low = F.lit((1 << BITS) - 1).cast("long")
+    none = F.lit(0).cast("long")
+    suffixes = {4: (F.col("a").bitwiseAND(low), F.col("b")), 3: (none, F.col("b")), 2: (none, F.col("b").bitwiseAND(low))}
+    levels = {ORDER: counts}
+    for order in range(ORDER, 1, -1):
+        a, b = suffixes[order]
+        shorter = levels[order].select("lang", a.alias("a"), b.alias("b")).groupBy("lang", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+        levels[order - 1] = stored(shorter, "suffixes")
+    below = None
+    for order in range(1, ORDER + 1):
+        rows = levels[order]
+        # Chen and Goodman's discounts: one row a language.
+        c = [F.sum((F.col("n") == k).cast("long")).alias(f"c{k}") for k in range(1, 5)]
+        of = rows.groupBy("lang").agg(*c, F.count(F.lit(1)).alias("kinds"))
+        y = F.col("c1") / (F.col("c1") + 2 * F.col("c2"))
+        full = (F.col("c1") > 0) & (F.col("c2") > 0) & (F.col("c3") > 0) & (F.col("c4") > 0)
+        for k, other in ((1, 0.5), (2, 0.75), (3, 0.9)):
+            d = k - (k + 1) * y * F.col(f"c{k + 1}") / F.col(f"c{k}")
+            of = of.withColumn(f"d{k}", F.when(full, F.least(F.greatest(d, F.lit(0.05)), F.lit(k - 0.05))).otherwise(F.lit(other)))
+        of = F.broadcast(of.select("lang", "d1", "d2", "d3", "kinds"))
+        rows = rows.withColumn("h", F.shiftright("b", BITS))
+        # Integers are summed, so that the order of rows doesn't show.
+        parts = [F.sum(x.cast("long")).alias(f"n{k}") for k, x in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") > 2))]
+        histories = rows.groupBy("lang", "a", "h").agg(F.sum("n").alias("total"), *parts)
+        rows = rows.join(histories, ["lang", "a", "h"]).join(of, "lang")
+        cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        left = F.col("n1") * F.col("d1") + F.col("n2") * F.col("d2") + F.col("n3") * F.col("d3")
+        rows = rows.withColumns({"share": (F.col("n") - cut) / F.col("total"), "rest": left / F.col("total")})
+        if below is None:
+            rows = rows.withColumn("q", 1 / F.col("kinds"))
+        else:
+            a, b = suffixes[order]
+            rows = rows.withColumns({"sa": a, "sb": b}).join(below.select("lang", F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("p").alias("q")), ["lang", "sa", "sb"])
+        below = stored(rows.select("lang", "a", "b", (F.col("share") + F.col("rest") * F.col("q")).alias("p")), "probabilities")
+    return below
 
-def _measure(shipped, letters: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, table = shipped.value, class_table(letters)
-        known = {lang: np.full(SYMBOLS**ORDER, np.nan, np.float32) for lang in models} if len(models) <= 6 else {}
-        for batch in batches:
-            texts, langs = texts_of(batch, "text"), batch.column("lang").to_pylist()
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a document, from blocks and the log probabilities of their n-grams."""
+    for batch in batches:
+        for i in range(len(batch)):
+            row = batch.slice(i, 1)
+            data = pa.Codec("zstd").decompress(row.column("texts")[0].as_py(), row.column("n_bytes")[0].as_py(), asbytes=True)
+            whole, texts, at = data.decode("utf-8", "surrogatepass"), [], 0
+            for n in row.column("sizes")[0].as_py():
+                texts.append(whole[at : at + n])
+                at += n
             rows = [base_counts(x) for x in texts]
+            full = [k for k, x in enumerate(texts) if x]
             logs = np.full(len(texts), np.nan)
-            for lang in sorted({*langs}):
-                model = models.get(lang)
-                where = [i for i, y in enumerate(langs) if y == lang and texts[i]]
-                if model is None:
-                    continue
-                cache = known.get(lang)
-                if cache is None:
-                    cache = np.full(SYMBOLS**ORDER, np.nan, np.float32)
-                for a, b in slices((len(texts[i]) for i in where), 2 << 20):
-                    codes, starts = codes_of([texts[i] for i in where[a:b]], table)
-                    got = cache[codes]
-                    new = np.unique(codes[np.isnan(got)])
-                    if len(new):
-                        cache[new] = model.log_probability(new)
-                        got = cache[codes]
-                    sizes = np.diff(np.append(starts, len(codes)))
-                    logs[where[a:b]] = -np.add.reduceat(got.astype(np.float64), starts) / sizes
+            if full:
+                _, _, which = grams_of([texts[k] for k in full])
+                known = row.column("known")[0].values
+                value = np.empty(len(known))
+                value[known.field("at").to_numpy()] = known.field("log_p").to_numpy()
+                sizes = np.array([len(texts[k]) for k in full])
+                logs[full] = -np.add.reduceat(value[which], np.cumsum(sizes) - sizes) / sizes
             kinds = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
             cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)]
             failed = pa.array([base_failed(r[0], r[4]) for r in rows], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), *cols, failed, pa.array([len(x) for x in texts], pa.int64()), pa.array(logs, pa.float64(), mask=np.isnan(logs))], ["doc_id", "lang", *kinds, "base_failed", "n_chars", "log_perplexity"])
-
-    return run
+            lang = pa.array([row.column("lang")[0].as_py()] * len(texts), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(row.column("ids")[0].as_py(), pa.int64()), lang, *cols, failed, pa.array([len(x) for x in texts], pa.int64()), pa.array(logs, pa.float64(), mask=np.isnan(logs))], ["doc_id", "lang", *kinds, "base_failed", "n_chars", "log_perplexity"])
 
 
 def bands(measured: DataFrame) -> DataFrame:
@@ -301,12 +320,15 @@ def with_languages(docs: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, width: float = WIDTH, least: float = LEAST) -> DataFrame:
     """The contract's columns, with lang, log_perplexity and the band."""
     docs = with_languages(docs)
-    letters = common_letters(docs)
-    models = fit_models(stored(gram_counts(docs, letters), "gram-counts"))
-    shipped = docs.sparkSession.sparkContext.broadcast(models)
+    blocks = stored(docs.mapInArrow(_cut, _BLOCK_SCHEMA), "blocks")
+    grams = blocks.select("block", "lang", F.posexplode(F.arrays_zip("a", "b", "k")).alias("at", "g")).select("block", "lang", "at", "g.a", "g.b", "g.k")
+    counts = stored(grams.groupBy("lang", "a", "b").agg(F.sum("k").alias("n")), "gram-counts")
+    found = grams.drop("k").join(probabilities(counts), ["lang", "a", "b"]).select("block", F.struct("at", F.log("p").alias("log_p")).alias("g"))
+    known = found.groupBy("block").agg(F.collect_list("g").alias("known"))
     schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_chars long, log_perplexity double"
-    measured = stored(docs.mapInArrow(_measure(shipped, letters), schema), "perplexities")
-    # One row a language, MAX_LANGUAGES + 1 at most.
+    held = blocks.select("block", "lang", "ids", "sizes", "n_bytes", "texts").join(known, "block", "left")
+    measured = stored(held.mapInArrow(_measure, schema), "perplexities")
+    # One row a language.
     out = measured.join(F.broadcast(bands(measured)), "lang", "left")
     half = F.lit(least) + width * F.col("spread") / F.sqrt(F.greatest(F.col("n_chars"), F.lit(1)))
     out = out.withColumns({"low": F.col("center") - half, "high": F.col("center") + half}).drop("center", "spread")
