@@ -384,6 +384,26 @@ def test_quality_tells_letters_apart_in_every_script(spark):
         assert not got[61 * k + 60] and sum(got[61 * k + i] for i in range(60)) >= 58
 
 
+def test_quality_has_a_model_for_every_language(spark):
+    """A language's results don't depend on how many others there are, nor on the size of blocks."""
+    rng = random.Random(6)
+    rows = [(k, words(rng, 60), f"l{k % 40:02}") for k in range(160)]
+    schema = "doc_id long, text string, lang string"
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, schema)).collect()}
+    assert len({r.lang for r in got.values()}) == 40
+    alone = [x for x in rows if x[2] == "l39"]
+    for r in quality.judge(spark.createDataFrame(alone, schema)).collect():
+        assert tuple(r) == pytest.approx(tuple(got[r.doc_id]))
+    # The in-memory model over the same n-grams gives the same perplexities.
+    letters = sorted({c for _, t, _ in alone for c in t})
+    number = {c: k + 1 for k, c in enumerate(letters)}
+    grams = lambda t: [sum(([0, 0, 0] + [number[c] for c in t])[i + j] * 48 ** (3 - j) for j in range(4)) for i in range(len(t))]
+    codes, counts = np.unique([g for _, t, _ in alone for g in grams(t)], return_counts=True)
+    model = quality.KneserNey(codes, counts, len(letters))
+    for d, t, _ in alone:
+        assert got[d].log_perplexity == pytest.approx(-model.log_probability(np.array(grams(t))).mean())
+
+
 def test_grams_of_wide_alphabets():
     text = "".join(chr(0x20000 + k) for k in range(70000)) + "ab"
     a, b, which = quality.grams_of([text, "ab"])

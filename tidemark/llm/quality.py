@@ -18,8 +18,8 @@ the median of |deviation| * sqrt(characters). Both medians are taken over all do
 pass the base rules. Documents above or below the band are rejected.
 
 Defined edge cases: a null or empty text has no words, fails the base rules and has a null
-perplexity; a null lang is the language "und"; languages beyond the MAX_LANGUAGES most frequent
-are pooled in "und"; an empty table gives no rows; repeated rows get equal results.
+perplexity; a null lang is the language "und"; a language of one document has a model and a
+band of that document alone; an empty table gives no rows; repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import mix, stored, texts_of
 
-ORDER, MAX_LANGUAGES = 4, 32
+ORDER = 4
 #: Symbols of the in-memory model that the tests hold probabilities() against.
 SYMBOLS = 48
 #: Characters of a block, and of all blocks that a task holds at a time; any numbers give the same results.
@@ -310,16 +310,9 @@ def bands(measured: DataFrame) -> DataFrame:
     return strays.groupBy("lang").agg(F.first("center").alias("center"), F.percentile_approx("stray", 0.5, 10_000).alias("spread"))
 
 
-def with_languages(docs: DataFrame) -> DataFrame:
-    """doc_id, text, lang: null and rare languages are "und"."""
-    docs = docs.select("doc_id", "text", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"))
-    top = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    return docs.withColumn("lang", F.when(F.col("lang").isin([r["lang"] for r in top]), F.col("lang")).otherwise(F.lit(UNKNOWN)))
-
-
 def judge(docs: DataFrame, width: float = WIDTH, least: float = LEAST) -> DataFrame:
     """The contract's columns, with lang, log_perplexity and the band."""
-    docs = with_languages(docs)
+    docs = docs.select("doc_id", "text", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"))
     blocks = stored(docs.mapInArrow(_cut, _BLOCK_SCHEMA), "blocks")
     grams = blocks.select("block", "lang", F.posexplode(F.arrays_zip("a", "b", "k")).alias("at", "g")).select("block", "lang", "at", "g.a", "g.b", "g.k")
     counts = stored(grams.groupBy("lang", "a", "b").agg(F.sum("k").alias("n")), "gram-counts")
