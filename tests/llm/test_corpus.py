@@ -90,13 +90,26 @@ def test_line_runs_levels(spark):
 
 
 def test_near_duplicates_match_all_pairs(docs, rows, empty):
-    named = [(d, t) for d, t in rows if d is not None]
-    got = {r.doc_id: r.class_id for r in near_dup.classes(docs).collect() if r.doc_id is not None}
-    assert got == near_dup.reference(named)
+    got = near_dup.classes(docs).collect()
+    want = near_dup.reference(rows)
+    assert ordered((r.doc_id, r.class_id) for r in got) == ordered((d, c) for (d, _), c in zip(rows, want, strict=True))
     assert near_dup.classes(empty).count() == 0
     kept = near_dup.firsts(docs)
     assert kept.columns == docs.columns
-    assert kept.where("doc_id is not null").count() == len({*got.values()})
+    wordless = [d for d, t in rows if not (t or "").split()]
+    assert ordered((r.doc_id,) for r in kept.collect()) == ordered((d,) for d in [*{c for (d, t), c in zip(rows, want, strict=True) if (t or "").split()}, *wordless])
+
+
+def test_near_duplicates_with_equal_ids(spark):
+    """doc_id is no row's identity: different texts of one id are linked by their texts only."""
+    rng = random.Random(2)
+    x, y, z = (words(rng, 40) for _ in range(3))
+    rows = [(1, x), (1, y), (2, y), (3, x), (4, z), (4, z), (None, z), (None, words(rng, 30)), (None, None), (7, ""), (7, "")]
+    df = spark.createDataFrame([(*r, k, "a") for k, r in enumerate(rows)], "doc_id long, text string, `row key` int, times string")
+    got = ordered((r.doc_id, r.class_id) for r in near_dup.classes(df).collect())
+    assert got == ordered(zip([d for d, _ in rows], near_dup.reference(rows), strict=True))
+    kept = [(r.doc_id, r.text) for r in near_dup.firsts(df).collect()]
+    assert ordered(kept) == ordered([(1, x), (1, y), (4, z), rows[7], rows[8], (7, ""), (7, "")])
 
 
 def test_near_duplicate_star(spark):
@@ -112,7 +125,7 @@ def test_near_duplicate_star(spark):
     texts.append(" ".join(base))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in near_dup.classes(df, small=4).collect()}
-    assert got == near_dup.reference(list(enumerate(texts)))
+    assert got == dict(enumerate(near_dup.reference(list(enumerate(texts)))))
 
 
 @pytest.mark.parametrize("rounds", [0, 4])
@@ -128,7 +141,7 @@ def test_near_duplicate_links_away_from_hubs(spark, rounds):
             copy[rng.randrange(150, 190)] = words(rng, 1) + "q"
             texts.append(" ".join(copy))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    want = near_dup.reference(list(enumerate(texts)))
+    want = dict(enumerate(near_dup.reference(list(enumerate(texts)))))
     assert len({*want.values()}) == 12
     got = {r.doc_id: r.class_id for r in near_dup.classes(df, small=2, rounds=rounds).collect()}
     assert got == want
@@ -142,7 +155,7 @@ def test_near_duplicates_with_repeated_lines(spark):
         base, line = words(rng, 64), words(rng, 10)
         texts += [base + (" " + line if k % 2 else ""), base + (" " + line) * 50]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    want = near_dup.reference(list(enumerate(texts)))
+    want = dict(enumerate(near_dup.reference(list(enumerate(texts)))))
     assert len({*want.values()}) == 120
     assert {r.doc_id: r.class_id for r in near_dup.classes(df).collect()} == want
 
@@ -425,7 +438,7 @@ def test_pipeline(spark, tmp_path, docs):
         if name == "language_id":
             state = {d: t for d, t in state.items() if t and any(c.isalpha() for c in t)}
         elif name == "near_duplicates":
-            first = near_dup.reference(list(state.items()))
+            first = dict(zip(state, near_dup.reference(list(state.items())), strict=True))
             state = {d: t for d, t in state.items() if first[d] == d}
         elif name in ("line_dedup", "suffix_dedup"):
             reference = (line_dedup if name == "line_dedup" else suffix_dedup).reference(list(state.items()))

@@ -49,6 +49,14 @@ def discard(*frames: DataFrame) -> None:
             target.getFileSystem(conf).delete(target, True)
 
 
+def free_name(columns: Iterable[str], base: str) -> str:
+    """A column name that none of these columns has, whatever their case."""
+    taken, name = {x.lower() for x in columns}, base
+    while name.lower() in taken:
+        name += " "
+    return name
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     """A string column as Python strings; null is the empty text."""
     return [x or "" for x in batch.column(name).to_pylist()]

@@ -25,10 +25,15 @@ Verification. Every candidate pair is checked by the Jaccard similarity of its t
 shingle sets; links are the pairs at or above the threshold, classes are their connected
 components, found by label propagation with pointer jumping.
 
+Vertices are the distinct texts (equal words in lower case), numbered in a written table;
+doc_id is no row's identity. Rows with equal ids and different texts are linked or not by
+their texts like any others.
+
 Defined edge cases: a text with less than five words is one shingle; texts without words are
-never linked; equal texts are one class, whatever their length; rows with equal ids and equal
-texts are one member; a null doc_id gets the class of its equal texts, or null; an empty
-table gives no rows; only doc_id and text are read.
+never linked, their class is their own id; equal texts are one class, whatever their length;
+a row with a null doc_id is a member like any other, and a class of such rows only has a null
+class_id; of rows with equal ids and equal texts firsts() keeps one, and of a class without
+any id one row; an empty table gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, mix, slices, stored, texts_of
+from tidemark.llm.common import discard, free_name, mix, slices, stored, texts_of
 
 WORDS, THRESHOLD = 5, 0.8
 #: A pair at the threshold agrees in no unit-weight band with probability (1 - 0.8**5) ** 24 = 0.00007.
@@ -52,6 +57,8 @@ ROUNDS = 4
 #: 64-bit words of the parity bitmap of a shingle set; any number gives the same classes.
 PARITY_WORDS = 8
 _HELD = 400_000
+#: A character that str.split() doesn't split at, so a word, in the regular expressions of Java.
+_WORD = "[^\\x09-\\x0d\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 
 
 class _WordHashes(dict):
@@ -153,8 +160,8 @@ def _sign(bands: int, rows: int, width: int):
                 signed = lambda x: x - (1 << 64) * (x >> 63)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(flat.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), pa.array([signed(x >> 64) for x in ks], pa.int64()), pa.array([signed(x & (1 << 64) - 1) for x in ks], pa.int64()), pa.array(sizes, pa.int64()), lists],
-                    ["doc_id", "k1", "k2", "n_words", "bands"],
+                    [batch.column("doc_id").slice(a, b - a), batch.column("row_key").slice(a, b - a), pa.array([signed(x >> 64) for x in ks], pa.int64()), pa.array([signed(x & (1 << 64) - 1) for x in ks], pa.int64()), pa.array(sizes, pa.int64()), lists],
+                    ["doc_id", "row_key", "k1", "k2", "n_words", "bands"],
                 )
 
     return run
@@ -169,7 +176,7 @@ def _filter_of(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 
     It is of a fixed size. As it fills up it passes more documents on; it never drops one.
     """
-    at = ids.select(F.explode(F.array(*_places("id", bits))).alias("p"))
+    at = ids.select(F.explode(F.array(*_places(bits))).alias("p"))
     word, bit = F.shiftright("p", 6), F.expr("shiftleft(1L, cast(p & 63 as int))")
     rows = at.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
     out = np.zeros(bits // 64, np.int64)
@@ -177,8 +184,8 @@ def _filter_of(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _places(column: str, bits: int) -> list:
-    return [F.pmod(F.xxhash64(F.lit(k), column), F.lit(bits)).cast("long").alias(f"p{k}") for k in range(2)]
+def _places(bits: int) -> list:
+    return [F.pmod(F.xxhash64(F.lit(k), "doc_id", "row_key"), F.lit(bits)).cast("long").alias(f"p{k}") for k in range(2)]
 
 
 def _sets(width: int, shipped):
@@ -195,9 +202,8 @@ def _sets(width: int, shipped):
                 raw, doc, _ = shingles_of(texts[a:b], table, width)
                 s, d, _ = weighted(raw, doc)
                 cuts = np.searchsorted(d, np.arange(b - a + 1))
-                short = (s >> np.uint64(32)).astype(np.uint32)
-                sets = [np.unique(short[x:y]).tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+                sets = [s[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("row_key").slice(a, b - a), pa.array(sets, pa.binary())], ["doc_id", "row_key", "shingles"])
 
     return run
 
@@ -207,7 +213,7 @@ def _verify(threshold: float):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 small, large = sorted((len(x), len(y)))
                 if small < threshold * large:
                     keep.append(False)
@@ -253,11 +259,11 @@ def _pairs_of(members: DataFrame, small: int) -> DataFrame:
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each shingle of each set, a bounded number of sets at a time."""
     for batch in batches:
-        sets = [np.frombuffer(x, np.uint32) for x in batch.column("shingles").to_pylist()]
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
         for a, b in slices((len(x) for x in sets), 1 << 18):
             sizes = [len(x) for x in sets[a:b]]
             at = pa.array(np.repeat(np.arange(a, b), sizes))
-            flat = pa.array(np.concatenate(sets[a:b]).astype(np.int64))
+            flat = pa.array(np.concatenate(sets[a:b]))
             yield pa.RecordBatch.from_arrays([batch.column("id").take(at), flat], ["id", "shingle"])
 
 
@@ -278,7 +284,7 @@ def _prefix_pairs(apart: DataFrame, sets: DataFrame, threshold: float, words: in
     least as many shingles as their bitmaps differ in bits. No bound rules out a pair at the
     threshold.
     """
-    rows = apart.join(sets.withColumnRenamed("doc_id", "id"), "id").select("id", "shingles")
+    rows = apart.join(sets, "id").select("id", "shingles")
     rows = stored(rows.mapInArrow(_shingle_rows, "id long, shingle long"), "apart-shingles")
     ordered = rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")), "shingle")
     # The array is one text's own set.
@@ -302,75 +308,131 @@ def _prefix_pairs(apart: DataFrame, sets: DataFrame, threshold: float, words: in
     return a.join(b, "shingle").where(near).select("a", "b").distinct()
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, class_id, is_first) for each row of docs: class_id is the smallest doc_id of its class."""
-    docs = docs.select("doc_id", "text")
-    signed = stored(docs.mapInArrow(_sign(bands, rows, width), "doc_id long, k1 long, k2 long, n_words long, bands array<long>"), "signatures")
-    firsts = stored(signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.max("n_words").alias("n_words")), "texts")
-    # One row a text. The semi join is on the id too, so equal texts do not pile up on one key.
-    one = signed.join(firsts.where("n_words > 0").select("k1", "k2", F.col("id").alias("doc_id")), ["k1", "k2", "doc_id"], "left_semi")
-    exploded = one.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket")).distinct()
+def _row_key():
+    """Identifies a row among those of equal ids: a hash of its raw text."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _order():
+    """Its least value is the row of smallest id; those without an id are last."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+
+
+def _signatures(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
+    keyed = docs.select("doc_id", "text", _row_key().alias("row_key"))
+    return stored(keyed.mapInArrow(_sign(bands, rows, width), "doc_id long, row_key long, k1 long, k2 long, n_words long, bands array<long>"), "signatures")
+
+
+def _vertices(signed: DataFrame) -> DataFrame:
+    """(id, k1, k2, doc_id, row_key, n_words): one row a distinct text, with its first row. The numbers are fixed as they are written."""
+    first = signed.groupBy("k1", "k2").agg(F.min(_order()).alias("first"), F.max("n_words").alias("n_words"))
+    return stored(first.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "first.doc_id", "first.row_key", "n_words"), "texts")
+
+
+def _components_of(docs: DataFrame, texts: DataFrame, signed: DataFrame, threshold: float, width: int, small: int, rounds: int) -> DataFrame:
+    """(node, label) of the texts that have links."""
+    # One row a text. The semi join is on the first row too, so equal texts do not pile up on one key.
+    one = texts.where("n_words > 0").select("k1", "k2", "row_key", F.col("doc_id").alias("of"), "id")
+    one = signed.join(one, (signed.k1 == one.k1) & (signed.k2 == one.k2) & (signed.row_key == one.row_key) & signed.doc_id.eqNullSafe(one.of))
+    exploded = one.select("id", F.explode("bands").alias("bucket")).distinct()
     shared = exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stored(exploded.join(shared, "bucket"), "buckets")
-    mates = members.groupBy("id").agg(F.sum("n").alias("mates"))
+    buckets = members = stored(exploded.join(shared, "bucket"), "buckets")
+    mates = stored(members.groupBy("id").agg(F.sum("n").alias("mates")), "mates")
     members = members.join(mates, "id").select("bucket", "id", "mates", "n")
-    # Texts stay where they are: only the shingle sets of documents with candidates are shuffled.
-    shipped = docs.sparkSession.sparkContext.broadcast(_filter_of(mates.select("id")))
-    with_places = docs.where("doc_id is not null").select("doc_id", "text", *_places("doc_id", FILTER_BITS))
-    every = with_places.mapInArrow(_sets(width, shipped), "doc_id long, shingles binary")
-    sets = stored(every.join(mates.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    # Texts stay where they are: only the shingle sets of rows with candidates are shuffled.
+    with_mates = texts.join(mates.select("id"), "id", "left_semi").select("id", "doc_id", "row_key")
+    shipped = docs.sparkSession.sparkContext.broadcast(_filter_of(with_mates))
+    with_places = docs.select("doc_id", "text", _row_key().alias("row_key")).withColumns({f"p{k}": x for k, x in enumerate(_places(FILTER_BITS))})
+    every = with_places.mapInArrow(_sets(width, shipped), "doc_id long, row_key long, shingles binary")
+    of = with_mates.withColumnRenamed("doc_id", "of").withColumnRenamed("row_key", "of_key")
+    # Repeated rows give the same set again.
+    sets = every.join(of, every.doc_id.eqNullSafe(of.of) & (every.row_key == of.of_key)).groupBy("id").agg(F.first("shingles").alias("shingles"))
+    sets = stored(sets, "shingle-sets")
+    done = [buckets, mates, sets]  # what nothing reads once the labels are written
+
+    def kept(df: DataFrame, what: str) -> DataFrame:
+        done.append(out := stored(df, what))
+        return out
 
     def verified(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
-        with_b = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
-        return stored(with_b.select("a", "b", "set_a", "set_b").mapInArrow(_verify(threshold), "a long, b long"), "verified")
+        with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
+        with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
+        return kept(with_b.select("a", "b", "set_a", "set_b").mapInArrow(_verify(threshold), "a long, b long"), "verified")
 
     def labelled(labels: DataFrame) -> DataFrame:
         large = members.where(F.col("n") > small).join(labels.withColumnRenamed("node", "id"), "id", "left")
         return large.withColumn("label", F.coalesce("label", "id"))
 
-    tried = stored(_pairs_of(members, small), "pairs")
+    tried = kept(_pairs_of(members, small), "pairs")
     links = verified(tried)
     labels = components(links)
     for _ in range(rounds):
         # Of each large bucket, the member of each component that has most mates.
         apart = labelled(labels).groupBy("bucket", "label").agg(F.max_by("id", F.struct("mates", -F.col("id"))).alias("id"), F.max("mates").alias("mates"))
         pairs = _pairs_of(apart.select("bucket", "id", "mates"), small).join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
+        pairs = kept(pairs, "pairs")
         if not pairs.limit(1).count():
             break
         more = verified(pairs)
         tried, links = tried.unionByName(pairs), links.unionByName(more)
         if not more.limit(1).count():
             break
+        done.append(labels)
         labels = components(links)
-    rest = stored(_apart(labelled(labels)), "apart")
+    rest = kept(_apart(labelled(labels)), "apart")
     if rest.limit(1).count():
-        more = verified(stored(_prefix_pairs(rest, sets, threshold).join(tried, ["a", "b"], "left_anti"), "pairs"))
+        more = verified(kept(_prefix_pairs(rest, sets, threshold).join(tried, ["a", "b"], "left_anti"), "pairs"))
         if more.limit(1).count():
+            done.append(labels)
             labels = components(links.unionByName(more))
-    named = firsts.join(labels.withColumnRenamed("node", "id"), "id", "left").select("k1", "k2", "n_words", F.coalesce("label", "id").alias("class_id"))
-    out = signed.select("doc_id", "k1", "k2").join(named, ["k1", "k2"])
-    class_id = F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", class_id.alias("class_id")).withColumn("is_first", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    discard(*done)
+    return labels
 
 
-def firsts(docs: DataFrame, **options) -> DataFrame:
-    """docs with all their columns: of each class the row with its smallest doc_id.
+def _classified(docs: DataFrame, threshold: float, width: int, bands: int, rows: int, small: int, rounds: int) -> DataFrame:
+    """(doc_id, row_key, n_words, label, class_id, first): each row with its class, and whether it is the row that stays."""
+    docs = docs.select("doc_id", "text")
+    signed = _signatures(docs, bands, rows, width)
+    texts = _vertices(signed)
+    labels = _components_of(docs, texts, signed, threshold, width, small, rounds)
+    named = texts.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    first = named.groupBy("label").agg(F.min(_order()).alias("first"))
+    named = named.join(first, "label").select("k1", "k2", F.col("n_words").alias("words"), "label", "first")
+    out = signed.select("doc_id", "row_key", "n_words", "k1", "k2").join(named, ["k1", "k2"])
+    empty = F.col("n_words") == 0
+    class_id = F.when(empty, F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    is_first = empty | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("row_key") == F.col("first.row_key")))
+    return out.select("doc_id", "row_key", "n_words", class_id.alias("class_id"), is_first.alias("first"))
 
-    Rows without an id can't name a class and stay.
-    """
-    keep = classes(docs, **options).where("is_first and doc_id is not null").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, class_id, is_first) for each row of docs: class_id is the smallest doc_id of its class."""
+    out = _classified(docs, threshold, width, bands, rows, small, rounds)
+    return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_first"))
 
 
-def reference(rows: list[tuple], threshold: float = THRESHOLD, width: int = WORDS) -> dict[int, int]:
-    """Brute force for tests: doc_id -> class id over all pairs of texts."""
-    texts: dict[tuple, list[int]] = {}
-    for d, t in rows:
-        texts.setdefault(tuple((t or "").lower().split()), []).append(d)
-    keys = [k for k in texts if k]
+def firsts(docs: DataFrame, threshold: float = THRESHOLD, width: int = WORDS, bands: int = BANDS, rows: int = ROWS, small: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
+    """docs with all their columns: of each class one row, that of its smallest doc_id.
+
+    Rows without words are no copies of each other and stay.
+    """
+    found = _classified(docs, threshold, width, bands, rows, small, rounds)
+    of = found.where("first and n_words > 0").groupBy(F.col("doc_id").alias("of"), F.col("row_key").alias("of_key"))
+    key, words, times = (free_name(docs.columns, x) for x in ("row key", "has words", "times"))
+    keep = stored(of.agg(F.count(F.lit(1)).alias(times)), "firsts").alias("keep")
+    keyed = docs.withColumns({key: _row_key(), words: F.coalesce(F.col("text"), F.lit("")).rlike(_WORD)})
+    same = F.col("doc_id").eqNullSafe(F.col("keep.of")) & (F.col(key) == F.col("keep.of_key"))
+    once, again = (keyed.where(F.col(words)).join(keep, same).where(x) for x in (F.col(times) == 1, F.col(times) > 1))
+    # Only repeated rows are shuffled to leave one of each.
+    rows_of = [x.select(*keyed.columns) for x in (once, again)]
+    return rows_of[0].unionByName(rows_of[1].dropDuplicates(["doc_id", key])).unionByName(keyed.where(~F.col(words))).select(*docs.columns)
+
+
+def reference(rows: list[tuple], threshold: float = THRESHOLD, width: int = WORDS) -> list[int | None]:
+    """Brute force for tests: the class id of each row (doc_id, text), over all pairs of texts."""
+    words = [tuple((t or "").lower().split()) for _, t in rows]
+    keys = [k for k in dict.fromkeys(words) if k]
+    number = {k: i for i, k in enumerate(keys)}
     sets = [{k[i : i + width] for i in range(max(1, len(k) - width + 1))} for k in keys]
     parent = list(range(len(keys)))
 
@@ -385,7 +447,7 @@ def reference(rows: list[tuple], threshold: float = THRESHOLD, width: int = WORD
             if both and both >= threshold * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
                 parent[root(i)] = root(j)
     least: dict[int, int] = {}
-    for i, k in enumerate(keys):
-        least[root(i)] = min(least.get(root(i), texts[k][0]), *texts[k])
-    out = {d: least[root(i)] for i, k in enumerate(keys) for d in texts[k]}
-    return out | {d: d for d in texts.get((), [])}
+    for (d, _), k in zip(rows, words, strict=True):
+        if k and d is not None:
+            least[root(number[k])] = min(least.get(root(number[k]), d), d)
+    return [least.get(root(number[k])) if k else d for (d, _), k in zip(rows, words, strict=True)]
