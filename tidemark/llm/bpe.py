@@ -19,16 +19,15 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
-from tokenizers import Tokenizer, models, pre_tokenizers
+from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from tidemark.llm.common import SPACES, slices, texts_of
+from tidemark.llm.common import SPACES, slices, texts_of, tokenizer_file
 
 #: Entries that a table may hold before it starts anew; bounds the memory of a Python worker.
 WORDS_HELD = 400_000
@@ -47,6 +46,29 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+@cache
+def class_ranges(name: str) -> str:
+    """The code points that the tokenizers library counts as \\p{L}, \\p{N} or \\s, as ranges of a regular expression.
+
+    The library is asked: other modules follow other versions of Unicode.
+    """
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    found = pre_tokenizers.Split(Regex(f"{name}+"), "removed", invert=True).pre_tokenize_str(every)
+    return "".join(f"{re.escape(x[0])}-{re.escape(x[-1])}" for x, _ in found)
+
+
+def compiled(pattern: str) -> re.Pattern:
+    """A pattern of the library with its classes written out; brackets are not nested there."""
+    out, inside = [], False
+    for part in re.split(r"(\\p\{L\}|\\p\{N\}|\\s|[\[\]])", pattern):
+        if part in (r"\p{L}", r"\p{N}", r"\s"):
+            part = class_ranges(part) if inside else f"[{class_ranges(part)}]"
+        elif part in ("[", "]"):
+            inside = part == "["
+        out.append(part)
+    return re.compile("".join(out))
+
+
 class ForcedBoundaryBPE:
     """Encoder and decoder of a tokenizers JSON file with a byte-level BPE with word ends."""
 
@@ -65,7 +87,9 @@ class ForcedBoundaryBPE:
         self.digits = {i: str(i) for i in self.token}
         self.joined = self._joined_pairs(vocab)
         self.translation = {b: c for b, c in enumerate(self.alphabet) if b not in (10, 32)}
-        self.pretoken = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.pretoken = compiled(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.letters = compiled(r"[\p{L}]+").fullmatch
+        self.normaliser = Tokenizer.from_file(path).normalizer
         self.is_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self._chunks = re.compile(f"[^{SPACES}]+").findall
         self._odd = re.compile("[\x1c-\x1f]").search
@@ -114,7 +138,7 @@ class ForcedBoundaryBPE:
         counts: list[int] = []
         pretokens: list[str] = []
         for chunk in chunks:
-            if chunk.isalpha():
+            if self.letters(chunk):
                 pretokens.append(chunk)
                 counts.append(1)
             else:
@@ -144,12 +168,9 @@ class ForcedBoundaryBPE:
         """Runs of non-space characters. str.split() also splits at four control characters that are no spaces here."""
         return self._chunks(text) if self._odd(text) else text.split()
 
-    @staticmethod
-    def normalise(text: str) -> str:
-        """NFC, then lower case character by character (no final sigma); spaces only separate."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
+    def normalise(self, text: str) -> str:
+        """The library's normaliser (NFC, lower case); ASCII needs lower case only, as spaces just separate."""
+        return text.lower() if text.isascii() else self.normaliser.normalize_str(text)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
@@ -207,7 +228,7 @@ _LOADED: dict[str, ForcedBoundaryBPE] = {}
 def loaded(path: str) -> ForcedBoundaryBPE:
     """The encoder of a file, once in each Python process."""
     if path not in _LOADED:
-        _LOADED[path] = ForcedBoundaryBPE(path)
+        _LOADED[path] = ForcedBoundaryBPE(tokenizer_file(path))
     return _LOADED[path]
 
 

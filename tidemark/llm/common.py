@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -49,6 +50,15 @@ def discard(*frames: DataFrame) -> None:
             target.getFileSystem(conf).delete(target, True)
 
 
+def tokenizer_file(path: str) -> str:
+    """A tokenizer's file as this process finds it: an executor may have the package elsewhere than the driver."""
+    if os.path.exists(path):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(os.path.basename(path))
+
+
 def free_name(columns: Iterable[str], base: str) -> str:
     """A column name that none of these columns has, whatever their case."""
     taken, name = {x.lower() for x in columns}, base
