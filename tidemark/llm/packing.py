@@ -1,17 +1,20 @@
 """Packing token pieces into sequences: first-fit decreasing over a tournament tree.
 
-Documents are dealt to randomised groups by a hash of their id (the number of groups follows
-from the number of rows, so a group has a bounded number of documents), and every group is
-packed on its own. Only (doc_id, start, length, checksum) rows are shuffled, never texts or
-ids: checksums are taken where the text is tokenized.
+Pieces of documents are dealt to randomised groups by a hash of the piece and of its place in
+the input, so that neither a long document nor rows without an id or with equal ids pile up in
+one group. The number of groups follows from the number of rows and bytes (a document has one
+piece more than full ones, and those are at most its bytes over the sequence length), so a
+group is bounded. Every group is packed on its own. Only (doc_id, start, length, checksum)
+rows are shuffled, never texts or ids: checksums are taken where the text is tokenized.
 
 A document longer than a sequence is cut at multiples of the sequence length; whole pieces
 fill a sequence each. The rest goes first-fit decreasing: the tree's leaves are the free
 places of the bins, an inner node is the larger of its children, and the first bin that
 holds a piece is found by one descent.
 
-Defined edge cases: a null or empty text is the single end id; documents with equal ids are
-packed each on its own; an empty table gives no rows; extra columns are not read.
+Defined edge cases: a null or empty text is the single end id; a null doc_id stays null;
+documents with equal ids are packed each on its own, repeated rows too; an empty table gives
+no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -29,11 +32,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm.bpe import byte_alphabet
-from tidemark.llm.common import SPACES, slices, texts_of
+from tidemark.llm.common import SPACES, slices, texts_of, tokenizer_file
 
 SEQUENCE = 2048
 END_ID = 1
-#: Mean number of documents in a group.
+#: Mean number of documents in a group, and at most so many full sequences on the mean.
 GROUP_DOCS = 4096
 #: Fixed: the regular expression that byte-level tokenizers split texts by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -162,28 +165,33 @@ _LOADED: dict[str, ChunkEncoder] = {}
 def _pieces(path: str, length: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _LOADED:
-            _LOADED[path] = ChunkEncoder(path)
+            _LOADED[path] = ChunkEncoder(tokenizer_file(path))
         encoder = _LOADED[path]
         end = end_id.to_bytes(4, "little")
+        number = 0
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             texts = texts_of(batch, "text")
-            rows: tuple[list, ...] = [], [], [], [], []
+            rows: tuple[list, ...] = [], [], [], [], [], []
             for a, b in slices((len(x) for x in texts), 1 << 20):
                 for doc, data in zip(ids[a:b], encoder.encode(texts[a:b]), strict=True):
                     data += end
                     for at in range(0, len(data), 4 * length):
                         piece = data[at : at + 4 * length]
-                        for column, v in zip(rows, (doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4), strict=True):
+                        for column, v in zip(rows, (doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(data) // 4, number), strict=True):
                             column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                        number += 1
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "place"])
 
     return run
 
 
 def pieces(docs: DataFrame, path: str, length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens): every document's ids, cut at multiples of length."""
-    return docs.select("doc_id", "text").mapInArrow(_pieces(path, length, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    """(doc_id, start, length, ids_crc32, doc_tokens, place): every document's ids, cut at multiples of length.
+
+    place is the number of the piece in its partition of the input.
+    """
+    return docs.select("doc_id", "text").mapInArrow(_pieces(path, length, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long")
 
 
 def _pack(length: int):
@@ -200,14 +208,15 @@ def _pack(length: int):
     return run
 
 
-def pack(rows: DataFrame, n_docs: int, length: int = SEQUENCE, group_docs: int = GROUP_DOCS, seed: int = 20) -> DataFrame:
+def pack(rows: DataFrame, groups: int, length: int = SEQUENCE, seed: int = 20) -> DataFrame:
     """pieces() with sequence_id (unique over all groups) and offset."""
-    groups = max(1, -(-n_docs // group_docs))
-    dealt = rows.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(groups)))
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", "place"), F.lit(groups))).drop("place")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return dealt.groupBy("group").applyInArrow(_pack(length), schema)
 
 
 def pack_documents(docs: DataFrame, path: str, length: int = SEQUENCE, end_id: int = END_ID, group_docs: int = GROUP_DOCS) -> DataFrame:
-    """The contract's columns; the count of rows that sets the number of groups reads Parquet footers only."""
-    return pack(pieces(docs, path, length, end_id), docs.count(), length, group_docs)
+    """The contract's columns. A token has a byte at least, so the bytes bound the number of full pieces."""
+    n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    groups = max(1, -(-n // group_docs) + (size or 0) // (length * group_docs))
+    return pack(pieces(docs, path, length, end_id), groups, length)
