@@ -6,40 +6,60 @@ speaks, and the word's score is their mean, less a penalty for every order given
 document's score is the sum over its words; the probability is the softmax of the sum,
 damped by the document's length.
 
-The model is fitted on a bounded sample of the labelled rows (``sample_docs`` documents at
-most, chosen by a hash of the id, so that the same documents are chosen however the table is
-partitioned) and keeps at most ``max_words`` words and ``max_grams`` n-grams a language. It is
-shipped to the executors once.
+The model is fitted on a bounded sample of the labelled rows (about ``sample_docs`` documents
+and ``sample_chars`` characters, chosen by a hash of id and text, so that the same documents are
+chosen however the table is partitioned) and holds every word and every n-gram of it. These
+two bounds are what bounds the model that is shipped to the executors once.
+
+Letters are the code points of the Unicode category L; ½, ² or ① are none.
 
 Defined edge cases: a null text, or one without a letter, is ``und`` with score 0; a null
 lang is not learned from; without any labelled row every document is ``und``; ties between
-languages go to the first in alphabetical order; repeated rows get equal predictions; only
-doc_id, text and lang are read, and lang never by the prediction.
+languages go to the first in alphabetical order; a null doc_id is neither held out nor learned
+from; repeated rows get equal predictions; whole texts are read, however long; only doc_id,
+text and lang are read, and lang never by the prediction.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, slices, stored, texts_of
+from tidemark.llm.common import slices, texts_of
 
 UNKNOWN = "und"
-SAMPLE_DOCS, MAX_WORDS, MAX_GRAMS = 4000, 10_000, 10_000
+#: The sample that is learned from: about so many documents and characters over all languages.
+SAMPLE_DOCS, SAMPLE_CHARS = 2000, 8_000_000
 ORDERS = (4, 3, 2, 1)
+#: Up to so many rows, one a language, the limits are broadcast.
+BROADCAST_LANGUAGES = 10_000
 #: Words that a worker remembers the scores of.
 WORDS_HELD = 600_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case. The pattern also takes numbers that are no digits, which isalpha() tells apart."""
+    found = _WORD.findall(text.lower())
+    if text.isascii():
+        return found
+    out = []
+    for word in found:
+        if word.isalpha():
+            out.append(word)
+        else:
+            out += "".join([c if c.isalpha() else " " for c in word]).split()
+    return out
+
+
 def units(word: str, order: int) -> list[str]:
     """The n-grams of a word with its ends marked."""
     marked = f"^{word}$"
@@ -55,29 +75,36 @@ class WordFirstModel:
         self.orders = sorted({n for _, n in counts if n}, reverse=True)
         self.words = self._table(counts, 0)
         self.grams = {n: self._table(counts, n) for n in self.orders}
-        self.floor = min([float(t.min()) for table in [self.words, *self.grams.values()] for t in table.values()], default=0.0) - 1
+        self.floor = min([float(logs.min()) for _, logs in [self.words, *self.grams.values()] if logs.size], default=0.0) - 1
         self._seen: dict[str, int] = {}
         self._scores = np.zeros((1024, len(languages)))
 
-    def _table(self, counts, order: int) -> dict[str, np.ndarray]:
-        all_units = sorted(set().union(*(counts.get((x, order), {}) for x in self.languages))) if self.languages else []
-        if not all_units:
-            return {}
-        n = np.array([[counts.get((x, order), {}).get(u, 0) for x in self.languages] for u in all_units], float)
-        logs = np.log((n + 0.5) / (n.sum(0) + 0.5 * len(all_units)))
-        return dict(zip(all_units, logs, strict=True))
+    def _table(self, counts, order: int) -> tuple[dict[str, int], np.ndarray]:
+        """The row of each unit, and rows of log frequencies by language."""
+        row: dict[str, int] = {}
+        for x in self.languages:
+            for u in counts.get((x, order), {}):
+                row.setdefault(u, len(row))
+        n = np.zeros((len(row), len(self.languages)), np.float32)
+        for k, x in enumerate(self.languages):
+            for u, c in counts.get((x, order), {}).items():
+                n[row[u], k] = c
+        logs = np.log((n + 0.5) / (n.sum(0, dtype=np.float64) + 0.5 * len(row))).astype(np.float32) if len(row) else n
+        return row, logs
 
     def word_score(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        return known if known is not None else self.backoff(word)
+        row, logs = self.words
+        known = row.get(word)
+        return logs[known] if known is not None else self.backoff(word)
 
     def backoff(self, word: str) -> np.ndarray:
         marked, total, places, at = f"^{word}$", np.zeros(len(self.languages)), 0, 0
         while at < len(marked):
             for back, n in enumerate(self.orders):
-                found = self.grams[n].get(marked[at : at + n]) if at + n <= len(marked) else None
+                row, logs = self.grams[n]
+                found = row.get(marked[at : at + n]) if at + n <= len(marked) else None
                 if found is not None:
-                    total = total + found - back * 0.5
+                    total = total + logs[found] - back * 0.5
                     at += max(1, n - 1)
                     break
             else:
@@ -94,7 +121,7 @@ class WordFirstModel:
         return k
 
     def predict(self, text: str) -> tuple[str, float]:
-        words = _WORD.findall(text.lower())
+        words = words_of(text)
         if not words or not self.languages:
             return UNKNOWN, 0.0
         if len(self._seen) > WORDS_HELD:
@@ -115,7 +142,7 @@ def _count(orders: tuple[int, ...]):
             langs, texts = batch.column("lang").to_pylist(), texts_of(batch, "text")
             words: dict[str, Counter] = {}
             for lang, text in zip(langs, texts, strict=True):
-                words.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
+                words.setdefault(lang, Counter()).update(words_of(text))
             for lang, found in words.items():
                 counts[lang, 0] = found
                 for n in orders:
@@ -136,32 +163,29 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2))
 
 
-def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS, orders: tuple[int, ...] = ORDERS) -> WordFirstModel:
-    """A model of the rows (doc_id, text, lang), from at most about sample_docs of them.
+def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS, orders: tuple[int, ...] = ORDERS) -> WordFirstModel:
+    """A model of the rows (doc_id, text, lang), from about sample_docs of them or sample_chars of their characters.
 
     Every language gets an equal share of the sample, so a rare language is learned as well
-    as a common one.
+    as a common one. A sampled document is learned from as a whole.
     """
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    if not sizes:
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    rows = sizes.collect()
+    languages = sorted(r["lang"] for r in rows)
+    if not languages:
         return WordFirstModel([], {})
-    share = max(1, sample_docs // len(sizes))
     scale = 1 << 30
-    limit = F.lit(0)
-    for lang, n in sizes.items():
-        limit = F.when(F.col("lang") == lang, F.lit(min(scale, scale * share // n + 1))).otherwise(limit)
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(scale)) < limit)
-    counts = sample.mapInArrow(_count(orders), "lang string, n int, unit string, k long").groupBy("lang", "n", "unit").agg(F.sum("k").alias("k"))
-    # A unit of one language at the cut must not be missing in the others: units are kept by
-    # their largest count in any language.
-    best = stored(counts.groupBy("n", "unit").agg(F.max("k").alias("most"), F.map_from_entries(F.collect_list(F.struct("lang", "k"))).alias("by")), "language-units")
-    found: dict[tuple[str, int], dict[str, int]] = {(x, n): {} for x in sizes for n in (0, *orders)}
-    tops = [best.where(F.col("n") == n).orderBy(F.desc("most"), "unit").limit((max_words if n == 0 else max_grams) * len(sizes)) for n in (0, *orders)]
-    rows = reduce(DataFrame.unionByName, tops).select("n", "unit", F.explode("by").alias("lang", "k")).toArrow()
-    for n, unit, lang, k in zip(*(rows.column(c).to_pylist() for c in ("n", "unit", "lang", "k")), strict=True):
+    share = lambda r: min(1, sample_docs / len(rows) / r["n"], sample_chars / len(rows) / max(1, r["chars"]))
+    limits = labelled.sparkSession.createDataFrame([(r["lang"], math.ceil(share(r) * scale)) for r in rows], "lang string, limit long")
+    if len(rows) <= BROADCAST_LANGUAGES:
+        limits = F.broadcast(limits)
+    sample = labelled.join(limits, "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < F.col("limit"))
+    counted = sample.select("text", "lang").mapInArrow(_count(orders), "lang string, n int, unit string, k long").groupBy("lang", "n", "unit").agg(F.sum("k").alias("k"))
+    rows = counted.toArrow()  # the sample's own units: bounded as it is
+    found: dict[tuple[str, int], dict[str, int]] = {(x, n): {} for x in languages for n in (0, *orders)}
+    for lang, n, unit, k in sorted(zip(*(rows.column(c).to_pylist() for c in ("lang", "n", "unit", "k")), strict=True)):
         found[lang, n][unit] = k
-    discard(best)
-    return WordFirstModel(sorted(sizes), found)
+    return WordFirstModel(languages, found)
 
 
 def _predict(shipped):
