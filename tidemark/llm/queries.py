@@ -34,7 +34,8 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.media_features(stored(telephony.encode_media(_table(spark, sf_dir, "documents")), "media"))
+    media = telephony.decode_media(telephony.encode_media(_table(spark, sf_dir, "documents")))
+    return telephony.media_features(stored(media, "media"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
