@@ -7,12 +7,17 @@ so that Spark's own commit protocol stores them in any file system; files that
 The salvage reader never gives up on an archive: after a failed check (gzip CRC, version
 line, header, length, block digest) it searches for the next place where a valid gzip
 member or a ``WARC/1.`` line begins, goes on from there, and logs the gap of bytes that it
-skipped.
+skipped. It searches inside members too: one bad record of a member doesn't cost the others,
+and what a damaged member still yields is read as far as it goes.
+
+Records carry all fields that the format asks for. A record's id is derived from its page and
+payload and the date is a parameter, so a task that runs again writes the same bytes.
 
 Defined edge cases: a null html is the empty payload; a null page_id is larger than every
 other, so its record revisits a page with an id where there is one; a repeated row is
 written twice, and both copies of the smallest page_id are responses; an empty table makes
-no archive; a null url is written as ``urn:none``.
+no archive; a null url is written as ``urn:none``; very long pages are one record each. A
+record that is lost or fails its checks in round_trip() makes digest() fail.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,8 +39,12 @@ from tidemark.llm.common import stored
 
 VERSION = b"WARC/1.1\r\n"
 ARCHIVE_BYTES = 4 << 20
+#: When the pages were taken, for tables that don't say.
+DATE = "2000-01-01T00:00:00Z"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r?\n")
+_VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
+_END = re.compile(rb"\r?\n\r?\n")
 _LINE = re.compile(rb"([!#$%&'*+.^_`|~0-9A-Za-z-]+):[ \t]*(.*)")
 
 
@@ -42,20 +52,28 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False) -> bytes:
+def record_id(page_id: int | None, digest: str, revisit: bool) -> str:
+    """A URN that page, payload and kind determine."""
+    return f"<{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{digest}/{revisit}').urn}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False, date: str = DATE) -> bytes:
     """One record, uncompressed. A revisit has the payload's digest and length, not the payload."""
     block = _HTTP if revisit else _HTTP + payload
+    digest = base32_sha1(payload)
     heads = [
         ("WARC-Type", "revisit" if revisit else "response"),
+        ("WARC-Record-ID", record_id(page_id, digest, revisit)),
+        ("WARC-Date", date),
         ("WARC-Target-URI", quote(url, safe="%/:=&?~#+!$,;'@()*[]") if url else "urn:none"),
-        ("WARC-Payload-Digest", "sha1:" + base32_sha1(payload)),
+        ("WARC-Payload-Digest", "sha1:" + digest),
         ("WARC-Block-Digest", "sha1:" + base32_sha1(block)),
         ("Content-Type", "application/http; msgtype=response"),
         ("X-Payload-Length", str(len(payload))),
         ("X-Page-Id", "" if page_id is None else str(page_id)),
     ]
     if revisit:
-        heads += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", "" if refers_to is None else str(refers_to))]
+        heads += [("WARC-Refers-To", record_id(refers_to, digest, False)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-Id", "" if refers_to is None else str(refers_to))]
     heads.append(("Content-Length", str(len(block))))
     return VERSION + "".join(f"{k}: {v}\r\n" for k, v in heads).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -76,7 +94,7 @@ class Salvaged:
 
 def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record at ``at``; ValueError names the check that failed."""
-    m = re.compile(rb"WARC/1\.[01]\r?\n").match(data, at)
+    m = _VERSION.match(data, at)
     if not m:
         raise ValueError("version line")
     heads, pos = {}, m.end()
@@ -99,51 +117,76 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     digest = heads.get("warc-block-digest", "")
     if digest.startswith("sha1:") and digest[5:] != base32_sha1(block):
         raise ValueError("block digest")
-    tail = re.compile(rb"\r?\n\r?\n").match(data, end)
+    tail = _END.match(data, end)
     if not tail:
         raise ValueError("record end")
     return heads, block, tail.end()
 
 
-def _member_at(data: bytes, at: int) -> tuple[bytes, int]:
+def _member_at(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What a gzip member holds, as far as it can be read; its end; what is wrong with it."""
     z, out, pos = zlib.decompressobj(31), [], at
     try:
         while not z.eof and pos < len(data):
             out.append(z.decompress(data[pos : pos + 65536]))
             pos += 65536
     except zlib.error as e:
-        raise ValueError("gzip: " + str(e).split(":")[0]) from None
+        return b"".join(out), at, "gzip: " + str(e).split(":")[0]
     if not z.eof:
-        raise ValueError("truncated member")
-    return b"".join(out), min(pos, len(data)) - len(z.unused_data)
+        return b"".join(out), at, "truncated member"
+    return b"".join(out), min(pos, len(data)) - len(z.unused_data), ""
 
 
-def salvage(data: bytes) -> Salvaged:
-    """Every valid record of an archive, gzipped or plain or mixed, and the gaps between them."""
-    found, at, gap, why = Salvaged(), 0, None, ""
+def _plain_records(data: bytes) -> tuple[list[tuple[dict[str, str], bytes]], list[tuple[int, int, str]]]:
+    """The valid records of decompressed data and the gaps (offset, length, reason) between them."""
+    records, gaps, at = [], [], 0
     while at < len(data):
         try:
-            if data[at : at + 2] == b"\x1f\x8b":
-                plain, end = _member_at(data, at)
-                records, pos = [], 0
-                while pos < len(plain):
-                    heads, block, pos = parse_record(plain, pos)
-                    records.append((at, heads, block))
-                if not records:
-                    raise ValueError("empty member")
+            heads, block, at = parse_record(data, at)
+            records.append((heads, block))
+        except ValueError as e:
+            m = _VERSION.search(data, at + 1)
+            end = m.start() if m else len(data)
+            if gaps and gaps[-1][0] + gaps[-1][1] == at:
+                gaps[-1] = (gaps[-1][0], end - gaps[-1][0], gaps[-1][2])
             else:
+                gaps.append((at, end - at, str(e)))
+            at = end
+    return records, gaps
+
+
+def salvage(data: bytes) -> Salvaged:
+    """Every valid record of an archive, gzipped or plain or mixed, and the gaps between them.
+
+    A gap inside a sound member has the member's offset, its own decompressed length, and its
+    place in the reason.
+    """
+    found, at, gap, why = Salvaged(), 0, None, ""
+    while at < len(data):
+        records, inner = [], []
+        if data[at : at + 2] == b"\x1f\x8b":
+            plain, end, wrong = _member_at(data, at)
+            records, inner = _plain_records(plain)
+            if not wrong and not records:
+                wrong = inner[0][2] if inner else "empty member"
+        else:
+            try:
                 heads, block, end = parse_record(data, at)
-                records = [(at, heads, block)]
-        except ValueError as e:
+                records, wrong = [(heads, block)], ""
+            except ValueError as e:
+                wrong = str(e)
+        # Records of a damaged member have passed their own checks.
+        found.records += [(at, heads, block) for heads, block in records]
+        if wrong:
             if gap is None:
-                gap, why = at, str(e)
+                gap, why = at, wrong
             m = _NEXT.search(data, at + 1)
             at = m.start() if m else len(data)
             continue
         if gap is not None:
             found.gaps.append((gap, at - gap, why))
             gap = None
-        found.records += records
+        found.gaps += [(at, n, f"{reason}, at {k} of the member") for k, n, reason in inner]
         at = end
     if gap is not None:
         found.gaps.append((gap, len(data) - gap, why))
@@ -194,6 +237,7 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = lambda x: int(x) if x else None
     for batch in batches:
+        expected = dict(zip(*(batch.column(c).to_pylist() for c in ("path", "n_records")), strict=True))
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
             rows = {k: [] for k in ("path", "offset", "kind", "page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to", "gap_bytes", "reason")}
 
@@ -202,6 +246,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows[k].append(v)
 
             found = salvage(content or b"")
+            missing = (expected.get(path) or 0) - len(found.records)
             for at, heads, block in found.records:
                 kind = heads.get("warc-type")
                 body = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
@@ -213,13 +258,19 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 put(path, at, kind, number(heads.get("x-page-id")), heads.get("warc-target-uri"), body, size, digest, number(heads.get("x-refers-to-page-id")), None, None)
             for at, n, why in found.gaps:
                 put(path, at, "gap", None, None, None, None, None, None, n, why)
+            if missing > 0:
+                put(path, None, "gap", None, None, None, None, None, None, None, f"{missing} records are missing")
             kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], list(rows))
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """Records and quarantined gaps (kind ``gap``) of archives with columns path and content."""
-    return archives.select("path", "content").mapInArrow(_read, "path string, offset long, kind string, page_id long, url string, payload binary, payload_bytes long, payload_digest string, refers_to long, gap_bytes long, reason string")
+    """Records and quarantined gaps (kind ``gap``) of archives with columns path and content.
+
+    Where there is a column n_records, an archive with fewer gets a gap row that says so.
+    """
+    n_records = F.col("n_records") if "n_records" in archives.columns else F.lit(None).cast("long")
+    return archives.select("path", "content", n_records.alias("n_records")).mapInArrow(_read, "path string, offset long, kind string, page_id long, url string, payload binary, payload_bytes long, payload_digest string, refers_to long, gap_bytes long, reason string")
 
 
 def round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -228,8 +279,10 @@ def round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFram
 
 
 def digest(records: DataFrame) -> DataFrame:
-    """The contract's columns of round_trip()."""
-    return records.where("kind in ('response', 'revisit')").select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.when(F.col("kind") == "revisit", F.col("refers_to")).alias("refers_to"))
+    """The contract's columns of round_trip(); a gap is an error here, as pages would be missing."""
+    lost = F.concat_ws(" ", F.lit("archive"), "path", F.lit("lost records:"), "reason")
+    kind = F.when(F.col("kind") == "gap", F.raise_error(lost).cast("string")).otherwise(F.col("kind"))
+    return records.withColumn("kind", kind).select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), F.when(F.col("kind") == "revisit", F.col("refers_to")).alias("refers_to"))
 
 
 #: DuckDB has no base-32 encoder: five hex digits are four base-32 digits.
