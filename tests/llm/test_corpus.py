@@ -1,10 +1,13 @@
 """The corpus operators against brute force, exact round trips and held-out accuracy, with edge cases."""
 
 import hashlib
+import math
 import os
 import random
 import re
+import unicodedata
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -176,21 +179,16 @@ def test_packing(docs, rows, empty):
     encoder = packing.ChunkEncoder(path)
     for text, got in zip(odd, encoder.encode(odd), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
-    found = packing.pack_documents(docs.where("doc_id is not null").dropDuplicates(["doc_id"]), path, length=64, group_docs=16).collect()
-    by, sequences = {}, {}
+    found = packing.pack_documents(docs, path, length=64, group_docs=16).collect()
+    sequences, want = {}, []
     for r in found:
-        by.setdefault(r.doc_id, []).append(r)
         sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    for d, t in dict(rows).items():
-        if d is None:
-            continue
-        ids, at = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], 0
-        for r in sorted(by[d], key=lambda r: r.start):
-            piece = ids[at : at + r.length]
-            assert r.start == at and r.doc_tokens == len(ids)
-            assert r.ids_crc32 == zlib.crc32(np.array(piece, "<u4").tobytes())
-            at += r.length
-        assert at == len(ids)
+    for d, t in rows:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        for at in range(0, len(ids), 64):
+            piece = ids[at : at + 64]
+            want.append((d, at, len(piece), zlib.crc32(np.array(piece, "<u4").tobytes()), len(ids)))
+    assert ordered(tuple(r)[:5] for r in found) == ordered(want)
     for parts in sequences.values():
         at = 0
         for offset, length in sorted(parts):
@@ -200,6 +198,16 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_deals_equal_rows_and_long_texts_out(spark):
+    """Neither rows without an id nor one long document land in one group."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(None, "one text")] * 900 + [(5, "ab cd " * 20000)], "doc_id long, text string")
+    rows = packing.pack_documents(df, path, length=64, group_docs=32).collect()
+    groups = Counter(r.sequence_id >> 32 for r in rows)
+    assert sum(r.length for r in rows if r.doc_id == 5) == rows[[r.doc_id for r in rows].index(5)].doc_tokens
+    assert max(groups.values()) < 6 * len(rows) / len(groups) and len(groups) > 20
+
+
 def test_first_fit_decreasing_is_first_fit():
     rng = random.Random(3)
     sizes = [rng.randint(1, 100) for _ in range(500)]
@@ -224,15 +232,29 @@ def test_bpe_equals_the_library(docs, rows, empty):
         ids = tokenizer.encode(text, add_special_tokens=False).ids
         assert own.encode(text) == ids
         assert own.decode(ids) == tokenizer.decode(ids, skip_special_tokens=False)
-    for r in bpe.round_trip(docs.where("doc_id is not null"), path).collect():
-        ids = tokenizer.encode(dict(rows)[r.doc_id] or "", add_special_tokens=False).ids
-        assert r.n_tokens == len(ids)
-        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+    want = []
+    for d, t in rows:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids
+        want.append((d, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert ordered(bpe.round_trip(docs, path).collect()) == ordered(want)
     encoded = bpe.encode(docs, path)
     assert bpe.decode(encoded, path).where("text is null").count() == 0
     assert bpe.round_trip(empty, path).count() == 0
 
 
+def test_tokens_of_every_code_point():
+    """The libraries that the encoders use follow several versions of Unicode."""
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x20000 or c % 97 == 0)]
+    own, library = bpe.loaded(public_tokenizers.path("word_bpe_49k.json")), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.no_truncation(), library.no_padding()
+    texts = [f"a{c}b {c}1{c} {c}e\u0301" for c in every]
+    assert [t for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True) if own.encode(t) != e.ids] == []
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = packing.ChunkEncoder(path), Tokenizer.from_file(path)
+    library.no_truncation(), library.no_padding()
+    assert [t for t, got, e in zip(texts, encoder.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True) if np.frombuffer(got, "<u4").tolist() != e.ids] == []
+
+
 def test_forced_boundaries_are_in_no_token():
     own = bpe.loaded(public_tokenizers.path("word_bpe_49k.json"))
     (parts,) = own.fragments(["日本é"])
@@ -240,16 +262,54 @@ def test_forced_boundaries_are_in_no_token():
     assert not own.joined[ord(" "), ord("a")]
 
 
-def test_telephony_round_trip(docs, rows, empty):
-    stored = telephony.encode_media(docs.where("doc_id is not null"))
-    for r in telephony.media_features(stored).collect():
-        data = (dict(rows)[r.doc_id] or "").encode()
+def plain_pcm(tag, data):
+    """Samples of 8-bit codes or ADPCM blocks, one at a time."""
+    if tag != telephony.IMA:
+        table = telephony.mulaw_table() if tag == telephony.MULAW else telephony.alaw_table()
+        return [int(table[x]) for x in data]
+    steps, change, out = telephony.step_sizes().tolist(), telephony.INDEX_CHANGE.tolist(), []
+    for at in range(0, len(data), 576):
+        block = data[at : at + 576]
+        value, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+        out.append(value)
+        for byte in block[4:]:
+            for code in (byte & 15, byte >> 4):
+                s = steps[index]
+                d = (s >> 3) + (s >> 2) * (code & 1) + (s >> 1) * (code >> 1 & 1) + s * (code >> 2 & 1)
+                value = max(-32768, min(32767, value - d if code & 8 else value + d))
+                index = max(0, min(88, index + change[code]))
+                out.append(value)
+    return out
+
+
+def test_telephony_round_trip(spark, docs, rows, empty):
+    stored = telephony.decode_media(telephony.encode_media(docs.unionByName(docs.limit(3)))).cache()
+    seen, want = set(), []
+    for d, t in [*rows, *[(r.doc_id, r.text) for r in docs.limit(3).collect()]]:
+        data = (t or "").encode()
         padded = data + b"\xff" * (-len(data) % 576 or (576 if not data else 0))
-        assert (r.n_bytes, r.payload_bytes) == (len(data), len(padded))
-        assert r.payload_sha256 == hashlib.sha256(padded).hexdigest() and r.tail_crc32 == zlib.crc32(padded[-32:])
-    pcm = telephony.decode_media(stored, 16000)
-    assert pcm.where("pcm is null").count() == 0
-    assert telephony.media_features(telephony.encode_media(empty)).count() == 0
+        tag = telephony.format_of(padded)
+        seen.add(tag)
+        media = telephony.wav(tag, padded, align=576 if tag == telephony.IMA else 1)
+        assert telephony.parse_wav(media)[3] == padded
+        full = plain_pcm(tag, padded)
+        pcm = b"".join(((a + b) // 2).to_bytes(2, "little", signed=True) for a, b in zip(full[::2], full[1::2], strict=False))
+        (feature,) = telephony._features([pcm])
+        want.append((d, len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-32:]), len(media), hashlib.sha256(media).hexdigest(), {7: "mulaw ", 6: "alaw ", 17: "adpcm "}[tag] + feature))
+    assert seen == {6, 7, 17}
+    assert ordered(telephony.media_features(stored).collect()) == ordered(want)
+    assert telephony.decode_media(stored, 16000).where("pcm is null or n_samples < 1152").count() == 0
+    bad = spark.createDataFrame([(1, b"x", "a"), (2, None, "b")], "doc_id long, media binary, pcm string")
+    assert [(r.pcm, r.n_samples) for r in telephony.decode_media(bad).collect()] == [(None, None)] * 2
+    assert telephony.media_features(telephony.decode_media(telephony.encode_media(empty))).count() == 0
+
+
+def test_resampling():
+    x = np.array([1, 3, -5, 8, 9], np.int16)
+    assert telephony.resample(x, 8000, 4000).tolist() == [2, 1]
+    assert telephony.resample(x, 8000, 16000)[:5].tolist() == [1, 2, 3, -1, -5]
+    assert telephony.resample(x, 8000, 8000).tolist() == x.tolist()
+    assert telephony.resample(x[:1], 8000, 4000).tolist() == [1]
 
 
 def test_adpcm_and_g711_tables():
@@ -308,6 +368,35 @@ def test_warc_salvage():
     assert warc.salvage(b"junk" * 10).gaps[0][:2] == (0, 40)
 
 
+def test_warc_salvage_inside_members():
+    records = [warc.record(k, f"http://x/{k}", bytes([65 + k]) * 300) for k in range(5)]
+    heads, _, _ = warc.parse_record(warc.record(9, "u", b"x", refers_to=3, revisit=True))
+    assert {"warc-record-id", "warc-date", "warc-type", "content-length", "warc-refers-to"} <= {*heads}
+    assert heads["warc-refers-to"] == warc.parse_record(warc.record(3, "v", b"x"))[0]["warc-record-id"]
+    bad = bytearray(records[2])
+    bad[-30] ^= 1
+    one = warc.member(b"".join([*records[:2], bytes(bad), *records[3:]]))
+    found = warc.salvage(one + warc.member(records[0]))
+    assert [h["x-page-id"] for _, h, _ in found.records] == ["0", "1", "3", "4", "0"]
+    assert [(a, n) for a, n, _ in found.gaps] == [(0, len(bad))]
+    # Random blocks don't compress, so a cut member still has its first records.
+    rng = np.random.default_rng(0)
+    large = [warc.record(k, "u", rng.bytes(90_000)) for k in range(3)]
+    data = warc.member(b"".join(large))
+    found = warc.salvage(data[: len(data) // 2])
+    assert [h["x-page-id"] for _, h, _ in found.records] == ["0"] and found.gaps[0][0] == 0
+
+
+def test_warc_lost_pages_are_an_error(spark):
+    pages = spark.createDataFrame([(k, "u", f"<p>{k}</p>") for k in range(4)], "page_id long, url string, html string")
+    archives = warc.write_archives(pages).coalesce(1).collect()
+    for content in (archives[0].content[:-9], archives[0].content[: archives[0].content.rindex(b"\x1f\x8b\x08")]):
+        damaged = spark.createDataFrame([(archives[0].path, archives[0].n_records, bytes(content))], "path string, n_records long, content binary")
+        assert warc.read_archives(damaged).where("kind = 'gap'").count() == 1
+        with pytest.raises(Exception, match="lost records"):
+            warc.digest(warc.read_archives(damaged)).collect()
+
+
 def test_html_extraction(spark):
     crf = html_text.trained()
     right = total = 0
@@ -340,6 +429,54 @@ def test_crf_viterbi_is_the_best_path():
     assert score(crf.viterbi(s)) == pytest.approx(max(map(score, paths)))
 
 
+def backoff_reference(rows, learn, orders=(4, 3, 2, 1)):
+    """(language, score) of each text by the definition: known words, else the longest known n-grams."""
+    letters = lambda t: "".join(c if unicodedata.category(c)[0] == "L" else " " for c in (t or "").lower()).split()
+    languages = sorted({lang for _, lang in learn})
+    counts = {n: {x: Counter() for x in languages} for n in (0, *orders)}
+    for text, lang in learn:
+        for w in letters(text):
+            counts[0][lang][w] += 1
+            for n in orders:
+                counts[n][lang].update(f"^{w}$"[i : i + n] for i in range(len(w) + 3 - n))
+    kinds = {n: set().union(*c.values()) for n, c in counts.items()}
+    log = {n: {u: [math.log((c[x][u] + 0.5) / (sum(c[x].values()) + 0.5 * len(kinds[n]))) for x in languages] for u in kinds[n]} for n, c in counts.items()}
+    floor = min(x for table in log.values() for u in table.values() for x in u) - 1
+    out = []
+    for text in rows:
+        words = letters(text)
+        total = [0.0] * len(languages)
+        for w in words:
+            score = log[0].get(w)
+            if score is None:
+                score, places, at, marked = [0.0] * len(languages), 0, 0, f"^{w}$"
+                while at < len(marked):
+                    n = next((n for n in orders if at + n <= len(marked) and marked[at : at + n] in log[n]), None)
+                    score = [s + (log[n][marked[at : at + n]][k] - 0.5 * orders.index(n) if n else floor) for k, s in enumerate(score)]
+                    at += max(1, n - 1) if n else 1
+                    places += 1
+                score = [s / places for s in score]
+            total = [a + b for a, b in zip(total, score, strict=True)]
+        best = total.index(max(total))
+        out.append((languages[best], 1 / sum(math.exp((t - total[best]) / math.sqrt(len(words))) for t in total)) if words else ("und", 0.0))
+    return out
+
+
+def test_language_id_is_the_definition(spark):
+    rng = random.Random(12)
+    vocabulary = {"aa": [words(rng, 1) for _ in range(30)], "bb": ["ç" + words(rng, 1) for _ in range(30)], "cc": ["не" + words(rng, 1) for _ in range(30)]}
+    rows = [(k, " ".join(rng.choice(vocabulary[lang] + ["same", "½", "x²y"]) for _ in range(25)), lang) for k, lang in enumerate(sorted(vocabulary) * 20)]
+    rows += [(100, "½² ①", "aa"), (101, None, "aa"), (102, "9 _ !", None), (103, "same", None), (None, rows[0][1], "bb"), (1, rows[1][1], "bb"), (104, "qqq ççç ъъъ", "cc"), (105, rows[2][1] * 4000, None)]
+    df = spark.createDataFrame([(*r, "p", 0.0) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 4 == 2
+    learn = [(t, lang) for d, t, lang in rows if t is not None and lang and d is not None and not held(d)]
+    want = ordered((d, held(d), lang, round(p, 4)) for (d, _, _), (lang, p) in zip(rows, backoff_reference([t for _, t, _ in rows], learn), strict=True))
+    assert ordered((r.doc_id, r.held_out, r.lang_pred, round(r.score, 4)) for r in langid.identify(df).collect()) == want
+    assert {r[2] for r in want if r[0] in (100, 101, 102)} == {"und"}
+    stays = langid.identified(df, langid.fit(langid.training_rows(df)))
+    assert stays.columns == df.columns and stays.count() == len(rows) - 3
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_language_id(spark, docs, empty):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
