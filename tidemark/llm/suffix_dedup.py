@@ -18,14 +18,21 @@ The suffixes that can matter are sorted in buckets, and no task ever holds more
    Neighbours that agree in 50 bytes are one class; its smallest doc_id goes back.
 4. Blocks mark and remove the bytes of windows whose class has a smaller doc_id.
 
+Hot anchors. The answers of step 1 also say which anchors occur in many runs. Their runs are
+cut further, by the place of the anchor in the window: the windows of a part have more bytes in
+common than the anchor, and the part goes to the bucket of these bytes. The more runs an anchor
+has, the finer the parts; the finest are single windows, and a block sends each of those once.
+So no bucket grows with the number of contexts that a frequent string has.
+
 Step 1 never drops a repeated window (a hash collision only lets more through), and step 3
 compares the bytes themselves, so the result is exact. A string in a third of all documents
 is one segment a block and not one a document.
 
 Defined edge cases: a null text is empty; a null doc_id counts as larger than all others;
-rows with equal ids are one document, so they do not remove each other's bytes; texts
-shorter than 50 bytes stay as they are; an empty table gives no rows; extra columns are not
-read.
+rows with equal ids are one document, so they do not remove each other's bytes, and repeated
+rows give repeated results; texts shorter than 50 bytes stay as they are; a text is in one
+block whatever its length; an empty table gives no rows; remove_repeats() reads doc_id and
+text only, rewritten() keeps columns of any name.
 """
 
 from __future__ import annotations
@@ -35,10 +42,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix, slices, with_text
+from tidemark.llm.common import free_name, mix, slices, with_text
 
 WINDOW, ANCHOR = 50, 16
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
@@ -47,8 +55,10 @@ RANGE_SUFFIXES = 1 << 19
 #: Bytes whose anchors are computed at a time.
 _SLICE = 1 << 20
 _LAST = np.iinfo(np.int64).max
-#: The column that deals documents to blocks; no table has one of that name.
-_BLOCK = "tidemark block"
+#: Of anchors by how hot they are: in how many places of the window an anchor may stand within one part of a run.
+PLACES = (WINDOW - ANCHOR + 1, 18, 9, 1)
+#: From one level of hotness to the next, an anchor has so many times the runs.
+HOTTER = 16
 #: Fixed: a perfect difference set, so every distance modulo 21 is that of two members.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 #: Bytes by which suffixes are sorted before the cover ranks are asked: at least PERIOD.
@@ -96,7 +106,7 @@ class Block:
         self._runs: list[tuple] | None = None
 
     def runs(self) -> list[tuple]:
-        """For each slice of documents: their numbers' range, offsets, text, and runs (document, first window, last window, anchor hash)."""
+        """For each slice of documents: their numbers' range, offsets, text, and runs (document, first window, last window, anchor hash, anchor position)."""
         if self._runs is None:
             self._runs = list(self._find_runs())
         return self._runs
@@ -119,22 +129,22 @@ class Block:
             last = np.append(first[1:], len(at)) - 1
             keep = valid[first]
             first, last = first[keep], last[keep]
-            yield a, b, starts, text, (a + doc[first], first, last, mix(key[at[first]]))
+            yield a, b, starts, text, (a + doc[first], first, last, mix(key[at[first]]), at[first])
 
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchor hashes of the block, sorted, and whether two documents of the block hold each."""
-        found = [(h, self.rank[doc]) for *_, runs in self.runs() if runs for doc, _, _, h in [runs]]
+    def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct anchor hashes of the block, sorted; whether two documents of the block hold each; the number of its runs."""
+        found = [(runs[3], self.rank[runs[0]]) for *_, runs in self.runs() if runs]
         if not found:
-            return np.empty(0, np.uint64), np.empty(0, bool)
+            return np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, np.int64)
         h, doc = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(h)
         h, doc = h[order], doc[order]
         first = np.append(True, h[1:] != h[:-1]).nonzero()[0]
-        return h[first], np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        return h[first], np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), np.diff(np.append(first, len(h)))
 
-    def segments(self, repeated: np.ndarray) -> tuple[dict[bytes, int], list[int], list[int], list[tuple]]:
-        """Distinct segments of the anchors in ``repeated`` (sorted hashes): content -> number,
-        smallest document and anchor hash of each, and by slice the (document, start, number) of each occurrence."""
+    def segments(self, repeated: np.ndarray, levels: np.ndarray) -> tuple[dict[bytes, int], list[int], list[int], list[tuple]]:
+        """Distinct segments of the anchors in ``repeated`` (sorted hashes, with their levels of hotness): content -> number,
+        smallest document and bucket key of each, and by slice the (document, start, number) of each occurrence."""
         number: dict[bytes, int] = {}
         least: list[int] = []
         key: list[int] = []
@@ -142,21 +152,35 @@ class Block:
         for a, b, starts, text, runs in self.runs():
             here: list[tuple[int, int, int]] = []
             if runs and len(repeated):
-                doc, first, last, h = runs
+                doc, first, last, h, at = runs
                 spot = np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)
                 hit = (repeated[spot] == h).nonzero()[0]
                 joined = text.tobytes()
-                for d, s, e, x in zip(doc[hit].tolist(), first[hit].tolist(), last[hit].tolist(), h[hit].tolist(), strict=True):
-                    content = joined[s : e + WINDOW]
-                    k = number.setdefault(content, len(number))
-                    if k == len(least):  # documents come in order: the first is the smallest
-                        least.append(int(self.rank[d]))
-                        key.append(x)
-                    here.append((d, s, k))
+                for d, s, e, x, p, level in zip(doc[hit].tolist(), first[hit].tolist(), last[hit].tolist(), h[hit].tolist(), at[hit].tolist(), levels[spot[hit]].tolist(), strict=True):
+                    for start, end, own in parts_of(joined, s, e, p, PLACES[level]) if level else ((s, e, x),):
+                        content = joined[start : end + WINDOW]
+                        k = number.setdefault(content, len(number))
+                        if k == len(least):  # documents come in order: the first is the smallest
+                            least.append(int(self.rank[d]))
+                            key.append(own)
+                        here.append((d, start, k))
             places.append((a, b, starts, text, here))
         return number, least, key, places
 
 
+def parts_of(text: bytes, first: int, last: int, anchor: int, places: int):
+    """(first window, last window, key) of the parts of a run: windows in which the anchor stands in neighbouring places.
+
+    The key is a hash of the bytes that all possible windows of the part have in common.
+    """
+    while first <= last:
+        part = (anchor - first) // places
+        least, most = part * places, min(part * places + places, WINDOW - ANCHOR + 1) - 1
+        end = min(last, anchor - least)
+        yield first, end, xxhash.xxh3_64_intdigest(text[anchor - least : anchor - most + WINDOW], seed=part)
+        first = end + 1
+
+
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     """A bucket below n; does not fall as h rises."""
     return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
@@ -171,49 +195,68 @@ def _parts(h: np.ndarray, n: int) -> list[tuple[int, int, int]]:
     return list(zip(p[first].tolist(), first.tolist(), [*first[1:].tolist(), len(h)], strict=True))
 
 
-def _ask(n_buckets: int):
+def _ask(block_column: str, n_buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        block = table.column(_BLOCK)[0].as_py()
-        h, several = Block(table).hashes()
+        block = table.column(block_column)[0].as_py()
+        h, several, runs = Block(table).hashes()
         values = (h.astype(np.uint32) & np.uint32(0xFFFFFFFE)) | several.astype(np.uint32)
+        # The number of runs, as a power of two.
+        powers = np.ceil(np.log2(runs)).astype(np.uint8)
         parts = _parts(h, n_buckets)
-        return pa.table({"bucket": pa.array([p for p, _, _ in parts], pa.int64()), "block": pa.array([block] * len(parts), pa.int64()), "hashes": pa.array([values[a:b].tobytes() for _, a, b in parts], pa.binary())})
+        blobs = {k: pa.array([x[a:b].tobytes() for _, a, b in parts], pa.binary()) for k, x in (("hashes", values), ("powers", powers))}
+        return pa.table({"bucket": pa.array([p for p, _, _ in parts], pa.int64()), "block": pa.array([block] * len(parts), pa.int64())} | blobs)
+
+    return run
+
+
+def _answer(hot_runs: int):
+    def run(table: pa.Table) -> pa.Table:
+        blobs = table.column("hashes").to_pylist()
+        values = np.frombuffer(b"".join(blobs), np.uint32)
+        h = values >> np.uint32(1)
+        order = np.argsort(h, kind="stable")
+        same = h[order[1:]] == h[order[:-1]]
+        repeated = (values & np.uint32(1)).astype(bool)
+        # A hash that two documents of one block hold is repeated in every block that holds it.
+        repeated[order[1:][same]] = True
+        repeated[order[:-1][same]] = True
+        runs = np.ldexp(1.0, np.frombuffer(b"".join(table.column("powers").to_pylist()), np.uint8).astype(np.int64))
+        first = np.append(True, ~same).nonzero()[0] if len(h) else np.empty(0, np.int64)
+        total = np.add.reduceat(runs[order], first) if len(h) else runs
+        # Equal for equal hashes, whatever block asks.
+        level = np.empty(len(h), np.uint8)
+        level[order] = np.repeat(np.searchsorted([hot_runs * HOTTER**k for k in range(len(PLACES) - 1)], total, side="left"), np.diff(np.append(first, len(h))))
+        cuts = np.cumsum([0] + [len(x) // 4 for x in blobs])
+        out: dict[str, list] = {"bits": [], "hot": [], "levels": []}
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            hot = level[a:b].nonzero()[0]
+            for k, v in zip(out, (np.packbits(repeated[a:b]), hot.astype(np.uint32), level[a:b][hot]), strict=True):
+                out[k].append(v.tobytes())
+        return pa.table({"block": table.column("block").cast(pa.int64()), "bucket": table.column("bucket").cast(pa.int64())} | {k: pa.array(v, pa.binary()) for k, v in out.items()})
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    blobs = table.column("hashes").to_pylist()
-    values = np.frombuffer(b"".join(blobs), np.uint32)
-    h = values >> np.uint32(1)
-    order = np.argsort(h, kind="stable")
-    same = h[order[1:]] == h[order[:-1]]
-    repeated = (values & np.uint32(1)).astype(bool)
-    # A hash that two documents of one block hold is repeated in every block that holds it.
-    repeated[order[1:][same]] = True
-    repeated[order[:-1][same]] = True
-    cuts = np.cumsum([0] + [len(x) // 4 for x in blobs])
-    bits = [np.packbits(repeated[a:b]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
-    return pa.table({"block": table.column("block").cast(pa.int64()), "bucket": table.column("bucket").cast(pa.int64()), "bits": pa.array(bits, pa.binary())})
-
-
-def _repeated(block: Block, answers: pa.Table, n_buckets: int) -> np.ndarray:
-    h, _ = block.hashes()
-    bits = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True))
-    keep = np.zeros(len(h), bool)
+def _repeated(block: Block, answers: pa.Table, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block's repeated anchor hashes, sorted, and their levels of hotness."""
+    h, _, _ = block.hashes()
+    columns = ("bits", "hot", "levels")
+    found = dict(zip(answers.column("bucket").to_pylist(), zip(*(answers.column(c).to_pylist() for c in columns), strict=True), strict=True))
+    keep, level = np.zeros(len(h), bool), np.zeros(len(h), np.uint8)
     for p, a, b in _parts(h, n_buckets):
-        if p in bits:
-            keep[a:b] = np.unpackbits(np.frombuffer(bits[p], np.uint8), count=b - a).astype(bool)
-    return h[keep]
+        if p in found:
+            bits, hot, levels = found[p]
+            keep[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+            level[a + np.frombuffer(hot, np.uint32).astype(np.int64)] = np.frombuffer(levels, np.uint8)
+    return h[keep], level[keep]
 
 
-def _send(n_asked: int, n_buckets: int):
+def _send(block_column: str, n_asked: int, n_buckets: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         rows: dict[str, list] = {k: [] for k in ("suffix_bucket", "block", "sizes", "docs", "bytes", "numbers")}
         if len(table) and len(answers):
             block = Block(table)
-            repeated = _repeated(block, answers, n_asked)
-            number, least, key, _ = block.segments(repeated)
+            number, least, key, _ = block.segments(*_repeated(block, answers, n_asked))
             content = list(number)
             if content:
                 q = _bucket(mix(np.array(key, np.uint64)), n_buckets)
@@ -221,7 +264,7 @@ def _send(n_asked: int, n_buckets: int):
                 cuts = np.append(np.append(True, q[order][1:] != q[order][:-1]).nonzero()[0], len(order))
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     own = order[a:b].tolist()
-                    for k, v in zip(rows, (int(q[own[0]]), table.column(_BLOCK)[0].as_py(), np.array([len(content[k]) for k in own], np.uint32).tobytes(), np.array([least[k] for k in own], np.int64).tobytes(), b"".join([content[k] for k in own]), np.array(own, np.uint32).tobytes()), strict=True):
+                    for k, v in zip(rows, (int(q[own[0]]), table.column(block_column)[0].as_py(), np.array([len(content[k]) for k in own], np.uint32).tobytes(), np.array([least[k] for k in own], np.int64).tobytes(), b"".join([content[k] for k in own]), np.array(own, np.uint32).tobytes()), strict=True):
                         rows[k].append(v)
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), kinds, strict=True)})
@@ -419,7 +462,7 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(v, pa.int64() if k == "block" else pa.binary()) for k, v in out.items()})
 
 
-def _remove(n_asked: int, rewrite: bool):
+def _remove(block_column: str, n_asked: int, rewrite: bool):
     def run(table: pa.Table, back: pa.Table) -> pa.Table:
         block = Block(table)
         n = len(block.ids)
@@ -427,7 +470,7 @@ def _remove(n_asked: int, rewrite: bool):
         found = back.filter(pc.invert(is_answer))
         removed, spans, kept = [0] * n, [0] * n, list(block.data)
         if n and len(found):
-            repeated = _repeated(block, back.filter(is_answer), n_asked)
+            repeated, levels = _repeated(block, back.filter(is_answer), n_asked)
             both = {c: found.column(c).to_pylist() for c in ("numbers", "counts", "lengths", "least")}
             runs: dict[int, tuple[list[int], list[int]]] = {}
             for numbers, counts, lengths, least in zip(both["numbers"], both["counts"], both["lengths"], both["least"], strict=True):
@@ -436,7 +479,7 @@ def _remove(n_asked: int, rewrite: bool):
                 for k, c in zip(np.frombuffer(numbers, np.uint32).tolist(), np.frombuffer(counts, np.uint32).tolist(), strict=True):
                     runs[k] = lengths[at : at + c], least[at : at + c]
                     at += c
-            _, _, _, places = block.segments(repeated)
+            _, _, _, places = block.segments(repeated, levels)
             for a, b, starts, text, here in places:
                 change = np.zeros(len(text) + 1, np.int32)
                 ups, downs = [], []
@@ -461,7 +504,7 @@ def _remove(n_asked: int, rewrite: bool):
                         kept[d] = text[starts[d - a] : starts[d - a + 1]][~own].tobytes()
         if rewrite:
             # A cut may fall inside a character: what is left of it goes too.
-            return with_text(block.table.drop_columns([_BLOCK]), [x.decode("utf-8", "ignore") for x in kept])
+            return with_text(block.table.drop_columns([block_column]), [x.decode("utf-8", "ignore") for x in kept])
         return pa.table(
             {
                 "doc_id": pa.array(block.ids, pa.int64()),
@@ -475,37 +518,39 @@ def _remove(n_asked: int, rewrite: bool):
     return run
 
 
-def _dealt(docs: DataFrame, block_bytes: int, bucket_bytes: int) -> tuple[DataFrame, int, int]:
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks, n_buckets = (max(1, -(-total // x)) for x in (block_bytes, bucket_bytes))
-    return docs.withColumn(_BLOCK, F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks))), n_blocks, n_buckets
-
+class _Blocks:
+    """Documents dealt to blocks. The numbers of blocks and buckets follow from the table's bytes."""
 
-def _back(text: DataFrame, n_blocks: int, n_buckets: int) -> DataFrame:
-    """What the blocks get back: the answers to their anchor hashes (bits), and the smallest documents of their segments."""
-    asked = text.groupBy(_BLOCK).applyInArrow(_ask(n_blocks), "bucket long, block long, hashes binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answer, "block long, bucket long, bits binary")
-    segments = text.groupBy(_BLOCK).cogroup(answers.groupBy("block")).applyInArrow(_send(n_blocks, n_buckets), "suffix_bucket long, block long, sizes binary, docs binary, bytes binary, numbers binary")
-    found = segments.groupBy("suffix_bucket").applyInArrow(_sort_bucket, "block long, numbers binary, counts binary, lengths binary, least binary")
-    return found.unionByName(answers, allowMissingColumns=True)
+    def __init__(self, docs: DataFrame, block_bytes: int, bucket_bytes: int, hot_runs: int | None):
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.n_blocks, self.n_buckets = (max(1, -(-total // x)) for x in (block_bytes, bucket_bytes))
+        #: A bucket may hold some anchors of so many runs.
+        self.hot_runs = hot_runs or max(1, bucket_bytes // 8 // (2 * WINDOW))
+        self.column = free_name(docs.columns, "block")
+        # The text counts too: rows without an id, or with equal ids, are not all in one block.
+        self.text = docs.withColumn(self.column, F.pmod(F.xxhash64("doc_id", "text"), F.lit(self.n_blocks)))
 
+    def removed(self, rewrite: bool, schema) -> DataFrame:
+        """The texts are shuffled once: the three steps over blocks share that exchange."""
+        text, block, n = self.text, self.column, self.n_blocks
+        asked = text.groupBy(block).applyInArrow(_ask(block, n), "bucket long, block long, hashes binary, powers binary")
+        answers = asked.groupBy("bucket").applyInArrow(_answer(self.hot_runs), "block long, bucket long, bits binary, hot binary, levels binary")
+        send = _send(block, n, self.n_buckets)
+        segments = text.groupBy(block).cogroup(answers.groupBy("block")).applyInArrow(send, "suffix_bucket long, block long, sizes binary, docs binary, bytes binary, numbers binary")
+        found = segments.groupBy("suffix_bucket").applyInArrow(_sort_bucket, "block long, numbers binary, counts binary, lengths binary, least binary")
+        back = found.unionByName(answers, allowMissingColumns=True)
+        return text.groupBy(block).cogroup(back.groupBy("block")).applyInArrow(_remove(block, n, rewrite), schema)
 
-def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs.
 
-    The numbers of blocks and buckets follow from the table's bytes. The texts are shuffled
-    once: the three steps over blocks share that exchange.
-    """
-    text, n_blocks, n_buckets = _dealt(docs.select("doc_id", "text"), block_bytes, bucket_bytes)
-    back = _back(text, n_blocks, n_buckets)
-    return text.groupBy(_BLOCK).cogroup(back.groupBy("block")).applyInArrow(_remove(n_blocks, False), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_runs: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs."""
+    blocks = _Blocks(docs.select("doc_id", "text"), block_bytes, bucket_bytes, hot_runs)
+    return blocks.removed(False, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def rewritten(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def rewritten(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_runs: int | None = None) -> DataFrame:
     """docs with all their columns, their texts without the removed bytes."""
-    text, n_blocks, n_buckets = _dealt(docs, block_bytes, bucket_bytes)
-    back = _back(text, n_blocks, n_buckets)
-    return text.groupBy(_BLOCK).cogroup(back.groupBy("block")).applyInArrow(_remove(n_blocks, True), docs.schema)
+    return _Blocks(docs, block_bytes, bucket_bytes, hot_runs).removed(True, docs.schema)
 
 
 def reference(rows: list[tuple]) -> list[tuple]:
