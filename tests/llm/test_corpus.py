@@ -63,6 +63,35 @@ def test_suffix_dedup_is_exact(docs, rows, empty):
     assert out.where("n_chars != length(text)").count() == 0
 
 
+@pytest.mark.parametrize("hot_runs", [1, 20, 100_000])
+def test_suffix_dedup_of_a_frequent_string(spark, hot_runs):
+    """A string of 16 to 60 bytes in many contexts: hot anchors are cut finer, with the same results."""
+    rng = random.Random(8)
+    frequent = ["sixteen bytes it", "one string of forty bytes that is common", "a longer string of sixty bytes that a third of the texts hold"]
+    texts = [words(rng, 3) + frequent[k % 3] + words(rng, 4) + frequent[k % 2] + words(rng, 3) for k in range(300)]
+    texts += [texts[k][: 20 + k] for k in range(0, 60, 3)] + [texts[4] + texts[5], None, ""]
+    rows = list(enumerate(texts)) + [(2, texts[2]), (None, texts[7]), (None, texts[7]), (2, texts[9])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(df, block_bytes=3000, bucket_bytes=2000, hot_runs=hot_runs).collect()
+    assert ordered(got) == ordered(suffix_dedup.reference(rows))
+
+
+def test_suffix_buckets_of_a_frequent_string_stay_small():
+    """10**5 contexts of one 16-byte string: no bucket key has more than a few of them."""
+    rng = np.random.default_rng(5)
+    anchor = b"sixteen bytes it"
+    keys = Counter()
+    for _ in range(100_000):
+        text = rng.bytes(34) + anchor + rng.bytes(34)
+        for first, last, key in suffix_dedup.parts_of(text, 0, 34, 34, suffix_dedup.PLACES[1]):
+            keys[key] += last - first + 1
+    assert len(keys) == 200_000 and keys.most_common(1)[0][1] == 18
+    whole = b"x" * 9 + anchor + b"y" * 40
+    for places in suffix_dedup.PLACES:
+        parts = list(suffix_dedup.parts_of(whole, 0, 9, 9, places))
+        assert [s for a, b, _ in parts for s in range(a, b + 1)] == list(range(10))
+
+
 def test_suffix_order():
     rng = np.random.default_rng(0)
     assert all(any((r + d) % 21 in suffix_dedup.COVER and (s + d) % 21 in suffix_dedup.COVER for d in range(21)) for r in range(21) for s in range(21))
