@@ -121,6 +121,39 @@ def test_line_runs_levels(spark):
     assert [tuple(r) for r in runs.repeated(3).collect()] == [(1, 1, 9)]
 
 
+def test_line_keepers_come_from_the_anti_join(spark, monkeypatch):
+    """No later step compares keepers: without the anti-join a smaller id would win."""
+    batches = [spark.createDataFrame([(1, 1, d)], "h1 long, h2 long, doc_id long") for d in (9, 7, 5)]
+    join = type(batches[0]).join
+    for anti, keeper in ((True, 9), (False, 5)):
+        if not anti:
+            monkeypatch.setattr(type(batches[0]), "join", lambda self, other, on=None, how=None: self if how == "left_anti" else join(self, other, on, how))
+        runs = line_dedup.LineRuns(fanout=4)
+        for batch in batches:
+            runs.add(batch)
+        assert runs.repeated(1).first().keeper == keeper
+
+
+def test_line_joins_shuffle_nothing(spark):
+    """Runs are bucketed alike: merging two needs no exchange."""
+    runs = line_dedup.LineRuns(fanout=9)
+    for ids in ((9, 8), (7, 6)):
+        runs.add(spark.createDataFrame([(1, d, d) for d in ids], "h1 long, h2 long, doc_id long"))
+    plan = runs.repeated(1)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_line_dedup_of_clashing_columns_and_outlying_ids(spark):
+    line = "a line of more than twenty characters"
+    rows = [(k, f"{line}\n{k}") for k in range(6)] + [(10**15, line), (None, f"x\n{line}"), (None, f"other {line}\n{line}"), (3, "own"), (3, line * 3000)]
+    df = spark.createDataFrame([(*r, "d", 1, 2) for r in rows], "doc_id long, text string, drop string, `dropped id` int, `Dropped Key` int")
+    out = line_dedup.rewritten(df)
+    assert out.columns == df.columns
+    want = line_dedup.reference(rows)
+    assert ordered((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in out.collect()) == ordered((w[0], w[3]) for w in want)
+    assert ordered(line_dedup.digest(line_dedup.drop_repeated_lines(df)).collect()) == ordered(want)
+
+
 def test_near_duplicates_match_all_pairs(docs, rows, empty):
     got = near_dup.classes(docs).collect()
     want = near_dup.reference(rows)

@@ -1,22 +1,25 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 A line's key is the line without ASCII white space at both ends and with A-Z in lower case.
-Its 128-bit hash goes into *runs*: Parquet tables in the shared folder, range-partitioned
-and sorted by hash, holding (h1, h2, keeper, n) - the largest doc_id seen and the number of
-documents. Batches are taken in falling order of doc_id. Each batch is reduced to one row
-a hash, merge-anti-joined with the runs (what is left is new: its largest doc_id is the
-corpus-wide keeper), and added as a run of level 0. When a level holds ``fanout`` runs they
-are merged into one run of the next level.
+Its 128-bit hash goes into *runs*: tables in the shared folder, bucketed and sorted by hash,
+holding (h1, h2, keeper, n). Batches are taken in falling order of doc_id. Each batch is
+reduced to one row a hash and merge-anti-joined with the runs: what is left is new, and its
+largest doc_id is the keeper in the whole corpus, as every later batch has smaller ids. A hash
+that a run holds already adds its count only. So each hash has a keeper in one run, and no
+later step compares keepers. When a level holds ``fanout`` runs, they are merged into one run
+of the next level. Runs and batches are bucketed alike, so these joins shuffle nothing.
 
 Defined edge cases: null or empty text is one empty line; a null doc_id counts as a
 document smaller than all others; a repeated row (equal doc_id) is a document of its own,
-and if it holds the keeper's id both copies keep the line; an empty table gives no rows.
+and if it holds the keeper's id both copies keep the line; an empty table gives no rows;
+rows without an id or with equal ids get the drops of their own text only.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, stored, texts_of, with_text
+from tidemark.llm.common import discard, free_name, shared_dir, stored, texts_of, with_text
 
 _STRIP = " \t\n\x0b\x0c\r"
 _TWO = struct.Struct(">qq")
@@ -47,13 +50,14 @@ def key_hash(key: bytes) -> tuple[int, int]:
 def _hash_lines(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, h1, h2 = [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text"), strict=True):
+            ids, keys, h1, h2 = [], [], [], []
+            for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist(), texts_of(batch, "text"), strict=True):
                 for a, b in {key_hash(line_key(x)) for x in text.split("\n") if len(x) >= min_chars and len(x.strip(_STRIP)) >= min_chars}:
                     ids.append(doc)
+                    keys.append(key)
                     h1.append(a)
                     h2.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(ids, pa.int64())], ["h1", "h2", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(ids, pa.int64()), pa.array(keys, pa.int64())], ["h1", "h2", "doc_id", "row_key"])
 
     return run
 
@@ -62,91 +66,111 @@ class LineRuns:
     """The levels of runs; add() takes the batches in falling order of doc_id."""
 
     def __init__(self, fanout: int = 4):
-        self.fanout, self.levels = fanout, [[]]
+        self.fanout, self.levels, self.buckets = fanout, [[]], 0
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    @staticmethod
-    def _reduce(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("h1", "h2").agg(F.max("keeper").alias("keeper"), F.sum("n").alias("n"))
+    def _sorted_run(self, rows: DataFrame, what: str = "run") -> DataFrame:
+        """rows as a table bucketed and sorted by hash; its files are in the shared folder."""
+        spark = rows.sparkSession
+        name = f"tidemark_line_{what}_{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/tidemark/{name}"
+        rows.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).option("compression", "zstd").saveAsTable(name)
+        run = spark.table(name)
+        run._tidemark_path, run._tidemark_table = path, name
+        return run
 
     @staticmethod
-    def _sorted_run(rows: DataFrame) -> DataFrame:
-        return stored(rows.sortWithinPartitions("h1", "h2"), "line-run")
+    def drop(*runs: DataFrame) -> None:
+        for run in runs:
+            run.sparkSession.sql(f"DROP TABLE IF EXISTS {run._tidemark_table}")
+        discard(*runs)
 
-    def add(self, lines: DataFrame) -> DataFrame:
-        """Add a batch of (h1, h2, doc_id) rows, one for each line hash of a document.
+    def add(self, lines: DataFrame) -> None:
+        """Add a batch of (h1, h2, doc_id) rows, one for each line hash of a document, as a run.
 
-        Returns its new run. There ``keeper`` is set for hashes that no earlier run holds
-        and null for the others, which only raise the count.
+        There ``keeper`` is set for hashes that no earlier run holds and null for the others,
+        which only raise the count.
         """
+        # As many as the batch has partitions, so that it is written as it is dealt.
+        self.buckets = self.buckets or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         batch = lines.groupBy("h1", "h2").agg(F.max("doc_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
         older = self.runs()
-        if older:
-            batch = new = stored(batch, "line-batch")
-            again = []
-            for run in older:
-                held = run.where("keeper is not null").select("h1", "h2")
+        if not older:
+            run = self._sorted_run(batch)
+        else:
+            batch = self._sorted_run(batch, "batch")
+            new, again = batch, []
+            for held in older:
+                held = held.where("keeper is not null").select("h1", "h2").hint("merge")
                 new = new.join(held, ["h1", "h2"], "left_anti")
                 again.append(batch.join(held, ["h1", "h2"], "left_semi").withColumn("keeper", F.lit(None).cast("long")))
             run = self._sorted_run(reduce(DataFrame.unionByName, again, new))
-            discard(batch)
-        else:
-            run = self._sorted_run(batch)
+            self.drop(batch)
         self.levels[0].append(run)
         self._compact()
-        return run
 
     def _compact(self) -> None:
         for k in range(len(self.levels)):
             if len(self.levels[k]) >= self.fanout:
                 merged = self._sorted_run(self._merged(self.levels[k]))
-                discard(*self.levels[k])
+                self.drop(*self.levels[k])
                 self.levels[k] = []
                 if k + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[k + 1].append(merged)
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        return self._reduce(reduce(DataFrame.unionByName, runs))
+    @staticmethod
+    def _merged(runs: list[DataFrame]) -> DataFrame:
+        """One run of several, by merge joins. One of them has the keeper of a hash."""
+
+        def two(a: DataFrame, b: DataFrame) -> DataFrame:
+            b = b.select("h1", "h2", F.col("keeper").alias("other"), F.col("n").alias("m"))
+            both = a.join(b.hint("merge"), ["h1", "h2"], "full")
+            n = F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))
+            return both.select("h1", "h2", F.coalesce("other", "keeper").alias("keeper"), n.alias("n"))
+
+        return reduce(two, runs)
 
     def repeated(self, min_docs: int) -> DataFrame:
-        """(h1, h2, keeper) of the hashes that at least min_docs documents hold."""
-        runs = self.runs()
-        rows = self._merged(runs) if len(runs) > 1 else runs[0]
-        return rows.where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
-
-
-def batches_by_id(docs: DataFrame, n_batches: int) -> list[DataFrame]:
-    """Ranges of doc_id of equal width, largest first; null ids are in the last."""
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None or low == high:
-        return [docs]
-    cuts = sorted({low + (high - low + 1) * k // n_batches for k in range(1, n_batches)} - {low})
+        """(h1, h2, keeper) of the hashes that at least min_docs documents hold; null if none of them has an id."""
+        return self._merged(self.runs()).where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
+
+
+def batches_by_id(lines: DataFrame, n_batches: int) -> list[DataFrame]:
+    """Ranges of doc_id of about equal numbers of lines, largest first; null ids are in the last."""
+    shares = [k / n_batches for k in range(1, n_batches)]
+    found = lines.agg(F.min("doc_id"), F.percentile_approx("doc_id", shares, 1000)).first() if shares else (None, None)
+    cuts = sorted({*(found[1] or [])} - {found[0]})
     edges = [None, *cuts, None]
     out = []
     for a, b in reversed(list(zip(edges, edges[1:], strict=False))):
         if a is None:
-            out.append(docs.where(f"doc_id < {b} or doc_id is null") if b is not None else docs)
+            out.append(lines.where(f"doc_id < {b} or doc_id is null") if b is not None else lines)
         else:
-            out.append(docs.where(f"doc_id >= {a}" + (f" and doc_id < {b}" if b is not None else "")))
+            out.append(lines.where(f"doc_id >= {a}" + (f" and doc_id < {b}" if b is not None else "")))
     return out
 
 
+def _row_key():
+    """Identifies a text among those of equal ids."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, n_batches: int = 4, fanout: int = 2) -> DataFrame:
-    """(doc_id, drop): for each document that loses lines, the hashes of the lines it loses."""
-    lines = stored(docs.select("doc_id", "text").mapInArrow(_hash_lines(min_chars), "h1 long, h2 long, doc_id long"), "line-hashes")
+    """(doc_id, row_key, drop): for each document that loses lines, the hashes of the lines it loses."""
+    keyed = docs.select("doc_id", _row_key().alias("row_key"), "text")
+    lines = stored(keyed.mapInArrow(_hash_lines(min_chars), "h1 long, h2 long, doc_id long, row_key long"), "line-hashes")
     runs = LineRuns(fanout)
     for part in batches_by_id(lines, n_batches):
         runs.add(part)
+    repeated = stored(runs.repeated(min_docs), "repeated-lines")
+    runs.drop(*runs.runs())
     # A line that a third of all documents hold makes one large join partition: AQE splits it.
-    lost = lines.join(runs.repeated(min_docs), ["h1", "h2"]).where("doc_id < keeper or doc_id is null and keeper is not null")
-    return lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
-
-
-#: Column names of the joined drop list that no table has.
-_ID, _DROP = "tidemark drop id", "tidemark drop"
+    lost = lines.join(repeated, ["h1", "h2"]).where("doc_id < keeper or doc_id is null and keeper is not null")
+    # At most the lines of one text.
+    return lost.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
 
 
 def _kept(texts: list[str], drops: list) -> tuple[list[str], list[int], list[int]]:
@@ -163,31 +187,40 @@ def _kept(texts: list[str], drops: list) -> tuple[list[str], list[int], list[int
     return kept, n_lines, n_dropped
 
 
-def _with_drops(docs: DataFrame, options: dict) -> DataFrame:
-    drops = dropped_lines(docs, **options).select(F.col("doc_id").alias(_ID), F.col("drop").alias(_DROP))
-    return docs.join(drops, F.col("doc_id").eqNullSafe(F.col(_ID)), "left").drop(_ID)
+def _with_drops(docs: DataFrame, drop: str, options: dict) -> DataFrame:
+    """docs with a column of the hashes that each row loses."""
+    doc, key = free_name(docs.columns, "dropped id"), free_name(docs.columns, "dropped key")
+    drops = dropped_lines(docs, **options).select(F.col("doc_id").alias(doc), F.col("row_key").alias(key), F.col("drop").alias(drop))
+    return docs.join(drops, F.col("doc_id").eqNullSafe(F.col(doc)) & (_row_key() == F.col(key)), "left").drop(doc, key)
+
+
+def _counted(drop: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, n_lines, n_dropped = _kept(texts_of(batch, "text"), batch.column(drop).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["doc_id", "kept", "n_lines", "n_dropped"])
 
+    return run
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept, n_lines, n_dropped = _kept(texts_of(batch, "text"), batch.column(_DROP).to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["doc_id", "kept", "n_lines", "n_dropped"])
 
+def _rewrite(drop: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, _, _ = _kept(texts_of(batch, "text"), batch.column(drop).to_pylist())
+            yield with_text(batch.drop_columns([drop]), kept)
 
-def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept, _, _ = _kept(texts_of(batch, "text"), batch.column(_DROP).to_pylist())
-        yield with_text(batch.drop_columns([_DROP]), kept)
+    return run
 
 
 def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, kept, n_lines, n_dropped) for each row of docs; options as for dropped_lines()."""
-    return _with_drops(docs.select("doc_id", "text"), options).mapInArrow(_counted, "doc_id long, kept string, n_lines long, n_dropped long")
+    return _with_drops(docs.select("doc_id", "text"), "drop", options).mapInArrow(_counted("drop"), "doc_id long, kept string, n_lines long, n_dropped long")
 
 
 def rewritten(docs: DataFrame, **options) -> DataFrame:
     """docs with all their columns, their texts without the dropped lines."""
-    return _with_drops(docs, options).mapInArrow(_rewrite, docs.schema)
+    drop = free_name(docs.columns, "drop")
+    return _with_drops(docs, drop, options).mapInArrow(_rewrite(drop), docs.schema)
 
 
 def digest(rows: DataFrame) -> DataFrame:
