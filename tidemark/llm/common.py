@@ -94,6 +94,15 @@ def slices(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, i
 
 
+def hash_ranges(h: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted 64-bit hashes dealt to n buckets; the bucket does not fall as the hash rises."""
+    if not len(h):
+        return []
+    p = ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    first = np.append(True, p[1:] != p[:-1]).nonzero()[0]
+    return list(zip(p[first].tolist(), first.tolist(), [*first[1:].tolist(), len(h)], strict=True))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit. Works on a copy."""
     x = x.astype(np.uint64, copy=True)

@@ -6,10 +6,12 @@ letters are lower-cased, decimal digits are one symbol, and so are spaces and li
 language has its own model, and every model is a table of Spark's, dealt by the hash of
 language and n-gram: no task and no driver holds a model.
 
-Texts are cut into blocks, each of one language. A block is written once with its texts and
-its distinct n-grams, which are summed over *all* documents. A scored n-gram has been counted,
-so its probability is one row of the table, and a join by language and n-gram gives each block
-the probabilities of its own n-grams, and no others.
+The n-grams of *all* documents are counted by Spark, and their probabilities are computed as
+joins. The model is then stored in shards: a shard holds a range of 64-bit n-gram hashes as a
+sorted array, and an array of their log probabilities. Texts are dealt to blocks, each of one
+language. A block sends the hashes of its distinct n-grams to their shards, in sorted arrays
+too, and gets an array of log probabilities back. A scored n-gram has been counted, so each is
+found. Shards that many blocks ask are copied, a copy for every so many blocks.
 
 A language's band is centred on its median log perplexity. The mean over a text's characters
 strays less from it the longer the text is, so the half width is ``least`` plus ``width``
@@ -19,7 +21,8 @@ pass the base rules. Documents above or below the band are rejected.
 
 Defined edge cases: a null or empty text has no words, fails the base rules and has a null
 perplexity; a null lang is the language "und"; a language of one document has a model and a
-band of that document alone; an empty table gives no rows; repeated rows get equal results.
+band of that document alone; an empty table gives no rows; repeated rows get equal results; a
+null doc_id stays null; whole texts are read, and one that is longer than a block is a block.
 """
 
 from __future__ import annotations
@@ -30,11 +33,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix, stored, texts_of
+from tidemark.llm.common import hash_ranges, mix, stored, texts_of
 
 ORDER = 4
 #: Symbols of the in-memory model that the tests hold probabilities() against.
@@ -43,6 +47,10 @@ SYMBOLS = 48
 BLOCK, HELD = 4 << 20, 16 << 20
 #: A code point takes 21 bits; the start symbol is the first number that is none.
 BITS, START = 21, 0x110000
+#: N-grams of a shard, and blocks that ask one copy of it.
+SHARD, ASKERS = 1 << 20, 64
+#: Tables of one row a language are broadcast up to so many languages.
+BROADCAST_LANGUAGES = 10_000
 UNKNOWN = "und"
 #: Band half width in spreads, and what is added to it in log units.
 WIDTH, LEAST = 5.0, 0.02
@@ -135,40 +143,110 @@ def grams_of(texts: list[str], where: bool = True) -> tuple[np.ndarray, np.ndarr
     return unpack(first), unpack(last), other
 
 
-_BLOCK_SCHEMA = "block long, lang string, ids array<long>, sizes array<long>, n_bytes long, texts binary, a array<long>, b array<long>, k array<long>"
+def gram_hashes(lang: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    seed = np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass")))
+    return mix(mix(a.astype(np.uint64) ^ seed) + b.astype(np.uint64))
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a block: its texts, compressed, and its n-grams with their counts."""
+def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple]]]:
+    """(language, [(doc_id, text)]): about BLOCK characters of one language at a time."""
     held: dict[str, list] = {}
     sizes: dict[str, int] = {}
-    number = TaskContext.get().partitionId() << 32
-
-    def put(lang: str) -> pa.RecordBatch:
-        nonlocal number
-        rows = held.pop(lang)
-        del sizes[lang]
-        texts = [t for _, t in rows]
-        full = [t for t in texts if t]
-        a, b, k = grams_of(full, where=False) if full else [np.empty(0, np.int64)] * 3
-        data = "".join(texts).encode("utf-8", "surrogatepass")
-        packed = pa.Codec("zstd").compress(data, asbytes=True)
-        number += 1
-        lists = [pa.array([x], pa.list_(pa.int64())) for x in ([d for d, _ in rows], list(map(len, texts)))]
-        grams = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x.astype(np.int64))) for x in (a, b, k)]
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([lang], pa.string()), *lists, pa.array([len(data)], pa.int64()), pa.array([packed], pa.binary()), *grams], ["block", "lang", "ids", "sizes", "n_bytes", "texts", "a", "b", "k"])
-
     for batch in batches:
         for d, t, lang in zip(batch.column("doc_id").to_pylist(), texts_of(batch, "text"), batch.column("lang").to_pylist(), strict=True):
             held.setdefault(lang, []).append((d, t))
             # A row counts too, so that empty texts fill a block.
             sizes[lang] = sizes.get(lang, 0) + len(t) + 16
             if sizes[lang] > BLOCK:
-                yield put(lang)
+                del sizes[lang]
+                yield lang, held.pop(lang)
         while sum(sizes.values()) > HELD:
-            yield put(max(sizes, key=sizes.get))
+            lang = max(sizes, key=sizes.get)
+            del sizes[lang]
+            yield lang, held.pop(lang)
     for lang in sorted(held):
-        yield put(lang)
+        yield lang, held[lang]
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for lang, rows in _by_language(batches):
+        texts = [t for _, t in rows if t]
+        if texts:
+            a, b, k = grams_of(texts, where=False)
+            columns = [pa.array(x.astype(np.int64)) for x in (a, b, k)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(a), np.int32))), *columns], ["lang", "a", "b", "k"])
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a block: its texts, compressed."""
+    number = TaskContext.get().partitionId() << 32
+    for lang, rows in _by_language(batches):
+        texts = [t for _, t in rows]
+        data = "".join(texts).encode("utf-8", "surrogatepass")
+        packed = pa.Codec("zstd").compress(data, asbytes=True)
+        number += 1
+        lists = [pa.array([x], pa.list_(pa.int64())) for x in ([d for d, _ in rows], list(map(len, texts)))]
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([lang], pa.string()), *lists, pa.array([len(data)], pa.int64()), pa.array([packed], pa.binary())], ["block", "lang", "ids", "sizes", "n_bytes", "texts"])
+
+
+def _texts(block: pa.Table) -> tuple[str, list[str]]:
+    """The language and the texts of a block."""
+    row = {c: block.column(c)[0].as_py() for c in ("lang", "sizes", "n_bytes", "texts")}
+    whole = pa.Codec("zstd").decompress(row["texts"], row["n_bytes"], asbytes=True).decode("utf-8", "surrogatepass")
+    ends = np.cumsum(row["sizes"]).tolist()
+    return row["lang"], [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _hashed(n_shards: int):
+    """Rows of (shard, hash, log_p)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = np.array(batch.column("lang").to_pylist(), object)
+            a, b, p = (batch.column(c).to_numpy() for c in ("a", "b", "p"))
+            h = np.empty(len(a), np.uint64)
+            for lang in {*langs}:
+                own = langs == lang
+                h[own] = gram_hashes(lang, a[own], b[own])
+            shard = ((h >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(h.view(np.int64)), pa.array(np.log(p).astype(np.float32))], ["shard", "hash", "log_p"])
+
+    return run
+
+
+def _shard(rows: pa.Table) -> pa.Table:
+    """A sorted array of hashes and the array of their log probabilities."""
+    h = rows.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return pa.table({"shard": rows.column("shard").slice(0, 1).cast(pa.int64()), "hashes": pa.array([h[order].tobytes()]), "log_ps": pa.array([rows.column("log_p").to_numpy()[order].tobytes()])})
+
+
+def _ask(n_shards: int, copies: int):
+    def run(block: pa.Table) -> pa.Table:
+        lang, texts = _texts(block)
+        number, full = block.column("block")[0].as_py(), [x for x in texts if x]
+        h = np.empty(0, np.uint64)
+        if full:
+            a, b, _ = grams_of(full, where=False)
+            h = np.sort(gram_hashes(lang, a, b))
+        parts = hash_ranges(h, n_shards)
+        return pa.table({"place": pa.array([p * copies + number % copies for p, _, _ in parts], pa.int64()), "block": pa.array([number] * len(parts), pa.int64()), "asked": pa.array([h[x:y].tobytes() for _, x, y in parts], pa.binary())})
+
+    return run
+
+
+def _answer(asked: pa.Table, shard: pa.Table) -> pa.Table:
+    blobs = asked.column("asked").to_pylist()
+    if blobs:
+        keys, values = np.frombuffer(shard.column("hashes")[0].as_py(), np.uint64), np.frombuffer(shard.column("log_ps")[0].as_py(), np.float32)
+    found = []
+    for blob in blobs:
+        h = np.frombuffer(blob, np.uint64)
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        if (keys[at] != h).any():
+            raise ValueError("an n-gram was not counted")
+        found.append(values[at].tobytes())
+    return pa.table({"block": asked.column("block").cast(pa.int64()), "place": asked.column("place").cast(pa.int64()), "log_ps": pa.array(found, pa.binary())})
 
 
 def _discounts(n: np.ndarray) -> tuple[float, float, float]:
@@ -232,7 +310,7 @@ class KneserNey:
         return np.log(p)
 
 
-def probabilities(counts: DataFrame) -> DataFrame:
+def probabilities(counts: DataFrame, small: bool = True) -> DataFrame:
     """(lang, a, b, p): P(last symbol | the others) of each counted n-gram of (lang, a, b, n), by language.
 
     a and b hold two symbols each. Lower orders count the distinct symbols before an n-gram.
@@ -257,7 +335,8 @@ def probabilities(counts: DataFrame) -> DataFrame:
         for k, other in ((1, 0.5), (2, 0.75), (3, 0.9)):
             d = k - (k + 1) * y * F.col(f"c{k + 1}") / F.col(f"c{k}")
             of = of.withColumn(f"d{k}", F.when(full, F.least(F.greatest(d, F.lit(0.05)), F.lit(k - 0.05))).otherwise(F.lit(other)))
-        of = F.broadcast(of.select("lang", "d1", "d2", "d3", "kinds"))
+        of = of.select("lang", "d1", "d2", "d3", "kinds")
+        of = F.broadcast(of) if small else of
         rows = rows.withColumn("h", F.shiftright("b", BITS))
         # Integers are summed, so that the order of rows doesn't show.
         parts = [F.sum(x.cast("long")).alias(f"n{k}") for k, x in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") > 2))]
@@ -275,54 +354,55 @@ def probabilities(counts: DataFrame) -> DataFrame:
     return below
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a document, from blocks and the log probabilities of their n-grams."""
-    for batch in batches:
-        for i in range(len(batch)):
-            row = batch.slice(i, 1)
-            data = pa.Codec("zstd").decompress(row.column("texts")[0].as_py(), row.column("n_bytes")[0].as_py(), asbytes=True)
-            whole, texts, at = data.decode("utf-8", "surrogatepass"), [], 0
-            for n in row.column("sizes")[0].as_py():
-                texts.append(whole[at : at + n])
-                at += n
-            rows = [base_counts(x) for x in texts]
-            full = [k for k, x in enumerate(texts) if x]
-            logs = np.full(len(texts), np.nan)
-            if full:
-                _, _, which = grams_of([texts[k] for k in full])
-                known = row.column("known")[0].values
-                value = np.empty(len(known))
-                value[known.field("at").to_numpy()] = known.field("log_p").to_numpy()
-                sizes = np.array([len(texts[k]) for k in full])
-                logs[full] = -np.add.reduceat(value[which], np.cumsum(sizes) - sizes) / sizes
-            kinds = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-            cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)]
-            failed = pa.array([base_failed(r[0], r[4]) for r in rows], pa.bool_())
-            lang = pa.array([row.column("lang")[0].as_py()] * len(texts), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(row.column("ids")[0].as_py(), pa.int64()), lang, *cols, failed, pa.array([len(x) for x in texts], pa.int64()), pa.array(logs, pa.float64(), mask=np.isnan(logs))], ["doc_id", "lang", *kinds, "base_failed", "n_chars", "log_perplexity"])
-
-
-def bands(measured: DataFrame) -> DataFrame:
+_KINDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_MEASURES = "doc_id long, lang string, " + ", ".join(f"{k} long" for k in _KINDS) + ", base_failed boolean, n_chars long, log_perplexity double"
+
+
+def _measure(block: pa.Table, answers: pa.Table) -> pa.Table:
+    """One row a document of a block, from the log probabilities of its n-grams."""
+    lang, texts = _texts(block)
+    rows = [base_counts(x) for x in texts]
+    full = [k for k, x in enumerate(texts) if x]
+    logs = np.full(len(texts), np.nan)
+    if full:
+        a, b, which = grams_of([texts[k] for k in full])
+        # Shards are ranges of hashes: in their order, the answers are in the order of the hashes.
+        got = answers.sort_by("place").column("log_ps").to_pylist()
+        value = np.empty(len(a), np.float64)
+        value[np.argsort(gram_hashes(lang, a, b))] = np.frombuffer(b"".join(got), np.float32)
+        sizes = np.array([len(texts[k]) for k in full])
+        logs[full] = -np.add.reduceat(value[which], np.cumsum(sizes) - sizes) / sizes
+    cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)]
+    failed = pa.array([base_failed(r[0], r[4]) for r in rows], pa.bool_())
+    ids = pa.array(block.column("ids")[0].as_py(), pa.int64())
+    return pa.Table.from_arrays([ids, pa.array([lang] * len(texts), pa.string()), *cols, failed, pa.array([len(x) for x in texts], pa.int64()), pa.array(logs, pa.float64(), mask=np.isnan(logs))], ["doc_id", "lang", *_KINDS, "base_failed", "n_chars", "log_perplexity"])
+
+
+def bands(measured: DataFrame, small: bool = True) -> DataFrame:
     """(lang, center, spread): one row a language, from mergeable quantile sketches."""
     rows = measured.where("log_perplexity is not null and not base_failed")
     centers = rows.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10_000).alias("center"))
-    strays = rows.join(F.broadcast(centers), "lang").withColumn("stray", F.abs(F.col("log_perplexity") - F.col("center")) * F.sqrt("n_chars"))
+    strays = rows.join(F.broadcast(centers) if small else centers, "lang").withColumn("stray", F.abs(F.col("log_perplexity") - F.col("center")) * F.sqrt("n_chars"))
     return strays.groupBy("lang").agg(F.first("center").alias("center"), F.percentile_approx("stray", 0.5, 10_000).alias("spread"))
 
 
 def judge(docs: DataFrame, width: float = WIDTH, least: float = LEAST) -> DataFrame:
     """The contract's columns, with lang, log_perplexity and the band."""
     docs = docs.select("doc_id", "text", F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"))
-    blocks = stored(docs.mapInArrow(_cut, _BLOCK_SCHEMA), "blocks")
-    grams = blocks.select("block", "lang", F.posexplode(F.arrays_zip("a", "b", "k")).alias("at", "g")).select("block", "lang", "at", "g.a", "g.b", "g.k")
-    counts = stored(grams.groupBy("lang", "a", "b").agg(F.sum("k").alias("n")), "gram-counts")
-    found = grams.drop("k").join(probabilities(counts), ["lang", "a", "b"]).select("block", F.struct("at", F.log("p").alias("log_p")).alias("g"))
-    known = found.groupBy("block").agg(F.collect_list("g").alias("known"))
-    schema = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_chars long, log_perplexity double"
-    held = blocks.select("block", "lang", "ids", "sizes", "n_bytes", "texts").join(known, "block", "left")
-    measured = stored(held.mapInArrow(_measure, schema), "perplexities")
-    # One row a language.
-    out = measured.join(F.broadcast(bands(measured)), "lang", "left")
+    size, languages = docs.agg(F.sum(F.octet_length("text")), F.approx_count_distinct("lang")).first()
+    small = languages <= BROADCAST_LANGUAGES
+    counts = stored(docs.mapInArrow(_count, "lang string, a long, b long, k long").groupBy("lang", "a", "b").agg(F.sum("k").alias("n")), "gram-counts")
+    n_shards, copies = -(-counts.count() // SHARD) or 1, -(-(size or 0) // (BLOCK * ASKERS)) or 1
+    hashed = probabilities(counts, small).mapInArrow(_hashed(n_shards), "shard long, hash long, log_p float")
+    model = stored(hashed.groupBy("shard").applyInArrow(_shard, "shard long, hashes binary, log_ps binary"), "model")
+    # The blocks are shuffled once: asking and measuring share that exchange.
+    blocks = docs.mapInArrow(_cut, "block long, lang string, ids array<long>, sizes array<long>, n_bytes long, texts binary")
+    asked = blocks.groupBy("block").applyInArrow(_ask(n_shards, copies), "place long, block long, asked binary")
+    copied = model.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select((F.col("shard") * copies + F.col("copy")).alias("place"), "hashes", "log_ps")
+    answers = asked.groupBy("place").cogroup(copied.groupBy("place")).applyInArrow(_answer, "block long, place long, log_ps binary")
+    measured = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_measure, _MEASURES), "perplexities")
+    found = bands(measured, small)
+    out = measured.join(F.broadcast(found) if small else found, "lang", "left")
     half = F.lit(least) + width * F.col("spread") / F.sqrt(F.greatest(F.col("n_chars"), F.lit(1)))
     out = out.withColumns({"low": F.col("center") - half, "high": F.col("center") + half}).drop("center", "spread")
     inside = F.col("log_perplexity").between(F.col("low"), F.col("high"))

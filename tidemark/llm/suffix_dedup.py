@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, mix, slices, with_text
+from tidemark.llm.common import free_name, hash_ranges, mix, slices, with_text
 
 WINDOW, ANCHOR = 50, 16
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
@@ -181,20 +181,6 @@ def parts_of(text: bytes, first: int, last: int, anchor: int, places: int):
         first = end + 1
 
 
-def _bucket(h: np.ndarray, n: int) -> np.ndarray:
-    """A bucket below n; does not fall as h rises."""
-    return ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
-def _parts(h: np.ndarray, n: int) -> list[tuple[int, int, int]]:
-    """(bucket, from, to) of sorted hashes."""
-    if not len(h):
-        return []
-    p = _bucket(h, n)
-    first = np.append(True, p[1:] != p[:-1]).nonzero()[0]
-    return list(zip(p[first].tolist(), first.tolist(), [*first[1:].tolist(), len(h)], strict=True))
-
-
 def _ask(block_column: str, n_buckets: int):
     def run(table: pa.Table) -> pa.Table:
         block = table.column(block_column)[0].as_py()
@@ -202,7 +188,7 @@ def _ask(block_column: str, n_buckets: int):
         values = (h.astype(np.uint32) & np.uint32(0xFFFFFFFE)) | several.astype(np.uint32)
         # The number of runs, as a power of two.
         powers = np.ceil(np.log2(runs)).astype(np.uint8)
-        parts = _parts(h, n_buckets)
+        parts = hash_ranges(h, n_buckets)
         blobs = {k: pa.array([x[a:b].tobytes() for _, a, b in parts], pa.binary()) for k, x in (("hashes", values), ("powers", powers))}
         return pa.table({"bucket": pa.array([p for p, _, _ in parts], pa.int64()), "block": pa.array([block] * len(parts), pa.int64())} | blobs)
 
@@ -243,7 +229,7 @@ def _repeated(block: Block, answers: pa.Table, n_buckets: int) -> tuple[np.ndarr
     columns = ("bits", "hot", "levels")
     found = dict(zip(answers.column("bucket").to_pylist(), zip(*(answers.column(c).to_pylist() for c in columns), strict=True), strict=True))
     keep, level = np.zeros(len(h), bool), np.zeros(len(h), np.uint8)
-    for p, a, b in _parts(h, n_buckets):
+    for p, a, b in hash_ranges(h, n_buckets):
         if p in found:
             bits, hot, levels = found[p]
             keep[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
@@ -259,12 +245,11 @@ def _send(block_column: str, n_asked: int, n_buckets: int):
             number, least, key, _ = block.segments(*_repeated(block, answers, n_asked))
             content = list(number)
             if content:
-                q = _bucket(mix(np.array(key, np.uint64)), n_buckets)
-                order = np.argsort(q, kind="stable")
-                cuts = np.append(np.append(True, q[order][1:] != q[order][:-1]).nonzero()[0], len(order))
-                for a, b in zip(cuts, cuts[1:], strict=False):
+                h = mix(np.array(key, np.uint64))
+                order = np.argsort(h, kind="stable")
+                for bucket, a, b in hash_ranges(h[order], n_buckets):
                     own = order[a:b].tolist()
-                    for k, v in zip(rows, (int(q[own[0]]), table.column(block_column)[0].as_py(), np.array([len(content[k]) for k in own], np.uint32).tobytes(), np.array([least[k] for k in own], np.int64).tobytes(), b"".join([content[k] for k in own]), np.array(own, np.uint32).tobytes()), strict=True):
+                    for k, v in zip(rows, (bucket, table.column(block_column)[0].as_py(), np.array([len(content[k]) for k in own], np.uint32).tobytes(), np.array([least[k] for k in own], np.int64).tobytes(), b"".join([content[k] for k in own]), np.array(own, np.uint32).tobytes()), strict=True):
                         rows[k].append(v)
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), kinds, strict=True)})
