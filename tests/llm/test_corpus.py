@@ -551,18 +551,64 @@ def test_language_id(spark, docs, empty):
 
 
 def test_quality(spark, docs, rows, empty):
-    for r in quality.judge(docs.where("doc_id is not null")).collect():
-        text = dict(rows)[r.doc_id] or ""
-        w = [x for x in re.split("[\x20\x09-\x0d]+", text) if x]
-        triples = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-        covered = {i + k for i, t in enumerate(triples) if triples.count(t) > 1 for k in range(3)}
-        lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
-        assert (r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines) == (len(w), sum(map(len, w)), len(covered), len(lines) - len({*lines}))
-        assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
-        assert not (r.kept and r.base_failed)
+    got = quality.judge(docs).collect()
+    assert ordered((r.doc_id, *r[2:8]) for r in got) == ordered((d, *base_reference(t)) for d, t in rows)
+    assert not [r for r in got if r.kept and r.base_failed]
     assert quality.judge(empty).count() == 0
 
 
+def base_reference(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    text = text or ""
+    w = [x for x in re.split("[\x20\x09-\x0d]+", text) if x]
+    triples = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    count = Counter(triples)
+    covered = {i + k for i, t in enumerate(triples) if count[t] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len({*lines}), len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w)
+
+
+def test_quality_verdicts_are_the_definition(spark, monkeypatch):
+    """kept, from a model in memory and exact medians; small shards and blocks, so that several are asked."""
+    monkeypatch.setattr(quality, "SHARD", 500)
+    rng = random.Random(21)
+    rows = []
+    for lang, letters in (("xx", "abcdefghi"), ("yy", "абвгдежз"), (None, "αβγδε")):
+        vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(50)]
+        good = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(60, 150))) for _ in range(40)]
+        bad = ["".join(rng.choice(letters + " ") for _ in range(900)), "zq# " * 90, " ".join(f"{k}|{k * k}" for k in range(80)), good[0] * 60]
+        rows += [(len(rows) + k, t, lang) for k, t in enumerate([*good, *bad, "", None, good[1]])]
+    rows += [(None, rows[0][1], "xx"), rows[3]]
+    df = spark.createDataFrame([(*r, True, 1.5) for r in rows], "doc_id long, text string, lang string, kept boolean, low double")
+    want = []
+    for lang in ("xx", "yy", None):
+        own = [(d, t or "") for d, t, x in rows if x == lang]
+        symbol = lambda c: "0" if c.isdecimal() else c.lower()
+        letters = sorted({symbol(c) for _, t in own for c in t})
+        number = {c: k + 1 for k, c in enumerate(letters)}
+        numbers = lambda t: [0, 0, 0] + [number[symbol(c)] for c in t]  # noqa: B023, E731
+        codes_of = lambda t: [a * 48**3 + b * 48**2 + c * 48 + d for s in [numbers(t)] for a, b, c, d in zip(s, s[1:], s[2:], s[3:], strict=False)]  # noqa: B023, E731
+        codes, counts = np.unique([g for _, t in own for g in codes_of(t)], return_counts=True)
+        model = quality.KneserNey(codes, counts, len(letters))
+        log_p = [-model.log_probability(np.array(codes_of(t))).mean() if t else None for _, t in own]
+        sound = [k for k, (_, t) in enumerate(own) if t and not base_reference(t)[-1]]
+        median = lambda x: sorted(x)[-(-len(x) // 2) - 1]
+        center = median([log_p[k] for k in sound])
+        spread = median([abs(log_p[k] - center) * len(own[k][1]) ** 0.5 for k in sound])
+        for k, (d, t) in enumerate(own):
+            want.append((d, k in sound and abs(log_p[k] - center) <= quality.LEAST + quality.WIDTH * spread / len(t) ** 0.5))
+    got = quality.judge(df).collect()
+    assert ordered((r.doc_id, r.kept) for r in got) == ordered(want)
+    assert 100 < sum(k for _, k in want) < len(rows) - 9
+
+
+def test_quality_counts_grow_with_the_corpus(spark):
+    rng = random.Random(3)
+    text = lambda: "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(400))
+    sizes = [spark.createDataFrame([(k, text(), "zh") for k in range(n)], "doc_id long, text string, lang string").mapInArrow(quality._count, "lang string, a long, b long, k long").select("a", "b").distinct().count() for n in (20, 80)]
+    assert sizes[1] > 3.9 * sizes[0]
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(1)
     codes, counts = np.unique(rng.integers(0, 6, 4000) * 48**3 + rng.integers(0, 6, 4000) * 48**2 + rng.integers(0, 6, 4000) * 48 + rng.integers(0, 6, 4000), return_counts=True)
