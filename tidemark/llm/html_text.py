@@ -8,11 +8,13 @@ keep and drop scores the sequence of a page's blocks, and Viterbi decodes it.
 
 The field is trained here by gradient ascent on the exact conditional likelihood, on
 ``labelled_pages()``: pages generated from a fixed seed with known labels, in the layouts,
-class names and boilerplate kinds that the web has. Nothing is learned from the table.
+class names and boilerplate kinds that the web has, inside articles as well as around them.
+Nothing is learned from the table.
 
 Defined edge cases: a null or empty html gives the empty text; unclosed and stray tags are
 closed or ignored as browsers do; a page without any kept block gives the empty text;
-nothing is capped; repeated rows give repeated results; only page_id, url and html are read.
+nothing is capped, features read whole texts; repeated rows give repeated results, a null
+page_id stays null; only page_id, url and html are read. The text of formulas (math) is text.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 
 #: Fixed values of HTML: elements without content, elements whose text is never shown, block-level elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object textarea title select option".split())
+RAW = frozenset("script style noscript template svg iframe object textarea title select option".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that an opening block-level tag closes when they are open: a paragraph by any block, others by their like.
 CLOSED_BY_LIKE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "option": {"select"}}
@@ -48,29 +50,32 @@ def unescape(raw: str) -> str:
     return "&".join([html_module.unescape(x) if "&" in x else x for x in raw.split("&amp;")])
 
 
+Element = tuple[str, frozenset[str]]
+
+
 class Block:
-    """A leaf block: its open elements (outermost first), the words of their names, its text."""
+    """A leaf block: its open elements (outermost first) with the words of their names, its text."""
 
-    __slots__ = ("link_chars", "names", "tags", "text")
+    __slots__ = ("link_chars", "path", "text")
 
-    def __init__(self, tags: tuple[str, ...], names: frozenset[str], text: str, link_chars: int):
-        self.tags, self.names, self.text, self.link_chars = tags, names, text, link_chars
+    def __init__(self, path: tuple[Element, ...], text: str, link_chars: int):
+        self.path, self.text, self.link_chars = path, text, link_chars
 
 
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[Element] = []
     held: list[str] = []
     link_chars = 0
-    shown: tuple[tuple[str, frozenset[str]], ...] = ()
+    shown: tuple[Element, ...] = ()
 
     def flush() -> None:
         nonlocal link_chars
         if held:
             text = " ".join("".join(held).split())
             if text:
-                out.append(Block(tuple(t for t, _ in shown), frozenset().union(*(n for _, n in shown)), text, link_chars))
+                out.append(Block(shown, text, link_chars))
             held.clear()
         link_chars = 0
 
@@ -110,7 +115,7 @@ def blocks_of(page: str) -> list[Block]:
         attrs = m[3] or ""
         if tag in RAW:
             end = _RAW_END[tag].search(page, at)
-            if attrs.rstrip().endswith("/") and tag in ("svg", "math", "iframe"):
+            if attrs.rstrip().endswith("/") and tag in ("svg", "iframe"):
                 continue
             if end is None:
                 at = n if tag in ("script", "style", "title", "textarea") else at
@@ -176,40 +181,57 @@ _TAGS = ("article", "main", "nav", "header", "footer", "aside", "form", "section
 _HINTS = re.compile(r"©|\(c\)|copyright|all rights|cookie|privacy|subscribe|newsletter|sign up|log ?in|share (?:this|on)|advert|sponsored", re.I)
 
 
+#: Elements that say what they are for by themselves: the article, or what is around it.
+_BODY, _AROUND = frozenset(("article", "main")), frozenset(("nav", "header", "footer", "aside", "form", "dialog", "menu"))
+
+
 def _feature_names() -> list[str]:
     names = ["bias", "first", "last"]
     names += [f"in:{t}" for t in _TAGS] + [f"leaf:{t}" for t in _TAGS]
     names += [f"name:{k}" for k in NAME_KINDS]
+    names += [f"near:{t}" for t in (*sorted(_BODY), *sorted(_AROUND), "nothing")] + [f"near name:{k}" for k in NAME_KINDS]
+    names += [f"inner:{k}" for k in ("body", "around", "around in body", "nothing")] + ["heading of the article's header"]
     names += [f"words:{k}" for k in range(6)] + [f"links:{k}" for k in range(4)]
-    names += ["stop", "comma", "hint", "digits", "depth:low", "depth:high", "article and comments", "nothing said"]
+    names += ["stop", "comma", "hint:short", "hint:long", "digits", "depth:low", "depth:high"]
     return names
 
 
 FEATURES = {name: k for k, name in enumerate(_feature_names())}
 
 
+def _path_features(path: tuple[Element, ...]) -> list[int]:
+    """Features of a block's ancestors."""
+    # Names on html and body speak of the page.
+    path = tuple(x for x in path if x[0] not in ("html", "body"))
+    tags = {t for t, _ in path}
+    kinds = [{_KIND[w] for w in names if w in _KIND} for _, names in path]
+    found = ["bias", *(f"in:{t}" for t in tags if f"in:{t}" in FEATURES), *(f"name:{k}" for k in set().union(*kinds))]
+    leaf = next((t for t, _ in reversed(path) if t in BLOCK), "")
+    if f"leaf:{leaf}" in FEATURES:
+        found.append(f"leaf:{leaf}")
+    near = next((i for i in range(len(path) - 1, -1, -1) if kinds[i] or path[i][0] in _BODY or path[i][0] in _AROUND), None)
+    if near is None:
+        found.append("near:nothing")
+    else:
+        found += [f"near name:{k}" for k in kinds[near]] + [f"near:{path[near][0]}"] * (f"near:{path[near][0]}" in FEATURES)
+    # What the innermost element that says it is for: in one element, a name of what is around articles counts more.
+    uses = ["around" if t in _AROUND or k - {"body"} else "body" if t in _BODY or k else "" for (t, _), k in zip(path, kinds, strict=True)]
+    inner = next((u for u in reversed(uses) if u), "nothing")
+    found.append("inner:" + ("around in body" if inner == "around" and "body" in uses else inner))
+    if near is not None and path[near][0] == "header" and "article" in tags and leaf in ("h1", "h2"):
+        found.append("heading of the article's header")
+    found.append("depth:low" if len(path) < 4 else "depth:high")
+    return [FEATURES[f] for f in found]
+
+
 def features_of(blocks: list[Block]) -> list[list[int]]:
     """Indices of the features that hold, for each block."""
     out = []
     context: dict[tuple, list[int]] = {}
     for i, b in enumerate(blocks):
-        key = (b.tags, b.names)
-        known = context.get(key)
+        known = context.get(b.path)
         if known is None:
-            tags = set(b.tags)
-            kinds = {_KIND[w] for w in b.names if w in _KIND}
-            known = [FEATURES["bias"]]
-            known += [FEATURES[f"in:{t}"] for t in tags if f"in:{t}" in FEATURES]
-            leaf = next((t for t in reversed(b.tags) if t in BLOCK), "")
-            if f"leaf:{leaf}" in FEATURES:
-                known.append(FEATURES[f"leaf:{leaf}"])
-            known += [FEATURES[f"name:{k}"] for k in kinds]
-            known.append(FEATURES["depth:low" if len(b.tags) < 5 else "depth:high"])
-            if "article" in tags and "comments" in kinds:
-                known.append(FEATURES["article and comments"])
-            if not kinds and not tags & {"article", "main", "nav", "header", "footer", "aside", "form"}:
-                known.append(FEATURES["nothing said"])
-            context[key] = known
+            known = context[b.path] = _path_features(b.path)
         f = known.copy()
         words = b.text.count(" ") + 1
         f.append(FEATURES[f"words:{0 if words < 2 else 1 if words < 5 else 2 if words < 10 else 3 if words < 20 else 4 if words < 60 else 5}"])
@@ -219,9 +241,9 @@ def features_of(blocks: list[Block]) -> list[list[int]]:
             f.append(FEATURES["stop"])
         if "," in b.text:
             f.append(FEATURES["comma"])
-        if len(b.text) < 400 and _HINTS.search(b.text):
-            f.append(FEATURES["hint"])
-        if sum(map(str.isdigit, b.text[:200])) * 4 > min(200, len(b.text)):
+        if _HINTS.search(b.text):
+            f.append(FEATURES["hint:short" if words < 60 else "hint:long"])
+        if sum(map(b.text.count, "0123456789")) * 4 > len(b.text):
             f.append(FEATURES["digits"])
         if i == 0:
             f.append(FEATURES["first"])
@@ -306,7 +328,7 @@ def train(pages: list[tuple[list[list[int]], list[int]]], rounds: int = 25, rate
     return crf
 
 
-def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[int]]]:
+def labelled_pages(n: int = 400, seed: int = 7) -> list[tuple[str, list[int]]]:
     """Generated pages with a label for each leaf block. No word of them is a feature by itself."""
     rng = random.Random(seed)
 
@@ -339,7 +361,7 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[int]]]:
             return "".join(f'<li><a href="/{i}">{words(1, 3)}</a></li>' for i in range(k))
 
         def boiler(k: int) -> None:
-            kind = rng.choice(["ad", "ad", "side", "notice", "menu", "form", "share", "crumbs"])
+            kind = rng.choice(["ad", "ad", "side", "notice", "menu", "form", "share", "crumbs", "plain aside", "dialog", "remarks"])
             if kind == "ad":
                 put(f"<div{pick('ad', 'ads', 'advert', 'ad-banner', 'sponsored', 'promo-box')}>{words(3, 40)}</div>", 0)
             elif kind == "side":
@@ -351,6 +373,18 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[int]]]:
             elif kind == "menu":
                 k = rng.randint(2, 7)
                 put(f"<{'nav' if rng.random() < 0.7 else 'div' + pick('menu', 'navbar')}><ul>{links(k)}</ul></nav></div>", 0, k)
+            elif kind == "plain aside":
+                if rng.random() < 0.5:
+                    put(f"<aside>{words(1, 30)}</aside>", 0)
+                else:
+                    put(f"<aside><h4>{words(1, 4)}</h4><p>{words(4, 60)}</p></aside>", 0, 2)
+            elif kind == "dialog":
+                put(rng.choice([f"<dialog open><p>{words(3, 30)}</p></dialog>", f'<div role="alert">{words(3, 30)}</div>']), 0)
+            elif kind == "remarks":
+                k = rng.randint(1, 4)
+                tag = rng.choice(["section", "div", "ol"])
+                item = "li" if tag == "ol" else rng.choice(["p", "div"])
+                put(f"<{tag}{pick('comments', 'comment-list', 'reader-comments', 'replies', 'discussion')}>" + "".join(f"<{item}>{words(1, 90)}</{item}>" for _ in range(k)) + f"</{tag}>", 0, k)
             elif kind == "form":
                 put(f"<form action=/s><label>{words(1, 4)}</label> <input name=q><button>{words(1, 2)}</button></form>", 0)
             elif kind == "share":
@@ -358,7 +392,7 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[int]]]:
             else:
                 put(f"<div{pick('breadcrumbs', 'breadcrumb')}><a href=/>{words(1, 2)}</a> &gt; <a href=/x>{words(1, 2)}</a></div>", 0)
 
-        parts.append("<!DOCTYPE html><html><head><title>x</title></head><body>")
+        parts.append("<!DOCTYPE html><html><head><title>x</title></head><body" + rng.choice(["", "", ' class="ads-on page sidebar-left"', ' id="top"']) + ">")
         if rng.random() < 0.6:
             put(f"<header{pick('masthead', 'site-header', 'top')}><p>{words(1, 8)}</p></header>", 0)
         if rng.random() < 0.8:
@@ -368,9 +402,16 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[int]]]:
             boiler(k)
         opened, closed = rng.choice([("<article>", "</article>")] * 4 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), (f"<div{pick('content', 'post-content', 'entry', 'article-body', 'main-text')}>", "</div>"), ('<div id="main"><section>', "</section></div>"), ("<div>", "</div>")])
         parts.append(opened)
-        if rng.random() < 0.85:
+        start = rng.random()
+        if start < 0.7:
             put(f"<h1>{words(1, 12)}</h1>", 1)
+        elif start < 0.85 and "<article>" in opened:
+            put(f"<header><h1>{words(1, 12)}</h1>", 1)
+            put(f"<p{pick('byline', 'author', 'meta')}>{words(1, 5)}</p></header>", 0)
+        busy = rng.choice([0.0, 0.1, 0.35])
         for k in range(rng.randint(1, 12)):
+            if rng.random() < busy:
+                boiler(k)
             kind = rng.random()
             if kind < 0.62:
                 put(f"<p>{words(1, 120)}</p>", 1)
@@ -386,8 +427,14 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[int]]]:
                 put(f"<table><tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr></table>", 1, 2)
             elif kind < 0.92:
                 put(f"<p>{words(4, 30)} <a href=/y>{words(1, 4)}</a> {words(4, 30)}</p>", 1)
+            elif kind < 0.95:
+                put(f"<figure><img src=x><figcaption>{words(2, 20)}</figcaption></figure>", 1)
+            elif kind < 0.97:
+                put(f"<pre>{words(2, 30)}</pre>", 1)
             else:
                 boiler(k)
+        if rng.random() < 0.1 and "<article>" in opened:
+            put(f"<footer>{words(1, 12)}</footer>", 0)
         if rng.random() < 0.15:
             put(f"<div{pick('comments', 'comment-list')}><p>{words(3, 40)}</p><p>{words(3, 40)}</p></div>", 0, 2)
         parts.append(closed)
