@@ -476,6 +476,28 @@ def test_html_extraction(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+#: Hand-written pages in layouts that the generator of labelled pages doesn't have, and their main texts.
+BY_HAND = [
+    ("<article><p>One long paragraph of the article, with a comma and quite a few words in it.</p><div class=comments><p>First!</p><p>I don't agree with any of this, and here is a long reason why.</p></div><aside>Side</aside><p>Last</p></article>", ["One long paragraph of the article, with a comma and quite a few words in it.", "Last"]),
+    ("<body class='has-sidebar ads'><div id=wrap><div class='top-menu'><a href=/>Home</a> <a href=/b>Blog</a></div><article class=post><header><h1>A title</h1></header><p>Formula <math><mi>x</mi></math> and more words, as it goes on.</p><div class='ad-slot'>Buy now and save, only today, with free delivery for all of you.</div><p>The end of it.</p></article><footer>© 2020 Someone</footer></div>", ["A title", "Formula x and more words, as it goes on.", "The end of it."]),
+    ("<main><h1>News</h1><p>It was cold in the north of the country, and snow fell until the evening.</p><aside><h3>Related</h3><ul><li><a href=1>Other</a></li><li><a href=2>Another story</a></li></ul></aside><h2>South</h2><p>It was warm there.</p><ul><li>Ten degrees at noon</li><li>Eight at night</li></ul><form><label>Your mail</label><button>Send</button></form></main>", ["News", "It was cold in the north of the country, and snow fell until the evening.", "South", "It was warm there.", "Ten degrees at noon", "Eight at night"]),
+    ("<nav><ul><li><a href=/>Home</a><li><a href=/x>X</a></ul></nav><div class=cookie-banner>We use cookies to make this page better for you. <button>Accept</button></div><div class=entry-content><p>The first one of two.<p>The second one, which says a little more than the first.</div><section id=comments><h3>2 replies</h3><div class=comment><p>Nice article, thank you very much for writing it.</p></div></section>", ["The first one of two.", "The second one, which says a little more than the first."]),
+    ("<article><h1>Privacy, cookies and you</h1><p>This long text is about what a cookie is, who has copyright, and what to subscribe to, as an article may well be; it is one and has no other part than this.</p><nav><a href=#a>Up</a></nav><figure><img src=a><figcaption>A cookie on a plate</figcaption></figure></article>", ["Privacy, cookies and you", "This long text is about what a cookie is, who has copyright, and what to subscribe to, as an article may well be; it is one and has no other part than this.", "A cookie on a plate"]),
+]
+
+
+@pytest.mark.parametrize("page, want", BY_HAND)
+def test_html_pages_by_hand(page, want):
+    assert html_text.main_text(page, html_text.trained()).split("\n\n") == want
+
+
+def test_html_of_long_and_repeated_pages(spark):
+    long = "<article>" + "".join(f"<p>Paragraph {k} of a very long page, with words &amp; more.</p>" for k in range(40_000)) + "</article>"
+    df = spark.createDataFrame([(None, "u", long), (3, "v", long), (3, "v", long)], "page_id long, url string, html string")
+    for r in html_text.extract(df).collect():
+        assert r.text.count("\n\n") == 39_999 and r.n_chars == len(r.text) and "39999 of a very long page, with words & more." in r.text
+
+
 def test_html_raw_ends_after_letters_that_grow_in_lower_case():
     page = "<p>" + "İ" * 40 + "</p><script>var a;</SCRIPT><p>one two</p><style>b</style><p>three</p>"
     assert [b.text for b in html_text.blocks_of(page)] == ["İ" * 40, "one two", "three"]
