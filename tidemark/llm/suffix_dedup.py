@@ -38,6 +38,7 @@ text only, rewritten() keeps columns of any name.
 from __future__ import annotations
 
 import hashlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
 #: Suffixes that are sorted at a time.
 RANGE_SUFFIXES = 1 << 19
 #: Bytes whose anchors are computed at a time.
-_SLICE = 1 << 20
+_SLICE = 1 << 17
 _LAST = np.iinfo(np.int64).max
 #: Of anchors by how hot they are: in how many places of the window an anchor may stand within one part of a run.
 PLACES = (WINDOW - ANCHOR + 1, 18, 9, 1)
@@ -200,7 +201,7 @@ def _answer(hot_runs: int):
         blobs = table.column("hashes").to_pylist()
         values = np.frombuffer(b"".join(blobs), np.uint32)
         h = values >> np.uint32(1)
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         same = h[order[1:]] == h[order[:-1]]
         repeated = (values & np.uint32(1)).astype(bool)
         # A hash that two documents of one block hold is repeated in every block that holds it.
@@ -246,7 +247,7 @@ def _send(block_column: str, n_asked: int, n_buckets: int):
             content = list(number)
             if content:
                 h = mix(np.array(key, np.uint64))
-                order = np.argsort(h, kind="stable")
+                order = np.argsort(h)
                 for bucket, a, b in hash_ranges(h[order], n_buckets):
                     own = order[a:b].tolist()
                     for k, v in zip(rows, (bucket, table.column(block_column)[0].as_py(), np.array([len(content[k]) for k in own], np.uint32).tobytes(), np.array([least[k] for k in own], np.int64).tobytes(), b"".join([content[k] for k in own]), np.array(own, np.uint32).tobytes()), strict=True):
@@ -260,6 +261,7 @@ def _send(block_column: str, n_asked: int, n_buckets: int):
 _FIRST = [next(d for d in range(PERIOD) if (r + d) % PERIOD in COVER) for r in range(PERIOD)]
 
 
+@cache
 def cover_distance(r: int, s: int) -> int:
     """The least distance at which suffixes of residues r and s both reach a cover position."""
     return next(d for d in range(PERIOD) if (r + d) % PERIOD in COVER and (s + d) % PERIOD in COVER)
@@ -295,7 +297,7 @@ def sample_ranks(text: np.ndarray) -> np.ndarray:
 
 def _names(values: np.ndarray) -> np.ndarray:
     """1, 2, ... in the order of the distinct values."""
-    order = np.argsort(values, kind="stable")
+    order = np.argsort(values)
     ordered = values[order]
     out = np.empty(len(values), np.uint32)
     out[order] = np.cumsum(np.append(True, ordered[1:] != ordered[:-1]))[: len(values)]
@@ -327,7 +329,7 @@ def _tied(group: np.ndarray) -> np.ndarray:
 
 
 def _sorted_range(wide: np.ndarray, ranks: np.ndarray, starts: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    order = np.argsort(heads, kind="stable")
+    order = np.argsort(heads)
     starts, heads = starts[order], heads[order]
     group = np.cumsum(np.append(True, heads[1:] != heads[:-1]))
     # The next eight bytes, of what is still tied; groups are split, not renumbered in order.
@@ -337,7 +339,7 @@ def _sorted_range(wide: np.ndarray, ranks: np.ndarray, starts: np.ndarray, heads
             return starts
         g, s = group[tied], starts[tied]
         key = wide[s + at].astype(np.uint64)
-        by = np.lexsort((key, g))
+        by = np.argsort(g.astype(np.uint64) << np.uint64(32) | _names(key))
         g, s, key = g[by], s[by], key[by]
         starts[tied] = s
         split = np.zeros(len(group), bool)
@@ -358,7 +360,7 @@ def _sorted_range(wide: np.ndarray, ranks: np.ndarray, starts: np.ndarray, heads
     lists = []
     for r in range(PERIOD):
         own = (residue == r).nonzero()[0]
-        lists.append(own[np.argsort(g[own] | padded[pos[own] + _FIRST[r]], kind="stable")])
+        lists.append(own[np.argsort(g[own] | padded[pos[own] + _FIRST[r]])])
     place = np.zeros(len(tied), np.int64)
     for r, own in enumerate(lists):
         if not len(own):
