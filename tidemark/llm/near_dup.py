@@ -38,6 +38,7 @@ any id one row; an empty table gives no rows; only doc_id and text are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +55,9 @@ BANDS, ROWS = 24, 5
 SMALL = 16
 #: Rounds of stars before the prefix join; any number gives the same classes.
 ROUNDS = 4
+#: Slots of the counts that order shingles by frequency: 8 MB, whatever the corpus; any number gives the same classes.
+SLOTS = 1 << 20
+_SLOT_SHIFT = np.uint64(44)
 #: 64-bit words of the parity bitmap of a shingle set; any number gives the same classes.
 PARITY_WORDS = 8
 _HELD = 400_000
@@ -256,15 +260,56 @@ def _pairs_of(members: DataFrame, small: int) -> DataFrame:
     return few.unionByName(many.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))).distinct()
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each shingle of each set, a bounded number of sets at a time."""
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of the sets fall into each slot."""
+    counts = np.zeros(SLOTS, np.int64)
     for batch in batches:
-        sets = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
-        for a, b in slices((len(x) for x in sets), 1 << 18):
-            sizes = [len(x) for x in sets[a:b]]
-            at = pa.array(np.repeat(np.arange(a, b), sizes))
-            flat = pa.array(np.concatenate(sets[a:b]))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), flat], ["id", "shingle"])
+        # All sets of a batch at once: they lie in a row.
+        s = np.frombuffer(b"".join([x.as_buffer() for x in batch.column("shingles")]), np.uint64)
+        slot, n = np.unique((s >> _SLOT_SHIFT).astype(np.int64), return_counts=True)
+        counts[slot] += n
+    (slot,) = counts.nonzero()
+    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(counts[slot])], ["slot", "n"])
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """Shingles by slot, summed by Spark: SLOTS rows at most come back, whatever the corpus."""
+    rows = sets.mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    return out
+
+
+def _prefixes(threshold: float, words: int, shipped):
+    """One row for each shingle of a set's prefix, with the set's size and parity bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequency = shipped.value
+        for batch in batches:
+            of, n, at, shingle, maps = [], [], [], [], []
+            for k, x in enumerate(batch.column("shingles")):
+                s = np.frombuffer(x.as_buffer(), np.uint64)
+                f = frequency[(s >> _SLOT_SHIFT).astype(np.int64)]
+                # One order for all sets: rare slots first.
+                order = np.lexsort((s, f))[: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1]
+                (where,) = (f[order] > 1).nonzero()
+                parity = np.zeros(max(words, 1), np.uint64)
+                np.bitwise_xor.at(parity, ((s >> np.uint64(6)) % np.uint64(max(words, 1))).astype(np.int64), np.uint64(1) << (s & np.uint64(63)))
+                of.append(np.full(len(where), k))
+                n.append(np.full(len(where), len(s)))
+                at.append(where)
+                shingle.append(s[order[where]])
+                maps.append(parity[:words])
+            if not of:
+                continue
+            of = np.concatenate(of)
+            maps = np.array(maps).view(np.int64)[of]
+            columns = [batch.column(c).take(pa.array(of)) for c in ("id", "label", "buckets")]
+            columns += [pa.array(np.concatenate(x).astype(np.uint64).view(np.int64)) for x in (n, at, shingle)]
+            columns += [pa.array(maps[:, k]) for k in range(words)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "label", "buckets", "n", "at", "shingle", *(f"m{k}" for k in range(words))])
+
+    return run
 
 
 def _apart(large: DataFrame) -> DataFrame:
@@ -277,25 +322,18 @@ def _apart(large: DataFrame) -> DataFrame:
 def _prefix_pairs(apart: DataFrame, sets: DataFrame, threshold: float, words: int = PARITY_WORDS) -> DataFrame:
     """Pairs a < b of different labels with a common bucket that may reach the threshold.
 
-    apart: (id, label, buckets). Prefix and positional filtering over the shingles, rarest
-    first: at the first shingle two sets share, they can share no more than what follows in
+    apart: (id, label, buckets). Prefix and positional filtering over the shingles, those of rare
+    slots first (any order that all sets share gives the same pairs in the end): at the first shingle two sets share, they can share no more than what follows in
     the shorter rest. A shingle of one label gives no pair. Shared passages are frequent, so
     they stay out of prefixes. Parity bitmaps bound the overlap too: two sets differ in at
     least as many shingles as their bitmaps differ in bits. No bound rules out a pair at the
     threshold.
     """
-    rows = apart.join(sets, "id").select("id", "shingles")
-    rows = stored(rows.mapInArrow(_shingle_rows, "id long, shingle long"), "apart-shingles")
-    ordered = rows.join(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")), "shingle")
-    # The array is one text's own set.
-    bit = F.expr("shiftleft(1L, cast(shingle & 63 as int))")
-    word = F.pmod(F.shiftright("shingle", 6), F.lit(max(words, 1)))
-    parity = [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"m{k}") for k in range(words)]
-    texts = ordered.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"), *parity).withColumn("n", F.size("s"))
+    rows = stored(apart.join(sets, "id"), "apart-sets")
+    shipped = rows.sparkSession.sparkContext.broadcast(_frequencies(rows.select("shingles")))
     maps = [f"m{k}" for k in range(words)]
-    length = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
-    prefix = texts.select("id", "n", *maps, F.posexplode(F.slice("s", F.lit(1), length)).alias("at", "s")).where("s.df > 1")
-    prefix = stored(prefix.join(apart, "id").select("id", "label", "buckets", "n", "at", *maps, F.col("s.shingle").alias("shingle")), "prefixes")
+    schema = "id long, label long, buckets array<long>, n long, at long, shingle long" + "".join(f", {m} long" for m in maps)
+    prefix = stored(rows.mapInArrow(_prefixes(threshold, words, shipped), schema), "prefixes")
     several = prefix.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle")
     kept = prefix.join(several, "shingle", "left_semi")
     a = kept.select("shingle", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("buckets").alias("ba"), *[F.col(m).alias(f"a{m}") for m in maps])
