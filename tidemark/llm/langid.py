@@ -42,7 +42,7 @@ ORDERS = (4, 3, 2, 1)
 #: Up to so many rows, one a language, the limits are broadcast.
 BROADCAST_LANGUAGES = 10_000
 #: Words that a worker remembers the scores of.
-WORDS_HELD = 600_000
+WORDS_HELD = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -66,6 +66,10 @@ def units(word: str, order: int) -> list[str]:
     return [marked[i : i + order] for i in range(len(marked) - order + 1)]
 
 
+#: The model that this process predicts with.
+_IN_USE: list[WordFirstModel] = []
+
+
 class WordFirstModel:
     """Log frequencies by language: ``words`` and, for each order, ``grams``."""
 
@@ -76,8 +80,7 @@ class WordFirstModel:
         self.words = self._table(counts, 0)
         self.grams = {n: self._table(counts, n) for n in self.orders}
         self.floor = min([float(logs.min()) for _, logs in [self.words, *self.grams.values()] if logs.size], default=0.0) - 1
-        self._seen: dict[str, int] = {}
-        self._scores = np.zeros((1024, len(languages)))
+        self._forget()
 
     def _table(self, counts, order: int) -> tuple[dict[str, int], np.ndarray]:
         """The row of each unit, and rows of log frequencies by language."""
@@ -113,6 +116,18 @@ class WordFirstModel:
             places += 1
         return total / max(1, places)
 
+    def use(self) -> WordFirstModel:
+        """This model; the scores that the process remembers of another one go, so that models of earlier queries cost no more than their tables."""
+        for other in _IN_USE:
+            if other is not self:
+                other._forget()
+        _IN_USE[:] = [self]
+        return self
+
+    def _forget(self) -> None:
+        self._seen = {}
+        self._scores = np.zeros((1024, len(self.languages)))
+
     def _index(self, word: str) -> int:
         k = self._seen[word] = len(self._seen)
         if k == len(self._scores):
@@ -125,7 +140,7 @@ class WordFirstModel:
         if not words or not self.languages:
             return UNKNOWN, 0.0
         if len(self._seen) > WORDS_HELD:
-            self._seen.clear()
+            self._forget()
         seen = self._seen
         for w in {*words}.difference(seen):
             self._index(w)
@@ -190,7 +205,7 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int =
 
 def _predict(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
+        model = shipped.value.use()
         for batch in batches:
             ids, held, lang, score = batch.column("doc_id").to_pylist(), [], [], []
             texts = texts_of(batch, "text")
@@ -218,7 +233,7 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 
 def _identified(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shipped.value
+        model = shipped.value.use()
         for batch in batches:
             yield batch.filter(pa.array([model.predict(x)[0] != UNKNOWN for x in texts_of(batch, "text")], pa.bool_()))
 

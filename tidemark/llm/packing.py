@@ -41,7 +41,7 @@ GROUP_DOCS = 4096
 #: Fixed: the regular expression that byte-level tokenizers split texts by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Chunks that a worker remembers the ids of.
-CHUNKS_HELD = 500_000
+CHUNKS_HELD = 300_000
 
 
 class TournamentTree:
