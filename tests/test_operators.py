@@ -1,5 +1,7 @@
 """DataFrame operators: goldens, round trips, and many series against one at a time."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +164,29 @@ def test_streams(spark, two, tmp_path):
         q.stop()
     rows = spark.table("online").where("series_id = 'wineind'").orderBy("t").collect()
     assert [r.t for r in rows] == [40, 51] and rows[1].refused == 2 and rows[1].n == 51 and rows[1].yhat > 0
+
+
+def test_one_bad_series_costs_no_other(spark):
+    rng = np.random.default_rng(3)
+    rows = [("a", t, float(y)) for t, y in enumerate(rng.normal(size=40))] + [("b", t, float(t)) for t in range(8)] + [("c", t, math.inf if t == 5 else float(t % 3)) for t in range(30)]
+    df = spark.createDataFrame(rows, "series_id string, t long, y double")
+    for stepwise in (True, False):
+        found = {r.series_id: r for r in auto.AutoARIMA(d=3 if stepwise else None, start_p=0, start_q=0, max_p=1, max_q=1, seasonal=False, stepwise=stepwise).fit(df).collect()}
+        assert set(found) == {"a", "b", "c"}
+        assert found["a"].error is None and found["c"].error
+
+
+def test_diff_inv_with_heads(spark):
+    rng = np.random.default_rng(4)
+    y = rng.normal(size=20).round(3)
+    df = spark.createDataFrame([("s", t, float(v)) for t, v in enumerate(y)], "series_id string, t long, y double")
+    for lag, times in ((1, 1), (2, 1), (1, 3), (3, 2)):
+        back = windows.diff_inv(windows.diff(df, lag, times).select("series_id", "t", "y"), lag, times, y[: lag * times].tolist())
+        assert np.allclose([r.y for r in back.orderBy("t").collect()], y)
+    with pytest.raises(ValueError):
+        windows.diff_inv(df, 2, 2, [1.0])
+
+
+def test_smape_of_zeros_is_nan(spark):
+    df = spark.createDataFrame([("s", 0.0, 0.0), ("s", 1.0, 2.0)], "series_id string, y double, yhat double")
+    assert math.isnan(metrics.score(df, ["smape"]).first().smape)

@@ -106,7 +106,11 @@ class AutoARIMA:
     # Tables
 
     def fit(self, df: DataFrame, exog: list[str] | None = None, return_all: bool = False) -> DataFrame:
-        """The best model row of each series (return_all: every valid one, with its rank)."""
+        """The best model row of each series (return_all: every valid one, with its rank).
+
+        A series that can't be modelled gets a row with an error, and doesn't fail the others,
+        unless error_action is "raise".
+        """
         exog = exog or []
         config, bounds = self, dict(_context.get())
         rows = df.select("series_id", "t", "y", *exog)
@@ -114,9 +118,16 @@ class AutoARIMA:
             return self._grid(rows, exog, return_all)
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            found = search(config, *arrays(pdf, exog), bounds)
+            found, why = [], NO_CANDIDATE
+            try:
+                found = search(config, *arrays(pdf, exog), bounds)
+            except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:
+                if config.error_action == "raise":
+                    raise
+                why = f"{type(e).__name__}: {e}"
             if not found:
-                return model_frame(pdf.series_id.iloc[0], None, math.nan, None, "ValueError: no candidate has a finite criterion", exog)
+                frame = model_frame(pdf.series_id.iloc[0], None, math.nan, None, why, exog)
+                return frame.assign(rank=1) if return_all else frame
             frames = [model_frame(pdf.series_id.iloc[0], made, oob, preds, None, exog) for made, oob, preds in (found if return_all else found[:1])]
             return pd.concat([f.assign(rank=k + 1) for k, f in enumerate(frames)]) if return_all else frames[0]
 
@@ -127,16 +138,25 @@ class AutoARIMA:
         config = self
 
         def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-            candidates = grid(config, *arrays(pdf, exog))
-            return pd.DataFrame([(pdf.series_id.iloc[0], k, *o, *s, c) for k, (o, s, c) in enumerate(candidates)], columns=["series_id", "candidate", "p", "d", "q", "sp", "sd", "sq", "m", "c"])
-
-        plans = rows.groupBy("series_id").applyInPandas(plan, "series_id string, candidate int, p int, d int, q int, sp int, sd int, sq int, m int, c boolean")
+            columns = ["series_id", "candidate", "p", "d", "q", "sp", "sd", "sq", "m", "c", "why"]
+            try:
+                candidates = grid(config, *arrays(pdf, exog))
+            except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:
+                if config.error_action == "raise":
+                    raise
+                return pd.DataFrame([(pdf.series_id.iloc[0], 0, *[0] * 7, False, f"{type(e).__name__}: {e}")], columns=columns)
+            return pd.DataFrame([(pdf.series_id.iloc[0], k, *o, *s, c, None) for k, (o, s, c) in enumerate(candidates)], columns=columns)
+
+        plans = rows.groupBy("series_id").applyInPandas(plan, "series_id string, candidate int, p int, d int, q int, sp int, sd int, sq int, m int, c boolean, why string")
         packed = rows.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("t", "y", *exog))).alias("rows"))
         tasks = plans.join(packed, "series_id").repartition("series_id", "candidate")
 
         def run(frames):
             for pdf in frames:
                 for r in pdf.to_dict("records"):
+                    if r["why"]:
+                        yield model_frame(r["series_id"], None, math.nan, None, r["why"], exog)
+                        continue
                     one = pd.DataFrame([dict(x) if isinstance(x, dict) else x.asDict() for x in r["rows"]])
                     model = replace(config.base(), order=(r["p"], r["d"], r["q"]), seasonal_order=(r["sp"], r["sd"], r["sq"], r["m"]), with_intercept=bool(r["c"]))
                     made, oob, preds, error = fit_one(model, *arrays(one.assign(series_id=r["series_id"]), exog))
@@ -146,11 +166,18 @@ class AutoARIMA:
 
         fits = tasks.mapInPandas(run, MODEL_SCHEMA)
         ic = F.col(self.information_criterion)
-        w = Window.partitionBy("series_id").orderBy(ic, "fit_time")
-        ranked = fits.where(F.col("error").isNull() & ~F.isnan(ic) & (ic < math.inf)).withColumn("rank", F.row_number().over(w))
+        valid = F.coalesce(F.col("error").isNull() & ~F.isnan(ic) & (ic < math.inf), F.lit(False))
+        # Series without a valid fit keep one row, with its error.
+        w = Window.partitionBy("series_id").orderBy(F.desc("valid"), ic, "fit_time")
+        ranked = fits.withColumn("valid", valid).withColumn("rank", F.row_number().over(w)).where("valid or rank = 1")
+        ranked = ranked.withColumn("error", F.when(~F.col("valid"), F.coalesce("error", F.lit(NO_CANDIDATE)))).drop("valid")
         return ranked if return_all else ranked.where("rank = 1").drop("rank")
 
 
+#: The error of a series none of whose fits is valid.
+NO_CANDIDATE = "ValueError: no candidate has a finite criterion"
+
+
 def auto_arima(df: DataFrame, exog: list[str] | None = None, return_valid_fits: bool = False, **options) -> DataFrame:
     return AutoARIMA(**options).fit(df, exog, return_valid_fits)
 

@@ -11,8 +11,9 @@ from tidemark.operators.series import whole
 
 
 def smape(y: Column, yhat: Column) -> Column:
-    """Symmetric mean absolute percentage error, 0 to 200; null where both are zero."""
-    return F.avg(F.try_divide(200 * F.abs(yhat - y), F.abs(yhat) + F.abs(y)))
+    """Symmetric mean absolute percentage error, 0 to 200; NaN if both are zero anywhere."""
+    size = F.abs(yhat) + F.abs(y)
+    return F.avg(F.when(size == 0, F.lit(float("nan"))).otherwise(F.try_divide(200 * F.abs(yhat - y), size)))
 
 
 def _r2(y: Column, yhat: Column) -> Column:

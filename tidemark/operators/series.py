@@ -28,7 +28,7 @@ def regular(events: DataFrame, key: str | Column, ts: str, value: Column, unit:
     is exploded from each key's own span. ``drop_last`` drops each key's last (partial) period.
     """
     key = F.col(key) if isinstance(key, str) else key
-    sums = events.groupBy(key.alias("series_id"), F.date_trunc(unit, ts).alias("ts")).agg(F.round(F.sum(value), 2).alias("y"))
+    sums = events.groupBy(key.alias("series_id"), F.date_trunc(unit, ts).alias("ts")).agg(F.sum(value).alias("y"))
     spans = sums.groupBy("series_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     calendar = spans.select("series_id", "hi", F.posexplode(F.sequence("lo", "hi", F.expr(f"interval 1 {unit}"))).alias("t", "ts"))
     if drop_last:

@@ -19,12 +19,20 @@ def diff(df: DataFrame, lag: int = 1, differences: int = 1, columns: tuple[str,
     return df.where(F.col("t") >= cut).withColumn("t", F.col("t") - cut)
 
 
-def diff_inv(df: DataFrame, lag: int = 1, differences: int = 1) -> DataFrame:
-    """The inverse of diff with zeros for the lost head: n + lag * differences rows."""
+def diff_inv(df: DataFrame, lag: int = 1, differences: int = 1, xi: list[float] | None = None) -> DataFrame:
+    """The inverse of diff: n + lag * differences rows. xi are the values that diff has lost, zeros if not given."""
     if lag < 1 or differences < 1:
         raise ValueError("lag and differences must be positive integers")
+    if xi is not None and len(xi) != lag * differences:
+        raise ValueError("xi must have lag * differences values")
+    # The heads of the series and of its differences, the last difference first.
+    heads, rest = [], [float(x) for x in xi or [0.0] * (lag * differences)]
     for _ in range(differences):
-        head = df.select("series_id").distinct().select("series_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lag - 1).cast("long"))).alias("t"), F.lit(0.0).alias("y"))
+        heads.insert(0, rest[:lag])
+        rest = [b - a for a, b in zip(rest, rest[lag:], strict=False)]
+    for values in heads:
+        lost = F.posexplode(F.array(*[F.lit(x) for x in values])).alias("t", "y")
+        head = df.select("series_id").distinct().select("series_id", lost).select("series_id", F.col("t").cast("long").alias("t"), "y")
         rows = head.unionByName(df.select("series_id", (F.col("t") + lag).alias("t"), "y"))
         phase = Window.partitionBy("series_id", F.pmod("t", F.lit(lag))).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
         df = rows.withColumn("y", F.sum("y").over(phase))
