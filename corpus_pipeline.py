@@ -15,7 +15,11 @@ from tidemark.llm.common import stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified (not ``und``)."""
+    """Documents whose language is identified (not ``und``).
+
+    Null texts and texts without a letter go; repeated rows and rows without an id are judged
+    like any others; an empty table stays empty.
+    """
     return langid.identified(docs, langid.fit(langid.training_rows(docs)))
 
 
@@ -25,7 +29,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each class."""
+    """The document of smallest id of each class.
+
+    Rows with equal ids and different texts are different documents; of equal rows one stays,
+    and one of a class without any id. Texts that line dedup has emptied are no copies and stay.
+    """
     return near_dup.firsts(docs)
 
 
@@ -35,7 +43,7 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens."""
+    """Pieces of the documents in sequences of 2048 tokens; an empty text is its end id."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
