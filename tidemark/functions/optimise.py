@@ -25,22 +25,37 @@ def bounded_minimum(f: Callable[[float], float], low: float, high: float, tolera
     return (a + b) / 2
 
 
-def lbfgs(many: Callable[[np.ndarray], np.ndarray], x: np.ndarray, maxiter: int = 50, memory: int = 10, tolerance: float = 1e-5) -> tuple[np.ndarray, float, bool]:
+def lbfgs(many: Callable[[np.ndarray], np.ndarray], x: np.ndarray, maxiter: int = 50, memory: int = 10, tolerance: float = 1e-5, terms: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, float, bool]:
     """Minimise with limited-memory BFGS. ``many`` values a whole batch of points at once, so a
-    central-difference gradient is one call; returns (x, value, converged)."""
+    central-difference gradient is one call; returns (x, value, converged).
+
+    ``terms`` gives the summands (batch, n) whose sum is the value of a negative log likelihood: the outer product of
+    their gradients then stands for the first curvature, which ill-scaled likelihoods need.
+    """
     k = len(x)
 
     def with_gradient(z: np.ndarray) -> tuple[float, np.ndarray]:
+        nonlocal curvature
         h = 1e-5 * np.maximum(1.0, np.abs(z))
         steps = np.diag(h)
-        v = many(np.concatenate([z[None], z + steps, z - steps]))
-        return float(v[0]), (v[1 : k + 1] - v[k + 1 :]) / (2 * h)
+        points = np.concatenate([z[None], z + steps, z - steps])
+        if terms is None:
+            v = many(points)
+            return float(v[0]), (v[1 : k + 1] - v[k + 1 :]) / (2 * h)
+        v = terms(points)
+        slopes = (v[1 : k + 1] - v[k + 1 :]) / (2 * h[:, None])
+        outer = slopes @ slopes.T * v.shape[1]
+        curvature = outer + np.diag(1e-4 * np.diag(outer) + 1e-10) if np.isfinite(outer).all() else None
+        return float(v[0].sum()), slopes.sum(1)
+
+    curvature: np.ndarray | None = None
 
     if k == 0:
         return x, float(many(x[None])[0]), True
     value, g = with_gradient(x)
     s_list: list[np.ndarray] = []
     y_list: list[np.ndarray] = []
+    small = 0
     for _ in range(maxiter):
         if not np.isfinite(value) or np.abs(g).max() < tolerance:
             return x, value, bool(np.isfinite(value))
@@ -50,7 +65,9 @@ def lbfgs(many: Callable[[np.ndarray], np.ndarray], x: np.ndarray, maxiter: int
             a = s @ q / (y @ s)
             alphas.append(a)
             q -= a * y
-        if s_list:
+        if curvature is not None:
+            q = np.linalg.solve(curvature, q)
+        elif s_list:
             q *= (s_list[-1] @ y_list[-1]) / (y_list[-1] @ y_list[-1])
         else:
             q /= max(1.0, float(np.abs(g).max()))
@@ -60,22 +77,36 @@ def lbfgs(many: Callable[[np.ndarray], np.ndarray], x: np.ndarray, maxiter: int
         if slope >= 0:
             q, slope = g.copy(), -(g @ g)
             s_list, y_list = [], []
-        # All step lengths are tried in one batch; the first that decreases enough is taken.
-        lengths = 0.5 ** np.arange(12)
-        values = many(x - lengths[:, None] * q)
-        good = np.flatnonzero(np.isfinite(values) & (values <= value + 1e-4 * lengths * slope))
+        # The whole step, or the first of many shorter ones (one batch) that decreases enough.
+        old_value, old_curvature = value, curvature
+        new = x - q
+        new_value, g_new = with_gradient(new)
+        if not (np.isfinite(new_value) and np.isfinite(g_new).all() and new_value <= value + 1e-4 * slope):
+            lengths = 0.5 ** np.arange(1, 13)
+            values = many(x - lengths[:, None] * q)
+            good = np.flatnonzero(np.isfinite(values) & (values <= value + 1e-4 * lengths * slope))
+            curvature = old_curvature
+            if len(good):
+                new = x - lengths[good[0]] * q
+                new_value, g_new = with_gradient(new)
+        else:
+            good = [0]
+        if not len(good) and s_list:
+            # The curvature misleads: start again along the gradient.
+            s_list, y_list = [], []
+            continue
         if not len(good):
-            return x, value, True
-        new = x - lengths[good[0]] * q
-        old_value = value
-        value, g_new = with_gradient(new)
+            return x, value, bool(np.abs(g).max() < 1e-3)
+        value = new_value
         s, y = new - x, g_new - g
         if y @ s > 1e-12:
             s_list, y_list = [*s_list, s][-memory:], [*y_list, y][-memory:]
         x, g = new, g_new
-        if abs(old_value - value) < 1e-9 * max(1.0, abs(value)):
-            return x, value, True
-    return x, value, False
+        # One small step may be a bad direction: two in a row end the search.
+        small = small + 1 if abs(old_value - value) < 1e-9 * max(1.0, abs(value)) else 0
+        if small == 2:
+            return x, value, bool(np.abs(g).max() < 1e-3)
+    return x, value, bool(np.abs(g).max() < tolerance)
 
 
 def nelder_mead(many: Callable[[np.ndarray], np.ndarray], x: np.ndarray, maxiter: int = 50) -> tuple[np.ndarray, float, bool]:

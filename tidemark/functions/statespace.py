@@ -13,19 +13,22 @@ from __future__ import annotations
 
 import math
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 from statistics import NormalDist
 
 import numpy as np
 
-from tidemark.functions.optimise import METHODS
+from tidemark.functions.optimise import METHODS, lbfgs
 
 DIFFUSE = 1e6
 
 
 @dataclass(frozen=True)
 class Order:
-    """(p, d, q)(P, D, Q, s). p, q, P, Q are counts or tuples of lags."""
+    """(p, d, q)(P, D, Q, s). p, q, P, Q are counts or tuples of lags.
+
+    The trend is "n", "c", "t", "ct", or flags of the powers of time from 0 on, as a tuple or as a string of 0 and 1.
+    """
 
     p: int | tuple = 0
     d: int = 0
@@ -34,7 +37,7 @@ class Order:
     D: int = 0
     Q: int | tuple = 0
     s: int = 0
-    trend: str = "n"
+    trend: str | tuple = "n"
 
     def lags(self, name: str) -> tuple[int, ...]:
         x = getattr(self, name)
@@ -44,8 +47,26 @@ class Order:
     def n_diffuse(self) -> int:
         return self.d + self.D * max(self.s, 0)
 
+    @property
+    def powers(self) -> tuple[int, ...]:
+        """The powers of time (1 at the first row) that the trend has."""
+        named = {"n": (), "c": (0,), "t": (1,), "ct": (0, 1)}
+        if self.trend in named:
+            return named[self.trend]
+        flags = [int(x) for x in self.trend]
+        if not flags or not {*flags} <= {0, 1}:
+            raise ValueError("trend must be n, c, t, ct or flags of powers")
+        return tuple(k for k, on in enumerate(flags) if on)
+
+    def differenced(self, x: np.ndarray) -> np.ndarray:
+        for _ in range(self.D):
+            x = x[self.s :] - x[: -self.s]
+        for _ in range(self.d):
+            x = np.diff(x, axis=0)
+        return x
+
     def label(self) -> str:
-        return f" ARIMA({self.p},{self.d},{self.q})({self.P},{self.D},{self.Q})[{self.s}] " + ("intercept" if self.trend == "c" else "")
+        return f" ARIMA({self.p},{self.d},{self.q})({self.P},{self.D},{self.Q})[{self.s}] " + ("intercept" if 0 in self.powers else "")
 
 
 def stationary(x: np.ndarray) -> np.ndarray:
@@ -71,12 +92,12 @@ def unstationary(phi: np.ndarray) -> np.ndarray:
 
 
 class Spec:
-    """How a parameter vector is laid out: intercept, regression, AR, MA, seasonal AR, seasonal MA, variance."""
+    """How a parameter vector is laid out: trend, regression, AR, MA, seasonal AR, seasonal MA, variance."""
 
     def __init__(self, order: Order, k_exog: int, enforce_stationarity: bool = True, enforce_invertibility: bool = True):
         self.order, self.k_exog = order, k_exog
         self.enforce_stationarity, self.enforce_invertibility = enforce_stationarity, enforce_invertibility
-        parts = [("c", int(order.trend == "c")), ("x", k_exog), ("p", len(order.lags("p"))), ("q", len(order.lags("q"))), ("P", len(order.lags("P"))), ("Q", len(order.lags("Q"))), ("v", 1)]
+        parts = [("c", len(order.powers)), ("x", k_exog), ("p", len(order.lags("p"))), ("q", len(order.lags("q"))), ("P", len(order.lags("P"))), ("Q", len(order.lags("Q"))), ("v", 1)]
         self.at, k = {}, 0
         for name, n in parts:
             self.at[name] = slice(k, k + n)
@@ -91,7 +112,8 @@ class Spec:
     def names(self, exog: list[str] | None = None) -> list[str]:
         o = self.order
         s = o.s
-        return ["intercept"] * (o.trend == "c") + list(exog or [f"x{i + 1}" for i in range(self.k_exog)]) + [f"ar.L{i}" for i in o.lags("p")] + [f"ma.L{i}" for i in o.lags("q")] + [f"ar.S.L{i * s}" for i in o.lags("P")] + [f"ma.S.L{i * s}" for i in o.lags("Q")] + ["sigma2"]
+        trend = ["intercept" if k == 0 else "drift" if k == 1 else f"trend.{k}" for k in o.powers]
+        return trend + list(exog or [f"x{i + 1}" for i in range(self.k_exog)]) + [f"ar.L{i}" for i in o.lags("p")] + [f"ma.L{i}" for i in o.lags("q")] + [f"ar.S.L{i * s}" for i in o.lags("P")] + [f"ma.S.L{i * s}" for i in o.lags("Q")] + ["sigma2"]
 
     def _full(self, lags: tuple[int, ...]) -> bool:
         return lags == tuple(range(1, len(lags) + 1))
@@ -132,17 +154,27 @@ class Spec:
             out.append(full[:, 1:])
         return -out[0], out[1]
 
+    def trend_path(self, params: np.ndarray, first: int, n: int) -> np.ndarray:
+        """What the trend adds to the first ARMA state of rows first..first + n - 1, (batch, n)."""
+        time = np.arange(first + 1, first + n + 1, dtype=float)
+        return params[:, self.at["c"]] @ np.array([time**k for k in self.order.powers]).reshape(-1, n)
+
+    def observation(self) -> np.ndarray:
+        """The states that add up to a row: levels, ends of the seasonal rings, the first ARMA state."""
+        z = np.zeros(self.n_states)
+        z[: self.order.d] = 1
+        z[[self.order.d + (i + 1) * self.order.s - 1 for i in range(self.order.D)]] = 1
+        z[self.order.n_diffuse] = 1
+        return z
+
     def system(self, params: np.ndarray):
-        """Transition (B, n, n), state intercept (B, n), noise column (B, n), observation row (n), start mean and covariance."""
+        """Transition (B, n, n), noise column (B, n), observation row (n), start mean and covariance, variance."""
         b, o, n, r = len(params), self.order, self.n_states, self.r
         ar, ma = self.polynomials(params)
         k, s, base = o.d, o.s, o.n_diffuse
         t = np.zeros((b, n, n))
-        z = np.zeros(n)
+        z = self.observation()
         ring_ends = [k + (i + 1) * s - 1 for i in range(o.D)]
-        z[:k] = 1
-        z[ring_ends] = 1
-        z[base] = 1
         for i in range(k):
             t[:, i, i:k] = 1
             t[:, i, ring_ends] = 1
@@ -159,9 +191,6 @@ class Spec:
         noise = np.zeros((b, n))
         noise[:, base] = 1
         noise[:, base + 1 : base + 1 + self.k_ma] = ma
-        c = np.zeros((b, n))
-        if o.trend == "c":
-            c[:, base] = params[:, self.at["c"]][:, 0]
         v = params[:, self.at["v"]][:, 0]
         a0 = np.zeros((b, n))
         p0 = np.zeros((b, n, n))
@@ -169,13 +198,14 @@ class Spec:
         block = t[:, base:, base:]
         q = noise[:, base:, None] * noise[:, None, base:] * v[:, None, None]
         p0[:, base:, base:] = lyapunov(block, q)
-        if o.trend == "c":
-            eye = np.eye(r)
+        if o.powers:
+            begin = np.zeros((b, r))
+            begin[:, 0] = self.trend_path(params, 0, 1)[:, 0]
             try:
-                a0[:, base:] = np.linalg.solve(eye - block, c[:, base:, None])[..., 0]
+                a0[:, base:] = np.linalg.solve(np.eye(r) - block, begin[..., None])[..., 0]
             except np.linalg.LinAlgError:
                 a0[:, base:] = 0
-        return t, c, noise, z, a0, p0, v
+        return t, noise, z, a0, p0, v
 
 
 def lyapunov(t: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -204,10 +234,17 @@ class Filtered:
     cov: np.ndarray
 
 
-def kalman(spec: Spec, params: np.ndarray, y: np.ndarray, exog: np.ndarray | None) -> Filtered:
-    """Filter y for each parameter vector of a batch; a missing value (NaN) is skipped."""
-    t, c, noise, z, a, p, v = spec.system(params)
+def kalman(spec: Spec, params: np.ndarray, y: np.ndarray, exog: np.ndarray | None, begin: tuple[np.ndarray, np.ndarray, int] | None = None) -> Filtered:
+    """Filter y for each parameter vector of a batch; a missing value (NaN) is skipped.
+
+    ``begin`` goes on after earlier rows: their last prediction (mean, covariance) and their number.
+    """
+    t, noise, z, a, p, v = spec.system(params)
     b, n = len(params), len(y)
+    first = 0
+    if begin is not None:
+        a, p, first = np.broadcast_to(begin[0], a.shape).copy(), np.broadcast_to(begin[1], p.shape).copy(), begin[2]
+    base, path = spec.order.n_diffuse, spec.trend_path(params, first, n + 1)
     q = noise[:, :, None] * noise[:, None, :] * v[:, None, None]
     obs = np.broadcast_to(y, (b, n))
     if spec.k_exog:
@@ -226,7 +263,8 @@ def kalman(spec: Spec, params: np.ndarray, y: np.ndarray, exog: np.ndarray | Non
             variances[:, i] = f
             if missing[i]:
                 errors[:, i] = np.nan
-                a = np.einsum("bij,bj->bi", t, a) + c
+                a = np.einsum("bij,bj->bi", t, a)
+                a[:, base] += path[:, i + 1]
                 p = t @ p @ tt + q
                 settled = False
                 continue
@@ -235,11 +273,12 @@ def kalman(spec: Spec, params: np.ndarray, y: np.ndarray, exog: np.ndarray | Non
             if not settled:
                 gain = np.einsum("bij,bj->bi", t, pz) / f[:, None]
                 new = t @ p @ tt + q - gain[:, :, None] * gain[:, None, :] * f[:, None, None]
-                if i > spec.order.n_diffuse and i % 4 == 0 and not missing[i:].any():
+                if first + i > spec.order.n_diffuse and i % 4 == 0 and not missing[i:].any():
                     settled = bool(np.abs(new - p).max(axis=(1, 2)).max() <= 1e-9 * np.abs(new).max() * 1e-3)
                 p = new
-            a = np.einsum("bij,bj->bi", t, a) + c + gain * e[:, None]
-    terms[:, : spec.order.n_diffuse] = 0
+            a = np.einsum("bij,bj->bi", t, a) + gain * e[:, None]
+            a[:, base] += path[:, i + 1]
+    terms[:, : max(0, spec.order.n_diffuse - first)] = 0
     return Filtered(terms, errors, variances, a, p)
 
 
@@ -254,7 +293,16 @@ class Fit:
     filtered: Filtered
     converged: bool
     fit_time: float
-    simple_tail: dict = field(default_factory=dict)
+    method: str = "lbfgs"
+
+    @property
+    def basis(self) -> tuple[Spec, np.ndarray, np.ndarray | None]:
+        """What the filter runs over."""
+        return self.spec, self.y, self.exog
+
+    def options(self) -> dict[str, bool]:
+        """The state-space options that a refit has to keep."""
+        return {"enforce_stationarity": self.spec.enforce_stationarity, "enforce_invertibility": self.spec.enforce_invertibility}
 
     @property
     def llf(self) -> float:
@@ -285,7 +333,8 @@ class Fit:
         """Standard errors by the outer product of the score, from central differences."""
         h = 1e-6 * np.maximum(np.abs(self.params), 1e-2)
         steps = np.diag(h)
-        f = kalman(self.spec, np.concatenate([self.params + steps, self.params - steps]), self.y, self.exog)
+        spec, y, exog = self.basis
+        f = kalman(spec, np.concatenate([self.params + steps, self.params - steps]), y, exog)
         k = len(h)
         scores = (f.terms[:k] - f.terms[k:]) / (2 * h[:, None])
         info = scores @ scores.T
@@ -308,14 +357,15 @@ class Fit:
         """Means and standard errors."""
         if self.spec.k_exog and (exog is None or len(exog) != steps):
             raise ValueError("the model was fitted with exogenous columns, so a forecast needs as many rows of them as periods")
-        t, c, noise, z, *_ = self.spec.system(self.params[None])
-        v = self.params[-1]
+        t, noise, z, _, _, v = self.spec.system(self.params[None])
+        base, path = self.spec.order.n_diffuse, self.spec.trend_path(self.params[None], self.nobs + 1, steps)[0]
         a, p = self.filtered.mean[0], self.filtered.cov[0]
         q = np.outer(noise[0], noise[0]) * v
         mean, var = np.empty(steps), np.empty(steps)
         for h in range(steps):
             mean[h], var[h] = a @ z, z @ p @ z
-            a, p = t[0] @ a + c[0], t[0] @ p @ t[0].T + q
+            a, p = t[0] @ a, t[0] @ p @ t[0].T + q
+            a[base] += path[h]
         if self.spec.k_exog:
             mean = mean + exog @ self.params[self.spec.at["x"]]
         return mean, np.sqrt(np.maximum(var, 0))
@@ -330,27 +380,83 @@ class Fit:
         return mean[start : end + 1], se[start : end + 1]
 
 
+class DifferencedFit(Fit):
+    """A model of the rows after the differencing (simple_differencing), with forecasts on the scale of y.
+
+    ``filtered`` is of the differenced rows; residuals of the first d + s * D rows are NaN, and the information
+    criteria count the differenced rows only.
+    """
+
+    @property
+    def basis(self) -> tuple[Spec, np.ndarray, np.ndarray | None]:
+        o = self.spec.order
+        inner = Spec(replace(o, d=0, D=0), self.spec.k_exog, self.spec.enforce_stationarity, self.spec.enforce_invertibility)
+        return inner, o.differenced(self.y), None if self.exog is None else o.differenced(self.exog)
+
+    def options(self) -> dict[str, bool]:
+        return super().options() | {"simple_differencing": True}
+
+    def inner(self) -> Fit:
+        spec, w, x = self.basis
+        return Fit(spec, self.params, w, x, self.filtered, self.converged, self.fit_time, self.method)
+
+    def criteria(self) -> dict[str, float]:
+        return self.inner().criteria()
+
+    def residuals(self) -> np.ndarray:
+        return np.concatenate([np.full(self.spec.order.n_diffuse, np.nan), self.filtered.errors[0]])
+
+    def forecast(self, steps: int, exog: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        o, k = self.spec.order, self.spec.order.n_diffuse
+        if self.spec.k_exog and (exog is None or len(exog) != steps):
+            raise ValueError("the model was fitted with exogenous columns, so a forecast needs as many rows of them as periods")
+        x = None if self.exog is None else o.differenced(np.concatenate([self.exog[self.nobs - k :], exog]))
+        change, _ = self.inner().forecast(steps, x)
+        # (1 - B)^d (1 - B^s)^D as one polynomial: what is not its leading 1 leads from changes to levels.
+        poly = np.ones(1)
+        for _ in range(o.d):
+            poly = np.convolve(poly, [1.0, -1.0])
+        for _ in range(o.D):
+            poly = np.convolve(poly, [1.0, *[0.0] * (o.s - 1), -1.0])
+        level = list(self.y[self.nobs - k :])
+        for c in change:
+            level.append(c - poly[1:] @ np.array(level[::-1][:k]))
+        ar, ma = self.spec.polynomials(self.params[None])
+        whole = np.convolve(np.concatenate([[1.0], -ar[0]]), poly)
+        psi = np.concatenate([[1.0], arma_to_ma(-whole[1:], ma[0], steps)])[:steps]
+        return np.array(level[k:]), np.sqrt(self.params[-1] * np.cumsum(psi**2))
+
+    def in_sample(self, start: int = 0, end: int | None = None, dynamic: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        if dynamic:
+            if start <= self.spec.order.n_diffuse:
+                raise ValueError("a dynamic prediction starts after the rows that the differencing takes")
+            cut = DifferencedFit(self.spec, self.params, self.y[:start], None if self.exog is None else self.exog[:start], self.filtered, True, 0.0)
+            spec, w, x = cut.basis
+            cut.filtered = kalman(spec, self.params[None], w, x)
+            end = self.nobs - 1 if end is None else end
+            return cut.forecast(end - start + 1, None if self.exog is None else self.exog[start : end + 1])
+        se = np.concatenate([np.full(self.spec.order.n_diffuse, np.nan), np.sqrt(self.filtered.variances[0])])
+        end = self.nobs - 1 if end is None else end
+        return self.fitted()[start : end + 1], se[start : end + 1]
+
+
 def start_params(spec: Spec, y: np.ndarray, exog: np.ndarray | None) -> np.ndarray:
     """Regression by least squares on the differenced rows, then Hannan-Rissanen for the ARMA part."""
     o = spec.order
     out = np.zeros(spec.k)
 
-    def differenced(x: np.ndarray) -> np.ndarray:
-        for _ in range(o.D):
-            x = x[o.s :] - x[: -o.s]
-        for _ in range(o.d):
-            x = np.diff(x, axis=0)
-        return x
-
-    w = differenced(y)
+    w = o.differenced(y)
     w = np.where(np.isnan(w), np.nanmean(w) if np.isfinite(w).any() else 0.0, w)
-    if spec.k_exog:
-        x = differenced(exog)
-        beta = np.linalg.lstsq(x if o.trend != "c" else np.column_stack([x, np.ones(len(x))]), w, rcond=None)[0][: spec.k_exog]
-        out[spec.at["x"]] = beta
-        w = w - x @ beta
-    mean = w.mean() if len(w) else 0.0
-    centred = w - mean if o.trend == "c" else w
+    time = np.arange(o.n_diffuse + 1, len(y) + 1, dtype=float)
+    trend = np.array([time**k for k in o.powers]).reshape(-1, len(time)).T
+    beta = np.zeros(0)
+    centred = w
+    if spec.k_exog or len(o.powers):
+        design = np.column_stack([trend, o.differenced(exog)]) if spec.k_exog else trend
+        size = np.maximum(np.abs(design).max(0, initial=0), 1e-300)
+        beta = np.linalg.lstsq(design / size, w, rcond=None)[0] / size
+        out[spec.at["x"]] = beta[len(o.powers) :]
+        centred = w - design @ beta
     lag_sets = [("p", o.lags("p")), ("P", tuple(i * o.s for i in o.lags("P")))]
     ma_sets = [("q", o.lags("q")), ("Q", tuple(i * o.s for i in o.lags("Q")))]
     longest = max([0, *(x for _, ls in lag_sets + ma_sets for x in ls)])
@@ -376,13 +482,12 @@ def start_params(spec: Spec, y: np.ndarray, exog: np.ndarray | None) -> np.ndarr
         out[where] = np.clip(np.nan_to_num(fit), -0.9, 0.9)
         resid = centred[longest:] - x @ fit
     ar, _ = spec.polynomials(out[None])
-    if o.trend == "c":
-        out[spec.at["c"]] = mean * (1 - ar[0].sum())
+    out[spec.at["c"]] = beta[: len(o.powers)] * (1 - ar[0].sum())
     out[spec.at["v"]] = max(float(np.mean(resid**2)) if len(resid) else 1.0, 1e-10)
     return out
 
 
-def fit(y: np.ndarray, order: Order, exog: np.ndarray | None = None, method: str = "lbfgs", maxiter: int = 50, start: np.ndarray | None = None, **flags) -> Fit:
+def fit(y: np.ndarray, order: Order, exog: np.ndarray | None = None, method: str = "lbfgs", maxiter: int = 50, start: np.ndarray | None = None, simple_differencing: bool = False, **flags) -> Fit:
     """Maximum likelihood. ValueError for impossible orders or a likelihood that is not finite."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {sorted(METHODS)}")
@@ -394,11 +499,13 @@ def fit(y: np.ndarray, order: Order, exog: np.ndarray | None = None, method: str
     spec = Spec(order, 0 if exog is None else exog.shape[1], **flags)
     if len(y) <= order.n_diffuse:
         raise ValueError("the series is shorter than the differencing needs")
+    if simple_differencing:
+        inner = fit(order.differenced(y), replace(order, d=0, D=0), None if exog is None else order.differenced(exog), method, maxiter, start, **flags)
+        return DifferencedFit(spec, inner.params, y, exog, inner.filtered, inner.converged, inner.fit_time, method)
     params = start_params(spec, y, exog) if start is None else np.asarray(start, float)
     scale = np.ones(spec.k)
     scale[spec.at["v"]] = max(params[spec.at["v"]][0], 1e-10)
-    if order.trend == "c":
-        scale[spec.at["c"]] = max(np.sqrt(scale[-1]), 1e-8)
+    scale[spec.at["c"]] = [max(np.sqrt(scale[-1]), 1e-8) / float(len(y)) ** k for k in order.powers]
     if spec.k_exog:
         scale[spec.at["x"]] = np.maximum(np.sqrt(scale[-1]) / np.maximum(exog.std(0), 1e-8), 1e-8)
 
@@ -407,12 +514,34 @@ def fit(y: np.ndarray, order: Order, exog: np.ndarray | None = None, method: str
             v = -kalman(spec, spec.constrain(z, scale), y, exog).terms.sum(1) / len(y)
         return np.where(np.isfinite(v), v, 1e10)
 
+    def terms(z: np.ndarray) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            return -kalman(spec, spec.constrain(z, scale), y, exog).terms / len(y)
+
     z = spec.free(params, scale)
-    z, value, ok = METHODS[method](cost, z, maxiter)
+    if start is None and spec.at["p"].start < spec.at["v"].start:
+        # A likelihood has several hills: the search starts from the best of three points.
+        starts = np.array([z * np.where(np.arange(spec.k) < spec.at["p"].start, 1.0, f) for f in (1.0, 0.5, 0.1)])
+        z = starts[np.argmin(cost(starts))]
+    z, value, ok = METHODS[method](cost, z, maxiter, **({"terms": terms} if METHODS[method] is lbfgs else {}))
     params = spec.constrain(z[None], scale)
     if value >= 1e10:
         raise ValueError("the likelihood is not finite")
-    return Fit(spec, params[0], y, exog, kalman(spec, params, y, exog), ok, time.perf_counter() - began)
+    return Fit(spec, params[0], y, exog, kalman(spec, params, y, exog), ok, time.perf_counter() - began, method)
+
+
+def embedded(small: Fit, order: Order, k_exog: int) -> np.ndarray | None:
+    """The parameters of a fit as those of a larger order (new ones are 0), or None if the order isn't larger."""
+    o, spec = small.spec.order, Spec(order, k_exog)
+    if (o.d, o.D) != (order.d, order.D) or not {*o.powers} <= {*order.powers} or any(not {*o.lags(n)} <= {*order.lags(n)} for n in "pqPQ") or (o.s != order.s and (o.lags("P") or o.lags("Q"))):
+        return None
+    out = np.zeros(spec.k)
+    for name, mine, theirs in (("c", o.powers, order.powers), *((n, o.lags(n), order.lags(n)) for n in "pqPQ")):
+        for i, lag in enumerate(mine):
+            out[spec.at[name].start + theirs.index(lag)] = small.params[small.spec.at[name].start + i]
+    out[spec.at["x"]] = small.params[small.spec.at["x"]]
+    out[spec.at["v"]] = small.params[-1]
+    return out
 
 
 def arma_to_ma(ar: np.ndarray, ma: np.ndarray, max_deg: int) -> np.ndarray:

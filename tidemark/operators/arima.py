@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from statistics import NormalDist
 
@@ -37,22 +38,43 @@ MODEL_FIELDS = {
     "ar_roots": _ROOTS,
     "ma_roots": _ROOTS,
     "converged": "boolean",
+    "method": "string",
+    "options": "map<string,boolean>",
     **dict.fromkeys(("label", "error", "pkg_version"), "string"),
 }
 MODEL_SCHEMA = ", ".join(f"`{k}` {v}" for k, v in MODEL_FIELDS.items())
 COLUMNS = list(MODEL_FIELDS)
 
 #: Hold-out scores by name, on arrays.
-KERNEL_SCORES = {
+KERNEL_SCORES: dict[str, Callable[[np.ndarray, np.ndarray], float]] = {
     "mse": lambda y, p: float(np.mean((y - p) ** 2)),
     "mae": lambda y, p: float(np.mean(np.abs(y - p))),
     "smape": lambda y, p: float(np.mean(200 * np.abs(p - y) / (np.abs(p) + np.abs(y)))),
     "mean_squared_error": lambda y, p: float(np.mean((y - p) ** 2)),
     "mean_absolute_error": lambda y, p: float(np.mean(np.abs(y - p))),
+    "root_mean_squared_error": lambda y, p: float(np.sqrt(np.mean((y - p) ** 2))),
+    "mean_absolute_percentage_error": lambda y, p: float(np.mean(np.abs(y - p) / np.maximum(np.abs(y), 2.220446049250313e-16))),
+    "mean_squared_log_error": lambda y, p: float(np.mean((np.log1p(y) - np.log1p(p)) ** 2)),
+    "median_absolute_error": lambda y, p: float(np.median(np.abs(y - p))),
+    "max_error": lambda y, p: float(np.max(np.abs(y - p))),
+    "r2_score": lambda y, p: float(1 - np.sum((y - p) ** 2) / np.sum((y - y.mean()) ** 2)),
 }
+
+
+def kernel_score(scoring: str | Callable) -> Callable[[np.ndarray, np.ndarray], float]:
+    """A score of arrays by name, or the given callable of (y, yhat)."""
+    if callable(scoring):
+        return scoring
+    if not isinstance(scoring, str):
+        raise TypeError("scoring is a name or a callable")
+    if scoring not in KERNEL_SCORES:
+        raise ValueError(f"scoring must be one of {sorted(KERNEL_SCORES)}")
+    return KERNEL_SCORES[scoring]
+
+
 #: Options that the kernel has; others are refused.
-FLAGS = ("enforce_stationarity", "enforce_invertibility")
-KNOWN_FLAGS = (*FLAGS, "simple_differencing", "time_varying_regression", "measurement_error", "mle_regression", "hamilton_representation", "concentrate_scale")
+FLAGS = ("enforce_stationarity", "enforce_invertibility", "simple_differencing")
+KNOWN_FLAGS = (*FLAGS, "time_varying_regression", "measurement_error", "mle_regression", "hamilton_representation", "concentrate_scale")
 
 
 def check_seasonal_order(order: tuple) -> tuple:
@@ -73,8 +95,8 @@ class ARIMA:
     method: str = "lbfgs"
     maxiter: int = 50
     out_of_sample_size: int = 0
-    scoring: str = "mse"
-    trend: str | None = None
+    scoring: str | Callable = "mse"
+    trend: str | list | None = None
     with_intercept: bool = True
     sarimax_kwargs: dict = field(default_factory=dict)
 
@@ -88,8 +110,7 @@ class ARIMA:
             raise ValueError("maxiter must be a positive integer")
         if self.out_of_sample_size < 0:
             raise ValueError("out_of_sample_size must be a non-negative integer")
-        if self.scoring not in KERNEL_SCORES:
-            raise ValueError(f"scoring must be one of {sorted(KERNEL_SCORES)}")
+        kernel_score(self.scoring)
         for k in self.sarimax_kwargs:
             if k not in KNOWN_FLAGS:
                 raise TypeError(f"unknown option {k}")
@@ -98,21 +119,23 @@ class ARIMA:
 
     def spec(self) -> Order:
         trend = self.trend if self.trend is not None else "c" if self.with_intercept else "n"
-        if trend not in ("n", "c"):
-            raise NotImplementedError("trend must be 'n' or 'c'")
+        if not isinstance(trend, str):
+            trend = "".join(str(int(x)) for x in trend)
         p, d, q = self.order
         P, D, Q, m = self.seasonal_order
-        return Order(p, d, q, P, D, Q, m, trend)
+        order = Order(p, d, q, P, D, Q, m, trend)
+        order.powers  # noqa: B018  refuses unknown trends
+        return order
 
     def flags(self) -> dict:
         return {k: v for k, v in self.sarimax_kwargs.items() if k in FLAGS}
 
     # Operations over tables
 
-    def fit(self, df: DataFrame, exog: list[str] | None = None) -> DataFrame:
-        """Model rows of (series_id, t, y, exog...)."""
+    def fit(self, df: DataFrame, exog: list[str] | None = None, **fit_args) -> DataFrame:
+        """Model rows of (series_id, t, y, exog...). fit_args override fields of the configuration (method, maxiter, ...)."""
         exog = exog or []
-        config = self
+        config = replace(self, **fit_args) if fit_args else self
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             return model_frame(pdf.series_id.iloc[0], *fit_one(config, *arrays(pdf, exog)), exog)
@@ -139,17 +162,17 @@ def fit_one(config: ARIMA, y: np.ndarray, x: np.ndarray | None):
         made = statespace.fit(y[: len(y) - cut], config.spec(), None if x is None else x[: len(y) - cut], config.method, config.maxiter, start, **config.flags())
         if cut:
             preds, _ = made.forecast(cut, None if x is None else x[-cut:])
-            oob = KERNEL_SCORES[config.scoring](y[-cut:], preds)
-            made = updated(made, y[-cut:], None if x is None else x[-cut:], config.method, None, **config.flags())
+            oob = float(kernel_score(config.scoring)(y[-cut:], preds))
+            made = updated(made, y[-cut:], None if x is None else x[-cut:], config.method)
         return made, oob, preds, None
     except (ValueError, np.linalg.LinAlgError) as e:
         return None, oob, preds, f"{type(e).__name__}: {e}"
 
 
-def updated(made: statespace.Fit, y: np.ndarray, x: np.ndarray | None, method: str = "lbfgs", maxiter: int | None = None, **flags) -> statespace.Fit:
-    """Rows appended and a short refit from the old parameters."""
+def updated(made: statespace.Fit, y: np.ndarray, x: np.ndarray | None, method: str | None = None, maxiter: int | None = None) -> statespace.Fit:
+    """Rows appended and a short refit from the old parameters, under the first fit's options."""
     x = None if made.exog is None else np.concatenate([made.exog, x])
-    return statespace.fit(np.concatenate([made.y, y]), made.spec.order, x, method, maxiter or max(5, len(y) // 10), made.params, **flags)
+    return statespace.fit(np.concatenate([made.y, y]), made.spec.order, x, method or made.method, maxiter or max(5, len(y) // 10), made.params, **made.options())
 
 
 def _roots(r: np.ndarray) -> list[dict]:
@@ -166,10 +189,11 @@ def model_frame(series_id, made: statespace.Fit | None, oob: float, preds, error
         row |= {
             "order": {"p": list(o.lags("p")), "d": o.d, "q": list(o.lags("q"))},
             "seasonal_order": {"P": list(o.lags("P")), "D": o.D, "Q": list(o.lags("Q")), "m": o.s},
-            "trend": o.trend, "with_intercept": o.trend == "c", "params": list(made.params), "param_names": spec.names(list(exog) or None),
+            "trend": o.trend, "with_intercept": 0 in o.powers, "params": list(made.params), "param_names": spec.names(list(exog) or None),
             "bse": list(made.bse()), "pvalues": list(made.pvalues()), "resid": list(made.residuals()), "fitted": list(made.fitted()), "y": list(made.y),
             "exog": None if made.exog is None else list(made.exog.ravel()), "llf": made.llf, "sigma2": float(made.params[-1]), "nobs": made.nobs,
             "nobs_effective": made.nobs_effective, "df_model": spec.k, "ar_roots": _roots(ar), "ma_roots": _roots(ma), "converged": made.converged,
+            "method": made.method, "options": made.options(),
             "fit_time": made.fit_time, "label": o.label(), **made.criteria(),
         }
     return pd.DataFrame([row], columns=COLUMNS)
@@ -185,9 +209,13 @@ def loaded(row) -> statespace.Fit:
     order = Order(tidy(o["p"]), int(o["d"]), tidy(o["q"]), tidy(so["P"]), int(so["D"]), tidy(so["Q"]), int(so["m"]), row["trend"])
     y = np.asarray(row["y"], float)
     x = None if row["exog"] is None else np.asarray(row["exog"], float).reshape(len(y), -1)
-    spec = statespace.Spec(order, 0 if x is None else x.shape[1])
+    options = {k: bool(v) for k, v in dict(row["options"] or {}).items()}
+    kind = statespace.DifferencedFit if options.pop("simple_differencing", False) else statespace.Fit
     params = np.asarray(row["params"], float)
-    return statespace.Fit(spec, params, y, x, statespace.kalman(spec, params[None], y, x), bool(row["converged"]), float(row["fit_time"]))
+    made = kind(statespace.Spec(order, 0 if x is None else x.shape[1], **options), params, y, x, None, bool(row["converged"]), float(row["fit_time"]), row["method"] or "lbfgs")
+    spec, w, z = made.basis
+    made.filtered = statespace.kalman(spec, params[None], w, z)
+    return made
 
 
 def check_periods(n_periods: int) -> None:
@@ -250,7 +278,7 @@ def predict_in_sample(models: DataFrame, start: int | None = None, end: int | No
     return models.where("error is null").mapInPandas(batches, "series_id string, t long, yhat double, lower double, upper double")
 
 
-def update(models: DataFrame, new: DataFrame, maxiter: int | None = None, method: str = "lbfgs") -> DataFrame:
+def update(models: DataFrame, new: DataFrame, maxiter: int | None = None, method: str | None = None) -> DataFrame:
     """Model rows after appending new rows (series_id, t, y, exog...); series without new rows stay as they are."""
 
     def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -297,5 +325,26 @@ def residual_diagnostics(models: DataFrame) -> DataFrame:
     return moments.drop("n").join(lag1, "series_id").join(h, "series_id")
 
 
-def with_order(config: ARIMA, order: tuple, seasonal_order: tuple, with_intercept: bool) -> ARIMA:
-    return replace(config, order=order, seasonal_order=seasonal_order, with_intercept=with_intercept)
+def coefficients(models: DataFrame) -> DataFrame:
+    """(series_id, arparams, maparams): the coefficients of the reduced AR (1 - ...) and MA (1 + ...) polynomials."""
+
+    def batches(frames):
+        for pdf in frames:
+            out = []
+            for row in pdf.to_dict("records"):
+                made = loaded(row)
+                ar, ma = made.spec.polynomials(made.params[None])
+                out.append((row["series_id"], list(ar[0]), list(ma[0])))
+            yield pd.DataFrame(out, columns=["series_id", "arparams", "maparams"])
+
+    return models.where("error is null").mapInPandas(batches, "series_id string, arparams array<double>, maparams array<double>")
+
+
+def conf_int(models: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """(series_id, param, lower, upper)."""
+    return summary(models, alpha).select("series_id", "param", "lower", "upper")
+
+
+def degrees(models: DataFrame) -> DataFrame:
+    """(series_id, df_model, df_resid): parameters, and rows after the differencing less parameters."""
+    return models.where("error is null").select("series_id", "df_model", (F.col("nobs_effective") - F.col("df_model")).alias("df_resid"))

@@ -9,6 +9,7 @@ import math
 import random
 import time
 import warnings
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import statespace, unitroot
 from tidemark.operators.arima import ARIMA, MODEL_SCHEMA, arrays, fit_one, model_frame
+from tidemark.operators.guards import ModelFitWarning
 
 CRITERIA = ("aic", "aicc", "bic", "hqic", "oob")
 #: Moves of the stepwise search in the order they are tried: changes of (P, Q) and then of (p, q).
@@ -75,7 +77,7 @@ class AutoARIMA:
     method: str = "lbfgs"
     maxiter: int = 50
     out_of_sample_size: int = 0
-    scoring: str = "mse"
+    scoring: str | Callable = "mse"
     with_intercept: bool | str = "auto"
     error_action: str = "trace"
     strict_roots: bool = False
@@ -285,13 +287,26 @@ def search(config: AutoARIMA, y: np.ndarray, x: np.ndarray | None, bounds: dict
         if key in tried or len(tried) >= limit:
             return False
         order, seasonal = (pq[0], c.d, pq[1]), (PQ[0], c.D, PQ[1], m)
-        made, oob, preds, error = fit_one(replace(c.base(), order=order, seasonal_order=seasonal, with_intercept=constant), y, x)
+        model = replace(c.base(), order=order, seasonal_order=seasonal, with_intercept=constant)
+        made, oob, preds, error = fit_one(model, y, x)
+        inside = [f for _, _, f, _, _ in tried.values() if made is not None and f is not None and f.llf > made.llf + 1e-6]
+        for small in sorted(inside, key=lambda f: -f.llf):
+            # A model that holds another one can't have a lower likelihood: go on from the smaller one's parameters.
+            start = statespace.embedded(small, model.spec(), 0 if x is None else x.shape[1])
+            if start is None:
+                continue
+            again = fit_one(replace(model, start_params=list(start)), y, x)
+            if again[0] is not None and again[0].llf > made.llf:
+                made, oob, preds, error = again
+            break
         value = math.inf
         if made is not None and root_test(made, c.strict_roots):
             value = oob if c.information_criterion == "oob" else made.criteria()[c.information_criterion]
             value = value if math.isfinite(value) else math.inf
         elif made is None and c.error_action == "raise":
             raise ValueError(error)
+        elif made is None and c.error_action in ("warn", "trace"):
+            warnings.warn(f"{model.spec().label().strip()} could not be fitted: {error}", ModelFitWarning, stacklevel=2)
         tried[key] = (value, made.fit_time if made else 0.0, made, oob, preds)
         if value < best:
             best = value

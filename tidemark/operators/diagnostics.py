@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import statespace, unitroot
 from tidemark.operators import windows
+from tidemark.operators.guards import deprecated
 from tidemark.operators.series import by_time, whole
 
 _TEST = "series_id string, stat double, pvalue double, should_diff boolean"
@@ -83,6 +86,27 @@ def nsdiffs(df: DataFrame, m: int, max_D: int = 2, test: str = "ocsb", **kw) ->
     return _grouped(df, lambda y: (unitroot.nsdiffs(y, m, max_D, test, **kw),), "series_id string, D int")
 
 
+@deprecated("kpss, adf or pp")
+def is_stationary(df: DataFrame, test: str = "kpss", alpha: float = 0.05) -> DataFrame:
+    """(series_id, pvalue, should_diff) of one of the three tests."""
+    tests = {"kpss": kpss, "adf": adf, "pp": pp}
+    if test not in tests:
+        raise ValueError(f"test must be one of {sorted(tests)}")
+    return tests[test](df, alpha=alpha).select("series_id", "pvalue", "should_diff")
+
+
+def density(df: DataFrame, points: int = 61, span: float = 4.0, column: str = "y") -> DataFrame:
+    """(series_id, x, density): Gaussian kernel density at equally spaced points from -span to span, with Scott's bandwidth.
+
+    Each row is exploded to the points and summed before the shuffle, so a series' length costs no more than its rows.
+    """
+    sizes = df.groupBy("series_id").agg((F.stddev_samp(column) * F.pow(F.count(column), F.lit(-0.2))).alias("h"), F.count(column).alias("n"))
+    grid = F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: i * (2 * span / (points - 1)) - span))
+    rows = df.join(sizes, "series_id").select("series_id", "h", "n", F.col(column).alias("v"), grid.alias("x"))
+    bump = F.exp(-0.5 * F.pow((F.col("x") - F.col("v")) / F.col("h"), 2)) / (F.col("n") * F.col("h") * (2 * math.pi) ** 0.5)
+    return rows.groupBy("series_id", "x").agg(F.sum(bump).alias("density"))
+
+
 def pacf(df: DataFrame, nlags: int, method: str = "ywadjusted") -> DataFrame:
     """(series_id, lag, r)."""
 
@@ -113,5 +137,5 @@ def residual_panels(models: DataFrame, bins: int = 25, lags: int = 10) -> dict[s
     rows = models.where("error is null").select("series_id", F.posexplode(F.expr("slice(resid, cast(nobs - nobs_effective as int) + 1, cast(nobs_effective as int))")).alias("t", "e"))
     standard = rows.select("series_id", F.col("t").cast("long").alias("t"), F.try_divide(F.col("e") - F.avg("e").over(whole()), F.stddev_pop("e").over(whole())).alias("y"))
     place = (F.row_number().over(Window.partitionBy("series_id").orderBy("y")) - 0.5) / F.count(F.lit(1)).over(whole())
-    return {"residuals": standard, "histogram": histogram(standard, bins), "quantiles": standard.select("series_id", "y", place.alias("share")), "acf": windows.acf(standard, lags)}
+    return {"residuals": standard, "histogram": histogram(standard, bins), "density": density(standard), "quantiles": standard.select("series_id", "y", place.alias("share")), "acf": windows.acf(standard, lags)}
 

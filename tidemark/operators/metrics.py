@@ -52,12 +52,15 @@ def score(df: DataFrame, metrics: list[str], by: tuple[str, ...] = ("series_id",
     return df.groupBy(*by).agg(*[get_scoring_metric(m)(F.col("y"), F.col("yhat")).alias(m) for m in metrics])
 
 
-def average_forecasts(df: DataFrame, averaging: str = "mean") -> DataFrame:
-    """(series_id, t, yhat): forecasts of several folds for one t, averaged without nulls."""
-    if averaging not in ("mean", "median"):
-        raise ValueError("averaging must be 'mean' or 'median'")
-    how = F.avg if averaging == "mean" else F.median
-    return df.where("yhat is not null").groupBy("series_id", "t").agg(how("yhat").alias("yhat"))
+def average_forecasts(df: DataFrame, averaging: str | Callable[[Column], Column] = "mean") -> DataFrame:
+    """(series_id, t, yhat): forecasts of several folds for one t, averaged without nulls and NaN.
+
+    averaging is mean, median or an aggregate function of a column.
+    """
+    if not callable(averaging) and averaging not in ("mean", "median"):
+        raise ValueError("averaging must be 'mean' or 'median' or a callable")
+    how = averaging if callable(averaging) else F.avg if averaging == "mean" else F.median
+    return df.where("yhat is not null and not isnan(yhat)").groupBy("series_id", "t").agg(how("yhat").alias("yhat"))
 
 
 def train_test_split(df: DataFrame, test_size: float | None = None, train_size: float | None = None) -> tuple[DataFrame, DataFrame]:

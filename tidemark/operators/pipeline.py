@@ -5,6 +5,7 @@ from __future__ import annotations
 import copy
 import math
 import time
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -12,10 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import arima
-from tidemark.operators.arima import ARIMA, KERNEL_SCORES, arrays, fit_one
+from tidemark.operators.arima import ARIMA, arrays, fit_one, kernel_score
 from tidemark.operators.auto import AutoARIMA, search
+from tidemark.operators.guards import check_is_fitted
 from tidemark.operators.metrics import BaseTSCrossValidator, average_forecasts, check_cv, rows_of_folds
-from tidemark.operators.transforms import BaseEndogTransformer, BaseExogFeaturizer, BaseTransformer, horizon
+from tidemark.operators.transforms import BaseEndogTransformer, BaseExogFeaturizer, BaseTransformer, UpdatableMixin, horizon
 
 
 class Pipeline:
@@ -42,21 +44,33 @@ class Pipeline:
     def named_steps(self) -> dict[str, object]:
         return dict(self.steps)
 
-    def fit(self, df: DataFrame, exog: list[str] | None = None) -> Pipeline:
-        """Fit clones of the transformers, then the model; ``models_`` has the model rows."""
+    def _step_args(self, given: dict) -> dict[str, dict]:
+        """Arguments called step__name, by step."""
+        out: dict[str, dict] = {n: {} for n, _ in self.steps}
+        for key, value in given.items():
+            step, _, name = key.partition("__")
+            if step not in out or not name:
+                raise ValueError(f"{key!r} is not step__argument of one of the steps {sorted(out)}")
+            out[step][name] = value
+        return out
+
+    def fit(self, df: DataFrame, exog: list[str] | None = None, **step_args) -> Pipeline:
+        """Fit clones of the transformers, then the model; ``models_`` has the model rows. step_args are step__argument=value."""
+        args = self._step_args(step_args)
         self.fitted_, self.exog_ = [], list(exog or [])
         base = df.columns
         for name, step in self.steps[:-1]:
-            step = copy.deepcopy(step).fit(df)
+            step = copy.deepcopy(step).fit(df, **args[name])
             before = df.columns
             df = step.transform(df)
             self.fitted_.append((name, step))
             self.exog_ = [c for c in self.exog_ if c in df.columns] + [c for c in df.columns if c not in before and c not in base]
         self.rows_ = df
-        self.models_ = self.steps[-1][1].fit(df, self.exog_)
+        self.models_ = self.steps[-1][1].fit(df, self.exog_, **args[self.steps[-1][0]])
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
+        check_is_fitted(self, "models_")
         for _, step in self.fitted_:
             df = step.transform(df)
         return df
@@ -79,19 +93,24 @@ class Pipeline:
 
     def predict(self, n_periods: int = 10, future: DataFrame | None = None, alpha: float = 0.05, inverse_transform: bool = True) -> DataFrame:
         """Forecasts on the scale of y: only exogenous steps run forward, endogenous steps backward."""
+        check_is_fitted(self, "models_")
         return self._inverse(arima.predict(self.models_, n_periods, self._future(n_periods, future), alpha), inverse_transform)
 
     def predict_in_sample(self, inverse_transform: bool = True, **options) -> DataFrame:
+        check_is_fitted(self, "models_")
         return self._inverse(arima.predict_in_sample(self.models_, **options), inverse_transform)
 
     def update(self, new: DataFrame, maxiter: int | None = None) -> Pipeline:
         """Rows after the end of the fitted ones: transformed, appended, refitted shortly."""
-        new = self.transform(new)
+        check_is_fitted(self, "models_")
+        for _, step in self.fitted_:
+            new = step.update_and_transform(new) if isinstance(step, UpdatableMixin) else step.transform(new)
         self.models_ = arima.update(self.models_, new, maxiter)
         self.rows_ = self.rows_.select("series_id", "t", "y", *self.exog_).unionByName(new.select("series_id", "t", "y", *self.exog_))
         return self
 
     def summary(self) -> DataFrame:
+        check_is_fitted(self, "models_")
         return arima.summary(self.models_)
 
 
@@ -115,19 +134,17 @@ def _fold_kernel(estimator: ARIMA | AutoARIMA, exog: list[str]):
     return run
 
 
-def cross_validate(estimator: ARIMA | AutoARIMA, df: DataFrame, exog: list[str] | None = None, scoring: str = "mean_squared_error", cv: BaseTSCrossValidator | None = None, error_score: float | str = math.nan) -> DataFrame:
+def cross_validate(estimator: ARIMA | AutoARIMA, df: DataFrame, exog: list[str] | None = None, scoring: str | Callable = "mean_squared_error", cv: BaseTSCrossValidator | None = None, error_score: float | str = math.nan) -> DataFrame:
     """(series_id, fold, test_score, fit_time, score_time): every fold of every series is a group of its own."""
     exog = exog or []
-    if scoring not in KERNEL_SCORES:
-        raise ValueError(f"scoring must be one of {sorted(KERNEL_SCORES)}")
     if isinstance(error_score, str) and error_score != "raise":
         raise ValueError("error_score must be 'raise' or a number")
-    kernel, score = _fold_kernel(estimator, exog), KERNEL_SCORES[scoring]
+    kernel, score = _fold_kernel(estimator, exog), kernel_score(scoring)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         try:
             test, mean, fit_time, score_time = kernel(pdf)
-            value = score(test.y.to_numpy(float), mean)
+            value = float(score(test.y.to_numpy(float), mean))
         except (ValueError, np.linalg.LinAlgError):
             if error_score == "raise":
                 raise
@@ -143,7 +160,7 @@ def cross_val_score(estimator, df: DataFrame, **options) -> DataFrame:
     return cross_validate(estimator, df, **options).select("series_id", "fold", "test_score")
 
 
-def cross_val_predict(estimator: ARIMA | AutoARIMA, df: DataFrame, exog: list[str] | None = None, cv: BaseTSCrossValidator | None = None, averaging: str = "mean", return_raw_predictions: bool = False) -> DataFrame:
+def cross_val_predict(estimator: ARIMA | AutoARIMA, df: DataFrame, exog: list[str] | None = None, cv: BaseTSCrossValidator | None = None, averaging: str | Callable = "mean", return_raw_predictions: bool = False) -> DataFrame:
     """(series_id, t, yhat) averaged over folds, or raw (series_id, fold, t, h, yhat)."""
     exog = exog or []
     cv = check_cv(cv)

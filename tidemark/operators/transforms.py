@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.optimise import bounded_minimum
+from tidemark.operators.guards import check_is_fitted
 from tidemark.operators.series import floor_values
 
 
@@ -29,6 +30,13 @@ class BaseTransformer:
         return {k: v for k, v in vars(self).items() if not k.endswith("_")}
 
 
+class UpdatableMixin:
+    """A transformer that moves on with the series: update_and_transform() of rows after the fitted ones."""
+
+    def update_and_transform(self, df: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+
 class BaseEndogTransformer(BaseTransformer):
     """Changes y; inverse_transform() changes any of the given columns back."""
 
@@ -122,7 +130,7 @@ class LogEndogTransformer(BoxCoxEndogTransformer):
         return {"lmbda": self.lmbda2, "neg_action": self.neg_action, "floor": self.floor}
 
 
-class FourierFeaturizer(BaseExogFeaturizer):
+class FourierFeaturizer(BaseExogFeaturizer, UpdatableMixin):
     """k sine and cosine pairs of period m over t + 1. Frequencies are rounded to 32-bit floats."""
 
     def __init__(self, m: int, k: int | None = None, prefix: str | None = None):
@@ -134,7 +142,24 @@ class FourierFeaturizer(BaseExogFeaturizer):
     def names(self) -> list[str]:
         return [f"{self.prefix}_{f}{self.m}-{j}" for j in range(self.k) for f in "SC"]
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def fit(self, df: DataFrame) -> FourierFeaturizer:
+        """Remembers the last row of each series."""
+        self.ends_ = df.groupBy("series_id").agg(F.max("t").alias("last t"))
+        return self
+
+    def update_and_transform(self, df: DataFrame) -> DataFrame:
+        """Features of rows that follow the fitted ones, which the next update has to follow in turn. Other rows are an error."""
+        check_is_fitted(self, "ends_")
+        gap = F.raise_error(F.lit("the rows of an update must follow the fitted ones"))
+        checked = df.join(self.ends_, "series_id", "left").withColumn("t", F.when(F.coalesce(F.col("t") > F.col("last t"), F.lit(True)), F.col("t")).otherwise(gap)).drop("last t")
+        self.ends_ = self.ends_.unionByName(df.groupBy("series_id").agg(F.max("t").alias("last t"))).groupBy("series_id").agg(F.max("last t").alias("last t"))
+        return self.transform(checked)
+
+    def transform(self, df: DataFrame, n_periods: int = 0) -> DataFrame:
+        """n_periods: the rows are those to forecast, and each series must have so many."""
+        if n_periods:
+            wrong = F.raise_error(F.lit(f"each series must have n_periods ({n_periods}) rows"))
+            df = df.withColumn("t", F.when(F.count(F.lit(1)).over(Window.partitionBy("series_id")) == n_periods, F.col("t")).otherwise(wrong))
         columns = {}
         for j in range(self.k):
             angle = F.lit(float(np.float32(2 * math.pi * (j + 1) / self.m))) * (F.col("t") + 1)

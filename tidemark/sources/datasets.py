@@ -6,6 +6,10 @@ read_series().
 
 from __future__ import annotations
 
+import io
+import tarfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +78,24 @@ WOOLYRNQ = (
 SERIES = {"airpassengers": AIRPASSENGERS, "austres": AUSTRES, "heartrate": HEARTRATE, "lynx": LYNX, "wineind": WINEIND, "woolyrnq": WOOLYRNQ}
 
 
+#: First period of the series with a calendar.
+STARTS = {"airpassengers": ("month", 1949), "austres": ("quarter", 1971), "lynx": ("year", 1821), "wineind": ("month", 1980), "woolyrnq": ("quarter", 1965)}
+
+
+def labelled(df: DataFrame) -> DataFrame:
+    """df of load() with a column ``label``: the year ("1821"), quarter ("Q1 1965") or month ("Jan 1980") of a row, or null."""
+    label = F.lit(None).cast("string")
+    for name, (kind, year) in STARTS.items():
+        if kind == "year":
+            text = (F.col("t") + year).cast("string")
+        elif kind == "quarter":
+            text = F.concat(F.lit("Q"), (F.col("t") % 4 + 1).cast("string"), F.lit(" "), (F.floor(F.col("t") / 4) + year).cast("string"))
+        else:
+            text = F.date_format(F.add_months(F.make_date(F.lit(year), F.lit(1), F.lit(1)), F.col("t").cast("int")), "MMM yyyy")
+        label = F.when(F.col("series_id") == name, text).otherwise(label)
+    return df.withColumn("label", label)
+
+
 def load(spark: SparkSession, name: str) -> DataFrame:
     """A series by name."""
     if name not in SERIES:
@@ -88,3 +110,21 @@ def read_series(spark: SparkSession, path: str, name: str, column: str | None =
         return rows.select(F.lit(name).alias("series_id"), F.col("t").cast("long").alias("t"), F.col("y").cast("double").alias("y"))
     rows = spark.read.csv(path, header=True).select(F.lit(name).alias("series_id"), F.to_timestamp(ts).alias("ts"), F.col(column).cast("double").alias("y"))
     return as_series(rows, "ts")
+
+
+def read_archive(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of the first CSV member (with a header) of each tar archive of a path, plain or compressed.
+
+    An archive is read by one task; a member must fit into a Python worker.
+    """
+
+    def members(frames):
+        for pdf in frames:
+            for content in pdf["content"]:
+                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                    first = next((m for m in tar if m.isfile()), None)
+                    if first is not None:
+                        yield pd.DataFrame({"value": tar.extractfile(first).read().decode().splitlines()[1:]})
+
+    lines = spark.read.format("binaryFile").load(path).select("content").mapInPandas(members, "value string")
+    return lines.select(F.from_csv("value", schema).alias("r")).select("r.*")

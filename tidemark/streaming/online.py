@@ -28,36 +28,49 @@ def sessions(stream: DataFrame, key: str, ts: str, value: Column, gap: str = "30
 
 
 OUT = "series_id string, t long, yhat double, n long, refused long"
-STATE = "params array<double>, y array<double>, last long"
+STATE = "params array<double>, y array<double>, mean array<double>, cov array<double>, n long, last long"
 
 
-def online_forecast(stream: DataFrame, config: ARIMA, min_rows: int = 20) -> DataFrame:
+def online_forecast(stream: DataFrame, config: ARIMA, min_rows: int = 20, refit: bool = True) -> DataFrame:
     """(series_id, t, yhat, n, refused): after each micro-batch, the forecast of the next row of each series.
 
-    State: parameters and rows of a series. New rows are appended in order of t and the model
-    is refitted shortly from its old parameters. Rows at or before the last t are refused.
+    New rows are appended in order of t and the model is refitted shortly from its old parameters; the state then
+    holds the rows of a series. With refit=False, the parameters stay as first fitted and only the filter goes on:
+    the state is the parameters and the last prediction, whatever the length of the series. Rows at or before the
+    last t are refused.
     """
+    if not refit and config.flags().get("simple_differencing"):
+        raise ValueError("refit=False needs a model without simple_differencing")
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        params, y, last = state.get if state.exists else ([], [], -1)
+        params, y, mean, cov, n, last = state.get if state.exists else ([], [], [], [], 0, -1)
         rows = pd.concat(frames).sort_values("t").drop_duplicates("t")
         new = rows[rows.t > last]
         before = np.asarray(y, float)
-        y = np.concatenate([before, new.y.to_numpy(float)])
+        n += len(new)
+        y = before if len(mean) else np.concatenate([before, new.y.to_numpy(float)])
         last = int(max([last, *new.t]))
         yhat = np.nan
-        if len(y) >= min_rows:
+        if len(mean):
+            options = {k: v for k, v in config.flags().items() if k != "simple_differencing"}
+            spec, old = statespace.Spec(config.spec(), 0, **options), np.asarray(params, float)
+            size = len(mean)
+            on = statespace.kalman(spec, old[None], new.y.to_numpy(float), None, (np.asarray(mean, float), np.asarray(cov, float).reshape(size, size), n - len(new)))
+            mean, cov = on.mean[0].tolist(), on.cov[0].ravel().tolist()
+            yhat = float(on.mean[0] @ spec.observation())
+        elif len(y) >= min_rows:
             if len(params):
-                spec, old = statespace.Spec(config.spec(), 0, **config.flags()), np.asarray(params, float)
-                made = statespace.Fit(spec, old, before, None, statespace.kalman(spec, old[None], before, None), True, 0.0)
-                made = updated(made, new.y.to_numpy(float), None, config.method, **config.flags()) if len(new) else made
+                made = statespace.fit(before, config.spec(), None, config.method, 0, np.asarray(params, float), **config.flags())
+                made = updated(made, new.y.to_numpy(float), None, config.method) if len(new) else made
             else:
                 made, _, _, error = fit_one(config, y, None)
                 if made is None:
                     raise ValueError(error)
             params = made.params.tolist()
             yhat = float(made.forecast(1)[0][0])
-        state.update((list(params), y.tolist(), last))
-        yield pd.DataFrame({"series_id": [key[0]], "t": [last + 1], "yhat": [yhat], "n": [len(y)], "refused": [len(rows) - len(new)]})
+            if not refit:
+                mean, cov, y = made.filtered.mean[0].tolist(), made.filtered.cov[0].ravel().tolist(), np.empty(0)
+        state.update((list(params), y.tolist(), list(mean), list(cov), n, last))
+        yield pd.DataFrame({"series_id": [key[0]], "t": [last + 1], "yhat": [yhat], "n": [n], "refused": [len(rows) - len(new)]})
 
     return stream.select("series_id", "t", "y").groupBy("series_id").applyInPandasWithState(run, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
