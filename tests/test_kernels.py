@@ -82,3 +82,50 @@ def test_validation():
         auto.StepwiseContext(max_steps=0)
     with auto.StepwiseContext(max_steps=5), auto.StepwiseContext(max_dur=2):
         assert auto._context.get() == {"max_steps": 5, "max_dur": 2}
+
+
+def test_trends():
+    t = np.arange(1, 201.0)
+    y = 5 + 0.3 * t + 0.001 * t**2 + np.random.default_rng(0).normal(size=200)
+    made = statespace.fit(y, Order(1, trend="111"))
+    assert made.spec.names() == ["intercept", "drift", "trend.2", "ar.L1", "sigma2"]
+    assert np.allclose(made.forecast(2)[0], 5 + 0.3 * np.array([201, 202]) + 0.001 * np.array([201, 202]) ** 2, atol=0.6)
+    line = statespace.fit(y, Order(trend="ct"))
+    assert np.allclose(line.params[:2][::-1], np.polyfit(t, y, 1), rtol=1e-3)
+    assert Order(trend=(0, 1)).powers == Order(trend="t").powers == (1,)
+    with pytest.raises(ValueError):
+        _ = Order(trend="x").powers
+
+
+def test_simple_differencing():
+    # Far below the start variance of the differencing states, both ways are the same model.
+    y = WINEIND / 1e4
+    for order in (Order(0, 1, 1, 0, 1, 1, 12), Order(1, 1, 0, trend="c"), Order(1, 0, 0, 0, 1, 0, 12)):
+        plain, simple = statespace.fit(y, order), statespace.fit(y, order, simple_differencing=True)
+        assert np.allclose(plain.params, simple.params, atol=2e-3)
+        for a, b in zip(plain.forecast(15), simple.forecast(15), strict=True):
+            assert np.allclose(a, b, rtol=2e-3)
+        assert np.allclose(plain.in_sample(100)[0], simple.in_sample(100)[0], rtol=2e-3)
+        assert np.allclose(plain.in_sample(160, 170, True)[0], simple.in_sample(160, 170, True)[0], rtol=2e-3)
+    assert np.isnan(simple.residuals()[:12]).all() and len(simple.residuals()) == len(y)
+    # The exact likelihood of the differenced wine series.
+    assert abs(statespace.fit(WINEIND, Order(0, 1, 2, 0, 1, 1, 12), simple_differencing=True).llf + 1497.95) < 0.05
+
+
+def test_a_superset_has_no_lower_likelihood():
+    for y, m in ((WINEIND, 12), (AUSTRES, 4)):
+        found = auto.search(auto.AutoARIMA(d=1, D=0, m=m, start_p=1, start_q=1, max_p=2, max_q=2, max_P=1, max_Q=1), y, None)
+        fits = [f for f, _, _ in found]
+        for large in fits:
+            for small in fits:
+                if statespace.embedded(small, large.spec.order, 0) is not None:
+                    assert large.llf >= small.llf - 1e-3, (large.spec.order, small.spec.order)
+
+
+def test_filter_goes_on():
+    spec = statespace.Spec(Order(1, 1, 1, 0, 1, 0, 4, "t"), 0)
+    params = np.array([[0.1, 0.4, 0.3, 2.0]])
+    whole = statespace.kalman(spec, params, AUSTRES, None)
+    head = statespace.kalman(spec, params, AUSTRES[:40], None)
+    tail = statespace.kalman(spec, params, AUSTRES[40:], None, (head.mean[0], head.cov[0], 40))
+    assert np.allclose(np.concatenate([head.terms, tail.terms], 1), whole.terms) and np.allclose(tail.mean, whole.mean)

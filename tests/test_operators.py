@@ -1,12 +1,14 @@
 """DataFrame operators: goldens, round trips, and many series against one at a time."""
 
 import math
+import tarfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import arima, auto, diagnostics, metrics, pipeline, series, transforms, windows
+from tidemark.functions import statespace
+from tidemark.operators import arima, auto, diagnostics, guards, metrics, pipeline, series, transforms, windows
 from tidemark.operators.arima import ARIMA
 from tidemark.sources import datasets, models
 from tidemark.streaming import online
@@ -190,3 +192,106 @@ def test_diff_inv_with_heads(spark):
 def test_smape_of_zeros_is_nan(spark):
     df = spark.createDataFrame([("s", 0.0, 0.0), ("s", 1.0, 2.0)], "series_id string, y double, yhat double")
     assert math.isnan(metrics.score(df, ["smape"]).first().smape)
+
+
+def test_update_keeps_the_options(two):
+    head, tail = two.where("t < 80"), two.where("t >= 80")
+    models = ARIMA((1, 1, 1), sarimax_kwargs={"enforce_invertibility": False, "simple_differencing": True}).fit(head)
+    rows = arima.update(models, tail).collect()
+    assert {r.nobs for r in rows} == {176, 89}
+    assert all(r.options == {"enforce_stationarity": True, "enforce_invertibility": False, "simple_differencing": True} and r.error is None for r in rows)
+    made = arima.loaded(rows[0].asDict(recursive=True))
+    assert np.allclose(made.residuals()[1:], rows[0].resid[1:])
+
+
+def test_accessors(two):
+    models = ARIMA((1, 0, 1), (1, 0, 0, 4)).fit(two).cache()
+    row = arima.coefficients(models).where("series_id = 'austres'").first()
+    assert len(row.arparams) == 5 and len(row.maparams) == 1
+    assert arima.degrees(models).where("series_id = 'austres'").first().df_resid == 89 - 5
+    assert all(r.lower <= r.upper for r in arima.conf_int(models).collect())
+
+
+def test_fourier_updates_follow(two):
+    f = transforms.FourierFeaturizer(12, 1).fit(two.where("t < 50"))
+    assert f.update_and_transform(two.where("t between 50 and 59")).count() == 20
+    assert f.update_and_transform(two.where("t between 60 and 61")).count() == 4
+    with pytest.raises(Exception, match="must follow"):
+        f.update_and_transform(two.where("t = 60")).collect()
+    with pytest.raises(Exception, match="n_periods"):
+        f.transform(two.where("t < 5"), n_periods=4).collect()
+    assert f.transform(two.where("t < 4"), n_periods=4).count() == 8
+
+
+def test_pipeline_arguments_and_fittedness(two):
+    p = pipeline.Pipeline([("fourier", transforms.FourierFeaturizer(4, 1)), ("arima", ARIMA((1, 0, 0)))])
+    with pytest.raises(guards.NotFittedError):
+        p.predict(3)
+    with pytest.raises(ValueError):
+        p.fit(two, nope__x=1)
+    p.fit(two.where("t < 80"), arima__maxiter=5)
+    assert p.update(two.where("t between 80 and 85")).predict(3).count() == 6
+
+
+def test_callables(two):
+    cv = metrics.RollingForecastCV(2, 30, 40)
+    worst = lambda y, p: np.abs(y - p).max()
+    a, b = (pipeline.cross_val_score(ARIMA((0, 1, 0)), two, scoring=s, cv=cv).orderBy("series_id", "fold").collect() for s in (worst, "max_error"))
+    assert a == b
+    top = pipeline.cross_val_predict(ARIMA((0, 1, 0)), two, cv=metrics.RollingForecastCV(4, 2, 80), averaging=F.max)
+    assert top.where("yhat is null").count() == 0
+    with pytest.raises(TypeError):
+        arima.kernel_score(3)
+
+
+def test_labels_and_archives(spark, tmp_path):
+    last = {n: datasets.labelled(datasets.load(spark, n)).orderBy(F.desc("t")).first().label for n in ("lynx", "wineind", "woolyrnq", "airpassengers", "heartrate")}
+    assert last == {"lynx": "1934", "wineind": "Aug 1994", "woolyrnq": "Q3 1994", "airpassengers": "Dec 1960", "heartrate": None}
+    (tmp_path / "a.csv").write_text("day,price\n2020-01-01,1.5\n2020-01-02,2.5\n")
+    with tarfile.open(tmp_path / "a.tar.gz", "w:gz") as tar:
+        tar.add(tmp_path / "a.csv", "a.csv")
+    rows = datasets.read_archive(spark, str(tmp_path / "a.tar.gz"), "day date, price double").collect()
+    assert [r.price for r in rows] == [1.5, 2.5]
+
+
+def test_guards():
+    class Inner:
+        def go(self):
+            return 1
+
+    class Outer:
+        inner = Inner()
+
+        @guards.delegated("inner")
+        def go(self):
+            return self.inner.go()
+
+        @guards.delegated("inner")
+        def stop(self):
+            return 2
+
+    assert Outer().go() == 1 and not hasattr(Outer(), "stop")
+    with pytest.raises(TypeError):
+        guards.check_is_fitted(Outer(), [])
+    with pytest.raises(KeyError) as e, guards.reraised(ValueError, "other", KeyError):
+        raise ValueError("first")
+    assert isinstance(e.value.__cause__, ValueError)
+    with pytest.warns(DeprecationWarning):
+        guards.deprecated("g")(lambda: 1)()
+    assert guards.versions()["numpy"]
+
+
+def test_online_filter_alone_keeps_no_rows(spark, two, tmp_path):
+    two.where("t < 40").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("series_id string, t long, y double").parquet(str(tmp_path / "in"))
+    q = online.online_forecast(stream, ARIMA((1, 0, 0)), refit=False).writeStream.outputMode("update").format("memory").queryName("online_filter").start()
+    try:
+        q.processAllAvailable()
+        two.where("t between 40 and 50").write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = spark.table("online_filter").where("series_id = 'wineind'").orderBy("t").collect()
+    made = statespace.fit(np.array(datasets.WINEIND[:40], float), ARIMA((1, 0, 0)).spec())
+    on = statespace.Fit(made.spec, made.params, np.array(datasets.WINEIND[:51], float), None, statespace.kalman(made.spec, made.params[None], np.array(datasets.WINEIND[:51], float), None), True, 0.0)
+    assert [r.n for r in got] == [40, 51] and abs(got[1].yhat - on.forecast(1)[0][0]) < 1e-6

@@ -271,7 +271,22 @@ def o56(spark, sf_dir):
     return windows.acf(s5(spark, sf_dir), 12).select("series_id", "lag", r("r", "r", 6))
 
 
-@register("O57_pacf")
+# Durbin and Levinson: the coefficients of one order from those of the order before, as lists.
+_PACF = """
+, e AS (SELECT series_id, t, y - avg(y) OVER (PARTITION BY series_id) AS d FROM s),
+n AS (SELECT series_id, count(*) AS n FROM s GROUP BY 1),
+g AS (SELECT a.series_id, k, sum(a.d * b.d) / any_value(n - k) AS g FROM e a JOIN range(13) AS k(k) ON true JOIN e b ON a.series_id = b.series_id AND b.t = a.t + k JOIN n ON n.series_id = a.series_id GROUP BY 1, 2),
+l AS (SELECT series_id, list(g ORDER BY k) AS g FROM g GROUP BY 1),
+rec(series_id, k, phi, v, g) AS (
+  SELECT series_id, 0, CAST([] AS DOUBLE[]), g[1], g FROM l
+  UNION ALL
+  SELECT series_id, k + 1, list_append(list_transform(range(1, k + 1), lambda i: phi[i] - r * phi[k + 1 - i]), r), v * (1 - r * r), g
+  FROM (SELECT *, (g[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * g[k + 2 - i])), 0)) / v AS r FROM rec WHERE k < 12)
+)
+SELECT series_id, CAST(k AS INTEGER) AS lag, round(CASE WHEN k = 0 THEN 1 ELSE phi[k] END, 6) + 0.0 AS r FROM rec"""
+
+
+@register("O57_pacf", _PACF, S5_SQL.replace("WITH base_m", "WITH RECURSIVE base_m"))
 def o57(spark, sf_dir):
     return diagnostics.pacf(s5(spark, sf_dir), 12).select("series_id", "lag", r("r", "r", 6))
 
@@ -332,9 +347,12 @@ def o73(spark, sf_dir):
 # Transforms
 
 
-@register("O80_boxcox_fit")
+@register(
+    "O80_boxcox_fit",
+    ", g AS (SELECT series_id, exp(avg(ln(y))) AS g, count(*) AS n FROM s GROUP BY 1), k AS (SELECT s.series_id, l / 100.0 AS l, -any_value(n) / 2.0 * ln(var_pop(CASE WHEN l = 0 THEN ln(y / g) ELSE (pow(y / g, l / 100.0) - 1) / (l / 100.0) END)) AS llf FROM s JOIN g ON s.series_id = g.series_id, range(-500, 501) AS r(l) GROUP BY 1, 2) SELECT series_id, round(CAST(arg_max(l, llf) AS DOUBLE), 2) + 0.0 AS lmbda FROM k GROUP BY 1",
+)
 def o80(spark, sf_dir):
-    return transforms.BoxCoxEndogTransformer().fit(s5(spark, sf_dir)).lambdas_.select("series_id", r("lmbda", "lmbda", 3))
+    return transforms.BoxCoxEndogTransformer().fit(s5(spark, sf_dir)).lambdas_.select("series_id", r("lmbda", "lmbda", 2))
 
 
 @register("O81_boxcox", "SELECT series_id, t, round((pow(y + 1, 0.5) - 1) / 0.5, 6) AS y FROM s")
@@ -387,7 +405,7 @@ def o87(spark, sf_dir):
     return transforms.approximate(df, asked).where("y is not null").select("series_id", "x", r("y", "y"))
 
 
-@register("O88_arma_to_ma")
+@register("O88_arma_to_ma", "WITH RECURSIVE w(lag, a, b) AS (SELECT 0, CAST(1 AS DOUBLE), CAST(0 AS DOUBLE) UNION ALL SELECT lag + 1, 0.5 * a + 0.6 * b + coalesce([0.4, 0.3, 0.1, 0.05][lag + 1], 0), a FROM w WHERE lag < 12) SELECT CAST(lag AS INTEGER) AS lag, round(a, 6) AS psi FROM w WHERE lag > 0", "")
 def o88(spark, sf_dir):
     psi = statespace.arma_to_ma(np.array([0.5, 0.6]), np.array([0.4, 0.3, 0.1, 0.05]), 12)
     return spark.createDataFrame([(i + 1, round(float(x), 6)) for i, x in enumerate(psi)], "lag int, psi double")
@@ -449,7 +467,95 @@ def o106(spark, sf_dir):
     return diagnostics.nsdiffs(s5(spark, sf_dir), 12)
 
 
-# Models
+@register("O105_ndiffs_adf")
+def o105b(spark, sf_dir):
+    return diagnostics.ndiffs(s5(spark, sf_dir), test="adf")
+
+
+@register("O107_is_stationary")
+def o107(spark, sf_dir):
+    return diagnostics.is_stationary(s5(spark, sf_dir), "pp").select("series_id", "should_diff")
+
+
+# Models. The maximum likelihood of white noise around a mean has a closed form, so SQL can state what fits of it give.
+
+
+_WHITE = """
+, z AS (SELECT series_id, t, y / 1e6 AS y FROM s),
+m AS (SELECT series_id, avg(y) AS c, var_pop(y) AS v, count(*) AS n FROM z GROUP BY 1),
+f AS (SELECT *, -n / 2.0 * (ln(2 * pi() * v) + 1) AS llf FROM m)"""
+_Z95 = "1.959963984540054"
+
+
+def _white(spark, sf_dir) -> DataFrame:
+    return ARIMA((0, 0, 0)).fit(_scaled(spark, sf_dir))
+
+
+@register("O111_fit_white_noise", _WHITE + " SELECT series_id, round(llf, 3) AS llf, round(c, 3) AS c, round(v, 2) AS sigma2, n AS nobs FROM f")
+def o111b(spark, sf_dir):
+    return _white(spark, sf_dir).select("series_id", r("llf", "llf", 3), r(F.col("params")[0], "c", 3), r("sigma2", "sigma2", 2), "nobs")
+
+
+@register("O47_information_criteria_white_noise", _WHITE + " SELECT series_id, round(4 - 2 * llf, 3) AS aic, round(4 - 2 * llf + 4 * (n / (n - 3.0) - 1), 3) AS aicc, round(2 * ln(n) - 2 * llf, 3) AS bic, round(4 * ln(ln(n)) - 2 * llf, 3) AS hqic FROM f")
+def o47b(spark, sf_dir):
+    return _white(spark, sf_dir).select("series_id", *[r(c, c, 3) for c in ("aic", "aicc", "bic", "hqic")])
+
+
+@register("O112_predict_white_noise", _WHITE + f" SELECT series_id, CAST(h AS INTEGER) AS h, round(c, 3) AS yhat, round(c - {_Z95} * sqrt(v), 2) + 0.0 AS lower, round(c + {_Z95} * sqrt(v), 2) AS upper FROM f, range(1, 13) AS k(h)")
+def o112b(spark, sf_dir):
+    return arima.predict(_white(spark, sf_dir), 12).select("series_id", "h", r("yhat", "yhat", 3), r("lower", "lower", 2), r("upper", "upper", 2))
+
+
+@register("O113_predict_in_sample_white_noise", _WHITE + f" SELECT z.series_id, t, round(c, 3) AS yhat, round(c + {_Z95} * sqrt(v), 2) AS upper FROM f JOIN z ON z.series_id = f.series_id")
+def o113b(spark, sf_dir):
+    return arima.predict_in_sample(_white(spark, sf_dir)).select("series_id", "t", r("yhat", "yhat", 3), r("upper", "upper", 2))
+
+
+@register("O115_update_white_noise", _WHITE + " SELECT series_id, n AS nobs, round(c, 3) AS c, round(llf, 3) AS llf FROM f")
+def o115b(spark, sf_dir):
+    df = _scaled(spark, sf_dir)
+    made = arima.update(ARIMA((0, 0, 0)).fit(df.where("t < 50")), df.where("t >= 50"), 50)
+    return made.select("series_id", "nobs", r(F.col("params")[0], "c", 3), r("llf", "llf", 3))
+
+
+@register("O116_regression", ", z AS (SELECT series_id, t, y / 1e6 AS y, t % 12 AS x FROM s), f AS (SELECT series_id, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, max(t) AS last FROM z GROUP BY 1) SELECT series_id, CAST(h AS INTEGER) AS h, round(a + b * ((last + h) % 12), 3) AS yhat FROM f, range(1, 7) AS k(h)")
+def o116b(spark, sf_dir):
+    df = _scaled(spark, sf_dir).withColumn("x", (F.col("t") % 12).cast("double"))
+    future = transforms.horizon(df, 6).withColumn("x", (F.col("t") % 12).cast("double"))
+    return ARIMA((0, 0, 0)).fit_predict(df, ["x"], 6, future).select("series_id", "h", r("yhat", "yhat", 3))
+
+
+@register("O110_linear_trend", ", z AS (SELECT series_id, t + 1 AS x, y / 1e6 AS y FROM s), f AS (SELECT series_id, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, max(x) AS last FROM z GROUP BY 1) SELECT series_id, CAST(h AS INTEGER) AS h, round(a + b * (last + h), 3) AS yhat FROM f, range(1, 7) AS k(h)")
+def o110(spark, sf_dir):
+    return arima.predict(ARIMA((0, 0, 0), trend="ct").fit(_scaled(spark, sf_dir)), 6).select("series_id", "h", r("yhat", "yhat", 3))
+
+
+@register("O114_simple_differencing", ", z AS (SELECT series_id, t, y / 1e6 AS y FROM s), d AS (SELECT series_id, t, y - lag(y, 12) OVER (PARTITION BY series_id ORDER BY t) AS d FROM z), v AS (SELECT series_id, avg(d * d) AS v, max(t) AS last FROM d GROUP BY 1) SELECT z.series_id, CAST(t - last + 12 AS INTEGER) AS h, round(y, 3) AS yhat, round(y + " + _Z95 + " * sqrt(v), 2) AS upper FROM z JOIN v ON z.series_id = v.series_id WHERE t > last - 12")
+def o114(spark, sf_dir):
+    config = ARIMA((0, 0, 0), (0, 1, 0, 12), with_intercept=False, sarimax_kwargs={"simple_differencing": True})
+    return arima.predict(config.fit(_scaled(spark, sf_dir)), 12).select("series_id", "h", r("yhat", "yhat", 3), r("upper", "upper", 2))
+
+
+# Standard errors from the outer product of the two scores: e / v and (e^2 / v - 1) / (2 v).
+_SUMMARY = """
+, g AS (SELECT z.series_id, sum((y - c) * (y - c)) / any_value(v * v) AS a, sum((y - c) / v * ((y - c) * (y - c) / v - 1) / (2 * v)) AS b, sum(pow(((y - c) * (y - c) / v - 1) / (2 * v), 2)) AS d FROM z JOIN f ON z.series_id = f.series_id GROUP BY 1)
+SELECT f.series_id, 'intercept' AS param, round(c, 3) AS coef, round(sqrt(d / (a * d - b * b)), 3) AS se FROM f JOIN g ON f.series_id = g.series_id
+UNION ALL SELECT f.series_id, 'sigma2', round(v, 3), round(sqrt(a / (a * d - b * b)), 3) FROM f JOIN g ON f.series_id = g.series_id"""
+
+
+@register("O17_summary_white_noise", _WHITE + _SUMMARY)
+def o17c(spark, sf_dir):
+    return arima.summary(_white(spark, sf_dir)).select("series_id", "param", r("coef", "coef", 3), r("se", "se", 3))
+
+
+@register("O117_degrees", _WHITE + " SELECT series_id, 2 AS df_model, n - 2 AS df_resid FROM f")
+def o117(spark, sf_dir):
+    return arima.degrees(_white(spark, sf_dir))
+
+
+@register("O117_coefficients")
+def o117b(spark, sf_dir):
+    return arima.coefficients(_models(spark, sf_dir)).select("series_id", r(F.col("arparams")[0], "ar", 2), r(F.col("maparams")[0], "ma", 2))
 
 
 def _scaled(spark, sf_dir) -> DataFrame:
@@ -535,6 +641,12 @@ def o146(spark, sf_dir):
     return pipeline.Pipeline(steps).fit(_scaled(spark, sf_dir)).predict(6).select("series_id", "h", r("yhat", "yhat", 3))
 
 
+@register("O146_pipeline_log_mean", ", f AS (SELECT series_id, avg(ln(y / 1e6)) AS c, var_pop(ln(y / 1e6)) AS v FROM s GROUP BY 1) SELECT series_id, CAST(h AS INTEGER) AS h, round(exp(c), 3) AS yhat, round(exp(c + " + _Z95 + " * sqrt(v)), 2) AS upper FROM f, range(1, 7) AS k(h)")
+def o146b(spark, sf_dir):
+    steps = [("log", transforms.LogEndogTransformer()), ("arima", ARIMA((0, 0, 0)))]
+    return pipeline.Pipeline(steps).fit(_scaled(spark, sf_dir), arima__maxiter=100).predict(6).select("series_id", "h", r("yhat", "yhat", 3), r("upper", "upper", 2))
+
+
 @register("O155_rolling_cv", _FOLDS.format(first="n // 3", start="0") + "SELECT series_id, fold, start, split, stop FROM g")
 def o155(spark, sf_dir):
     return metrics.RollingForecastCV(4, 6).folds(s5(spark, sf_dir)).select("series_id", F.col("fold").cast("long").alias("fold"), "start", "split", "stop")
@@ -550,6 +662,12 @@ def o158(spark, sf_dir):
     return pipeline.cross_val_score(ARIMA((1, 0, 0)), _scaled(spark, sf_dir), cv=metrics.RollingForecastCV(4, 12, 40)).select("series_id", "fold", r("test_score", "test_score", 3))
 
 
+@register("O158_cross_validate_mean", _FOLDS.format(first="40", start="0").replace(", 6))", ", 12))") + ", k AS (SELECT g.series_id, g.fold, g.split, g.stop, avg(s.y / 1e6) AS c FROM g JOIN s ON s.series_id = g.series_id AND s.t < g.split GROUP BY ALL) SELECT k.series_id, CAST(k.fold AS INTEGER) AS fold, round(max(abs(s.y / 1e6 - c)), 3) AS test_score FROM k JOIN s ON s.series_id = k.series_id AND s.t >= k.split AND s.t < k.stop GROUP BY 1, 2")
+def o158b(spark, sf_dir):
+    worst = lambda y, p: np.abs(y - p).max()
+    return pipeline.cross_val_score(ARIMA((0, 0, 0)), _scaled(spark, sf_dir), scoring=worst, cv=metrics.RollingForecastCV(4, 12, 40)).select("series_id", "fold", r("test_score", "test_score", 3))
+
+
 @register("O160_cross_val_predict", _MEAN.format(how="avg").replace("n - 4, 6", "n - 4, 4"))
 def o160(spark, sf_dir):
     # A random walk without drift forecasts its last value, so SQL can state what the fitted folds give.
@@ -576,6 +694,27 @@ def o166(spark, sf_dir):
     return diagnostics.residual_panels(_models(spark, sf_dir))["quantiles"].select("series_id", r("y", "y", 2), r("share", "share", 6))
 
 
+_STANDARD = _WHITE + ", q AS (SELECT z.series_id, (y - c) / sqrt(v) AS y FROM z JOIN f ON z.series_id = f.series_id)"
+
+
+@register("O166_residual_quantiles_white_noise", _STANDARD + " SELECT series_id, round(y, 3) + 0.0 AS y, round((row_number() OVER (PARTITION BY series_id ORDER BY y) - 0.5) / count(*) OVER (PARTITION BY series_id), 6) AS share FROM q")
+def o166b(spark, sf_dir):
+    return diagnostics.residual_panels(_white(spark, sf_dir))["quantiles"].select("series_id", r("y", "y", 3), r("share", "share", 6))
+
+
+@register("O166_residual_density_white_noise", _STANDARD + ", b AS (SELECT series_id, stddev_samp(y) * pow(count(*), -0.2) AS h, count(*) AS n FROM q GROUP BY 1) SELECT q.series_id, round(CAST(i AS DOUBLE) * (8.0 / 60) - 4, 4) + 0.0 AS x, round(sum(exp(-0.5 * pow((i * (8.0 / 60) - 4 - y) / h, 2)) / (n * h * sqrt(2 * pi()))), 4) AS density FROM q JOIN b ON q.series_id = b.series_id, range(61) AS r(i) GROUP BY 1, 2")
+def o166c(spark, sf_dir):
+    return diagnostics.residual_panels(_white(spark, sf_dir))["density"].select("series_id", r("x", "x"), r("density", "density"))
+
+
+@register(
+    "O17_residual_diagnostics_white_noise",
+    _STANDARD.replace("AS y FROM z JOIN", "AS y, t, n FROM z JOIN") + ", k AS (SELECT series_id, count(*) AS n, avg(pow(y, 3)) AS skew, avg(pow(y, 4)) AS kurtosis, sum(CASE WHEN t >= n - round(n / 3) THEN y * y END) / sum(CASE WHEN t < round(n / 3) THEN y * y END) AS h FROM q GROUP BY 1) SELECT series_id, round(n / 6.0 * (skew * skew + (kurtosis - 3) * (kurtosis - 3) / 4), 2) AS jarque_bera, round(skew, 3) + 0.0 AS skew, round(kurtosis, 3) AS kurtosis, round(h, 3) AS heteroskedasticity FROM k",
+)
+def o17d(spark, sf_dir):
+    return arima.residual_diagnostics(_white(spark, sf_dir)).select("series_id", r("jarque_bera", "jarque_bera", 2), *[r(c, c, 3) for c in ("skew", "kurtosis", "heteroskedasticity")])
+
+
 @register("O17_residual_diagnostics")
 def o17b(spark, sf_dir):
     return arima.residual_diagnostics(_models(spark, sf_dir)).select("series_id", *[r(c, c, 2) for c in ("ljung_box", "jarque_bera", "skew", "kurtosis", "heteroskedasticity")])
