@@ -180,6 +180,25 @@ class AutoARIMA:
 NO_CANDIDATE = "ValueError: no candidate has a finite criterion"
 
 
+def orders(config: AutoARIMA, df: DataFrame, exog: list[str] | None = None) -> DataFrame:
+    """(series_id, d, seasonal_d, max_p, max_q, max_sp, max_sq, with_intercept, error): what a search of each series starts from."""
+    exog = exog or []
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = {"series_id": pdf.series_id.iloc[0], **dict.fromkeys(("d", "seasonal_d", "max_p", "max_q", "max_sp", "max_sq", "with_intercept", "error"))}
+        try:
+            c, constant, only = prepared(config, *arrays(pdf, exog))
+            # A series with one candidate only has that one's orders.
+            (p, d, q), (P, D, Q, _), constant = only[0] if only else ((c.max_p, c.d, c.max_q), (c.max_P, c.D, c.max_Q, 0), constant)
+            row |= {"d": d, "seasonal_d": D, "max_p": p, "max_q": q, "max_sp": P, "max_sq": Q, "with_intercept": constant}
+        except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:
+            row["error"] = f"{type(e).__name__}: {e}"
+        return pd.DataFrame([row])
+
+    schema = "series_id string, d int, seasonal_d int, max_p int, max_q int, max_sp int, max_sq int, with_intercept boolean, error string"
+    return df.select("series_id", "t", "y", *exog).groupBy("series_id").applyInPandas(run, schema)
+
+
 def auto_arima(df: DataFrame, exog: list[str] | None = None, return_valid_fits: bool = False, **options) -> DataFrame:
     return AutoARIMA(**options).fit(df, exog, return_valid_fits)
 

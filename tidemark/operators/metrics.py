@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.series import whole
@@ -52,6 +52,18 @@ def score(df: DataFrame, metrics: list[str], by: tuple[str, ...] = ("series_id",
     return df.groupBy(*by).agg(*[get_scoring_metric(m)(F.col("y"), F.col("yhat")).alias(m) for m in metrics])
 
 
+def forecast_errors(actual: DataFrame, forecast: DataFrame) -> DataFrame:
+    """(series_id, t, y, yhat, error) of the rows that both have."""
+    both = actual.select("series_id", "t", "y").join(forecast.select("series_id", "t", "yhat"), ["series_id", "t"])
+    return both.withColumn("error", F.col("y") - F.col("yhat"))
+
+
+def best_rows(df: DataFrame, by: list[Column], k: int = 1) -> DataFrame:
+    """The first k rows of each series in the given order."""
+    place = F.row_number().over(Window.partitionBy("series_id").orderBy(*by))
+    return df.withColumn("place", place).where(F.col("place") <= k).drop("place")
+
+
 def average_forecasts(df: DataFrame, averaging: str | Callable[[Column], Column] = "mean") -> DataFrame:
     """(series_id, t, yhat): forecasts of several folds for one t, averaged without nulls and NaN.
 

@@ -162,7 +162,7 @@ def naive(spark, sf_dir) -> DataFrame:
 def o38(spark, sf_dir):
     df = s5(spark, sf_dir).select("series_id", "t", "y")
     forecast = df.select("series_id", (F.col("t") + 1).alias("t"), F.col("y").alias("yhat"))
-    return df.join(forecast, ["series_id", "t"]).select("series_id", "t", r(F.col("y") - F.col("yhat"), "error", 2))
+    return metrics.forecast_errors(df, forecast).select("series_id", "t", r("error", "error", 2))
 
 
 _FOLDS = ", n AS (SELECT series_id, count(*) AS n FROM s GROUP BY 1), f AS (SELECT series_id, n, unnest(generate_series({first}, n - 4, 6)) AS split FROM n), g AS (SELECT series_id, row_number() OVER (PARTITION BY series_id ORDER BY split) - 1 AS fold, {start} AS start, split, split + 4 AS stop FROM f) "
@@ -305,8 +305,7 @@ def o58(spark, sf_dir):
 
 @register("O61_best_rows", ", k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY y, t) AS k FROM s) SELECT series_id, t, round(y, 2) AS y FROM k WHERE k = 1")
 def o61(spark, sf_dir):
-    best = s5(spark, sf_dir).groupBy("series_id").agg(F.min_by(F.struct("t", "y"), F.struct("y", "t")).alias("b"))
-    return best.select("series_id", "b.t", r("b.y", "y", 2))
+    return metrics.best_rows(s5(spark, sf_dir), [F.col("y"), F.col("t")]).select("series_id", "t", r("y", "y", 2))
 
 
 @register("O62_train_test_split", ", n AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM s) SELECT series_id, t, CASE WHEN t < n - ceil(n * 0.25) THEN 'train' ELSE 'test' END AS role FROM n")
@@ -437,6 +436,33 @@ def _rounded_test(df: DataFrame) -> DataFrame:
     return df.select("series_id", r("stat", "stat", 5), *[c for c in df.columns if c not in ("series_id", "stat", "pvalue", "critical")])
 
 
+# The regression of the differences on a line and the row before, by residuals of the line (Frisch, Waugh and Lovell).
+_LAGGED = """
+, a AS (SELECT series_id, t, y / 1e6 AS y, lag(y / 1e6) OVER (PARTITION BY series_id ORDER BY t) AS x FROM s),
+b AS (SELECT * FROM a WHERE x IS NOT NULL),
+c AS (SELECT series_id, regr_slope({left}, t) AS b1, regr_intercept({left}, t) AS a1, regr_slope(x, t) AS b2, regr_intercept(x, t) AS a2 FROM b GROUP BY 1),
+e AS (SELECT b.series_id, t, x, {left} - a1 - b1 * t AS u, x - a2 - b2 * t AS v FROM b JOIN c ON b.series_id = c.series_id),
+f AS (SELECT series_id, count(*) AS n, sum(u * v) / sum(v * v) AS k, sum(v * v) AS vv, sum(u * u) - sum(u * v) * sum(u * v) / sum(v * v) AS ssr FROM e GROUP BY 1)
+"""
+
+
+@register("O101_adf_without_lags", _LAGGED.format(left="(y - x)") + "SELECT series_id, round(k / sqrt(ssr / (n - 3) / vv), 5) AS stat FROM f")
+def o101b(spark, sf_dir):
+    return diagnostics.adf(_scaled(spark, sf_dir), 0).select("series_id", r("stat", "stat", 5))
+
+
+_PP = _LAGGED.format(left="y") + """
+, r AS (SELECT e.series_id, row_number() OVER (PARTITION BY e.series_id ORDER BY t) AS i, n, k, ssr, x, u - k * v AS u FROM e JOIN f ON e.series_id = f.series_id),
+w AS (SELECT p.series_id, sum(2 * (1 - l / (floor(4 * pow(p.n / 100.0, 0.25)) + 1)) * p.u * q.u) / any_value(p.n) AS w FROM r p JOIN range(1, 12) AS g(l) ON l <= floor(4 * pow(p.n / 100.0, 0.25)) JOIN r q ON q.series_id = p.series_id AND q.i = p.i + l GROUP BY 1),
+d AS (SELECT series_id, any_value(CAST(n AS DOUBLE)) AS n, any_value(k) AS k, sum(x * x) AS xx, sum(x * i) AS xi, sum(x) AS x FROM r GROUP BY 1)
+SELECT d.series_id, round(n * (k - 1) - pow(n, 6) / (24 * (n * n * (n * n - 1) * xx / 12 - n * xi * xi + n * (n + 1) * xi * x - n * (n + 1) * (2 * n + 1) * x * x / 6)) * w, 4) AS stat FROM d JOIN w ON d.series_id = w.series_id"""
+
+
+@register("O102_pp_statistic", _PP)
+def o102b(spark, sf_dir):
+    return diagnostics.pp(_scaled(spark, sf_dir)).select("series_id", r("stat", "stat", 4))
+
+
 @register("O101_adf")
 def o101(spark, sf_dir):
     return _rounded_test(diagnostics.adf(s5(spark, sf_dir)))
@@ -457,7 +483,25 @@ def o104(spark, sf_dir):
     return _rounded_test(diagnostics.ocsb(s5(spark, sf_dir), 12))
 
 
-@register("O105_ndiffs")
+def _kpss_share(rows: str, k: int) -> str:
+    """SQL of stage k: whether the KPSS statistic of rows (series_id, t, y) is beyond its 5 % value."""
+    return f"""
+, e{k} AS (SELECT series_id, t, y - avg(y) OVER (PARTITION BY series_id) AS d, count(*) OVER (PARTITION BY series_id) AS n FROM {rows}),
+u{k} AS (SELECT *, sum(d) OVER (PARTITION BY series_id ORDER BY t) AS c FROM e{k}),
+v{k} AS (SELECT series_id, any_value(n) AS n, sum(d * d) AS v, sum(c * c) AS eta FROM u{k} GROUP BY 1),
+w{k} AS (SELECT a.series_id, sum(2 * (1 - l / (floor(4 * pow(a.n / 100.0, 0.25)) + 1)) * a.d * b.d) AS w FROM e{k} a JOIN range(1, 12) AS g(l) ON l <= floor(4 * pow(a.n / 100.0, 0.25)) JOIN e{k} b ON a.series_id = b.series_id AND b.t = a.t + l GROUP BY 1),
+s{k} AS (SELECT v{k}.series_id, eta / n / (v + w) > 0.463 AS more FROM v{k} JOIN w{k} ON v{k}.series_id = w{k}.series_id)"""
+
+
+_NDIFFS = (
+    _kpss_share("s", 0)
+    + ", d1 AS (SELECT * FROM (SELECT series_id, t, y - lag(y) OVER (PARTITION BY series_id ORDER BY t) AS y FROM s) WHERE y IS NOT NULL)"
+    + _kpss_share("d1", 1)
+    + " SELECT s0.series_id, CAST(CASE WHEN NOT s0.more THEN 0 WHEN NOT s1.more THEN 1 ELSE 2 END AS INTEGER) AS d FROM s0 JOIN s1 ON s0.series_id = s1.series_id"
+)
+
+
+@register("O105_ndiffs", _NDIFFS)
 def o105(spark, sf_dir):
     return diagnostics.ndiffs(s5(spark, sf_dir))
 
@@ -630,9 +674,21 @@ def o133(spark, sf_dir):
 _CLAMPS = ", n AS (SELECT series_id, count(*) AS n FROM s GROUP BY 1) "
 
 
-@register("O138_order_clamps", _CLAMPS + "SELECT series_id, least(5, n // 3) AS max_p FROM n")
+@register("O137_constant_series", ", n AS (SELECT DISTINCT series_id FROM s) SELECT series_id, ' ARIMA(0,0,0)(0,0,0)[0] ' AS label FROM n")
+def o137(spark, sf_dir):
+    flat = s5(spark, sf_dir).withColumn("y", F.lit(5.0))
+    return auto.AutoARIMA(seasonal=False).fit(flat).select("series_id", "label")
+
+
+@register("O132_seasonal_search")
+def o132(spark, sf_dir):
+    config = auto.AutoARIMA(m=12, d=0, D=1, start_p=0, start_q=0, max_p=1, max_q=1, start_P=0, start_Q=0, max_P=1, max_Q=1)
+    return config.fit(_scaled(spark, sf_dir)).select("series_id", "label", r("aic", "aic", 1))
+
+
+@register("O138_order_clamps", _CLAMPS + "SELECT series_id, least(40, n // 3) AS max_p FROM n")
 def o138(spark, sf_dir):
-    return s5(spark, sf_dir).groupBy("series_id").agg(F.least(F.lit(5).cast("long"), F.floor(F.count(F.lit(1)) / 3)).alias("max_p"))
+    return auto.orders(auto.AutoARIMA(d=0, max_p=40, seasonal=False), s5(spark, sf_dir)).select("series_id", F.col("max_p").cast("long").alias("max_p"))
 
 
 @register("O146_pipeline")
