@@ -6,13 +6,43 @@ import json
 import os
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
+from pyspark.sql import functions as F
 
+from tidemark.operators.arima import ARIMA
+from tidemark.operators.auto import AutoARIMA
 from tidemark.plans import queries as series_queries
+from tidemark.sources import datasets
 
 NAMES = ("O18_regular_series", "O50_diff", "O55_decompose_additive", "O56_acf", "O100_kpss", "O42_scores", "O43_fold_average", "O111_fit", "O112_predict", "O130_auto_arima", "O133_grid_search", "O146_pipeline")
 
 
+#: Sizes of the extra measures over generated series.
+LONG, MANY, SHORT = 2750, 200, 100
+
+
+def timed(df) -> float:
+    began = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    return time.perf_counter() - began
+
+
+def extra(spark: SparkSession) -> dict[str, float]:
+    """Seconds of single fits of a long series, series a second of many stepwise searches, candidates a second of a grid."""
+    noise = F.randn(7)
+    by_time = Window.partitionBy("series_id").orderBy("t")
+    long = spark.range(LONG).select(F.lit("long").alias("series_id"), F.col("id").alias("t"), noise.alias("e")).select("series_id", "t", (0.4 * F.sum("e").over(by_time) + F.col("e") + 5 * F.sin(F.col("t") / 21)).alias("y"))
+    many = spark.range(MANY * SHORT).select((F.col("id") % MANY).cast("string").alias("series_id"), F.floor(F.col("id") / MANY).alias("t"), noise.alias("e")).select("series_id", "t", (F.col("e") + 0.6 * F.lag("e", 1, 0.0).over(by_time)).alias("y"))
+    wine = datasets.load(spark, "wineind")
+    grid = AutoARIMA(m=12, d=1, D=1, max_p=2, max_q=2, max_P=1, max_Q=1, start_P=0, start_Q=0, stepwise=False)
+    return {
+        "fit_n2750_(0,1,0)_sec": round(timed(ARIMA((0, 1, 0), with_intercept=False).fit(long)), 3),
+        "fit_n2750_(2,1,2)(1,0,1)[12]_sec": round(timed(ARIMA((2, 1, 2), (1, 0, 1, 12)).fit(long)), 3),
+        "stepwise_series_per_sec": round(MANY / timed(AutoARIMA(seasonal=False, max_p=2, max_q=2).fit(many)), 2),
+        "grid_candidates_per_sec": round(3 * 3 * 2 * 2 / timed(grid.fit(wine)), 2),
+    }
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -24,7 +54,7 @@ def main() -> None:
         began = time.perf_counter()
         series_queries.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - began, 3)
-    print(json.dumps({"metric": "headline query time", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+    print(json.dumps({"metric": "headline query time", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"), "extra": extra(spark)}))
     spark.stop()
 
 

@@ -21,7 +21,6 @@ import tidemark
 from tidemark.functions import statespace
 from tidemark.functions.optimise import METHODS
 from tidemark.functions.statespace import Order
-from tidemark.operators.windows import acf
 
 _ROOTS = "array<struct<re:double,im:double>>"
 MODEL_FIELDS = {
@@ -314,15 +313,22 @@ def to_dict(models: DataFrame) -> DataFrame:
 
 def residual_diagnostics(models: DataFrame) -> DataFrame:
     """(series_id, ljung_box, jarque_bera, skew, kurtosis, heteroskedasticity) of the residuals after the differencing."""
-    e = F.expr("slice(resid, cast(nobs - nobs_effective as int) + 1, cast(nobs_effective as int))")
-    rows = models.where("error is null").select("series_id", F.posexplode(e).alias("t", "y"))
-    lag1 = acf(rows, 1).where("lag = 1").select("series_id", F.col("q").alias("ljung_box"))
-    n, skew = F.count("y"), F.skewness("y")
-    kurtosis = F.kurtosis("y") + 3
-    moments = rows.groupBy("series_id").agg((n / 6 * (skew**2 + (kurtosis - 3) ** 2 / 4)).alias("jarque_bera"), skew.alias("skew"), kurtosis.alias("kurtosis"), n.alias("n"))
-    thirds = rows.join(moments.select("series_id", "n"), "series_id").withColumn("k", F.round(F.col("n") / 3))
-    h = thirds.groupBy("series_id").agg(F.try_divide(F.sum(F.when(F.col("t") >= F.col("n") - F.col("k"), F.col("y") ** 2)), F.sum(F.when(F.col("t") < F.col("k"), F.col("y") ** 2))).alias("heteroskedasticity"))
-    return moments.drop("n").join(lag1, "series_id").join(h, "series_id")
+    # Folds over the residual array of a model row: nothing is exploded or joined, so models are fitted once.
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, v: acc + v)
+    power = lambda c, k: total(F.transform(c, lambda v: F.pow(v, F.lit(float(k)))))
+    e, d, n = F.col("e"), F.col("d"), F.col("n")
+    rows = models.where("error is null").select("series_id", F.expr("slice(resid, cast(nobs - nobs_effective as int) + 1, cast(nobs_effective as int))").alias("e"))
+    rows = rows.withColumn("n", F.size("e")).withColumn("mean", F.try_divide(total(e), n)).withColumn("d", F.transform(e, lambda v: v - F.col("mean")))
+    third = F.round(n / 3).cast("int")
+    # Pairs end in a null where the second list is shorter.
+    next_to = total(F.transform(F.arrays_zip(d.alias("a"), F.slice(d, 2, n).alias("b")), lambda v: F.coalesce(v["a"] * v["b"], F.lit(0.0))))
+    rows = rows.select(
+        "series_id", "n", (power(d, 2) / n).alias("m2"), (power(d, 3) / n).alias("m3"), (power(d, 4) / n).alias("m4"), (next_to / n).alias("c1"),
+        F.try_divide(power(F.slice(e, n - third + 1, third), 2), power(F.slice(e, 1, third), 2)).alias("heteroskedasticity"),
+    )
+    skew, kurtosis = F.try_divide(F.col("m3"), F.pow("m2", F.lit(1.5))), F.try_divide(F.col("m4"), F.col("m2") ** 2)
+    q = n * (n + 2) * F.try_divide(F.col("c1"), F.col("m2")) ** 2 / (n - 1)
+    return rows.select("series_id", q.alias("ljung_box"), (n / 6 * (skew**2 + (kurtosis - 3) ** 2 / 4)).alias("jarque_bera"), skew.alias("skew"), kurtosis.alias("kurtosis"), "heteroskedasticity")
 
 
 def coefficients(models: DataFrame) -> DataFrame:

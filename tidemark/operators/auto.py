@@ -136,22 +136,25 @@ class AutoARIMA:
         return rows.groupBy("series_id").applyInPandas(run, MODEL_SCHEMA + ", rank int" * return_all)
 
     def _grid(self, rows: DataFrame, exog: list[str], return_all: bool) -> DataFrame:
-        """One fit a row of series x candidates. The series' own d, D and clamps are found first, in a kernel of their own."""
+        """One task row a series and CHUNK candidates, so that a series is shuffled once for so many fits. The series'
+        own d, D and clamps are found first, in a kernel of their own."""
         config = self
 
         def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-            columns = ["series_id", "candidate", "p", "d", "q", "sp", "sd", "sq", "m", "c", "why"]
+            columns = ["series_id", "chunk", "candidates", "why"]
             try:
                 candidates = grid(config, *arrays(pdf, exog))
             except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:
                 if config.error_action == "raise":
                     raise
-                return pd.DataFrame([(pdf.series_id.iloc[0], 0, *[0] * 7, False, f"{type(e).__name__}: {e}")], columns=columns)
-            return pd.DataFrame([(pdf.series_id.iloc[0], k, *o, *s, c, None) for k, (o, s, c) in enumerate(candidates)], columns=columns)
+                return pd.DataFrame([(pdf.series_id.iloc[0], 0, [], f"{type(e).__name__}: {e}")], columns=columns)
+            # Dealt in turn: large orders, which come last, spread over the chunks.
+            n = -(-len(candidates) // CHUNK)
+            return pd.DataFrame([(pdf.series_id.iloc[0], k, [[*o, *s, int(c)] for o, s, c in candidates[k::n]], None) for k in range(n)], columns=columns)
 
-        plans = rows.groupBy("series_id").applyInPandas(plan, "series_id string, candidate int, p int, d int, q int, sp int, sd int, sq int, m int, c boolean, why string")
+        plans = rows.groupBy("series_id").applyInPandas(plan, "series_id string, chunk int, candidates array<array<int>>, why string")
         packed = rows.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("t", "y", *exog))).alias("rows"))
-        tasks = plans.join(packed, "series_id").repartition("series_id", "candidate")
+        tasks = plans.join(packed, "series_id").repartition("series_id", "chunk")
 
         def run(frames):
             for pdf in frames:
@@ -160,11 +163,14 @@ class AutoARIMA:
                         yield model_frame(r["series_id"], None, math.nan, None, r["why"], exog)
                         continue
                     one = pd.DataFrame([dict(x) if isinstance(x, dict) else x.asDict() for x in r["rows"]])
-                    model = replace(config.base(), order=(r["p"], r["d"], r["q"]), seasonal_order=(r["sp"], r["sd"], r["sq"], r["m"]), with_intercept=bool(r["c"]))
-                    made, oob, preds, error = fit_one(model, *arrays(one.assign(series_id=r["series_id"]), exog))
-                    if made is not None and not root_test(made, config.strict_roots):
-                        made, error = None, "ValueError: a root is close to the unit circle"
-                    yield model_frame(r["series_id"], made, oob, preds, error, exog)
+                    y, x = arrays(one, exog)
+                    for candidate in r["candidates"]:
+                        p, d, q, sp, sd, sq, m, constant = (int(v) for v in candidate)
+                        model = replace(config.base(), order=(p, d, q), seasonal_order=(sp, sd, sq, m), with_intercept=bool(constant))
+                        made, oob, preds, error = fit_one(model, y, x)
+                        if made is not None and not root_test(made, config.strict_roots):
+                            made, error = None, "ValueError: a root is close to the unit circle"
+                        yield model_frame(r["series_id"], made, oob, preds, error, exog)
 
         fits = tasks.mapInPandas(run, MODEL_SCHEMA)
         ic = F.col(self.information_criterion)
@@ -176,6 +182,8 @@ class AutoARIMA:
         return ranked if return_all else ranked.where("rank = 1").drop("rank")
 
 
+#: Candidates of a grid search that one task row fits.
+CHUNK = 8
 #: The error of a series none of whose fits is valid.
 NO_CANDIDATE = "ValueError: no candidate has a finite criterion"
 

@@ -765,10 +765,10 @@ def o166c(spark, sf_dir):
 
 @register(
     "O17_residual_diagnostics_white_noise",
-    _STANDARD.replace("AS y FROM z JOIN", "AS y, t, n FROM z JOIN") + ", k AS (SELECT series_id, count(*) AS n, avg(pow(y, 3)) AS skew, avg(pow(y, 4)) AS kurtosis, sum(CASE WHEN t >= n - round(n / 3) THEN y * y END) / sum(CASE WHEN t < round(n / 3) THEN y * y END) AS h FROM q GROUP BY 1) SELECT series_id, round(n / 6.0 * (skew * skew + (kurtosis - 3) * (kurtosis - 3) / 4), 2) AS jarque_bera, round(skew, 3) + 0.0 AS skew, round(kurtosis, 3) AS kurtosis, round(h, 3) AS heteroskedasticity FROM k",
+    _STANDARD.replace("AS y FROM z JOIN", "AS y, t, n FROM z JOIN") + ", l AS (SELECT *, lag(y) OVER (PARTITION BY series_id ORDER BY t) AS before FROM q), k AS (SELECT series_id, count(*) AS n, avg(coalesce(y * before, 0)) AS c1, avg(pow(y, 3)) AS skew, avg(pow(y, 4)) AS kurtosis, sum(CASE WHEN t >= n - round(n / 3) THEN y * y END) / sum(CASE WHEN t < round(n / 3) THEN y * y END) AS h FROM l GROUP BY 1) SELECT series_id, round(n * (n + 2) * c1 * c1 / (n - 1), 3) AS ljung_box, round(n / 6.0 * (skew * skew + (kurtosis - 3) * (kurtosis - 3) / 4), 2) AS jarque_bera, round(skew, 3) + 0.0 AS skew, round(kurtosis, 3) AS kurtosis, round(h, 3) AS heteroskedasticity FROM k",
 )
 def o17d(spark, sf_dir):
-    return arima.residual_diagnostics(_white(spark, sf_dir)).select("series_id", r("jarque_bera", "jarque_bera", 2), *[r(c, c, 3) for c in ("skew", "kurtosis", "heteroskedasticity")])
+    return arima.residual_diagnostics(_white(spark, sf_dir)).select("series_id", r("ljung_box", "ljung_box", 3), r("jarque_bera", "jarque_bera", 2), *[r(c, c, 3) for c in ("skew", "kurtosis", "heteroskedasticity")])
 
 
 @register("O17_residual_diagnostics")
