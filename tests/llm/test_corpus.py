@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -92,6 +93,26 @@ def test_suffix_buckets_of_a_frequent_string_stay_small():
         assert [s for a, b, _ in parts for s in range(a, b + 1)] == list(range(10))
 
 
+def test_suffix_anchors_grow_with_the_table():
+    """Text of few syllables: at the length for small tables a third of the anchors repeat by chance, at that for 10 GB hardly any."""
+    rng = np.random.default_rng(6)
+    text = np.array([b"ab", b"cd", b"ef", b"gh", b"ij"])[rng.integers(0, 5, 500_000)].tobytes().decode()
+    table = pa.table({"doc_id": list(range(1000)), "text": [text[k : k + 1000] for k in range(0, 10**6, 1000)]})
+    shares = []
+    for total in (10 << 20, 10 << 30):
+        h, several, runs = suffix_dedup.Block(table, suffix_dedup.anchor_bytes(total)).hashes()
+        shares.append(runs[several].sum() / runs.sum())
+    assert shares[0] > 0.25 and shares[1] < 0.01
+    sizes = [suffix_dedup.anchor_bytes(1 << k) for k in range(60)]
+    assert sizes[0] == suffix_dedup.ANCHOR and sizes == sorted(sizes) and sizes[-1] == suffix_dedup.LONGEST
+
+
+@pytest.mark.parametrize("anchor", [20, 24, 32])
+def test_suffix_dedup_is_exact_with_longer_anchors(spark, docs, rows, anchor):
+    got = suffix_dedup.remove_repeats(docs, block_bytes=2000, bucket_bytes=500, hot_runs=anchor - 19, anchor=anchor).collect()
+    assert ordered(got) == ordered(suffix_dedup.reference(rows))
+
+
 def test_suffix_order():
     rng = np.random.default_rng(0)
     assert all(any((r + d) % 21 in suffix_dedup.COVER and (s + d) % 21 in suffix_dedup.COVER for d in range(21)) for r in range(21) for s in range(21))

@@ -3,10 +3,11 @@
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller id.
 The suffixes that can matter are sorted in buckets, and no task ever holds more than one:
 
-1. *Anchors.* Every 50-byte window has an anchor: its 16-byte substring of least hash (the
-   leftmost). Equal windows have equal anchors, so a window whose anchor's hash is in one
-   document only repeats nowhere. Documents are dealt to blocks; a block sends the hashes of
-   its anchors, and gets one bit for each: is it in another document?
+1. *Anchors.* Every 50-byte window has an anchor: its substring of 16 bytes or more that has
+   the least hash (the leftmost). Equal windows have equal anchors, so a window whose anchor's
+   hash is in one document only repeats nowhere. Documents are dealt to blocks; a block sends
+   the hashes of its anchors, and gets one bit for each: is it in another document? The larger
+   the table, the longer the anchors: short ones would soon all repeat by chance.
 2. *Segments.* Runs of windows with the same repeated anchor are cut out (a run of w windows
    is w + 49 bytes), made distinct within the block with their smallest doc_id, and sent to
    the suffix bucket of their anchor. Equal windows meet in one bucket.
@@ -60,6 +61,8 @@ _LAST = np.iinfo(np.int64).max
 PLACES = (WINDOW - ANCHOR + 1, 18, 9, 1)
 #: From one level of hotness to the next, an anchor has so many times the runs.
 HOTTER = 16
+#: Bytes of text up to which anchors are of ANCHOR bytes; beyond, LONGER bytes are added for each GROWTH times as many, up to LONGEST.
+SHORT_TOTAL, GROWTH, LONGER, LONGEST = 256 << 20, 16, 4, 32
 #: Fixed: a perfect difference set, so every distance modulo 21 is that of two members.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 #: Bytes by which suffixes are sorted before the cover ranks are asked: at least PERIOD.
@@ -71,19 +74,33 @@ def words_at(text: np.ndarray, dtype: str = "<u8") -> np.ndarray:
     return np.ndarray((len(text) - 8,), dtype, text.tobytes() if not text.flags.c_contiguous else text.data, 0, (1,))
 
 
-def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor position of each window start of a text (bytes), and the hash of each position's anchor."""
-    n = len(text)
+def anchor_bytes(total: int) -> int:
+    """The length of the anchors of a table with so many bytes of text."""
+    size = ANCHOR
+    while total > SHORT_TOTAL and size < LONGEST:
+        size += LONGER
+        total = -(-total // GROWTH)
+    return size
+
+
+def anchors(text: np.ndarray, size: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
+    """Anchor position of each window start of a text (bytes), and the hash of each position's anchor of ``size`` bytes."""
+    count = len(text) - size + 1
     wide = words_at(np.concatenate([text, np.zeros(8, np.uint8)]))
     with np.errstate(over="ignore"):
-        key = wide[: n - ANCHOR + 1] * np.uint64(0x9E3779B97F4A7C15)
-        key ^= (wide[8 : n - ANCHOR + 9] + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xD6E8FEB86659FD93)
+        key = wide[:count] * np.uint64(0x9E3779B97F4A7C15)
+        # The last word may overlap the one before.
+        for at in [*range(8, size - 8, 8), size - 8]:
+            if at > 8:
+                key ^= key >> np.uint64(32)
+                key *= np.uint64(0x9E3779B97F4A7C15)
+            key ^= (wide[at : at + count] + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xD6E8FEB86659FD93)
     least = key ^ key >> np.uint64(29)
     least *= np.uint64(0xBF58476D1CE4E5B9)
     least &= np.uint64(0xFFFFFFFF00000000)
     least |= np.arange(len(least), dtype=np.uint64)
     span = 1
-    total = WINDOW - ANCHOR + 1
+    total = WINDOW - size + 1
     while 2 * span <= total:
         least = np.minimum(least[:-span], least[span:])
         span *= 2
@@ -96,7 +113,8 @@ def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Block:
     """The texts of a block, in a fixed order, and their runs of windows by anchor."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, anchor: int = ANCHOR):
+        self.anchor = anchor
         ids = table.column("doc_id").to_pylist()
         data = [x.encode("utf-8", "surrogatepass") if x else b"" for x in table.column("text").to_pylist()]
         order = sorted(range(len(ids)), key=lambda k: (_LAST if ids[k] is None else ids[k], data[k]))
@@ -120,17 +138,19 @@ class Block:
             if len(text) < WINDOW or sizes.max() < WINDOW:
                 yield a, b, starts, text, None
                 continue
-            at, key = anchors(text)
-            doc = np.repeat(np.arange(b - a), sizes)[: len(at)]
-            valid = np.arange(len(at)) + WINDOW <= starts[doc + 1]
+            at, key = anchors(text, self.anchor)
             change = np.empty(len(at), bool)
             change[0] = True
-            change[1:] = (at[1:] != at[:-1]) | (valid[1:] != valid[:-1]) | (doc[1:] != doc[:-1])
+            np.not_equal(at[1:], at[:-1], out=change[1:])
+            # A document's windows begin with it and end WINDOW - 1 bytes before its end.
+            edges = np.concatenate([starts[:-1], np.maximum(starts[1:] - WINDOW + 1, starts[:-1])])
+            change[edges[edges < len(at)]] = True
             first = change.nonzero()[0]
             last = np.append(first[1:], len(at)) - 1
-            keep = valid[first]
-            first, last = first[keep], last[keep]
-            yield a, b, starts, text, (a + doc[first], first, last, mix(key[at[first]]), at[first])
+            doc = np.searchsorted(starts, first, side="right") - 1
+            keep = first + WINDOW <= starts[doc + 1]
+            doc, first, last = doc[keep], first[keep], last[keep]
+            yield a, b, starts, text, (a + doc, first, last, mix(key[at[first]]), at[first])
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct anchor hashes of the block, sorted; whether two documents of the block hold each; the number of its runs."""
@@ -143,49 +163,58 @@ class Block:
         first = np.append(True, h[1:] != h[:-1]).nonzero()[0]
         return h[first], np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), np.diff(np.append(first, len(h)))
 
-    def segments(self, repeated: np.ndarray, levels: np.ndarray) -> tuple[dict[bytes, int], list[int], list[int], list[tuple]]:
-        """Distinct segments of the anchors in ``repeated`` (sorted hashes, with their levels of hotness): content -> number,
-        smallest document and bucket key of each, and by slice the (document, start, number) of each occurrence."""
+    def segments(self, repeated: np.ndarray, levels: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, list[tuple]]:
+        """Distinct segments of the anchors in ``repeated`` (sorted hashes, with their levels of hotness): content,
+        smallest document and bucket key of each, and by slice the documents, starts and numbers of the occurrences."""
         number: dict[bytes, int] = {}
-        least: list[int] = []
-        key: list[int] = []
+        least: list[np.ndarray] = [np.empty(0, np.int64)]
+        key: list[np.ndarray] = [np.empty(0, np.uint64)]
         places = []
         for a, b, starts, text, runs in self.runs():
-            here: list[tuple[int, int, int]] = []
-            if runs and len(repeated):
-                doc, first, last, h, at = runs
-                spot = np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)
-                hit = (repeated[spot] == h).nonzero()[0]
-                joined = text.tobytes()
-                for d, s, e, x, p, level in zip(doc[hit].tolist(), first[hit].tolist(), last[hit].tolist(), h[hit].tolist(), at[hit].tolist(), levels[spot[hit]].tolist(), strict=True):
-                    for start, end, own in parts_of(joined, s, e, p, PLACES[level]) if level else ((s, e, x),):
-                        content = joined[start : end + WINDOW]
-                        k = number.setdefault(content, len(number))
-                        if k == len(least):  # documents come in order: the first is the smallest
-                            least.append(int(self.rank[d]))
-                            key.append(own)
-                        here.append((d, start, k))
-            places.append((a, b, starts, text, here))
-        return number, least, key, places
-
-
-def parts_of(text: bytes, first: int, last: int, anchor: int, places: int):
+            if not runs or not len(repeated):
+                continue
+            doc, first, last, h, at = runs
+            spot = np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)
+            hit = (repeated[spot] == h).nonzero()[0]
+            doc, first, last, own = doc[hit], first[hit], last[hit], h[hit]
+            level = levels[spot[hit]]
+            joined = text.tobytes()
+            if level.any():
+                hot = level.nonzero()[0]
+                parts = [(k, *part) for k, s, e, p, x in zip(hot.tolist(), first[hot].tolist(), last[hot].tolist(), at[hit[hot]].tolist(), level[hot].tolist(), strict=True) for part in parts_of(joined, s, e, p, PLACES[x], self.anchor)]
+                of, *cut = zip(*parts, strict=True)
+                cold = (level == 0).nonzero()[0]
+                of = np.concatenate([cold, np.array(of, np.int64)])
+                order = np.argsort(of, kind="stable")
+                doc = doc[of[order]]
+                first, last, own = (np.concatenate([x[cold], np.array(y, x.dtype)])[order] for x, y in zip((first, last, own), cut, strict=True))
+            known = len(number)
+            numbers = np.array([number.setdefault(joined[s:e], len(number)) for s, e in zip(first.tolist(), (last + WINDOW).tolist(), strict=True)], np.int64)
+            # Documents come in order: the first that holds a segment is the smallest.
+            new = numbers > np.maximum.accumulate(np.append(known - 1, numbers))[:-1]
+            least.append(self.rank[doc[new]])
+            key.append(own[new])
+            places.append((a, b, starts, text, doc, first, numbers))
+        return list(number), np.concatenate(least), np.concatenate(key), places
+
+
+def parts_of(text: bytes, first: int, last: int, anchor: int, places: int, size: int = ANCHOR):
     """(first window, last window, key) of the parts of a run: windows in which the anchor stands in neighbouring places.
 
     The key is a hash of the bytes that all possible windows of the part have in common.
     """
     while first <= last:
         part = (anchor - first) // places
-        least, most = part * places, min(part * places + places, WINDOW - ANCHOR + 1) - 1
+        least, most = part * places, min(part * places + places, WINDOW - size + 1) - 1
         end = min(last, anchor - least)
         yield first, end, xxhash.xxh3_64_intdigest(text[anchor - least : anchor - most + WINDOW], seed=part)
         first = end + 1
 
 
-def _ask(block_column: str, n_buckets: int):
+def _ask(block_column: str, n_buckets: int, anchor: int = ANCHOR):
     def run(table: pa.Table) -> pa.Table:
         block = table.column(block_column)[0].as_py()
-        h, several, runs = Block(table).hashes()
+        h, several, runs = Block(table, anchor).hashes()
         values = (h.astype(np.uint32) & np.uint32(0xFFFFFFFE)) | several.astype(np.uint32)
         # The number of runs, as a power of two.
         powers = np.ceil(np.log2(runs)).astype(np.uint8)
@@ -238,19 +267,19 @@ def _repeated(block: Block, answers: pa.Table, n_buckets: int) -> tuple[np.ndarr
     return h[keep], level[keep]
 
 
-def _send(block_column: str, n_asked: int, n_buckets: int):
+def _send(block_column: str, n_asked: int, n_buckets: int, anchor: int = ANCHOR):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         rows: dict[str, list] = {k: [] for k in ("suffix_bucket", "block", "sizes", "docs", "bytes", "numbers")}
         if len(table) and len(answers):
-            block = Block(table)
-            number, least, key, _ = block.segments(*_repeated(block, answers, n_asked))
-            content = list(number)
+            block = Block(table, anchor)
+            content, least, key, _ = block.segments(*_repeated(block, answers, n_asked))
             if content:
-                h = mix(np.array(key, np.uint64))
+                h = mix(key)
                 order = np.argsort(h)
+                sizes = np.array([len(x) for x in content], np.uint32)
                 for bucket, a, b in hash_ranges(h[order], n_buckets):
-                    own = order[a:b].tolist()
-                    for k, v in zip(rows, (bucket, table.column(block_column)[0].as_py(), np.array([len(content[k]) for k in own], np.uint32).tobytes(), np.array([least[k] for k in own], np.int64).tobytes(), b"".join([content[k] for k in own]), np.array(own, np.uint32).tobytes()), strict=True):
+                    own = order[a:b]
+                    for k, v in zip(rows, (bucket, table.column(block_column)[0].as_py(), sizes[own].tobytes(), least[own].tobytes(), b"".join([content[k] for k in own.tolist()]), own.astype(np.uint32).tobytes()), strict=True):
                         rows[k].append(v)
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(rows.items(), kinds, strict=True)})
@@ -276,32 +305,37 @@ def sample_ranks(text: np.ndarray) -> np.ndarray:
     """
     n = len(text)
     wide = words_at(np.concatenate([text, np.zeros(PERIOD + 8, np.uint8)]), ">u8")
-    where = np.isin(np.arange(n) % PERIOD, COVER).nonzero()[0]
+    where = np.concatenate([np.arange(c, n, PERIOD) for c in COVER])
     names = np.zeros(n, np.uint32)
-    values = np.zeros(len(where), np.uint64)
-    for at, keep in ((0, 8), (8, 8), (16, PERIOD - 16)):
-        piece = wide[where + at].astype(np.uint64) >> np.uint64(64 - 8 * keep)
-        values = _names(values << np.uint64(32) | _names(piece).astype(np.uint64)) if at else _names(piece)
-        values = values.astype(np.uint64)
+    # A group's name is the rank of its first member, so that a group may be split without the others.
+    values = wide[where].astype(np.uint64)
+    order = np.argsort(values)
+    values, tied = values[order], where[order]
+    new = np.append(True, values[1:] != values[:-1])[: len(values)].nonzero()[0]
+    names[tied] = np.repeat(new + 1, np.diff(np.append(new, len(values))))
+    tied = tied[_tied(names[tied])]
+    for at in range(8, PERIOD, 4):
+        piece = wide[tied + at].astype(np.uint64) >> np.uint64(64 - 8 * min(4, PERIOD - at))
+        tied = _split(names, tied, piece)
     span = PERIOD
-    while True:
-        ranks = _names(values)
-        names[where] = ranks
-        if len(where) == 0 or int(ranks.max()) == len(where) or span > n:
-            return names
-        later = where + span
-        follow = np.where(later < n, names[np.minimum(later, n - 1)], 0).astype(np.uint64)
-        values = names[where].astype(np.uint64) << np.uint64(32) | follow
+    while len(tied) and span <= n:  # zeros at the very end stay tied
+        later = tied + span
+        tied = _split(names, tied, np.where(later < n, names[np.minimum(later, n - 1)], 0))
         span *= 2
+    return names
 
 
-def _names(values: np.ndarray) -> np.ndarray:
-    """1, 2, ... in the order of the distinct values."""
-    order = np.argsort(values)
-    ordered = values[order]
-    out = np.empty(len(values), np.uint32)
-    out[order] = np.cumsum(np.append(True, ordered[1:] != ordered[:-1]))[: len(values)]
-    return out
+def _split(names: np.ndarray, where: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Split the groups of the positions ``where`` by 32-bit numbers; returns the positions that are still tied."""
+    key = names[where].astype(np.uint64) << np.uint64(32) | by.astype(np.uint64)
+    order = np.argsort(key)
+    where, key = where[order], key[order]
+    old, place = key >> np.uint64(32), np.arange(len(key))
+    change = key[1:] != key[:-1]
+    first = np.maximum.accumulate(np.where(np.append(True, change)[: len(key)], place, 0))
+    begin = np.maximum.accumulate(np.where(np.append(True, old[1:] != old[:-1])[: len(key)], place, 0))
+    names[where] = old.astype(np.int64) + first - begin
+    return where[_tied(first)]
 
 
 def sorted_suffixes(text: np.ndarray, starts: np.ndarray, limit: int = RANGE_SUFFIXES):
@@ -332,14 +366,14 @@ def _sorted_range(wide: np.ndarray, ranks: np.ndarray, starts: np.ndarray, heads
     order = np.argsort(heads)
     starts, heads = starts[order], heads[order]
     group = np.cumsum(np.append(True, heads[1:] != heads[:-1]))
-    # The next eight bytes, of what is still tied; groups are split, not renumbered in order.
-    for at in range(8, HEAD, 8):
+    # The next four bytes, of what is still tied; groups are split, not renumbered in order.
+    for at in range(8, HEAD, 4):
         tied = _tied(group)
         if not len(tied):
             return starts
         g, s = group[tied], starts[tied]
-        key = wide[s + at].astype(np.uint64)
-        by = np.argsort(g.astype(np.uint64) << np.uint64(32) | _names(key))
+        key = wide[s + at].astype(np.uint64) >> np.uint64(32)
+        by = np.argsort(g.astype(np.uint64) << np.uint64(32) | key)
         g, s, key = g[by], s[by], key[by]
         starts[tied] = s
         split = np.zeros(len(group), bool)
@@ -449,38 +483,35 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(v, pa.int64() if k == "block" else pa.binary()) for k, v in out.items()})
 
 
-def _remove(block_column: str, n_asked: int, rewrite: bool):
+def _remove(block_column: str, n_asked: int, rewrite: bool, anchor: int = ANCHOR):
     def run(table: pa.Table, back: pa.Table) -> pa.Table:
-        block = Block(table)
+        block = Block(table, anchor)
         n = len(block.ids)
         is_answer = pc.is_valid(back.column("bits"))
         found = back.filter(pc.invert(is_answer))
         removed, spans, kept = [0] * n, [0] * n, list(block.data)
         if n and len(found):
             repeated, levels = _repeated(block, back.filter(is_answer), n_asked)
-            both = {c: found.column(c).to_pylist() for c in ("numbers", "counts", "lengths", "least")}
-            runs: dict[int, tuple[list[int], list[int]]] = {}
-            for numbers, counts, lengths, least in zip(both["numbers"], both["counts"], both["lengths"], both["least"], strict=True):
-                lengths, least = np.frombuffer(lengths, np.uint32).tolist(), np.frombuffer(least, np.int64).tolist()
-                at = 0
-                for k, c in zip(np.frombuffer(numbers, np.uint32).tolist(), np.frombuffer(counts, np.uint32).tolist(), strict=True):
-                    runs[k] = lengths[at : at + c], least[at : at + c]
-                    at += c
-            _, _, _, places = block.segments(repeated, levels)
-            for a, b, starts, text, here in places:
-                change = np.zeros(len(text) + 1, np.int32)
-                ups, downs = [], []
-                for d, s, k in here:
-                    own = int(block.rank[d])
-                    for length, least in zip(*runs[k], strict=True):
-                        if least < own:
-                            ups.append(s)
-                            downs.append(s + length + WINDOW - 1)
-                        s += length
-                if not ups:
+            numbers, counts, lengths, least = (np.frombuffer(b"".join(found.column(c).to_pylist()), t) for c, t in (("numbers", np.uint32), ("counts", np.uint32), ("lengths", np.uint32), ("least", np.int64)))
+            content, _, _, places = block.segments(repeated, levels)
+            if len(numbers) != len(content):
+                raise ValueError(f"{len(content)} segments were sent and {len(numbers)} came back")
+            # Of each segment: the place and number of its runs of windows with one smallest document.
+            counts = counts.astype(np.int64)
+            begin, n_runs = np.empty(len(content), np.int64), np.empty(len(content), np.int64)
+            begin[numbers], n_runs[numbers] = np.cumsum(counts) - counts, counts
+            lengths = lengths.astype(np.int64)
+            before = np.cumsum(lengths) - lengths
+            for a, b, starts, text, doc, first, number in places:
+                many = n_runs[number]
+                run = np.arange(many.sum()) + np.repeat(begin[number] - (np.cumsum(many) - many), many)
+                start = before[run] + np.repeat(first - before[begin[number]], many)
+                lower = least[run] < np.repeat(block.rank[doc], many)
+                ups = start[lower]
+                if not len(ups):
                     continue
-                np.add.at(change, ups, 1)
-                np.add.at(change, downs, -1)
+                downs = ups + lengths[run[lower]] + WINDOW - 1
+                change = np.bincount(ups, minlength=len(text) + 1) - np.bincount(downs, minlength=len(text) + 1)
                 gone = np.cumsum(change[:-1]) > 0
                 for d in range(a, b):
                     own = gone[starts[d - a] : starts[d - a + 1]]
@@ -508,8 +539,9 @@ def _remove(block_column: str, n_asked: int, rewrite: bool):
 class _Blocks:
     """Documents dealt to blocks. The numbers of blocks and buckets follow from the table's bytes."""
 
-    def __init__(self, docs: DataFrame, block_bytes: int, bucket_bytes: int, hot_runs: int | None):
+    def __init__(self, docs: DataFrame, block_bytes: int, bucket_bytes: int, hot_runs: int | None, anchor: int | None):
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.anchor = anchor or anchor_bytes(total)
         self.n_blocks, self.n_buckets = (max(1, -(-total // x)) for x in (block_bytes, bucket_bytes))
         #: A bucket may hold some anchors of so many runs.
         self.hot_runs = hot_runs or max(1, bucket_bytes // 8 // (2 * WINDOW))
@@ -520,24 +552,24 @@ class _Blocks:
     def removed(self, rewrite: bool, schema) -> DataFrame:
         """The texts are shuffled once: the three steps over blocks share that exchange."""
         text, block, n = self.text, self.column, self.n_blocks
-        asked = text.groupBy(block).applyInArrow(_ask(block, n), "bucket long, block long, hashes binary, powers binary")
+        asked = text.groupBy(block).applyInArrow(_ask(block, n, self.anchor), "bucket long, block long, hashes binary, powers binary")
         answers = asked.groupBy("bucket").applyInArrow(_answer(self.hot_runs), "block long, bucket long, bits binary, hot binary, levels binary")
-        send = _send(block, n, self.n_buckets)
+        send = _send(block, n, self.n_buckets, self.anchor)
         segments = text.groupBy(block).cogroup(answers.groupBy("block")).applyInArrow(send, "suffix_bucket long, block long, sizes binary, docs binary, bytes binary, numbers binary")
         found = segments.groupBy("suffix_bucket").applyInArrow(_sort_bucket, "block long, numbers binary, counts binary, lengths binary, least binary")
         back = found.unionByName(answers, allowMissingColumns=True)
-        return text.groupBy(block).cogroup(back.groupBy("block")).applyInArrow(_remove(block, n, rewrite), schema)
+        return text.groupBy(block).cogroup(back.groupBy("block")).applyInArrow(_remove(block, n, rewrite, self.anchor), schema)
 
 
-def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_runs: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_runs: int | None = None, anchor: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs."""
-    blocks = _Blocks(docs.select("doc_id", "text"), block_bytes, bucket_bytes, hot_runs)
+    blocks = _Blocks(docs.select("doc_id", "text"), block_bytes, bucket_bytes, hot_runs, anchor)
     return blocks.removed(False, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def rewritten(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_runs: int | None = None) -> DataFrame:
+def rewritten(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_runs: int | None = None, anchor: int | None = None) -> DataFrame:
     """docs with all their columns, their texts without the removed bytes."""
-    return _Blocks(docs, block_bytes, bucket_bytes, hot_runs).removed(True, docs.schema)
+    return _Blocks(docs, block_bytes, bucket_bytes, hot_runs, anchor).removed(True, docs.schema)
 
 
 def reference(rows: list[tuple]) -> list[tuple]:
