@@ -387,6 +387,12 @@ def test_telephony_round_trip(spark, docs, rows, empty):
     assert telephony.media_features(telephony.decode_media(telephony.encode_media(empty))).count() == 0
 
 
+def test_each_telephony_format_has_a_third_of_the_texts(spark):
+    df = spark.createDataFrame([(k, f"text {k} " * (1 + k % 90)) for k in range(1500)], "doc_id long, text string")
+    found = Counter(r.feature.split()[0] for r in telephony.media_features(telephony.decode_media(telephony.encode_media(df))).collect())
+    assert set(found) == {"mulaw", "alaw", "adpcm"} and min(found.values()) > 420
+
+
 def test_resampling():
     x = np.array([1, 3, -5, 8, 9], np.int16)
     assert telephony.resample(x, 8000, 4000).tolist() == [2, 1]
