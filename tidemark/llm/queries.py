@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, html_text, langid, line_dedup, mixing, near_dup, packing, quality, suffix_dedup, telephony, warc
+from tidemark.llm import bpe, conversations, html_text, langid, line_dedup, mixing, near_dup, packing, quality, suffix_dedup, telephony, warc
 from tidemark.llm.common import stored
 
 
@@ -54,6 +54,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digest(conversations.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -69,11 +73,13 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
+    "op11_repair": op11_repair,
     "op13_mixing": op13_mixing,
 }
 
 ORACLES = {
     "op3_line_dedup": line_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
+    "op11_repair": conversations.ORACLE,
     "op13_mixing": mixing.ORACLE,
 }
