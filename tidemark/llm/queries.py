@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, conversations, html_text, langid, line_dedup, mixing, near_dup, packing, quality, suffix_dedup, telephony, warc
+from tidemark.llm import bpe, conversations, html_text, langid, line_dedup, mixing, near_dup, packing, phrases, quality, suffix_dedup, telephony, warc
 from tidemark.llm.common import stored
 
 
@@ -58,6 +58,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digest(conversations.damaged(_table(spark, sf_dir, "conversations")))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_phrases(_table(spark, sf_dir, "documents"))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_quality": op10_quality,
     "op11_repair": op11_repair,
+    "op12_phrases": op12_phrases,
     "op13_mixing": op13_mixing,
 }
 
@@ -81,5 +86,6 @@ ORACLES = {
     "op3_line_dedup": line_dedup.ORACLE,
     "op9_warc": warc.ORACLE,
     "op11_repair": conversations.ORACLE,
+    "op12_phrases": phrases.ORACLE,
     "op13_mixing": mixing.ORACLE,
 }
