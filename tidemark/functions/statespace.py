@@ -125,7 +125,7 @@ class Spec:
             part = self.at[name]
             if on and part.stop > part.start and self._full(self.order.lags(name)):
                 out[:, part] = sign * stationary(z[:, part])
-        out[:, self.at["v"]] = np.exp(np.clip(z[:, self.at["v"]], -60, 60)) * scale[self.at["v"]]
+        out[:, self.at["v"]] = np.exp(np.clip(z[:, self.at["v"]], -60, 60)) * scale[..., self.at["v"]]
         return out
 
     def free(self, params: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -159,6 +159,17 @@ class Spec:
         time = np.arange(first + 1, first + n + 1, dtype=float)
         return params[:, self.at["c"]] @ np.array([time**k for k in self.order.powers]).reshape(-1, n)
 
+    def settled_mean(self, params: np.ndarray, ar: np.ndarray) -> np.ndarray:
+        """The mean (B, r) that the ARMA block keeps under the trend of the first row; 0 where an autoregression has none."""
+        rest = np.zeros((len(params), self.r))
+        rest[:, : self.k_ar] = np.cumsum(ar[:, ::-1], axis=1)[:, ::-1]
+        with np.errstate(all="ignore"):
+            first = self.trend_path(params, 0, 1)[:, 0] / (1 - ar.sum(1))
+        first = np.where(np.isfinite(first), first, 0)
+        rest[:, 1:] *= first[:, None]
+        rest[:, 0] = first
+        return rest
+
     def observation(self) -> np.ndarray:
         """The states that add up to a row: levels, ends of the seasonal rings, the first ARMA state."""
         z = np.zeros(self.n_states)
@@ -199,27 +210,23 @@ class Spec:
         q = noise[:, base:, None] * noise[:, None, base:] * v[:, None, None]
         p0[:, base:, base:] = lyapunov(block, q)
         if o.powers:
-            begin = np.zeros((b, r))
-            begin[:, 0] = self.trend_path(params, 0, 1)[:, 0]
-            try:
-                a0[:, base:] = np.linalg.solve(np.eye(r) - block, begin[..., None])[..., 0]
-            except np.linalg.LinAlgError:
-                a0[:, base:] = 0
+            a0[:, base:] = self.settled_mean(params, ar)
         return t, noise, z, a0, p0, v
 
 
 def lyapunov(t: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """P = T P T' + Q for a batch, by doubling."""
-    p, a = q.copy(), t.copy()
+    """P = T P T' + Q for a batch, by doubling; those without a solution are approximately diffuse and leave the others alone."""
+    p, left, a = q.copy(), np.arange(len(t)), t.copy()
     with np.errstate(all="ignore"):
         for _ in range(40):
-            step = a @ p @ a.transpose(0, 2, 1)
-            p = p + step
-            if not np.isfinite(step).all() or np.abs(step).max() <= 1e-12 * max(np.abs(p).max(), 1e-300):
+            step = a @ p[left] @ a.transpose(0, 2, 1)
+            p[left] += step
+            more = ~(np.abs(step).max((1, 2)) <= 1e-12 * np.abs(p[left]).max((1, 2))) & np.isfinite(step).all((1, 2))
+            left, a = left[more], a[more]
+            if not len(left):
                 break
             a = a @ a
-    bad = ~np.isfinite(p).all(axis=(1, 2))
-    p[bad] = DIFFUSE * np.eye(t.shape[1])
+    p[~np.isfinite(p).all((1, 2))] = DIFFUSE * np.eye(t.shape[1])
     return p
 
 
@@ -294,6 +301,8 @@ class Fit:
     converged: bool
     fit_time: float
     method: str = "lbfgs"
+    #: Standard errors, where the fit has found them already.
+    errors: np.ndarray | None = None
 
     @property
     def basis(self) -> tuple[Spec, np.ndarray, np.ndarray | None]:
@@ -304,6 +313,10 @@ class Fit:
         """The state-space options that a refit has to keep."""
         return {"enforce_stationarity": self.spec.enforce_stationarity, "enforce_invertibility": self.spec.enforce_invertibility}
 
+    @property
+    def order(self) -> Order:
+        return self.spec.order
+
     @property
     def llf(self) -> float:
         return float(self.filtered.terms[0].sum())
@@ -331,6 +344,8 @@ class Fit:
 
     def bse(self) -> np.ndarray:
         """Standard errors by the outer product of the score, from central differences."""
+        if self.errors is not None:
+            return self.errors
         h = 1e-6 * np.maximum(np.abs(self.params), 1e-2)
         steps = np.diag(h)
         spec, y, exog = self.basis
@@ -530,16 +545,26 @@ def fit(y: np.ndarray, order: Order, exog: np.ndarray | None = None, method: str
     return Fit(spec, params[0], y, exog, kalman(spec, params, y, exog), ok, time.perf_counter() - began, method)
 
 
-def embedded(small: Fit, order: Order, k_exog: int) -> np.ndarray | None:
-    """The parameters of a fit as those of a larger order (new ones are 0), or None if the order isn't larger."""
-    o, spec = small.spec.order, Spec(order, k_exog)
+def at_params(y: np.ndarray, order: Order, exog: np.ndarray | None, params: np.ndarray, converged: bool = True, fit_time: float = 0.0, method: str = "lbfgs", simple_differencing: bool = False, **flags) -> Fit:
+    """The Fit of known parameters."""
+    spec = Spec(order, 0 if exog is None else exog.shape[1], **flags)
+    made = (DifferencedFit if simple_differencing else Fit)(spec, np.asarray(params, float), y, exog, None, converged, fit_time, method)
+    inner, w, x = made.basis
+    made.filtered = kalman(inner, made.params[None], w, x)
+    return made
+
+
+def embedded(small, order: Order, k_exog: int) -> np.ndarray | None:
+    """The parameters of a fit (or an outcome: its order and parameters) as those of a larger order (new ones are 0), or None if the order isn't larger."""
+    o, spec = small.order, Spec(order, k_exog)
+    mine_at = Spec(o, k_exog).at
     if (o.d, o.D) != (order.d, order.D) or not {*o.powers} <= {*order.powers} or any(not {*o.lags(n)} <= {*order.lags(n)} for n in "pqPQ") or (o.s != order.s and (o.lags("P") or o.lags("Q"))):
         return None
     out = np.zeros(spec.k)
     for name, mine, theirs in (("c", o.powers, order.powers), *((n, o.lags(n), order.lags(n)) for n in "pqPQ")):
         for i, lag in enumerate(mine):
-            out[spec.at[name].start + theirs.index(lag)] = small.params[small.spec.at[name].start + i]
-    out[spec.at["x"]] = small.params[small.spec.at["x"]]
+            out[spec.at[name].start + theirs.index(lag)] = small.params[mine_at[name].start + i]
+    out[spec.at["x"]] = small.params[mine_at["x"]]
     out[spec.at["v"]] = small.params[-1]
     return out
 

@@ -1,7 +1,8 @@
 """ARIMA models of many series: fit, predict, predict in sample and update as grouped kernels.
 
 The fitted models are rows of a table (MODEL_SCHEMA), one a series; every operation reads and
-returns DataFrames. A series is one group; a failed fit is a row with ``error``.
+returns DataFrames. Fits run over packed rows (one array a series), many series side by side in one
+recursion; a failed fit is a row with ``error``.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import tidemark
-from tidemark.functions import statespace
+from tidemark.functions import batch, statespace
 from tidemark.functions.optimise import METHODS
 from tidemark.functions.statespace import Order
 
@@ -136,15 +137,43 @@ class ARIMA:
         exog = exog or []
         config = replace(self, **fit_args) if fit_args else self
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            return model_frame(pdf.series_id.iloc[0], *fit_one(config, *arrays(pdf, exog)), exog)
+        def run(frames):
+            for pdf in frames:
+                for begin in range(0, len(pdf), ROWS):
+                    part = pdf.iloc[begin : begin + ROWS]
+                    fits = fit_all([config] * len(part), *unpacked(part, exog))
+                    yield pd.DataFrame([model_row(i, *found, exog) for i, found in zip(part.series_id, fits, strict=True)], columns=COLUMNS)
 
-        return df.select("series_id", "t", "y", *exog).groupBy("series_id").applyInPandas(run, MODEL_SCHEMA)
+        return packed(df, exog).mapInPandas(run, MODEL_SCHEMA)
 
     def fit_predict(self, df: DataFrame, exog: list[str] | None = None, n_periods: int = 10, future: DataFrame | None = None) -> DataFrame:
         return predict(self.fit(df, exog), n_periods, future)
 
 
+#: Series whose model rows are made at once.
+ROWS = 2000
+
+
+def packed(df: DataFrame, exog: list[str] | None = None) -> DataFrame:
+    """(series_id, y, x): one row a series, its values in order of t, and its regressors row by row.
+
+    The rows are dealt to as many partitions as the shuffle has, so that tasks of few bytes and much work are not merged.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(math.nan))
+    names = [f"x{i}" for i in range(len(exog or []))]
+    rows = df.select("series_id", "t", value("y").alias("y"), *[value(c).alias(k) for c, k in zip(exog or [], names, strict=True)])
+    rows = rows.repartition(n, "series_id").groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("t", "y", *names))).alias("rows"))
+    x = F.flatten(F.transform("rows", lambda r: F.array(*[r[k] for k in names]))) if names else F.array().cast("array<double>")
+    return rows.select("series_id", F.col("rows.y").alias("y"), x.alias("x"))
+
+
+def unpacked(pdf: pd.DataFrame, exog: list[str]) -> tuple[list[np.ndarray], list[np.ndarray | None]]:
+    """The values and regressors of packed rows."""
+    ys = [np.asarray(y, float) for y in pdf["y"]]
+    return ys, [np.asarray(x, float).reshape(len(y), -1) if exog else None for x, y in zip(pdf["x"], ys, strict=True)]
+
+
 def arrays(pdf: pd.DataFrame, exog: list[str]) -> tuple[np.ndarray, np.ndarray | None]:
     pdf = pdf.sort_values("t")
     return pdf["y"].to_numpy(float), pdf[exog].to_numpy(float) if exog else None
@@ -168,6 +197,34 @@ def fit_one(config: ARIMA, y: np.ndarray, x: np.ndarray | None):
         return None, oob, preds, f"{type(e).__name__}: {e}"
 
 
+def fit_all(configs: list[ARIMA], ys: list[np.ndarray], xs: list[np.ndarray | None], errors: bool = True) -> list[tuple]:
+    """fit_one() of many series, each with its model (which differ in order, intercept and start only), side by side where the optimiser can."""
+    config = configs[0]
+    if config.method != "lbfgs":
+        return [fit_one(c, y, x) for c, y, x in zip(configs, ys, xs, strict=True)]
+    cut, orders = config.out_of_sample_size, [c.spec() for c in configs]
+    starts = [None if c.start_params is None else np.asarray(c.start_params, float) for c in configs]
+    out: list = [None] * len(ys)
+    for i, y in enumerate(ys):
+        if cut and cut >= len(y):
+            out[i] = None, math.nan, None, "ValueError: out_of_sample_size must be less than the number of rows"
+    left = [i for i in range(len(ys)) if out[i] is None]
+    head = lambda a: a if a is None else a[: len(a) - cut]
+    fits = batch.fit_many([head(ys[i]) for i in left], [orders[i] for i in left], [head(xs[i]) for i in left], config.maxiter, [starts[i] for i in left], errors=errors and not cut, **config.flags())
+    for i, made in zip(left, fits, strict=True):
+        out[i] = (None, math.nan, None, made) if isinstance(made, str) else (made, math.nan, None, None)
+    if cut:
+        # The hold-out is forecast, scored and then taken in by a short refit from the old parameters.
+        good = [i for i in left if out[i][0] is not None]
+        tails = [None if xs[i] is None else xs[i][-cut:] for i in good]
+        preds = [out[i][0].forecast(cut, x)[0] for i, x in zip(good, tails, strict=True)]
+        again = batch.fit_many([ys[i] for i in good], [orders[i] for i in good], [xs[i] for i in good], max(5, cut // 10), [out[i][0].params for i in good], errors=errors, **config.flags())
+        for i, p, made in zip(good, preds, again, strict=True):
+            oob = float(kernel_score(config.scoring)(ys[i][-cut:], p))
+            out[i] = (None, oob, p, made) if isinstance(made, str) else (made, oob, p, None)
+    return out
+
+
 def updated(made: statespace.Fit, y: np.ndarray, x: np.ndarray | None, method: str | None = None, maxiter: int | None = None) -> statespace.Fit:
     """Rows appended and a short refit from the old parameters, under the first fit's options."""
     x = None if made.exog is None else np.concatenate([made.exog, x])
@@ -179,6 +236,11 @@ def _roots(r: np.ndarray) -> list[dict]:
 
 
 def model_frame(series_id, made: statespace.Fit | None, oob: float, preds, error: str | None, exog: list[str]) -> pd.DataFrame:
+    """The model row of one series as a frame."""
+    return pd.DataFrame([model_row(series_id, made, oob, preds, error, exog)], columns=COLUMNS)
+
+
+def model_row(series_id, made: statespace.Fit | None, oob: float, preds, error: str | None, exog: list[str]) -> dict:
     """The model row of one series."""
     row = dict.fromkeys(COLUMNS)
     row |= {"series_id": series_id, "error": error, "pkg_version": tidemark.__version__, "oob": None if math.isnan(oob) else oob, "oob_preds": None if preds is None else list(preds), "exog_names": list(exog)}
@@ -195,7 +257,7 @@ def model_frame(series_id, made: statespace.Fit | None, oob: float, preds, error
             "method": made.method, "options": made.options(),
             "fit_time": made.fit_time, "label": o.label(), **made.criteria(),
         }
-    return pd.DataFrame([row], columns=COLUMNS)
+    return row
 
 
 def loaded(row) -> statespace.Fit:

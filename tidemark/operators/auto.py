@@ -1,5 +1,12 @@
-"""Automatic order selection. Stepwise search runs inside one kernel call a series, so series
-run in parallel; grid and random search spread (series, candidate) rows over the cluster."""
+"""Automatic order selection.
+
+A stepwise search is a replay: given the outcomes of the orders visited so far, it says which order
+comes next. So the same search runs in two ways. Spread over series, a task replays many series and
+fits what they ask for next side by side. Spread over candidates, each round is a job: series ask
+for their next orders and likely later ones, rows (series, order) that no earlier round has fitted
+are dealt to all tasks, and outcomes join the table of visited orders. A long series then
+uses the whole cluster. Grid and random search spread (series, candidates) rows.
+"""
 
 from __future__ import annotations
 
@@ -18,8 +25,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import statespace, unitroot
-from tidemark.operators.arima import ARIMA, MODEL_SCHEMA, arrays, fit_one, model_frame
+from tidemark.operators.arima import ARIMA, COLUMNS, MODEL_SCHEMA, ROWS, arrays, fit_all, model_row, packed, unpacked
 from tidemark.operators.guards import ModelFitWarning
+from tidemark.sources.scratch import written
 
 CRITERIA = ("aic", "aicc", "bic", "hqic", "oob")
 #: Moves of the stepwise search in the order they are tried: changes of (P, Q) and then of (p, q).
@@ -81,6 +89,8 @@ class AutoARIMA:
     with_intercept: bool | str = "auto"
     error_action: str = "trace"
     strict_roots: bool = False
+    #: "series": a task searches many series (lazy). "candidates": jobs of (series, order) rows, for few long series (runs at once).
+    spread: str = "series"
     sarimax_kwargs: dict = field(default_factory=dict)
 
     def __post_init__(self):
@@ -99,6 +109,8 @@ class AutoARIMA:
             v = getattr(self, name)
             if v is not None and v < 0:
                 raise ValueError(f"{name} must be None or a non-negative integer")
+        if self.spread not in ("series", "candidates"):
+            raise ValueError("spread must be series or candidates")
         if self.error_action not in ("warn", "raise", "ignore", "trace"):
             raise ValueError("error_action must be one of warn, raise, ignore, trace")
 
@@ -114,63 +126,122 @@ class AutoARIMA:
         unless error_action is "raise".
         """
         exog = exog or []
-        config, bounds = self, dict(_context.get())
-        rows = df.select("series_id", "t", "y", *exog)
         if not self.stepwise:
-            return self._grid(rows, exog, return_all)
+            return self._grid(df, exog, return_all)
+        if self.spread == "candidates":
+            return self._rounds(df, exog, return_all)
+        config, bounds = self, dict(_context.get())
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            found, why = [], NO_CANDIDATE
-            try:
-                found = search(config, *arrays(pdf, exog), bounds)
-            except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:
-                if config.error_action == "raise":
-                    raise
-                why = f"{type(e).__name__}: {e}"
-            if not found:
-                frame = model_frame(pdf.series_id.iloc[0], None, math.nan, None, why, exog)
-                return frame.assign(rank=1) if return_all else frame
-            frames = [model_frame(pdf.series_id.iloc[0], made, oob, preds, None, exog) for made, oob, preds in (found if return_all else found[:1])]
-            return pd.concat([f.assign(rank=k + 1) for k, f in enumerate(frames)]) if return_all else frames[0]
+        def run(frames):
+            for pdf in frames:
+                for begin in range(0, len(pdf), ROWS):
+                    part = pdf.iloc[begin : begin + ROWS]
+                    found = search_many(config, *unpacked(part, exog), bounds)
+                    rows = [row for i, outcomes in zip(part.series_id, found, strict=True) for row in _rows(i, outcomes, exog, return_all)]
+                    yield pd.DataFrame(rows, columns=[*COLUMNS, "rank"] if return_all else COLUMNS)
+
+        return packed(df, exog).mapInPandas(run, MODEL_SCHEMA + ", rank int" * return_all)
+
+    def _rounds(self, df: DataFrame, exog: list[str], return_all: bool) -> DataFrame:
+        """The stepwise search with a job a round. What comes to the driver is the number of orders that a round asks for."""
+        config, bounds, spark = self, dict(_context.get()), df.sparkSession
+        width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        series = written(packed(df, exog))
+        began = time.time()
+
+        def ask(frames):
+            for pdf in frames:
+                ys, xs = unpacked(pdf, exog)
+                out = []
+                for i, y, x, seen in zip(pdf.series_id, ys, xs, pdf.seen, strict=True):
+                    known = {tuple(int(v) for v in o["key"]): Outcome.of(o, config) for o in ([] if seen is None else seen)}
+                    try:
+                        late = time.time() - began > bounds.get("max_dur", math.inf)
+                        wanted, ranked = replay(config, prepared(config, y, x), known, 0 if x is None else x.shape[1], bounds, ahead=len(MOVES), late=late)
+                    except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:
+                        if config.error_action == "raise":
+                            raise
+                        out.append((i, None, None, f"{type(e).__name__}: {e}", None))
+                        continue
+                    out += [(i, list(key), None if start is None else list(start), None, None) for key, start in wanted]
+                    if ranked is not None:
+                        out.append((i, None, None, None if ranked else NO_CANDIDATE, [list(o.key) for o in ranked]))
+                yield pd.DataFrame(out, columns=["series_id", "key", "start", "why", "ranked"])
 
-        return rows.groupBy("series_id").applyInPandas(run, MODEL_SCHEMA + ", rank int" * return_all)
+        def fit(frames):
+            for pdf in frames:
+                yield pd.DataFrame([(i, o.row()) for i, o in zip(pdf.series_id, _outcomes(config, pdf, exog), strict=True)], columns=["series_id", "outcome"])
+
+        same = F.col("series_id").eqNullSafe(F.col("id"))
+        visited, rounds = None, 0
+        while True:
+            state = series.withColumn("seen", F.lit(None).cast(f"array<{OUTCOME}>"))
+            if visited is not None:
+                seen = visited.groupBy(F.col("series_id").alias("id")).agg(F.collect_list("outcome").alias("seen"))
+                state = series.join(seen, same, "left").drop("id")
+            asked = written(state.mapInPandas(ask, "series_id string, key array<int>, start array<double>, why string, ranked array<array<int>>"))
+            wanted = asked.where("key is not null")
+            if visited is not None:
+                done = visited.select(F.col("series_id").alias("id"), F.col("outcome.key").alias("old"))
+                wanted = wanted.join(done, same & (F.col("key") == F.col("old")), "left_anti")
+            rounds += 1
+            if wanted.isEmpty() or rounds > 10 * MOST_STEPS:
+                break
+            tasks = wanted.select(F.col("series_id").alias("id"), "key", "start").join(series, same).drop("id").repartition(width)
+            fits = written(tasks.mapInPandas(fit, f"series_id string, outcome {OUTCOME}"))
+            visited = fits if visited is None else visited.unionByName(fits)
+        final = asked.where("key is null").select(F.col("series_id").alias("id"), "why", F.coalesce("ranked", F.array().cast("array<array<int>>")).alias("ranked"))
+        state = series.join(final, same).drop("id").withColumn("seen", F.lit(None).cast(f"array<{OUTCOME}>"))
+        if visited is not None:
+            state = state.drop("seen").join(seen, same, "left").drop("id")
+
+        def finish(frames):
+            for pdf in frames:
+                ys, xs = unpacked(pdf, exog)
+                rows = []
+                for i, y, x, seen, ranked, why in zip(pdf.series_id, ys, xs, pdf.seen, pdf.ranked, pdf.why, strict=True):
+                    known = {tuple(int(v) for v in o["key"]): Outcome.of(o, config) for o in ([] if seen is None else seen)}
+                    best = [known[tuple(int(v) for v in key)] for key in ranked]
+                    rows += _rows(i, [o.refit(config, y, x) for o in (best if return_all else best[:1])] or why or NO_CANDIDATE, exog, return_all)
+                yield pd.DataFrame(rows, columns=[*COLUMNS, "rank"] if return_all else COLUMNS)
+
+        return state.repartition(width, "series_id").mapInPandas(finish, MODEL_SCHEMA + ", rank int" * return_all)
 
     def _grid(self, rows: DataFrame, exog: list[str], return_all: bool) -> DataFrame:
         """One task row a series and CHUNK candidates, so that a series is shuffled once for so many fits. The series'
-        own d, D and clamps are found first, in a kernel of their own."""
+        own d, D and clamps are found first; a task fits the same candidate of all its series side by side."""
         config = self
+        series = packed(rows, exog)
 
-        def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-            columns = ["series_id", "chunk", "candidates", "why"]
-            try:
-                candidates = grid(config, *arrays(pdf, exog))
-            except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:
-                if config.error_action == "raise":
-                    raise
-                return pd.DataFrame([(pdf.series_id.iloc[0], 0, [], f"{type(e).__name__}: {e}")], columns=columns)
-            # Dealt in turn: large orders, which come last, spread over the chunks.
-            n = -(-len(candidates) // CHUNK)
-            return pd.DataFrame([(pdf.series_id.iloc[0], k, [[*o, *s, int(c)] for o, s, c in candidates[k::n]], None) for k in range(n)], columns=columns)
+        def plan(frames):
+            for pdf in frames:
+                out = []
+                for i, y, x in zip(pdf.series_id, *unpacked(pdf, exog), strict=True):
+                    try:
+                        candidates = grid(config, y, x)
+                    except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:
+                        if config.error_action == "raise":
+                            raise
+                        out.append((i, y, [] if x is None else x.ravel(), 0, [], f"{type(e).__name__}: {e}"))
+                        continue
+                    # Dealt in turn: large orders, which come last, spread over the chunks.
+                    n = -(-len(candidates) // CHUNK)
+                    out += [(i, y, [] if x is None else x.ravel(), k, [[*o, *s, int(c), 0] for o, s, c in candidates[k::n]], None) for k in range(n)]
+                yield pd.DataFrame(out, columns=["series_id", "y", "x", "chunk", "candidates", "why"])
 
-        plans = rows.groupBy("series_id").applyInPandas(plan, "series_id string, chunk int, candidates array<array<int>>, why string")
-        packed = rows.groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("t", "y", *exog))).alias("rows"))
-        tasks = plans.join(packed, "series_id").repartition("series_id", "chunk")
+        plans = series.mapInPandas(plan, "series_id string, y array<double>, x array<double>, chunk int, candidates array<array<int>>, why string")
+        tasks = plans.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id", "chunk")
 
         def run(frames):
             for pdf in frames:
-                for r in pdf.to_dict("records"):
-                    if r["why"]:
-                        yield model_frame(r["series_id"], None, math.nan, None, r["why"], exog)
-                        continue
-                    one = pd.DataFrame([dict(x) if isinstance(x, dict) else x.asDict() for x in r["rows"]])
-                    y, x = arrays(one, exog)
-                    for candidate in r["candidates"]:
-                        p, d, q, sp, sd, sq, m, constant = (int(v) for v in candidate)
-                        model = replace(config.base(), order=(p, d, q), seasonal_order=(sp, sd, sq, m), with_intercept=bool(constant))
-                        made, oob, preds, error = fit_one(model, y, x)
-                        if made is not None and not root_test(made, config.strict_roots):
-                            made, error = None, "ValueError: a root is close to the unit circle"
-                        yield model_frame(r["series_id"], made, oob, preds, error, exog)
+                failed = pdf[pdf.why.notna()]
+                out = [model_row(i, None, math.nan, None, why, exog) for i, why in zip(failed.series_id, failed.why, strict=True)]
+                each = pdf[pdf.why.isna()].explode("candidates").rename(columns={"candidates": "key"}).reset_index(drop=True)
+                if len(each):
+                    for i, o in zip(each.series_id, _outcomes(config, each, exog, errors=True), strict=True):
+                        good = o.made is not None and o.root
+                        out.append(model_row(i, o.made if good else None, o.oob, o.preds, o.error if o.made is None else None if good else "ValueError: a root is close to the unit circle", exog))
+                yield pd.DataFrame(out, columns=COLUMNS)
 
         fits = tasks.mapInPandas(run, MODEL_SCHEMA)
         ic = F.col(self.information_criterion)
@@ -293,79 +364,222 @@ def grid(config: AutoARIMA, y: np.ndarray, x: np.ndarray | None) -> list[tuple]:
     return random.Random(c.random_state).sample(out, min(c.n_fits, len(out))) if c.random else out
 
 
-def search(config: AutoARIMA, y: np.ndarray, x: np.ndarray | None, bounds: dict | None = None) -> list[tuple]:
-    """Hyndman and Khandakar's stepwise search: [(fit, oob, oob forecasts)], best first."""
-    bounds = bounds or {}
-    c, intercept, only = prepared(config, y, x)
-    tried: dict[tuple, tuple] = {}
+#: Moves of the stepwise search, as it tries them: changes of (p, q, P, Q), then of the intercept.
+MOVES = tuple((0, 0, dP, dQ, False) for dP, dQ in SEASONAL_MOVES) + tuple((dp, dq, 0, 0, False) for dp, dq in SEASONAL_MOVES) + ((0, 0, 0, 0, True),)
+#: Orders that a search visits at most, unless a StepwiseContext says otherwise.
+MOST_STEPS = 100
+#: Numbers (models x states squared) that a search fits ahead of what it needs.
+AHEAD = 1500
+OUTCOME = "struct<key:array<int>,value:double,llf:double,root:boolean,params:array<double>,seconds:double,oob:double,preds:array<double>,converged:boolean,error:string>"
+
+
+@dataclass
+class Outcome:
+    """What a fit of one order has given. The key is p, d, q, P, D, Q, m, intercept, and whether it starts from a smaller model (1) or not (0)."""
+
+    key: tuple
+    order: statespace.Order
+    value: float = math.inf
+    llf: float = math.nan
+    root: bool = False
+    params: np.ndarray | None = None
+    seconds: float = 0.0
+    oob: float = math.nan
+    preds: np.ndarray | None = None
+    converged: bool = False
+    error: str | None = None
+    made: statespace.Fit | None = None
+
+    @classmethod
+    def judged(cls, key: tuple, config: AutoARIMA, made, oob, preds, error) -> Outcome:
+        out = cls(key, model_of(config, key).spec(), oob=oob, preds=preds, error=error, made=made)
+        if made is not None:
+            out.llf, out.params, out.seconds, out.converged, out.root = made.llf, made.params, made.fit_time, made.converged, root_test(made, config.strict_roots)
+            value = oob if config.information_criterion == "oob" else made.criteria()[config.information_criterion]
+            out.value = value if out.root and math.isfinite(value) else math.inf
+        return out
+
+    def row(self) -> dict:
+        listed = lambda x: None if x is None else [float(v) for v in x]
+        return {"key": list(self.key), "value": self.value, "llf": self.llf, "root": self.root, "params": listed(self.params), "seconds": self.seconds, "oob": self.oob, "preds": listed(self.preds), "converged": self.converged, "error": self.error}
+
+    @classmethod
+    def of(cls, row, config: AutoARIMA) -> Outcome:
+        key = tuple(int(v) for v in row["key"])
+        array = lambda x: None if x is None else np.asarray(x, float)
+        number = lambda x: math.nan if x is None else float(x)
+        return cls(key, model_of(config, key).spec(), number(row["value"]), number(row["llf"]), bool(row["root"]), array(row["params"]), row["seconds"], number(row["oob"]), array(row["preds"]), bool(row["converged"]), row["error"])
+
+    def refit(self, config: AutoARIMA, y: np.ndarray, x: np.ndarray | None) -> Outcome:
+        """With its model again, from its parameters."""
+        made = statespace.at_params(y, self.order, x, self.params, self.converged, self.seconds, config.method, **config.base().flags())
+        return replace(self, made=made)
+
+
+def model_of(config: AutoARIMA, key: tuple, start: np.ndarray | None = None) -> ARIMA:
+    return replace(config.base(), order=key[:3], seasonal_order=key[3:7], with_intercept=bool(key[7]), start_params=None if start is None else list(start))
+
+
+def _outcomes(config: AutoARIMA, pdf: pd.DataFrame, exog: list[str], errors: bool = False) -> list[Outcome]:
+    """The outcomes of rows (series_id, y, x, key, start), those of one order side by side."""
+    ys, xs = unpacked(pdf, exog)
+    keys = [tuple(int(v) for v in k) for k in pdf.key]
+    starts = [None if s is None else np.asarray(s, float) for s in pdf.start] if "start" in pdf else [None] * len(keys)
+    return fit_keys(config, keys, ys, xs, starts, errors)
+
+
+def fit_keys(config: AutoARIMA, keys: list[tuple], ys: list, xs: list, starts: list, errors: bool = False) -> list[Outcome]:
+    if not keys:
+        return []
+    models = [model_of(config, key, start) for key, start in zip(keys, starts, strict=True)]
+    return [Outcome.judged(key, config, *found) for key, found in zip(keys, fit_all(models, ys, xs, errors), strict=True)]
+
+
+class _Missing(Exception):
+    """The search needs an order's outcome that it has not got yet."""
+
+    def __init__(self, key: tuple, start: np.ndarray | None):
+        self.key, self.start = key, start
+
+
+def replay(config: AutoARIMA, plan: tuple, seen: dict[tuple, Outcome], k_exog: int, bounds: dict, ahead: int = 1, late: bool = False) -> tuple[list[tuple], list[Outcome] | None]:
+    """Hyndman and Khandakar's stepwise search over the outcomes seen so far.
+
+    Either ([(key, start)], None): the order that the search visits next, and up to ``ahead`` orders
+    in all that it may visit after it; or ([], outcomes), best first, if the search has ended.
+    """
+    c, intercept, only = plan
+    m = c.m if c.m > 1 else 0
     if only:
-        made, oob, preds, error = fit_one(replace(c.base(), order=only[0][0], seasonal_order=only[0][1], with_intercept=only[0][2]), y, x)
-        if made is None:
-            raise ValueError(error)
-        return [(made, oob, preds)]
-    began, limit, max_dur = time.perf_counter(), bounds.get("max_steps", 100), bounds.get("max_dur")
+        (order, seasonal, constant) = only[0]
+        key = (*order, *seasonal, int(constant), 0)
+        if key not in seen:
+            return [(key, None)], None
+        if seen[key].error:
+            raise ValueError(seen[key].error)
+        return [], [seen[key]]
+    limit = bounds.get("max_steps", MOST_STEPS)
+    tried: dict[tuple, Outcome] = {}
     best = math.inf
-    m = c.m if c.m > 1 else 0
-    state = {"pq": (min(c.start_p, c.max_p), min(c.start_q, c.max_q)), "PQ": (min(c.start_P, c.max_P), min(c.start_Q, c.max_Q)), "c": intercept}
+    state = (min(c.start_p, c.max_p), min(c.start_q, c.max_q), min(c.start_P, c.max_P), min(c.start_Q, c.max_Q), bool(intercept))
+
+    def key_of(at: tuple, again: int = 0) -> tuple:
+        p, q, P, Q, constant = at
+        return (p, c.d, q, P, c.D, Q, m, int(constant), again)
+
+    def outcome(key: tuple, start: np.ndarray | None = None) -> Outcome:
+        if key not in seen:
+            raise _Missing(key, start)
+        return seen[key]
 
-    def better(pq: tuple, PQ: tuple, constant: bool) -> bool:
-        nonlocal best
-        key = (pq, PQ, constant)
-        if key in tried or len(tried) >= limit:
+    def better(at: tuple) -> bool:
+        nonlocal best, state
+        if at in tried or len(tried) >= limit:
             return False
-        order, seasonal = (pq[0], c.d, pq[1]), (PQ[0], c.D, PQ[1], m)
-        model = replace(c.base(), order=order, seasonal_order=seasonal, with_intercept=constant)
-        made, oob, preds, error = fit_one(model, y, x)
-        inside = [f for _, _, f, _, _ in tried.values() if made is not None and f is not None and f.llf > made.llf + 1e-6]
-        for small in sorted(inside, key=lambda f: -f.llf):
-            # A model that holds another one can't have a lower likelihood: go on from the smaller one's parameters.
-            start = statespace.embedded(small, model.spec(), 0 if x is None else x.shape[1])
-            if start is None:
-                continue
-            again = fit_one(replace(model, start_params=list(start)), y, x)
-            if again[0] is not None and again[0].llf > made.llf:
-                made, oob, preds, error = again
-            break
-        value = math.inf
-        if made is not None and root_test(made, c.strict_roots):
-            value = oob if c.information_criterion == "oob" else made.criteria()[c.information_criterion]
-            value = value if math.isfinite(value) else math.inf
-        elif made is None and c.error_action == "raise":
-            raise ValueError(error)
-        elif made is None and c.error_action in ("warn", "trace"):
-            warnings.warn(f"{model.spec().label().strip()} could not be fitted: {error}", ModelFitWarning, stacklevel=2)
-        tried[key] = (value, made.fit_time if made else 0.0, made, oob, preds)
-        if value < best:
-            best = value
-            state.update(pq=pq, PQ=PQ, c=constant)
+        found = outcome(key_of(at))
+        if found.error is None:
+            inside = sorted((f for f in tried.values() if f.error is None and f.llf > found.llf + 1e-6), key=lambda f: -f.llf)
+            for small in inside:
+                # A model that holds another one can't have a lower likelihood: go on from the smaller one's parameters.
+                start = statespace.embedded(small, found.order, k_exog)
+                if start is None:
+                    continue
+                again = outcome(key_of(at, 1), start)
+                if again.error is None and again.llf > found.llf:
+                    found = again
+                break
+        elif c.error_action == "raise":
+            raise ValueError(found.error)
+        tried[at] = found
+        if found.value < best:
+            best, state = found.value, at
             return True
         return False
 
-    some = lambda a, b: (min(1, a), min(1, b))
-    better(state["pq"], state["PQ"], intercept)
-    better((0, 0), (0, 0), intercept)
+    def neighbours(at: tuple):
+        p, q, P, Q, constant = at
+        for dp, dq, dP, dQ, other in MOVES:
+            if 0 <= p + dp <= c.max_p and 0 <= q + dq <= c.max_q and 0 <= P + dP <= c.max_P and 0 <= Q + dQ <= c.max_Q:
+                yield p + dp, q + dq, P + dP, Q + dQ, constant != other
+
+    first = [state, (0, 0, 0, 0, bool(intercept))]
     if c.max_p or c.max_P:
-        better((some(c.max_p, 0)[0], 0), (some(c.max_P, 0)[0], 0), intercept)
+        first.append((min(1, c.max_p), 0, min(1, c.max_P), 0, bool(intercept)))
     if c.max_q or c.max_Q:
-        better((0, some(0, c.max_q)[1]), (0, some(0, c.max_Q)[1]), intercept)
+        first.append((0, min(1, c.max_q), 0, min(1, c.max_Q), bool(intercept)))
     if intercept:
-        better((0, 0), (0, 0), False)
-
-    def step() -> bool:
-        (p, q), (P, Q), k = state["pq"], state["PQ"], state["c"]
-        for dP, dQ in SEASONAL_MOVES:
-            if 0 <= P + dP <= c.max_P and 0 <= Q + dQ <= c.max_Q and better((p, q), (P + dP, Q + dQ), k):
-                return True
-        for dp, dq in SEASONAL_MOVES:
-            if 0 <= p + dp <= c.max_p and 0 <= q + dq <= c.max_q and better((p + dp, q + dq), (P, Q), k):
-                return True
-        return better((p, q), (P, Q), not k)
-
-    while len(tried) < limit:
-        if max_dur and time.perf_counter() - began > max_dur:
-            warnings.warn("early termination of the stepwise search: max_dur is over", stacklevel=2)
-            break
-        if not step():
-            break
-    rows = sorted((v for v in tried.values() if math.isfinite(v[0])), key=lambda v: (v[0], v[1]))
-    return [(made, oob, preds) for _, _, made, oob, preds in rows]
+        first.append((0, 0, 0, 0, False))
+    try:
+        for at in first:
+            better(at)
+        while len(tried) < limit and not late:
+            if not any(better(at) for at in neighbours(state)):
+                break
+    except _Missing as e:
+        if not late or not tried:
+            wanted = {e.key: e.start}
+            more = [at for at in first if at not in tried] or [at for at in neighbours(state) if at not in tried]
+            for key in map(key_of, more[: limit - len(tried)]):
+                if len(wanted) < ahead and key not in seen:
+                    wanted.setdefault(key, None)
+            return list(wanted.items()), None
+    if late:
+        warnings.warn("early termination of the stepwise search: max_dur is over", stacklevel=2)
+    if c.error_action in ("warn", "trace"):
+        for found in tried.values():
+            if found.error:
+                warnings.warn(f"{found.order.label().strip()} could not be fitted: {found.error}", ModelFitWarning, stacklevel=2)
+    return [], sorted((f for f in tried.values() if math.isfinite(f.value)), key=lambda f: (f.value, f.seconds))
+
+
+def search_many(config: AutoARIMA, ys: list[np.ndarray], xs: list[np.ndarray | None], bounds: dict | None = None) -> list[list[Outcome] | str]:
+    """The stepwise search of each series: its outcomes, best first, or the error. Orders that several series ask for are fitted side by side."""
+    bounds, began = bounds or {}, time.time()
+    out: list = [None] * len(ys)
+    plans: dict[int, tuple] = {}
+    seen: list[dict[tuple, Outcome]] = [{} for _ in ys]
+    for i, (y, x) in enumerate(zip(ys, xs, strict=True)):
+        try:
+            plans[i] = prepared(config, y, x)
+        except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:
+            if config.error_action == "raise":
+                raise
+            out[i] = f"{type(e).__name__}: {e}"
+    left = list(plans)
+    while left:
+        late = time.time() - began > bounds.get("max_dur", math.inf)
+        asked = []
+        for i in left:
+            # Few small models at once cost as much as one: they are fitted ahead.
+            states = plans[i][0].d + plans[i][0].m * (1 + plans[i][0].D) if plans[i][0].m > 1 else 4
+            ahead = max(1, min(len(MOVES), AHEAD // (len(left) * states**2)))
+            try:
+                wanted, ranked = replay(config, plans[i], seen[i], 0 if xs[i] is None else xs[i].shape[1], bounds, ahead, late)
+            except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:
+                if config.error_action == "raise":
+                    raise
+                out[i] = f"{type(e).__name__}: {e}"
+                continue
+            if ranked is not None:
+                out[i] = ranked or NO_CANDIDATE
+            asked += [(i, key, start) for key, start in wanted]
+        left = [i for i in left if out[i] is None]
+        found = fit_keys(config, [k for _, k, _ in asked], [ys[i] for i, *_ in asked], [xs[i] for i, *_ in asked], [s for *_, s in asked])
+        for (i, key, _), o in zip(asked, found, strict=True):
+            seen[i][key] = o
+    return out
+
+
+def search(config: AutoARIMA, y: np.ndarray, x: np.ndarray | None, bounds: dict | None = None) -> list[tuple]:
+    """The stepwise search of one series: [(fit, oob, oob forecasts)], best first."""
+    found = search_many(config, [y], [x], bounds)[0]
+    if isinstance(found, str):
+        raise ValueError(found.removeprefix("ValueError: "))
+    return [(o.made, o.oob, o.preds) for o in found]
+
+
+def _rows(series_id, outcomes: list[Outcome] | str, exog: list[str], every: bool) -> list[dict]:
+    """Model rows of the best outcome (or of every one, with its rank), or the row of an error."""
+    if isinstance(outcomes, str):
+        return [model_row(series_id, None, math.nan, None, outcomes, exog) | {"rank": 1}]
+    return [model_row(series_id, o.made, o.oob, o.preds, None, exog) | {"rank": k + 1} for k, o in enumerate(outcomes if every else outcomes[:1])]
