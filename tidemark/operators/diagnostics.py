@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import statespace, unitroot
 from tidemark.operators import windows
 from tidemark.operators.guards import deprecated
+from tidemark.operators.regression import at, interpolated, last_coefficient, products, solution
 from tidemark.operators.series import by_time, whole
 
 _TEST = "series_id string, stat double, pvalue double, should_diff boolean"
@@ -23,43 +24,105 @@ def _grouped(df: DataFrame, kernel, schema: str) -> DataFrame:
     return df.select("series_id", "t", "y").groupBy("series_id").applyInPandas(run, schema)
 
 
-def kpss(df: DataFrame, null: str = "level", lshort: bool = True, alpha: float = 0.05) -> DataFrame:
-    """(series_id, stat, pvalue, should_diff), by windows and aggregates only.
+def longest(df: DataFrame, keys: tuple[str, ...] = ("series_id",)) -> int:
+    """Rows of the longest series: a count by key, which reads no values."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
-    The bandwidth depends on a series' length, so lag products are taken up to the longest
-    bandwidth of the table and weighted to zero beyond a series' own.
+
+def _p_value(table, df: DataFrame) -> DataFrame:
+    """(series_id, stat, pvalue) of (series_id, n, stat): the table's quantiles at n, then the share at the statistic."""
+    quantiles = df.select("series_id", "stat", *[interpolated(F.col("n"), list(unitroot.SIZES), list(row)).alias(f"q{i}") for i, row in enumerate(table)])
+    return quantiles.select("series_id", "stat", interpolated(F.col("stat"), [F.col(f"q{i}") for i in range(len(table))], list(unitroot.SHARES)).alias("pvalue"))
+
+
+def _standard(df: DataFrame) -> DataFrame:
+    """(series_id, t, z, length): values in standard units, which no statistic here depends on, and the series' length."""
+    z = F.try_divide(F.col("y") - F.avg("y").over(whole()), F.stddev_pop("y").over(whole()))
+    return df.select("series_id", "t", z.alias("z"), F.count(F.lit(1)).over(whole()).alias("length"))
+
+
+def _width(n: Column, short: bool) -> Column:
+    return F.floor((4 if short else 12) * F.pow(n / 100, 0.25))
+
+
+def _bartlett(width: Column, most: int, names: str = "p") -> Column:
+    """Twice the weighted lag products p1.., up to a series' own bandwidth."""
+    return sum((F.when(width >= k, 2 * (1 - k / (width + 1)) * F.coalesce(F.col(f"{names}{k}"), F.lit(0.0))).otherwise(0.0) for k in range(1, most + 1)), F.lit(0.0))
+
+
+def kpss(df: DataFrame, null: str = "level", lshort: bool = True, alpha: float = 0.05, most_rows: int | None = None) -> DataFrame:
+    """(series_id, stat, pvalue, should_diff): running sums and lag products in one window pass, then one aggregate.
+
+    Lag products are taken up to the bandwidth of the longest series (of ``most_rows`` rows, counted
+    if not given) and weighted to zero beyond a series' own.
     """
     if null not in ("level", "trend"):
         raise ValueError("null must be 'level' or 'trend'")
-    n = F.count(F.lit(1)).over(whole())
-    e = windows.residuals_of_line(df.select("series_id", "t", "y"), null == "trend").withColumn("n", n)
-    longest = e.agg(F.max("n")).first()[0] or 1
-    most = unitroot.bandwidth(longest, lshort)
-    scale = 4 if lshort else 12
-    s = windows.cumulative(e).select("series_id", "t", F.col("y").alias("s"))
-    lags = [(F.col("y") * F.lag("y", k).over(by_time())).alias(f"p{k}") for k in range(1, most + 1)]
-    rows = e.select("series_id", "t", "y", "n", *lags).join(s, ["series_id", "t"])
-    width = F.floor(scale * F.pow(F.col("n") / 100, 0.25))
-    sums = rows.groupBy("series_id", "n").agg(F.sum(F.col("s") ** 2).alias("eta"), F.sum(F.col("y") ** 2).alias("v"), *[F.coalesce(F.sum(f"p{k}"), F.lit(0.0)).alias(f"p{k}") for k in range(1, most + 1)])
-    extra = sum((F.when(width >= k, 2 * (1 - k / (width + 1)) * F.col(f"p{k}")).otherwise(0.0) for k in range(1, most + 1)), F.lit(0.0))
-    stat = F.try_divide(F.col("eta") / F.col("n") ** 2, (F.col("v") + extra) / F.col("n"))
-    out = sums.select("series_id", stat.alias("stat"))
+    most = unitroot.bandwidth(most_rows or longest(df) or 1, lshort)
+    line = F.avg("y").over(whole()) if null == "level" else F.regr_intercept("y", "t").over(whole()) + F.regr_slope("y", "t").over(whole()) * F.col("t")
+    e = df.select("series_id", "t", (F.col("y") - line).alias("e"), F.count(F.lit(1)).over(whole()).alias("n"))
+    lags = [(F.col("e") * F.lag("e", k).over(by_time())).alias(f"p{k}") for k in range(1, most + 1)]
+    rows = e.select("series_id", "n", "e", F.sum("e").over(by_time().rowsBetween(Window.unboundedPreceding, 0)).alias("s"), *lags)
+    sums = rows.groupBy("series_id", "n").agg(F.sum(F.col("s") ** 2).alias("eta"), F.sum(F.col("e") ** 2).alias("v"), *[F.sum(f"p{k}").alias(f"p{k}") for k in range(1, most + 1)])
+    stat = F.try_divide(F.col("eta") / F.col("n") ** 2, (F.col("v") + _bartlett(_width(F.col("n"), lshort), most)) / F.col("n"))
     values = unitroot.KPSS_LEVEL if null == "level" else unitroot.KPSS_TREND
-    p = F.when(F.col("stat") >= values[0], unitroot.KPSS_SHARES[0])
-    for (x1, p1), (x0, p0) in zip(zip(values, unitroot.KPSS_SHARES, strict=True), list(zip(values, unitroot.KPSS_SHARES, strict=True))[1:], strict=False):
-        p = p.when(F.col("stat") >= x0, p0 + (p1 - p0) * (F.col("stat") - x0) / (x1 - x0))
-    out = out.withColumn("pvalue", F.when(F.col("stat").isNull(), None).otherwise(p.otherwise(unitroot.KPSS_SHARES[-1])))
+    out = sums.select("series_id", stat.alias("stat"))
+    out = out.withColumn("pvalue", interpolated(F.col("stat"), list(values[::-1]), list(unitroot.KPSS_SHARES[::-1])))
     return out.withColumn("should_diff", F.col("pvalue") < alpha)
 
 
-def adf(df: DataFrame, k: int | None = None, alpha: float = 0.05) -> DataFrame:
-    if k is not None and k < 0:
-        raise ValueError("k must be a non-negative integer")
-    return _grouped(df, lambda y: (*(r := unitroot.adf(y, k)), r[1] > alpha), _TEST)
+#: The most lags of differences whose products are columns of one aggregate (n of about 8000 by the default rule).
+MOST_LAGS = 20
 
 
-def pp(df: DataFrame, lshort: bool = True, alpha: float = 0.05) -> DataFrame:
-    return _grouped(df, lambda y: (*(r := unitroot.pp(y, lshort)), r[1] > alpha), _TEST)
+def adf(df: DataFrame, k: int | None = None, alpha: float = 0.05, most_rows: int | None = None) -> DataFrame:
+    """(series_id, stat, pvalue, should_diff): the augmented Dickey-Fuller regression by sums of lag products.
+
+    A series' own number of lags follows from its length (unless k is given); columns beyond it are
+    zero, with 1 in the matrix. A series without a solution (constant, or too short) has a null statistic.
+    """
+    if k is not None and k < 0:
+        raise ValueError("k must be a non-negative integer")
+    own = lambda n: (F.floor(F.pow(n - 1, F.lit(1 / 3))) if k is None else F.lit(k)) + 1
+    most = (int(max((most_rows or longest(df)) - 1, 0) ** (1 / 3)) if k is None else k) + 1
+    if most > MOST_LAGS:
+        # So many lags are a matrix for a kernel: one series a task.
+        return _grouped(df, lambda y: (*(r := unitroot.adf(y, k)), r[1] > alpha), _TEST)
+    z = _standard(df).withColumn("before", F.lag("z").over(by_time()))
+    rows = z.select("series_id", "t", "length", "before", (F.col("z") - F.col("before")).alias("d"), own(F.col("length")).alias("k"))
+    lags = [F.when(F.col("k") > j, F.lag("d", j).over(by_time())).otherwise(0.0).alias(f"d{j}") for j in range(1, most)]
+    rows = rows.select("*", *lags).where(F.col("t") >= F.col("k"))
+    columns = [F.lit(1.0), F.col("t") / F.col("length") - 0.5, *[F.col(f"d{j}") for j in range(1, most)], F.col("before"), F.col("d")]
+    found = products(rows, columns, ["series_id", "length", "k"])
+    spare = F.transform("gram", lambda row, i: F.transform(row, lambda v, j: v + F.when((i == j) & (i >= F.col("k") + 1) & (i <= most), 1.0).otherwise(0.0)))
+    fits = last_coefficient(found.withColumn("gram", spare), len(columns), F.col("k") + 2)
+    out = _p_value(unitroot.DICKEY_FULLER, fits.select("series_id", (F.col("length") - 1).alias("n"), F.col("t").alias("stat")))
+    return _every_series(df, out).withColumn("should_diff", F.col("pvalue") > alpha)
+
+
+def pp(df: DataFrame, lshort: bool = True, alpha: float = 0.05, most_rows: int | None = None) -> DataFrame:
+    """(series_id, stat, pvalue, should_diff): Phillips and Perron's Z(alpha), by two aggregates: the regression, then its residuals' lag products."""
+    most = unitroot.bandwidth(max((most_rows or longest(df)) - 1, 1), lshort)
+    z = _standard(df).withColumn("before", F.lag("z").over(by_time())).where("before is not null").withColumn("length", F.col("length") - 1)
+    columns = [F.lit(1.0), F.col("t") - F.col("length") / 2, F.col("before"), F.col("z")]
+    fits = products(z, columns, ["series_id"], F.sum(F.col("before") * F.col("t")).alias("xt"))
+    fits = fits.select("series_id", "xt", solution(F.col("gram"), 3).alias("b"), at(F.col("gram"), 2, 2).alias("xx"), at(F.col("gram"), 0, 2).alias("x"))
+    u = z.join(fits, "series_id").withColumn("u", F.col("z") - F.get("b", F.lit(0)) - F.get("b", F.lit(1)) * (F.col("t") - F.col("length") / 2) - F.get("b", F.lit(2)) * F.col("before"))
+    lags = [(F.col("u") * F.lag("u", k).over(by_time())).alias(f"p{k}") for k in range(1, most + 1)]
+    facts = [F.first(c).alias(c) for c in ("xt", "xx", "x")]
+    rows = u.select("series_id", F.col("length").alias("n"), "u", "xt", "xx", "x", F.get("b", F.lit(2)).alias("rho"), *lags)
+    sums = rows.groupBy("series_id", "n").agg(F.first("rho").alias("rho"), *facts, *[F.sum(f"p{k}").alias(f"p{k}") for k in range(1, most + 1)])
+    n = F.col("n").cast("double")
+    more = _bartlett(_width(n, lshort), most) / n
+    d = n**2 * (n**2 - 1) * F.col("xx") / 12 - n * F.col("xt") ** 2 + n * (n + 1) * F.col("xt") * F.col("x") - n * (n + 1) * (2 * n + 1) * F.col("x") ** 2 / 6
+    stat = n * (F.col("rho") - 1) - F.try_divide(n**6, 24 * d) * more
+    out = _p_value(unitroot.PHILLIPS_PERRON, sums.select("series_id", "n", stat.alias("stat")))
+    return _every_series(df, out).withColumn("should_diff", F.col("pvalue") > alpha)
+
+
+def _every_series(df: DataFrame, found: DataFrame) -> DataFrame:
+    """Results with a row of nulls for each series that has none (too short for any row of the regression)."""
+    return df.select("series_id").distinct().join(found, "series_id", "left")
 
 
 def canova_hansen(df: DataFrame, m: int) -> DataFrame:
@@ -73,10 +136,30 @@ def ocsb(df: DataFrame, m: int, lag_method: str = "aic", max_lag: int = 3) -> Da
 
 
 def ndiffs(df: DataFrame, alpha: float = 0.05, test: str = "kpss", max_d: int = 2, **kw) -> DataFrame:
-    """(series_id, d)."""
+    """(series_id, d): the differences that the test asks for.
+
+    All of d = 0..max_d are tested at once, each (series, d) as a series of its own, and the first d
+    counts that is constant or not rejected; a d without a statistic ends the search one before it.
+    """
     if max_d <= 0:
         raise ValueError("max_d must be a positive integer")
-    return _grouped(df, lambda y: (unitroot.ndiffs(y, alpha, test, max_d, **kw),), "series_id string, d int")
+    if test not in ("kpss", "adf", "pp"):
+        raise ValueError(f"{test!r} must be one of adf, kpss, pp")
+    before = [F.lag("y", k).over(by_time()).alias(f"y{k}") for k in range(1, max_d + 1)]
+    rows = df.select("series_id", "t", "y", *before)
+    value = lambda d: sum(((-1) ** k * math.comb(d, k) * (F.col(f"y{k}") if k else F.col("y")) for k in range(d + 1)), F.lit(0.0))
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), (F.col("t") - d).alias("t"), value(d).alias("y")) for d in range(max_d + 1)]))
+    rows = rows.select("series_id", each.alias("x")).where("x.t >= 0").select(F.struct("series_id", "x.d").alias("series_id"), "x.t", "x.y")
+    tests = {"kpss": kpss, "adf": adf, "pp": pp}
+    flat = rows.groupBy("series_id").agg((F.min("y") == F.max("y")).alias("flat"))
+    found = flat.join(tests[test](rows, alpha=alpha, most_rows=longest(df), **kw), "series_id", "left")
+    found = found.select("series_id.series_id", "series_id.d", F.struct("flat", F.col("pvalue").isNull().alias("none"), "should_diff").alias("x"))
+    table = found.groupBy("series_id").agg(*[F.max(F.when(F.col("d") == d, F.col("x"))).alias(f"x{d}") for d in range(max_d + 1)])
+    out = F.lit(max_d)
+    for d in range(max_d, -1, -1):
+        x = F.col(f"x{d}")
+        out = F.when(x.isNull(), max(d - 1, 0)).when(x["flat"], d).when(x["none"], max(d - 1, 0)).when(~x["should_diff"], d).otherwise(out)
+    return table.select("series_id", out.cast("int").alias("d"))
 
 
 def nsdiffs(df: DataFrame, m: int, max_D: int = 2, test: str = "ocsb", **kw) -> DataFrame:

@@ -109,13 +109,16 @@ class BaseTSCrossValidator:
     def _start(self, split: Column, n: Column) -> Column:
         raise NotImplementedError
 
+    def bounds(self, n: Column) -> Column:
+        """The folds of a series of n rows, as an array of (fold, start, split, stop)."""
+        first, last = self._first(n), n.cast("long") - self.h
+        short = F.raise_error(F.lit("the series is too short for the first fold"))
+        splits = F.sequence(first, F.when(last >= first, last).otherwise(short.cast("long")), F.lit(self.step).cast("long"))
+        return F.transform(splits, lambda s, i: F.struct(i.alias("fold"), self._start(s, n).alias("start"), s.alias("split"), (s + self.h).alias("stop")))
+
     def folds(self, df: DataFrame) -> DataFrame:
         sizes = df.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"))
-        first, last = self._first(F.col("n")), F.col("n") - self.h
-        short = F.raise_error(F.lit("the series is too short for the first fold"))
-        last = F.when(last >= first, last).otherwise(short.cast("long"))
-        rows = sizes.select("series_id", "n", F.posexplode(F.sequence(first, last, F.lit(self.step).cast("long"))).alias("fold", "split"))
-        return rows.select("series_id", "fold", self._start(F.col("split"), F.col("n")).alias("start"), "split", (F.col("split") + self.h).alias("stop"))
+        return sizes.select("series_id", F.inline(self.bounds(F.col("n"))))
 
     def split(self, df: DataFrame) -> DataFrame:
         """(series_id, fold, t, role): every row of every fold; an equi-join on the exploded positions."""

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import arima
-from tidemark.operators.arima import ARIMA, arrays, fit_one, kernel_score
-from tidemark.operators.auto import AutoARIMA, search
+from tidemark.operators.arima import ARIMA, fit_all, kernel_score, packed, unpacked
+from tidemark.operators.auto import AutoARIMA, search_many
 from tidemark.operators.guards import check_is_fitted
-from tidemark.operators.metrics import BaseTSCrossValidator, average_forecasts, check_cv, rows_of_folds
+from tidemark.operators.metrics import BaseTSCrossValidator, average_forecasts, check_cv
 from tidemark.operators.transforms import BaseEndogTransformer, BaseExogFeaturizer, BaseTransformer, UpdatableMixin, horizon
 
 
@@ -114,45 +114,62 @@ class Pipeline:
         return arima.summary(self.models_)
 
 
-def _fold_kernel(estimator: ARIMA | AutoARIMA, exog: list[str]):
-    """(y of the test rows, forecasts, seconds of fitting, seconds of scoring) of one fold."""
-
-    def run(pdf: pd.DataFrame):
-        train, test = (pdf[pdf.role == r].sort_values("t") for r in ("train", "test"))
-        began = time.perf_counter()
-        y, x = arrays(train, exog)
-        if isinstance(estimator, AutoARIMA):
-            made = search(estimator, y, x)[0][0]
-        else:
-            made, _, _, error = fit_one(estimator, y, x)
-            if made is None:
-                raise ValueError(error)
-        fitted = time.perf_counter()
-        mean, _ = made.forecast(len(test), test[exog].to_numpy(float) if exog else None)
-        return test, mean, fitted - began, time.perf_counter() - fitted
-
-    return run
+#: Folds that a task row has of one series: so often is a series sent, however many folds it has.
+FOLDS = 64
+
+
+def _fold_tasks(df: DataFrame, exog: list[str], cv: BaseTSCrossValidator) -> DataFrame:
+    """(series_id, y, x, folds): packed series with the bounds of up to FOLDS folds. What is shuffled grows with the rows, not with rows times folds."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    series = packed(df, exog).withColumn("all", cv.bounds(F.size("y")))
+    parts = F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / FOLDS).cast("int")), lambda i: F.slice("all", i * FOLDS + 1, FOLDS)))
+    return series.select("series_id", "y", "x", parts.alias("folds")).repartition(width)
+
+
+def _fit_folds(estimator: ARIMA | AutoARIMA, pdf: pd.DataFrame, exog: list[str]):
+    """(series_id, fold, test values, forecasts or the error, seconds of the fit, seconds of the forecast) of all folds, fitted side by side."""
+    tasks = []
+    for i, y, x, folds in zip(pdf.series_id, *unpacked(pdf, exog), pdf.folds, strict=True):
+        tasks += [(i, f, y, x) for f in folds]
+    cut = lambda a, f, b, e: None if a is None else a[int(f[b]) : int(f[e])]
+    ys, xs = [cut(y, f, "start", "split") for _, f, y, _ in tasks], [cut(x, f, "start", "split") for _, f, _, x in tasks]
+    began = time.perf_counter()
+    if isinstance(estimator, AutoARIMA):
+        fits = [found if isinstance(found, str) else found[0].made for found in search_many(estimator, ys, xs)]
+    else:
+        fits = [made if error is None else error for made, _, _, error in fit_all([estimator] * len(ys), ys, xs, errors=False)]
+    each = (time.perf_counter() - began) / max(len(tasks), 1)
+    for (i, f, y, x), made in zip(tasks, fits, strict=True):
+        test, began = cut(y, f, "split", "stop"), time.perf_counter()
+        try:
+            mean = made if isinstance(made, str) else made.forecast(len(test), cut(x, f, "split", "stop"))[0]
+        except (ValueError, np.linalg.LinAlgError) as e:
+            mean = f"{type(e).__name__}: {e}"
+        yield i, f, test, mean, each, time.perf_counter() - began
 
 
 def cross_validate(estimator: ARIMA | AutoARIMA, df: DataFrame, exog: list[str] | None = None, scoring: str | Callable = "mean_squared_error", cv: BaseTSCrossValidator | None = None, error_score: float | str = math.nan) -> DataFrame:
-    """(series_id, fold, test_score, fit_time, score_time): every fold of every series is a group of its own."""
+    """(series_id, fold, test_score, fit_time, score_time); the folds of a task are fitted side by side, so its fit times are means."""
     exog = exog or []
     if isinstance(error_score, str) and error_score != "raise":
         raise ValueError("error_score must be 'raise' or a number")
-    kernel, score = _fold_kernel(estimator, exog), kernel_score(scoring)
+    score = kernel_score(scoring)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        try:
-            test, mean, fit_time, score_time = kernel(pdf)
-            value = float(score(test.y.to_numpy(float), mean))
-        except (ValueError, np.linalg.LinAlgError):
-            if error_score == "raise":
-                raise
-            value, fit_time, score_time = float(error_score), math.nan, math.nan
-        return pd.DataFrame({"series_id": [pdf.series_id.iloc[0]], "fold": [pdf.fold.iloc[0]], "test_score": [value], "fit_time": [fit_time], "score_time": [score_time]})
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for i, f, test, mean, fit_time, seconds in _fit_folds(estimator, pdf, exog):
+                if isinstance(mean, str):
+                    if error_score == "raise":
+                        raise ValueError(mean)
+                    rows.append((i, int(f["fold"]), float(error_score), math.nan, math.nan))
+                    continue
+                began = time.perf_counter()
+                value = float(score(test, mean))
+                rows.append((i, int(f["fold"]), value, fit_time, seconds + time.perf_counter() - began))
+            yield pd.DataFrame(rows, columns=["series_id", "fold", "test_score", "fit_time", "score_time"])
 
-    rows = rows_of_folds(df.select("series_id", "t", "y", *exog), check_cv(cv))
-    return rows.groupBy("series_id", "fold").applyInPandas(run, "series_id string, fold int, test_score double, fit_time double, score_time double")
+    return _fold_tasks(df, exog, check_cv(cv)).mapInPandas(run, "series_id string, fold int, test_score double, fit_time double, score_time double")
 
 
 def cross_val_score(estimator, df: DataFrame, **options) -> DataFrame:
@@ -166,18 +183,23 @@ def cross_val_predict(estimator: ARIMA | AutoARIMA, df: DataFrame, exog: list[st
     cv = check_cv(cv)
     if cv.step > cv.h:
         raise ValueError("the step of cross_val_predict must not be larger than the horizon")
-    kernel = _fold_kernel(estimator, exog)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        test, mean, _, _ = kernel(pdf)
-        return pd.DataFrame({"series_id": test.series_id.to_numpy(), "fold": test.fold.to_numpy(), "t": test.t.to_numpy(), "h": np.arange(1, len(test) + 1, dtype=np.int32), "yhat": mean})
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for i, f, test, mean, *_ in _fit_folds(estimator, pdf, exog):
+                if isinstance(mean, str):
+                    raise ValueError(mean)
+                out += [(i, int(f["fold"]), int(f["split"]) + h, h + 1, float(v)) for h, v in enumerate(mean)]
+            yield pd.DataFrame(out, columns=["series_id", "fold", "t", "h", "yhat"])
 
-    raw = rows_of_folds(df.select("series_id", "t", "y", *exog), cv).groupBy("series_id", "fold").applyInPandas(run, "series_id string, fold int, t long, h int, yhat double")
+    raw = _fold_tasks(df, exog, cv).mapInPandas(run, "series_id string, fold int, t long, h int, yhat double")
     return raw if return_raw_predictions else average_forecasts(raw, averaging)
 
 
 def naive_predict(df: DataFrame, cv: BaseTSCrossValidator | None = None, averaging: str = "mean") -> DataFrame:
-    """cross_val_predict of the last-value forecaster, as joins and aggregates only."""
-    rows = rows_of_folds(df, check_cv(cv))
-    last = rows.where("role = 'train'").groupBy("series_id", "fold").agg(F.max_by("y", "t").alias("yhat"))
-    return average_forecasts(rows.where("role = 'test'").join(last, ["series_id", "fold"]), averaging)
+    """cross_val_predict of the last-value forecaster, as joins and aggregates only: a row a fold meets the last value before its split."""
+    cv = check_cv(cv)
+    last = df.select("series_id", (F.col("t") + 1).alias("split"), F.col("y").alias("yhat"))
+    rows = cv.folds(df).join(last, ["series_id", "split"]).select("series_id", "yhat", F.explode(F.sequence("split", F.col("stop") - 1)).alias("t"))
+    return average_forecasts(rows, averaging)

@@ -454,21 +454,55 @@ def o101b(spark, sf_dir):
 _PP = _LAGGED.format(left="y") + """
 , r AS (SELECT e.series_id, row_number() OVER (PARTITION BY e.series_id ORDER BY t) AS i, n, k, ssr, x, u - k * v AS u FROM e JOIN f ON e.series_id = f.series_id),
 w AS (SELECT p.series_id, sum(2 * (1 - l / (floor(4 * pow(p.n / 100.0, 0.25)) + 1)) * p.u * q.u) / any_value(p.n) AS w FROM r p JOIN range(1, 12) AS g(l) ON l <= floor(4 * pow(p.n / 100.0, 0.25)) JOIN r q ON q.series_id = p.series_id AND q.i = p.i + l GROUP BY 1),
-d AS (SELECT series_id, any_value(CAST(n AS DOUBLE)) AS n, any_value(k) AS k, sum(x * x) AS xx, sum(x * i) AS xi, sum(x) AS x FROM r GROUP BY 1)
-SELECT d.series_id, round(n * (k - 1) - pow(n, 6) / (24 * (n * n * (n * n - 1) * xx / 12 - n * xi * xi + n * (n + 1) * xi * x - n * (n + 1) * (2 * n + 1) * x * x / 6)) * w, 4) AS stat FROM d JOIN w ON d.series_id = w.series_id"""
+d AS (SELECT series_id, any_value(CAST(n AS DOUBLE)) AS n, any_value(k) AS k, sum(x * x) AS xx, sum(x * i) AS xi, sum(x) AS x FROM r GROUP BY 1),
+pp AS (SELECT d.series_id, n, n * (k - 1) - pow(n, 6) / (24 * (n * n * (n * n - 1) * xx / 12 - n * xi * xi + n * (n + 1) * xi * x - n * (n + 1) * (2 * n + 1) * x * x / 6)) * w AS stat FROM d JOIN w ON d.series_id = w.series_id)"""
 
 
-@register("O102_pp_statistic", _PP)
+@register("O102_pp_statistic", _PP + " SELECT series_id, round(stat, 4) AS stat FROM pp")
 def o102b(spark, sf_dir):
     return diagnostics.pp(_scaled(spark, sf_dir)).select("series_id", r("stat", "stat", 4))
 
 
-@register("O101_adf")
+def _between(x: str, xs, ys) -> str:
+    """SQL of linear interpolation, with the end values outside."""
+    parts = [f"WHEN {x} <= {xs[0]} THEN {ys[0]}"]
+    parts += [f"WHEN {x} <= {b} THEN {low} + ({high} - {low}) * ({x} - {a}) / ({b} - {a})" for a, b, low, high in zip(xs, xs[1:], ys, ys[1:], strict=False)]
+    return "CASE " + " ".join(parts) + f" ELSE {ys[-1]} END"
+
+
+def _share(table, rows: str, keys: str = "series_id") -> str:
+    """SQL of a test's p value: quantiles of the table at n, then the share at the statistic. ``rows`` has (keys, n, stat)."""
+    quantiles = ", ".join(f"{_between('n', unitroot.SIZES, row)} AS q{i}" for i, row in enumerate(table))
+    names = [f"q{i}" for i in range(len(table))]
+    return f"SELECT {keys}, stat, {_between('stat', names, unitroot.SHARES)} AS p FROM (SELECT {keys}, stat, {quantiles} FROM {rows})"
+
+
+def _adf_sql(rows: str, keys: str = "series_id") -> str:
+    """CTEs of the Dickey-Fuller regression of each series of ``rows``: columns as lists, their products, and a recursion that eliminates one of them after another. ``adf`` has (keys, stat, p)."""
+    return f"""
+, z AS (SELECT *, (y - avg(y) OVER w) / stddev_pop(y) OVER w AS z FROM {rows} WINDOW w AS (PARTITION BY {keys})),
+l AS (SELECT {keys}, list(z ORDER BY t) AS z, count(*) AS n, CAST(floor(pow(count(*) - 1, 1 / 3.0)) AS BIGINT) + 1 AS k FROM z GROUP BY ALL),
+c AS (SELECT {keys}, n, k,
+  [list_transform(range(k, n), lambda t: CAST(1 AS DOUBLE)), list_transform(range(k, n), lambda t: t / CAST(n AS DOUBLE) - 0.5)]
+  || list_transform(range(1, k), lambda j: list_transform(range(k, n), lambda t: z[t - j + 1] - z[t - j]))
+  || [list_transform(range(k, n), lambda t: z[t]), list_transform(range(k, n), lambda t: z[t + 1] - z[t])] AS c FROM l),
+e AS (
+  SELECT {keys}, n, k, CAST(1 AS BIGINT) AS j, list_transform(c, lambda a: list_transform(c, lambda b: list_dot_product(a, b))) AS m FROM c
+  UNION ALL
+  SELECT {keys}, n, k, j + 1, list_transform(m, lambda r, i: CASE WHEN i <= j THEN r ELSE list_transform(r, lambda v, q: v - r[j] / m[j][j] * m[j][q]) END) FROM e WHERE j < k + 3),
+f AS (SELECT {keys}, n - 1 AS n, m[k + 2][k + 3] / m[k + 2][k + 2] / sqrt(m[k + 3][k + 3] / (n - k - k - 2) / m[k + 2][k + 2]) AS stat FROM e WHERE j = k + 3),
+adf AS ({_share(unitroot.DICKEY_FULLER, "f", keys)})"""
+
+
+_RECURSIVE = S5_SQL.replace("WITH base_m", "WITH RECURSIVE base_m")
+
+
+@register("O101_adf", _adf_sql("s") + " SELECT series_id, round(stat, 5) AS stat, p > 0.05 AS should_diff FROM adf", _RECURSIVE)
 def o101(spark, sf_dir):
     return _rounded_test(diagnostics.adf(s5(spark, sf_dir)))
 
 
-@register("O102_pp")
+@register("O102_pp", _PP + f", h AS ({_share(unitroot.PHILLIPS_PERRON, 'pp')}) SELECT series_id, round(stat, 5) AS stat, p > 0.05 AS should_diff FROM h")
 def o102(spark, sf_dir):
     return _rounded_test(diagnostics.pp(s5(spark, sf_dir)))
 
@@ -511,12 +545,19 @@ def o106(spark, sf_dir):
     return diagnostics.nsdiffs(s5(spark, sf_dir), 12)
 
 
-@register("O105_ndiffs_adf")
+_NDIFFS_ADF = (
+    ", d AS (SELECT series_id, 0 AS d, t, y FROM s UNION ALL SELECT * FROM (SELECT series_id, 1, t - 1 AS t, y - lag(y) OVER (PARTITION BY series_id ORDER BY t) AS y FROM s) WHERE t >= 0)"
+    + _adf_sql("d", "series_id, d")
+    + " SELECT a.series_id, CAST(CASE WHEN a.p <= 0.05 THEN 0 WHEN b.p <= 0.05 THEN 1 ELSE 2 END AS INTEGER) AS d FROM adf a JOIN adf b ON a.series_id = b.series_id AND a.d = 0 AND b.d = 1"
+)
+
+
+@register("O105_ndiffs_adf", _NDIFFS_ADF, _RECURSIVE)
 def o105b(spark, sf_dir):
     return diagnostics.ndiffs(s5(spark, sf_dir), test="adf")
 
 
-@register("O107_is_stationary")
+@register("O107_is_stationary", _PP + f", h AS ({_share(unitroot.PHILLIPS_PERRON, 'pp')}) SELECT series_id, p > 0.05 AS should_diff FROM h")
 def o107(spark, sf_dir):
     return diagnostics.is_stationary(s5(spark, sf_dir), "pp").select("series_id", "should_diff")
 
