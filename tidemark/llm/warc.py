@@ -235,7 +235,8 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = lambda x: int(x) if x else None
+    # Headers of other writers may have anything there: such a value is none.
+    number = lambda x: int(x) if x and re.fullmatch(r"-?[0-9]{1,18}", x.strip()) else None
     for batch in batches:
         expected = dict(zip(*(batch.column(c).to_pylist() for c in ("path", "n_records")), strict=True))
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
