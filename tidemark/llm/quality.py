@@ -406,4 +406,5 @@ def judge(docs: DataFrame, width: float = WIDTH, least: float = LEAST) -> DataFr
     half = F.lit(least) + width * F.col("spread") / F.sqrt(F.greatest(F.col("n_chars"), F.lit(1)))
     out = out.withColumns({"low": F.col("center") - half, "high": F.col("center") + half}).drop("center", "spread")
     inside = F.col("log_perplexity").between(F.col("low"), F.col("high"))
-    return out.withColumn("kept", F.coalesce(~F.col("base_failed") & inside, F.lit(False)))
+    kept = F.coalesce(~F.col("base_failed") & inside, F.lit(False)).alias("kept")
+    return out.select("doc_id", *_KINDS, "base_failed", kept, "lang", "n_chars", "log_perplexity", "low", "high")
