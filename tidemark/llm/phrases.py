@@ -38,6 +38,8 @@ BLOCK_BYTES = 32 << 20
 ID_BITS = 31
 FILTER_BITS = 26
 _CHUNK_BITS = 15
+#: Parts of a language whose best phrases are found apart.
+PARTS = 64
 
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 _KIND = np.zeros(256, np.uint8)
@@ -287,8 +289,10 @@ def top_phrases(docs: DataFrame, min_count: int = MIN_COUNT, within_percent: int
     longer = longer.groupBy("inner").agg(F.max("n").alias("most"))
     found = scored(words, pairs, triples)
     kept = found.join(longer, (F.col("k1") == F.col("inner")) & (F.col("k2") == 0), "left").where(F.col("most").isNull() | (100 * F.col("most") < within_percent * F.col("a")))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = kept.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    # First the best of each part of a language, so that its last sort has PARTS * top rows at most.
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    ranked = lambda df, *keys: df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    best = ranked(ranked(kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))), "lang", "part"), "lang")
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
