@@ -1,4 +1,4 @@
-"""Small numeric optimisers on numpy: L-BFGS, Nelder-Mead, bounded search, least squares."""
+"""Small numeric optimisers on numpy: quasi-Newton, Newton, conjugate and direct searches, bounded search, least squares."""
 
 from __future__ import annotations
 
@@ -141,8 +141,177 @@ def nelder_mead(many: Callable[[np.ndarray], np.ndarray], x: np.ndarray, maxiter
     return points[best], float(values[best]), False
 
 
-#: Optimiser names; those without an implementation of their own run L-BFGS.
-METHODS = {"lbfgs": lbfgs, "bfgs": lbfgs, "newton": lbfgs, "cg": lbfgs, "ncg": lbfgs, "basinhopping": lbfgs, "nm": nelder_mead, "powell": nelder_mead}
+class _Slopes:
+    """Values, central-difference gradients and curvatures of a function that values whole batches of points."""
+
+    def __init__(self, many: Callable[[np.ndarray], np.ndarray]):
+        self.many = many
+
+    def __call__(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        h = 1e-5 * np.maximum(1.0, np.abs(x))
+        steps = np.diag(h)
+        v = self.many(np.concatenate([x[None], x + steps, x - steps]))
+        k = len(x)
+        return float(v[0]), (v[1 : k + 1] - v[k + 1 :]) / (2 * h)
+
+    def curvature(self, x: np.ndarray) -> np.ndarray:
+        """The Hessian by second differences, in one batch."""
+        k, h = len(x), 1e-4 * np.maximum(1.0, np.abs(x))
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        e = np.diag(h)
+        corners = np.concatenate([[x + e[i] + e[j], x + e[i] - e[j], x - e[i] + e[j], x - e[i] - e[j]] for i, j in pairs])
+        v = self.many(corners).reshape(-1, 4)
+        out = np.empty((k, k))
+        for (i, j), (pp, pm, mp, mm) in zip(pairs, v, strict=True):
+            out[i, j] = out[j, i] = (pp - pm - mp + mm) / (4 * h[i] * h[j])
+        return out
+
+    def along(self, x: np.ndarray, value: float, g: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, float] | None:
+        """A point along d that decreases enough: the longest of many steps, all valued as one batch."""
+        slope = float(g @ d)
+        if not slope < 0:
+            return None
+        lengths = 2.0 ** np.arange(2, -16, -1)
+        v = self.many(x + lengths[:, None] * d)
+        good = np.isfinite(v) & (v <= value + 1e-4 * lengths * slope)
+        if not good.any():
+            return None
+        best = int(np.argmin(np.where(good, v, np.inf)))
+        return x + lengths[best] * d, float(v[best])
+
+
+def _descend(many: Callable[[np.ndarray], np.ndarray], x: np.ndarray, maxiter: int, direction: Callable, tolerance: float = 1e-5) -> tuple[np.ndarray, float, bool]:
+    """Line searches along ``direction(slopes, x, g, memory)``; downhill where that does not lead down."""
+    slopes, memory, small = _Slopes(many), {}, 0
+    value, g = slopes(x)
+    for _ in range(maxiter if len(x) else 0):
+        if not np.isfinite(value) or np.abs(g).max() < tolerance:
+            break
+        found = slopes.along(x, value, g, direction(slopes, x, g, memory))
+        if found is None:
+            memory.clear()
+            found = slopes.along(x, value, g, -g / max(1.0, float(np.abs(g).max())))
+            if found is None:
+                break
+        new, _ = found
+        old = value
+        value, g_new = slopes(new)
+        memory["s"], memory["y"], memory["g"] = new - x, g_new - g, g
+        x, g = new, g_new
+        small = small + 1 if abs(old - value) < 1e-10 * max(1.0, abs(value)) else 0
+        if small == 3:
+            break
+    return x, value, bool(np.isfinite(value) and (not len(x) or np.abs(g).max() < 1e-3))
+
+
+def bfgs(many: Callable[[np.ndarray], np.ndarray], x: np.ndarray, maxiter: int = 50) -> tuple[np.ndarray, float, bool]:
+    """The whole inverse curvature, updated by each step."""
+
+    def direction(slopes, x, g, memory):
+        inverse = memory.setdefault("inverse", np.eye(len(x)))
+        if "s" in memory and (sy := float(memory["s"] @ memory["y"])) > 1e-12:
+            s, y = memory["s"], memory["y"]
+            if memory.setdefault("first", True):
+                inverse, memory["first"] = np.eye(len(x)) * sy / (y @ y), False
+            left = np.eye(len(x)) - np.outer(s, y) / sy
+            inverse = memory["inverse"] = left @ inverse @ left.T + np.outer(s, s) / sy
+        return -inverse @ g
+
+    return _descend(many, x, maxiter, direction)
+
+
+def conjugate_gradient(many: Callable[[np.ndarray], np.ndarray], x: np.ndarray, maxiter: int = 50) -> tuple[np.ndarray, float, bool]:
+    """Polak and Ribiere's directions, never with a negative share of the last one. A step costs little, so there are more of them."""
+
+    def direction(slopes, x, g, memory):
+        d = -g
+        if "d" in memory and "y" in memory:
+            d = d + max(0.0, float(g @ memory["y"]) / max(float(memory["g"] @ memory["g"]), 1e-300)) * memory["d"]
+        memory["d"] = d
+        return d / max(1.0, float(np.abs(d).max()))
+
+    return _descend(many, x, 6 * maxiter, direction)
+
+
+def newton(many: Callable[[np.ndarray], np.ndarray], x: np.ndarray, maxiter: int = 50) -> tuple[np.ndarray, float, bool]:
+    """Newton's steps, with negative or small curvatures turned up."""
+
+    def direction(slopes, x, g, memory):
+        h = slopes.curvature(x)
+        if not np.isfinite(h).all():
+            return -g
+        w, v = np.linalg.eigh(h)
+        return -v @ ((v.T @ g) / np.maximum(np.abs(w), 1e-8 * max(float(np.abs(w).max()), 1e-8)))
+
+    return _descend(many, x, maxiter, direction)
+
+
+def newton_cg(many: Callable[[np.ndarray], np.ndarray], x: np.ndarray, maxiter: int = 50) -> tuple[np.ndarray, float, bool]:
+    """Newton's equation solved by conjugate gradients, cut off at negative curvature; products with the curvature are differences of gradients."""
+
+    def direction(slopes, x, g, memory):
+        d, r = np.zeros_like(x), -g
+        p, enough = r.copy(), min(0.5, float(np.sqrt(np.linalg.norm(g)))) * float(np.linalg.norm(g))
+        for _ in range(2 * len(x)):
+            h = 1e-4 / max(float(np.linalg.norm(p)), 1e-12)
+            hp = (slopes(x + h * p)[1] - slopes(x - h * p)[1]) / (2 * h)
+            bend = float(p @ hp)
+            if not bend > 1e-12 * float(p @ p):
+                return d if d.any() else -g
+            a = float(r @ r) / bend
+            d, new = d + a * p, r - a * hp
+            if np.linalg.norm(new) < enough:
+                break
+            p, r = new + float(new @ new) / float(r @ r) * p, new
+        return d
+
+    return _descend(many, x, maxiter, direction)
+
+
+def powell(many: Callable[[np.ndarray], np.ndarray], x: np.ndarray, maxiter: int = 50) -> tuple[np.ndarray, float, bool]:
+    """Line minima along a set of directions, in which the whole step replaces the one that gained most. No gradients."""
+    k = len(x)
+    directions, value = np.eye(k), float(many(x[None])[0])
+
+    def line(x: np.ndarray, value: float, d: np.ndarray) -> tuple[np.ndarray, float]:
+        # Ever finer batches of steps around the best one.
+        at, span = 0.0, 1.0
+        for _ in range(12):
+            steps = at + span * np.linspace(-1, 1, 17)
+            v = many(x + steps[:, None] * d)
+            best = int(np.nanargmin(np.where(np.isfinite(v), v, np.inf)))
+            if v[best] < value:
+                at, value = float(steps[best]), float(v[best])
+            span *= 1.0 if best in (0, len(steps) - 1) else 0.2
+        return x + at * d, value
+
+    for _ in range(maxiter if k else 0):
+        begin, before, gains = x, value, []
+        for d in directions:
+            last = value
+            x, value = line(x, value, d)
+            gains.append(last - value)
+        step = x - begin
+        if before - value <= 1e-10 * max(1.0, abs(value)):
+            return x, value, True
+        x, value = line(x, value, step)
+        directions[int(np.argmax(gains))] = step / max(float(np.linalg.norm(step)), 1e-300)
+    return x, value, k == 0
+
+
+def basin_hopping(many: Callable[[np.ndarray], np.ndarray], x: np.ndarray, maxiter: int = 50, hops: int = 8) -> tuple[np.ndarray, float, bool]:
+    """L-BFGS from the start and from random moves away from the best point so far (of a fixed seed)."""
+    rng = np.random.default_rng(0)
+    best = lbfgs(many, x, maxiter)
+    for _ in range(hops if len(x) else 0):
+        found = lbfgs(many, best[0] + rng.normal(scale=0.5, size=len(x)), maxiter)
+        if found[1] < best[1]:
+            best = found
+    return best
+
+
+#: Optimiser names.
+METHODS = {"lbfgs": lbfgs, "bfgs": bfgs, "newton": newton, "cg": conjugate_gradient, "ncg": newton_cg, "basinhopping": basin_hopping, "nm": nelder_mead, "powell": powell}
 
 
 class LeastSquares:

@@ -104,8 +104,6 @@ class ARIMA:
         self.seasonal_order = check_seasonal_order(self.seasonal_order)
         if self.method not in METHODS:
             raise ValueError(f"method must be one of {sorted(METHODS)}")
-        if self.method not in ("lbfgs", "nm"):
-            warnings.warn(f"{self.method} has no implementation of its own; {METHODS[self.method].__name__} runs", stacklevel=3)
         if not self.maxiter:
             raise ValueError("maxiter must be a positive integer")
         if self.out_of_sample_size < 0:
