@@ -92,12 +92,25 @@ def unstationary(phi: np.ndarray) -> np.ndarray:
 
 
 class Spec:
-    """How a parameter vector is laid out: trend, regression, AR, MA, seasonal AR, seasonal MA, variance."""
+    """How a parameter vector is laid out: trend, regression, AR, MA, seasonal AR, seasonal MA, variances of the coefficients and of the measurement, variance.
 
-    def __init__(self, order: Order, k_exog: int, enforce_stationarity: bool = True, enforce_invertibility: bool = True):
+    With ``mle_regression=False`` the coefficients are states instead, approximately diffuse at the start, which the
+    observation row of the time's regressors sees; ``time_varying_regression`` lets them walk. ``measurement_error``
+    adds noise to the observation. ``concentrate_scale`` takes the variance out of the search: the start of the
+    differencing states scales with it, and the best one follows from the other parameters.
+    ``hamilton_representation`` has the ARMA block as lags of an autoregression, seen through the MA weights.
+    """
+
+    def __init__(self, order: Order, k_exog: int, enforce_stationarity: bool = True, enforce_invertibility: bool = True, measurement_error: bool = False, concentrate_scale: bool = False, mle_regression: bool = True, time_varying_regression: bool = False, hamilton_representation: bool = False):
         self.order, self.k_exog = order, k_exog
         self.enforce_stationarity, self.enforce_invertibility = enforce_stationarity, enforce_invertibility
-        parts = [("c", len(order.powers)), ("x", k_exog), ("p", len(order.lags("p"))), ("q", len(order.lags("q"))), ("P", len(order.lags("P"))), ("Q", len(order.lags("Q"))), ("v", 1)]
+        if time_varying_regression and mle_regression:
+            raise ValueError("coefficients that vary are states, so mle_regression must be False")
+        if hamilton_representation and not {*order.powers} <= {0}:
+            raise ValueError("the Hamilton form has no other trend than an intercept")
+        self.measurement_error, self.concentrate_scale, self.mle_regression, self.time_varying_regression, self.hamilton_representation = measurement_error, concentrate_scale, mle_regression, time_varying_regression, hamilton_representation
+        self.k_moving = 0 if mle_regression else k_exog
+        parts = [("c", len(order.powers)), ("x", k_exog - self.k_moving), ("p", len(order.lags("p"))), ("q", len(order.lags("q"))), ("P", len(order.lags("P"))), ("Q", len(order.lags("Q"))), ("w", k_exog * time_varying_regression), ("m", int(measurement_error)), ("v", 1)]
         self.at, k = {}, 0
         for name, n in parts:
             self.at[name] = slice(k, k + n)
@@ -107,13 +120,31 @@ class Spec:
         self.k_ar = max(order.lags("p"), default=0) + s * max(order.lags("P"), default=0)
         self.k_ma = max(order.lags("q"), default=0) + s * max(order.lags("Q"), default=0)
         self.r = max(self.k_ar, self.k_ma + 1, 1)
-        self.n_states = order.n_diffuse + self.r
+        self.n_states = order.n_diffuse + self.r + self.k_moving
+        #: Rows whose likelihood terms are dropped.
+        self.burn = order.n_diffuse + self.k_moving
+        #: Parameters that are searched for.
+        self.k_free = self.k - concentrate_scale
+
+    #: The options beside the bounds of the coefficients.
+    FORMS = ("measurement_error", "concentrate_scale", "mle_regression", "time_varying_regression", "hamilton_representation")
+
+    @property
+    def plain(self) -> bool:
+        """No other form than the usual one."""
+        return self.mle_regression and not any(getattr(self, k) for k in self.FORMS if k != "mle_regression")
+
+    def options(self) -> dict[str, bool]:
+        forms = {k: getattr(self, k) for k in self.FORMS if getattr(self, k) != (k == "mle_regression")}
+        return {"enforce_stationarity": self.enforce_stationarity, "enforce_invertibility": self.enforce_invertibility} | forms
 
     def names(self, exog: list[str] | None = None) -> list[str]:
         o = self.order
         s = o.s
         trend = ["intercept" if k == 0 else "drift" if k == 1 else f"trend.{k}" for k in o.powers]
-        return trend + list(exog or [f"x{i + 1}" for i in range(self.k_exog)]) + [f"ar.L{i}" for i in o.lags("p")] + [f"ma.L{i}" for i in o.lags("q")] + [f"ar.S.L{i * s}" for i in o.lags("P")] + [f"ma.S.L{i * s}" for i in o.lags("Q")] + ["sigma2"]
+        exog = list(exog or [f"x{i + 1}" for i in range(self.k_exog)])
+        noise = [f"var.{x}" for x in exog if self.time_varying_regression] + ["var.measurement_error"] * self.measurement_error
+        return trend + exog * self.mle_regression + [f"ar.L{i}" for i in o.lags("p")] + [f"ma.L{i}" for i in o.lags("q")] + [f"ar.S.L{i * s}" for i in o.lags("P")] + [f"ma.S.L{i * s}" for i in o.lags("Q")] + noise + ["sigma2"]
 
     def _full(self, lags: tuple[int, ...]) -> bool:
         return lags == tuple(range(1, len(lags) + 1))
@@ -125,7 +156,8 @@ class Spec:
             part = self.at[name]
             if on and part.stop > part.start and self._full(self.order.lags(name)):
                 out[:, part] = sign * stationary(z[:, part])
-        out[:, self.at["v"]] = np.exp(np.clip(z[:, self.at["v"]], -60, 60)) * scale[..., self.at["v"]]
+        spread = slice(self.at["w"].start, self.k)
+        out[:, spread] = np.exp(np.clip(z[:, spread], -60, 60)) * scale[..., spread]
         return out
 
     def free(self, params: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -134,7 +166,8 @@ class Spec:
             part = self.at[name]
             if on and part.stop > part.start and self._full(self.order.lags(name)):
                 out[part] = unstationary(sign * params[part])
-        out[self.at["v"]] = np.log(np.maximum(params[self.at["v"]] / scale[self.at["v"]], 1e-20))
+        spread = slice(self.at["w"].start, self.k)
+        out[spread] = np.log(np.maximum(params[spread] / scale[spread], 1e-20))
         return out
 
     def polynomials(self, params: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,41 +211,78 @@ class Spec:
         z[self.order.n_diffuse] = 1
         return z
 
+    def _block(self, ar: np.ndarray, ma: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Transition (B, r, r), noise column (B, r) and observation row (B, r) of the ARMA block."""
+        b, r = len(ar), self.r
+        t, noise, seen = np.zeros((b, r, r)), np.zeros((b, r)), np.zeros((b, r))
+        noise[:, 0] = seen[:, 0] = 1
+        if self.hamilton_representation:
+            t[:, 0, : self.k_ar] = ar
+            t[:, range(1, r), range(r - 1)] = 1
+            seen[:, 1 : 1 + self.k_ma] = ma
+        else:
+            t[:, : self.k_ar, 0] = ar
+            t[:, range(r - 1), range(1, r)] = 1
+            noise[:, 1 : 1 + self.k_ma] = ma
+        return t, noise, seen
+
     def system(self, params: np.ndarray):
         """Transition (B, n, n), noise column (B, n), observation row (n), start mean and covariance, variance."""
         b, o, n, r = len(params), self.order, self.n_states, self.r
         ar, ma = self.polynomials(params)
-        k, s, base = o.d, o.s, o.n_diffuse
-        t = np.zeros((b, n, n))
-        z = self.observation()
+        k, s, base, end = o.d, o.s, o.n_diffuse, o.n_diffuse + r
+        t, z = np.zeros((b, n, n)), np.broadcast_to(self.observation(), (b, n)).copy()
+        block, column, seen = self._block(ar, ma)
         ring_ends = [k + (i + 1) * s - 1 for i in range(o.D)]
         for i in range(k):
             t[:, i, i:k] = 1
             t[:, i, ring_ends] = 1
-            t[:, i, base] = 1
+            t[:, i, base:end] = seen
         for i in range(o.D):
             first = k + i * s
             t[:, first, ring_ends[i:]] = 1
-            t[:, first, base] = 1
+            t[:, first, base:end] = seen
             for j in range(1, s):
                 t[:, first + j, first + j - 1] = 1
-        t[:, base : base + self.k_ar, base] = ar
-        for j in range(r - 1):
-            t[:, base + j, base + j + 1] = 1
+        t[:, base:end, base:end] = block
+        t[:, range(end, n), range(end, n)] = 1
+        z[:, base:end] = seen
         noise = np.zeros((b, n))
-        noise[:, base] = 1
-        noise[:, base + 1 : base + 1 + self.k_ma] = ma
+        noise[:, base:end] = column
         v = params[:, self.at["v"]][:, 0]
         a0 = np.zeros((b, n))
         p0 = np.zeros((b, n, n))
-        p0[:, range(base), range(base)] = DIFFUSE
-        block = t[:, base:, base:]
-        q = noise[:, base:, None] * noise[:, None, base:] * v[:, None, None]
-        p0[:, base:, base:] = lyapunov(block, q)
+        diffuse = [*range(base), *range(end, n)]
+        p0[:, diffuse, diffuse] = DIFFUSE * (v[:, None] if self.concentrate_scale else 1)
+        p0[:, base:end, base:end] = lyapunov(block, column[:, :, None] * column[:, None, :] * v[:, None, None])
         if o.powers:
-            a0[:, base:] = self.settled_mean(params, ar)
+            path = self.input_path(params, 0, 1)[:, 0]
+            if self.hamilton_representation:
+                with np.errstate(all="ignore"):
+                    mean = path / (1 - ar.sum(1))
+                a0[:, base:end] = np.where(np.isfinite(mean), mean, 0)[:, None]
+            else:
+                a0[:, base:end] = self.settled_mean(params, ar)
         return t, noise, z, a0, p0, v
 
+    def input_path(self, params: np.ndarray, first: int, n: int) -> np.ndarray:
+        """What the trend adds to the block's first state: in the Hamilton form the MA weights are still to come."""
+        path = self.trend_path(params, first, n)
+        if self.hamilton_representation and self.order.powers:
+            path = path / (1 + self.polynomials(params)[1].sum(1))[:, None]
+        return path
+
+    def state_noise(self, params: np.ndarray, noise: np.ndarray, v: np.ndarray) -> np.ndarray:
+        q = noise[:, :, None] * noise[:, None, :] * v[:, None, None]
+        if self.time_varying_regression:
+            moving = range(self.n_states - self.k_moving, self.n_states)
+            q[:, moving, moving] += params[:, self.at["w"]] * (v[:, None] if self.concentrate_scale else 1)
+        return q
+
+    def measured(self, params: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The variance of the observation's own noise (B,)."""
+        return params[:, self.at["m"]][:, 0] * (v if self.concentrate_scale else 1) if self.measurement_error else np.zeros(len(params))
+
 
 def lyapunov(t: np.ndarray, q: np.ndarray) -> np.ndarray:
     """P = T P T' + Q for a batch, by doubling; those without a solution are approximately diffuse and leave the others alone."""
@@ -251,10 +321,10 @@ def kalman(spec: Spec, params: np.ndarray, y: np.ndarray, exog: np.ndarray | Non
     first = 0
     if begin is not None:
         a, p, first = np.broadcast_to(begin[0], a.shape).copy(), np.broadcast_to(begin[1], p.shape).copy(), begin[2]
-    base, path = spec.order.n_diffuse, spec.trend_path(params, first, n + 1)
-    q = noise[:, :, None] * noise[:, None, :] * v[:, None, None]
+    base, path = spec.order.n_diffuse, spec.input_path(params, first, n + 1)
+    q, own = spec.state_noise(params, noise, v), spec.measured(params, v)
     obs = np.broadcast_to(y, (b, n))
-    if spec.k_exog:
+    if spec.k_exog and spec.mle_regression:
         obs = obs - params[:, spec.at["x"]] @ exog.T
     terms, errors, variances = np.zeros((b, n)), np.zeros((b, n)), np.zeros((b, n))
     settled = False
@@ -263,10 +333,13 @@ def kalman(spec: Spec, params: np.ndarray, y: np.ndarray, exog: np.ndarray | Non
     gain = f = None
     with np.errstate(all="ignore"):
         for i in range(n):
+            if spec.k_moving:
+                z[:, -spec.k_moving :] = exog[i]
+                settled = False
             if not settled:
-                pz = p @ z
-                f = pz @ z
-            e = obs[:, i] - a @ z
+                pz = (p @ z[:, :, None])[:, :, 0]
+                f = (pz * z).sum(1) + own
+            e = obs[:, i] - (a * z).sum(1)
             variances[:, i] = f
             if missing[i]:
                 errors[:, i] = np.nan
@@ -280,12 +353,12 @@ def kalman(spec: Spec, params: np.ndarray, y: np.ndarray, exog: np.ndarray | Non
             if not settled:
                 gain = np.einsum("bij,bj->bi", t, pz) / f[:, None]
                 new = t @ p @ tt + q - gain[:, :, None] * gain[:, None, :] * f[:, None, None]
-                if first + i > spec.order.n_diffuse and i % 4 == 0 and not missing[i:].any():
+                if first + i > spec.burn and i % 4 == 0 and not missing[i:].any():
                     settled = bool(np.abs(new - p).max(axis=(1, 2)).max() <= 1e-9 * np.abs(new).max() * 1e-3)
                 p = new
             a = np.einsum("bij,bj->bi", t, a) + gain * e[:, None]
             a[:, base] += path[:, i + 1]
-    terms[:, : max(0, spec.order.n_diffuse - first)] = 0
+    terms[:, : max(0, spec.burn - first)] = 0
     return Filtered(terms, errors, variances, a, p)
 
 
@@ -311,7 +384,7 @@ class Fit:
 
     def options(self) -> dict[str, bool]:
         """The state-space options that a refit has to keep."""
-        return {"enforce_stationarity": self.spec.enforce_stationarity, "enforce_invertibility": self.spec.enforce_invertibility}
+        return self.spec.options()
 
     @property
     def order(self) -> Order:
@@ -327,11 +400,11 @@ class Fit:
 
     @property
     def nobs_effective(self) -> int:
-        return self.nobs - self.spec.order.n_diffuse
+        return self.nobs - self.spec.burn
 
     def criteria(self) -> dict[str, float]:
         """aic, aicc, bic, hqic: aicc counts all rows, bic and hqic those after the differencing."""
-        k, n, ne = self.spec.k, self.nobs, max(self.nobs_effective, 2)
+        k, n, ne = self.spec.k_free, self.nobs, max(self.nobs_effective, 2)
         aic = -2 * self.llf + 2 * k
         aicc = aic + 2 * k * (n / (n - k - 1) - 1) if n > k + 1 else math.inf
         return {"aic": aic, "aicc": aicc, "bic": -2 * self.llf + k * math.log(ne), "hqic": -2 * self.llf + 2 * k * math.log(math.log(ne)) if ne > 2 else math.nan}
@@ -352,9 +425,10 @@ class Fit:
         f = kalman(spec, np.concatenate([self.params + steps, self.params - steps]), y, exog)
         k = len(h)
         scores = (f.terms[:k] - f.terms[k:]) / (2 * h[:, None])
-        info = scores @ scores.T
+        free = self.spec.k_free
+        info = scores[:free] @ scores[:free].T
         try:
-            return np.sqrt(np.maximum(np.diag(np.linalg.inv(info)), 0))
+            return np.append(np.sqrt(np.maximum(np.diag(np.linalg.inv(info)), 0)), [np.nan] * (k - free))
         except np.linalg.LinAlgError:
             return np.full(k, np.nan)
 
@@ -373,15 +447,17 @@ class Fit:
         if self.spec.k_exog and (exog is None or len(exog) != steps):
             raise ValueError("the model was fitted with exogenous columns, so a forecast needs as many rows of them as periods")
         t, noise, z, _, _, v = self.spec.system(self.params[None])
-        base, path = self.spec.order.n_diffuse, self.spec.trend_path(self.params[None], self.nobs + 1, steps)[0]
-        a, p = self.filtered.mean[0], self.filtered.cov[0]
-        q = np.outer(noise[0], noise[0]) * v
+        base, path = self.spec.order.n_diffuse, self.spec.input_path(self.params[None], self.nobs + 1, steps)[0]
+        a, p, z = self.filtered.mean[0], self.filtered.cov[0], z[0]
+        q, own = self.spec.state_noise(self.params[None], noise, v)[0], self.spec.measured(self.params[None], v)[0]
         mean, var = np.empty(steps), np.empty(steps)
         for h in range(steps):
-            mean[h], var[h] = a @ z, z @ p @ z
+            if self.spec.k_moving:
+                z[-self.spec.k_moving :] = exog[h]
+            mean[h], var[h] = a @ z, z @ p @ z + own
             a, p = t[0] @ a, t[0] @ p @ t[0].T + q
             a[base] += path[h]
-        if self.spec.k_exog:
+        if self.spec.k_exog and self.spec.mle_regression:
             mean = mean + exog @ self.params[self.spec.at["x"]]
         return mean, np.sqrt(np.maximum(var, 0))
 
@@ -405,7 +481,7 @@ class DifferencedFit(Fit):
     @property
     def basis(self) -> tuple[Spec, np.ndarray, np.ndarray | None]:
         o = self.spec.order
-        inner = Spec(replace(o, d=0, D=0), self.spec.k_exog, self.spec.enforce_stationarity, self.spec.enforce_invertibility)
+        inner = Spec(replace(o, d=0, D=0), self.spec.k_exog, **self.spec.options())
         return inner, o.differenced(self.y), None if self.exog is None else o.differenced(self.exog)
 
     def options(self) -> dict[str, bool]:
@@ -470,7 +546,8 @@ def start_params(spec: Spec, y: np.ndarray, exog: np.ndarray | None) -> np.ndarr
         design = np.column_stack([trend, o.differenced(exog)]) if spec.k_exog else trend
         size = np.maximum(np.abs(design).max(0, initial=0), 1e-300)
         beta = np.linalg.lstsq(design / size, w, rcond=None)[0] / size
-        out[spec.at["x"]] = beta[len(o.powers) :]
+        if spec.mle_regression:
+            out[spec.at["x"]] = beta[len(o.powers) :]
         centred = w - design @ beta
     lag_sets = [("p", o.lags("p")), ("P", tuple(i * o.s for i in o.lags("P")))]
     ma_sets = [("q", o.lags("q")), ("Q", tuple(i * o.s for i in o.lags("Q")))]
@@ -499,6 +576,11 @@ def start_params(spec: Spec, y: np.ndarray, exog: np.ndarray | None) -> np.ndarr
     ar, _ = spec.polynomials(out[None])
     out[spec.at["c"]] = beta[: len(o.powers)] * (1 - ar[0].sum())
     out[spec.at["v"]] = max(float(np.mean(resid**2)) if len(resid) else 1.0, 1e-10)
+    # Noise of the measurement starts at a third of the variance, steps of a coefficient at what moves the rows by a tenth of it over the series.
+    share = 1.0 if spec.concentrate_scale else out[-1]
+    out[spec.at["m"]] = share / 3
+    if spec.time_varying_regression:
+        out[spec.at["w"]] = 0.1 * share / np.maximum((exog**2).mean(0) * len(y), 1e-12)
     return out
 
 
@@ -519,27 +601,38 @@ def fit(y: np.ndarray, order: Order, exog: np.ndarray | None = None, method: str
         return DifferencedFit(spec, inner.params, y, exog, inner.filtered, inner.converged, inner.fit_time, method)
     params = start_params(spec, y, exog) if start is None else np.asarray(start, float)
     scale = np.ones(spec.k)
-    scale[spec.at["v"]] = max(params[spec.at["v"]][0], 1e-10)
+    spread = slice(spec.at["w"].start, spec.k)
+    scale[spread] = np.maximum(params[spread], 1e-10)
     scale[spec.at["c"]] = [max(np.sqrt(scale[-1]), 1e-8) / float(len(y)) ** k for k in order.powers]
-    if spec.k_exog:
+    if spec.k_exog and spec.mle_regression:
         scale[spec.at["x"]] = np.maximum(np.sqrt(scale[-1]) / np.maximum(exog.std(0), 1e-8), 1e-8)
 
-    def cost(z: np.ndarray) -> np.ndarray:
+    def whole(z: np.ndarray) -> np.ndarray:
+        """Parameter vectors of points of the search; a variance that is not searched for follows from the errors."""
+        if not spec.concentrate_scale:
+            return spec.constrain(z, scale)
+        full = spec.constrain(np.column_stack([z, np.zeros(len(z))]), scale)
+        full[:, -1] = 1
+        f = kalman(spec, full, y, exog)
         with np.errstate(all="ignore"):
-            v = -kalman(spec, spec.constrain(z, scale), y, exog).terms.sum(1) / len(y)
-        return np.where(np.isfinite(v), v, 1e10)
+            full[:, -1] = np.nanmean(f.errors[:, spec.burn :] ** 2 / f.variances[:, spec.burn :], axis=1)
+        return full
 
     def terms(z: np.ndarray) -> np.ndarray:
         with np.errstate(all="ignore"):
-            return -kalman(spec, spec.constrain(z, scale), y, exog).terms / len(y)
+            return -kalman(spec, whole(z), y, exog).terms / len(y)
+
+    def cost(z: np.ndarray) -> np.ndarray:
+        v = terms(z).sum(1)
+        return np.where(np.isfinite(v), v, 1e10)
 
-    z = spec.free(params, scale)
+    z = spec.free(params, scale)[: spec.k_free]
     if start is None and spec.at["p"].start < spec.at["v"].start:
         # A likelihood has several hills: the search starts from the best of three points.
-        starts = np.array([z * np.where(np.arange(spec.k) < spec.at["p"].start, 1.0, f) for f in (1.0, 0.5, 0.1)])
+        starts = np.array([z * np.where(np.arange(len(z)) < spec.at["p"].start, 1.0, f) for f in (1.0, 0.5, 0.1)])
         z = starts[np.argmin(cost(starts))]
     z, value, ok = METHODS[method](cost, z, maxiter, **({"terms": terms} if METHODS[method] is lbfgs else {}))
-    params = spec.constrain(z[None], scale)
+    params = whole(z[None])
     if value >= 1e10:
         raise ValueError("the likelihood is not finite")
     return Fit(spec, params[0], y, exog, kalman(spec, params, y, exog), ok, time.perf_counter() - began, method)
@@ -554,10 +647,10 @@ def at_params(y: np.ndarray, order: Order, exog: np.ndarray | None, params: np.n
     return made
 
 
-def embedded(small, order: Order, k_exog: int) -> np.ndarray | None:
+def embedded(small, order: Order, k_exog: int, **flags) -> np.ndarray | None:
     """The parameters of a fit (or an outcome: its order and parameters) as those of a larger order (new ones are 0), or None if the order isn't larger."""
-    o, spec = small.order, Spec(order, k_exog)
-    mine_at = Spec(o, k_exog).at
+    o, spec = small.order, Spec(order, k_exog, **flags)
+    mine_at = Spec(o, k_exog, **flags).at
     if (o.d, o.D) != (order.d, order.D) or not {*o.powers} <= {*order.powers} or any(not {*o.lags(n)} <= {*order.lags(n)} for n in "pqPQ") or (o.s != order.s and (o.lags("P") or o.lags("Q"))):
         return None
     out = np.zeros(spec.k)
@@ -565,7 +658,8 @@ def embedded(small, order: Order, k_exog: int) -> np.ndarray | None:
         for i, lag in enumerate(mine):
             out[spec.at[name].start + theirs.index(lag)] = small.params[mine_at[name].start + i]
     out[spec.at["x"]] = small.params[mine_at["x"]]
-    out[spec.at["v"]] = small.params[-1]
+    for name in "wmv":
+        out[spec.at[name]] = small.params[mine_at[name]]
     return out
 
 

@@ -15,7 +15,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import tidemark
@@ -72,9 +72,8 @@ def kernel_score(scoring: str | Callable) -> Callable[[np.ndarray, np.ndarray],
     return KERNEL_SCORES[scoring]
 
 
-#: Options that the kernel has; others are refused.
-FLAGS = ("enforce_stationarity", "enforce_invertibility", "simple_differencing")
-KNOWN_FLAGS = (*FLAGS, "time_varying_regression", "measurement_error", "mle_regression", "hamilton_representation", "concentrate_scale")
+#: The state-space options.
+FLAGS = ("enforce_stationarity", "enforce_invertibility", "simple_differencing", *statespace.Spec.FORMS)
 
 
 def check_seasonal_order(order: tuple) -> tuple:
@@ -110,10 +109,9 @@ class ARIMA:
             raise ValueError("out_of_sample_size must be a non-negative integer")
         kernel_score(self.scoring)
         for k in self.sarimax_kwargs:
-            if k not in KNOWN_FLAGS:
+            if k not in FLAGS:
                 raise TypeError(f"unknown option {k}")
-            if k not in FLAGS and self.sarimax_kwargs[k] not in (False, None) and (k, self.sarimax_kwargs[k]) != ("mle_regression", True):
-                raise NotImplementedError(f"{k} is not supported")
+        statespace.Spec(self.spec(), 0, **{k: v for k, v in self.flags().items() if k != "simple_differencing"})
 
     def spec(self) -> Order:
         trend = self.trend if self.trend is not None else "c" if self.with_intercept else "n"
@@ -126,7 +124,7 @@ class ARIMA:
         return order
 
     def flags(self) -> dict:
-        return {k: v for k, v in self.sarimax_kwargs.items() if k in FLAGS}
+        return {k: bool(v) for k, v in self.sarimax_kwargs.items() if v is not None}
 
     # Operations over tables
 
@@ -406,6 +404,36 @@ def coefficients(models: DataFrame) -> DataFrame:
     return models.where("error is null").mapInPandas(batches, "series_id string, arparams array<double>, maparams array<double>")
 
 
+def moving_coefficients(models: DataFrame) -> DataFrame:
+    """(series_id, param, coef, se): the coefficients that are states (mle_regression=False), after the last row."""
+
+    def batches(frames):
+        for pdf in frames:
+            out = []
+            for row in pdf.to_dict("records"):
+                made = loaded(row)
+                k = made.spec.k_moving
+                if k:
+                    at = slice(made.spec.n_states - k, made.spec.n_states)
+                    se = np.sqrt(np.maximum(np.diag(made.filtered.cov[0])[at], 0))
+                    out += [(row["series_id"], str(n), float(v), float(e)) for n, v, e in zip(row["exog_names"], made.filtered.mean[0][at], se, strict=True)]
+            yield pd.DataFrame(out, columns=["series_id", "param", "coef", "se"])
+
+    return models.where("error is null").mapInPandas(batches, "series_id string, param string, coef double, se double")
+
+
+def psi_weights(ar: Column, ma: Column, max_deg: int) -> Column:
+    """The first max_deg weights of the infinite moving average of arrays of AR (1 - ...) and MA (1 + ...) coefficients."""
+
+    def step(psi: Column, i: Column) -> Column:
+        # The weight before the first one is 1; psi has those after it.
+        earlier = lambda j: F.when(j == i, 1.0).otherwise(F.coalesce(F.get(psi, i - j - 1), F.lit(0.0)))
+        lags = F.transform(ar, lambda a, j: F.when(j <= i, a * earlier(j)).otherwise(0.0))
+        return F.concat(psi, F.array(F.coalesce(F.get(ma, i), F.lit(0.0)) + F.aggregate(lags, F.lit(0.0), lambda acc, v: acc + v)))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(max_deg - 1)), F.array().cast("array<double>"), step)
+
+
 def conf_int(models: DataFrame, alpha: float = 0.05) -> DataFrame:
     """(series_id, param, lower, upper)."""
     return summary(models, alpha).select("series_id", "param", "lower", "upper")

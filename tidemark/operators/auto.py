@@ -278,6 +278,20 @@ def orders(config: AutoARIMA, df: DataFrame, exog: list[str] | None = None) -> D
     return df.select("series_id", "t", "y", *exog).groupBy("series_id").applyInPandas(run, schema)
 
 
+def candidates(config: AutoARIMA, df: DataFrame, exog: list[str] | None = None) -> DataFrame:
+    """(series_id, p, d, q, seasonal_p, seasonal_d, seasonal_q, m, with_intercept): the orders that a grid or random search of each series fits."""
+    columns = ["series_id", "p", "d", "q", "seasonal_p", "seasonal_d", "seasonal_q", "m", "with_intercept"]
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for i, y, x in zip(pdf.series_id, *unpacked(pdf, exog or []), strict=True):
+                out += [(i, *o, *s, bool(c)) for o, s, c in grid(config, y, x)]
+            yield pd.DataFrame(out, columns=columns)
+
+    return packed(df, exog).mapInPandas(run, "series_id string, " + ", ".join(f"{c} int" for c in columns[1:-1]) + ", with_intercept boolean")
+
+
 def auto_arima(df: DataFrame, exog: list[str] | None = None, return_valid_fits: bool = False, **options) -> DataFrame:
     return AutoARIMA(**options).fit(df, exog, return_valid_fits)
 
@@ -459,6 +473,7 @@ def replay(config: AutoARIMA, plan: tuple, seen: dict[tuple, Outcome], k_exog: i
             raise ValueError(seen[key].error)
         return [], [seen[key]]
     limit = bounds.get("max_steps", MOST_STEPS)
+    forms = {k: v for k, v in c.base().flags().items() if k != "simple_differencing"}
     tried: dict[tuple, Outcome] = {}
     best = math.inf
     state = (min(c.start_p, c.max_p), min(c.start_q, c.max_q), min(c.start_P, c.max_P), min(c.start_Q, c.max_Q), bool(intercept))
@@ -481,7 +496,7 @@ def replay(config: AutoARIMA, plan: tuple, seen: dict[tuple, Outcome], k_exog: i
             inside = sorted((f for f in tried.values() if f.error is None and f.llf > found.llf + 1e-6), key=lambda f: -f.llf)
             for small in inside:
                 # A model that holds another one can't have a lower likelihood: go on from the smaller one's parameters.
-                start = statespace.embedded(small, found.order, k_exog)
+                start = statespace.embedded(small, found.order, k_exog, **forms)
                 if start is None:
                     continue
                 again = outcome(key_of(at, 1), start)

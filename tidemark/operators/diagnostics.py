@@ -125,6 +125,20 @@ def _every_series(df: DataFrame, found: DataFrame) -> DataFrame:
     return df.select("series_id").distinct().join(found, "series_id", "left")
 
 
+def ocsb_critical(m: Column) -> Column:
+    """The OCSB test's critical value for m seasons."""
+    z = F.ln(m.cast("double")) - 0.7656451
+    return -0.2937411 * F.exp(-0.2850853 * z - 0.05983644 * z * z) - 1.652202
+
+
+def canova_hansen_critical(m: Column) -> Column:
+    """The Canova-Hansen test's critical value for m seasons."""
+    out = 0.269 * F.pow(m.cast("double"), F.lit(0.928))
+    for k, v in [*unitroot.CANOVA_HANSEN_LONG.items(), *((k + 2, v) for k, v in enumerate(unitroot.CANOVA_HANSEN))]:
+        out = F.when(m == k, v).otherwise(out)
+    return out
+
+
 def canova_hansen(df: DataFrame, m: int) -> DataFrame:
     """(series_id, stat, critical, d)."""
     return _grouped(df, lambda y: (unitroot.canova_hansen(y, m), unitroot.canova_hansen_critical(m), unitroot.ch_differences(y, m)), "series_id string, stat double, critical double, d int")

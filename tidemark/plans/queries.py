@@ -7,6 +7,7 @@ daily sum of events by type. Doubles are rounded on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,8 +65,15 @@ def register(name: str, sql: str | None = None, base: str = S5_SQL):
 
 
 def _dataset(key: str, name: str):
+    """A classic series as a regressor beside the base series: rows of equal t."""
     values = ", ".join(f"({t}, {float(y)})" for t, y in enumerate(datasets.SERIES[name]))
-    register(key, f"SELECT '{name}' AS series_id, CAST(t AS BIGINT) AS t, CAST(y AS DOUBLE) AS y FROM (VALUES {values}) AS v(t, y)", "")(lambda spark, sf_dir: datasets.load(spark, name))
+    sql = f", v AS (SELECT CAST(t AS BIGINT) AS t, CAST(x AS DOUBLE) AS x FROM (VALUES {values}) AS v(t, x)) SELECT s.series_id, s.t, round(s.y, 2) AS y, v.x FROM s JOIN v ON v.t = s.t"
+
+    def run(spark, sf_dir):
+        beside = datasets.load(spark, name).select("t", F.col("y").alias("x"))
+        return s5(spark, sf_dir).join(beside, "t").select("series_id", "t", r("y", "y", 2), "x")
+
+    register(key, sql)(run)
 
 
 for _key, _name in (("O01_airpassengers", "airpassengers"), ("O03_austres", "austres"), ("O04_heartrate", "heartrate"), ("O05_lynx", "lynx"), ("O07_wineind", "wineind"), ("O08_woolyrnq", "woolyrnq")):
@@ -335,12 +343,12 @@ def o72(spark, sf_dir):
     return s5(spark, sf_dir).select("series_id", (F.col("t") % 12).alias("x")).distinct()
 
 
-@register("O73_candidate_grid", "SELECT p, q, bp, bq FROM range(4) a(p), range(4) b(q), range(3) c(bp), range(3) d(bq) WHERE p + q + bp + bq <= 5", "")
+@register("O73_candidate_grid", ", n AS (SELECT series_id, count(*) // 3 AS most FROM s WHERE t % 8 = 0 GROUP BY 1) SELECT series_id, p, q, bp, bq FROM n, range(4) a(p), range(4) b(q), range(3) c(bp), range(3) d(bq) WHERE p <= most AND q <= most AND p + q + bp + bq <= 5")
 def o73(spark, sf_dir):
-    config = auto.AutoARIMA(max_p=3, max_q=3, m=12, max_order=5)
-    y = np.random.default_rng(1).normal(size=60).cumsum()
-    rows = [(int(o[0]), int(o[2]), int(s[0]), int(s[2])) for o, s, _ in auto.grid(config, y, None)]
-    return spark.createDataFrame(rows, "p long, q long, bp long, bq long")
+    config = auto.AutoARIMA(max_p=3, max_q=3, m=12, max_order=5, d=0, D=0)
+    every_eighth = s5(spark, sf_dir).where("t % 8 = 0").withColumn("t", F.col("t") / 8)
+    long = lambda c: F.col(c).cast("long")
+    return auto.candidates(config, every_eighth).select("series_id", long("p").alias("p"), long("q").alias("q"), long("seasonal_p").alias("bp"), long("seasonal_q").alias("bq"))
 
 
 # Transforms
@@ -404,15 +412,28 @@ def o87(spark, sf_dir):
     return transforms.approximate(df, asked).where("y is not null").select("series_id", "x", r("y", "y"))
 
 
-@register("O88_arma_to_ma", "WITH RECURSIVE w(lag, a, b) AS (SELECT 0, CAST(1 AS DOUBLE), CAST(0 AS DOUBLE) UNION ALL SELECT lag + 1, 0.5 * a + 0.6 * b + coalesce([0.4, 0.3, 0.1, 0.05][lag + 1], 0), a FROM w WHERE lag < 12) SELECT CAST(lag AS INTEGER) AS lag, round(a, 6) AS psi FROM w WHERE lag > 0", "")
+_PSI = """
+, c AS (SELECT series_id, [round(avg(y) / max(y) / 2, 6), round(min(y) / max(y) / 3, 6)] AS ar, [round(min(y) / avg(y) / 2, 6), 0.3, 0.1] AS ma FROM s GROUP BY 1),
+w AS (
+  SELECT series_id, ar, ma, 0 AS lag, CAST(1 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b FROM c
+  UNION ALL
+  SELECT series_id, ar, ma, lag + 1, ar[1] * a + ar[2] * b + coalesce(ma[lag + 1], 0), a FROM w WHERE lag < 12)
+SELECT series_id, CAST(lag AS INTEGER) AS lag, round(a, 6) + 0.0 AS psi FROM w WHERE lag > 0"""
+
+
+@register("O88_arma_to_ma", _PSI, S5_SQL.replace("WITH base_m", "WITH RECURSIVE base_m"))
 def o88(spark, sf_dir):
-    psi = statespace.arma_to_ma(np.array([0.5, 0.6]), np.array([0.4, 0.3, 0.1, 0.05]), 12)
-    return spark.createDataFrame([(i + 1, round(float(x), 6)) for i, x in enumerate(psi)], "lag int, psi double")
+    y = lambda f: f("y")
+    low, mean, high = y(F.min), y(F.avg), y(F.max)
+    rows = s5(spark, sf_dir).groupBy("series_id").agg(F.array(F.round(mean / high / 2, 6), F.round(low / high / 3, 6)).alias("ar"), F.array(F.round(low / mean / 2, 6), F.lit(0.3), F.lit(0.1)).alias("ma"))
+    weights = rows.select("series_id", F.posexplode(arima.psi_weights(F.col("ar"), F.col("ma"), 12)).alias("at", "psi"))
+    return weights.select("series_id", (F.col("at") + 1).cast("int").alias("lag"), r("psi", "psi", 6))
 
 
-@register("O89_critical_values", "SELECT m, round(-0.2937411 * exp(-0.2850853 * (ln(m) - 0.7656451) - 0.05983644 * (ln(m) - 0.7656451) * (ln(m) - 0.7656451)) - 1.652202, 6) AS ocsb, round(0.269 * pow(m, 0.928), 6) AS ch FROM range(13, 24) AS r(m)", "")
+@register("O89_critical_values", ", n AS (SELECT DISTINCT series_id, 2 + t % 23 AS m FROM s) SELECT series_id, m, round(-0.2937411 * exp(-0.2850853 * (ln(m) - 0.7656451) - 0.05983644 * (ln(m) - 0.7656451) * (ln(m) - 0.7656451)) - 1.652202, 6) AS ocsb, round(CASE m " + " ".join(f"WHEN {k + 2} THEN {v}" for k, v in enumerate(unitroot.CANOVA_HANSEN)) + " WHEN 24 THEN 5.098624 ELSE 0.269 * pow(m, 0.928) END, 6) AS ch FROM n")
 def o89(spark, sf_dir):
-    return spark.createDataFrame([(m, round(unitroot.ocsb_critical(m), 6), round(unitroot.canova_hansen_critical(m), 6)) for m in range(13, 24)], "m long, ocsb double, ch double")
+    seasons = s5(spark, sf_dir).select("series_id", (F.col("t") % 23 + 2).alias("m")).distinct()
+    return seasons.select("series_id", "m", r(diagnostics.ocsb_critical(F.col("m")), "ocsb", 6), r(diagnostics.canova_hansen_critical(F.col("m")), "ch", 6))
 
 
 @register("O90_is_finite", "SELECT series_id, t, t % 3 <> 0 AS finite FROM s")
@@ -712,6 +733,93 @@ def o133(spark, sf_dir):
     return config.fit(_scaled(spark, sf_dir)).select("series_id", "label", r("aic", "aic", 1))
 
 
+# Searches whose candidates all have closed forms: noise around a mean or around zero, for every second series less its mean.
+_NOISE = """
+, z AS (SELECT series_id, t, round(y / 1e6 - CASE WHEN series_id < 'G' THEN avg(y) OVER (PARTITION BY series_id) / 1e6 ELSE 0 END, 6) AS y FROM s),
+m AS (SELECT series_id, count(*) AS n, var_pop(y) AS v, avg(y * y) AS q FROM z GROUP BY 1),
+a AS (SELECT series_id, 4 + n * (ln(2 * pi() * v) + 1) AS mean, 2 + n * (ln(2 * pi() * q) + 1) AS zero FROM m)
+SELECT series_id, ' ARIMA(0,0,0)(0,0,0)[0] ' || CASE WHEN mean < zero THEN 'intercept' ELSE '' END AS label, round(least(mean, zero), 2) AS aic FROM a"""
+
+
+def _noise(spark, sf_dir) -> DataFrame:
+    mean = F.avg("y").over(series.whole()) / 1e6
+    return s5(spark, sf_dir).withColumn("y", F.round(F.col("y") / 1e6 - F.when(F.col("series_id") < "G", mean).otherwise(0.0), 6))
+
+
+@register("O130_search_of_noise", _NOISE)
+def o130b(spark, sf_dir):
+    config = auto.AutoARIMA(start_p=0, start_q=0, max_p=0, max_q=0, d=0, seasonal=False, with_intercept=True)
+    return config.fit(_noise(spark, sf_dir)).select("series_id", "label", r("aic", "aic", 2))
+
+
+@register("O132_search_in_rounds", _NOISE)
+def o132b(spark, sf_dir):
+    config = auto.AutoARIMA(start_p=0, start_q=0, max_p=0, max_q=0, d=0, seasonal=False, with_intercept=True, spread="candidates")
+    return config.fit(_noise(spark, sf_dir)).select("series_id", "label", r("aic", "aic", 2))
+
+
+# A seasonal random walk with or without drift: the changes over a year are noise.
+_YEARLY = """
+, z AS (SELECT series_id, y / 1e6 - lag(y / 1e6, 12) OVER (PARTITION BY series_id ORDER BY t) AS y FROM s),
+m AS (SELECT series_id, count(y) AS n, var_pop(y) AS v, avg(y * y) AS q FROM z GROUP BY 1),
+a AS (SELECT series_id, 4 + n * (ln(2 * pi() * v) + 1) AS mean, 2 + n * (ln(2 * pi() * q) + 1) AS zero FROM m)
+SELECT series_id, ' ARIMA(0,0,0)(0,1,0)[12] ' || CASE WHEN mean < zero THEN 'intercept' ELSE '' END AS label, round(least(mean, zero), 1) AS aic FROM a"""
+
+
+@register("O132_seasonal_walks", _YEARLY)
+def o132c(spark, sf_dir):
+    config = auto.AutoARIMA(m=12, d=0, D=1, start_p=0, start_q=0, max_p=0, max_q=0, start_P=0, start_Q=0, max_P=0, max_Q=0, with_intercept=True)
+    return config.fit(_scaled(spark, sf_dir)).select("series_id", "label", r("aic", "aic", 1))
+
+
+@register("O133_grid_of_walks", ", z AS (SELECT series_id, y / 1e6 - lag(y / 1e6) OVER (PARTITION BY series_id ORDER BY t) AS y FROM s), m AS (SELECT series_id, count(y) AS n, avg(y * y) AS q FROM z GROUP BY 1) SELECT series_id, ' ARIMA(0,1,0)(0,0,0)[0] ' AS label, round(2 + n * (ln(2 * pi() * q) + 1), 1) AS aic FROM m")
+def o133b(spark, sf_dir):
+    config = auto.AutoARIMA(start_p=0, start_q=0, max_p=0, max_q=0, d=1, seasonal=False, stepwise=False, with_intercept=False)
+    return config.fit(_scaled(spark, sf_dir)).select("series_id", "label", r("aic", "aic", 1))
+
+
+# State-space forms and optimisers in their closed forms.
+
+
+@register("O120_coefficient_as_state", ", z AS (SELECT series_id, y / 1e6 AS y, (t % 7 + 1.0) AS x FROM s) SELECT series_id, round(sum(x * y) / sum(x * x), 4) AS coef FROM z GROUP BY 1")
+def o120(spark, sf_dir):
+    rows = _scaled(spark, sf_dir).withColumn("x", F.col("t") % 7 + 1.0)
+    models = ARIMA((0, 0, 0), with_intercept=False, sarimax_kwargs={"mle_regression": False}).fit(rows, ["x"])
+    return arima.moving_coefficients(models).select("series_id", r("coef", "coef"))
+
+
+@register("O120_concentrated_scale", _WHITE + " SELECT series_id, round(llf, 3) AS llf, round(v, 2) AS sigma2, round(2 - 2 * llf, 3) AS aic FROM f")
+def o120b(spark, sf_dir):
+    models = ARIMA((0, 0, 0), sarimax_kwargs={"concentrate_scale": True}).fit(_scaled(spark, sf_dir))
+    return models.select("series_id", r("llf", "llf", 3), r("sigma2", "sigma2", 2), r("aic", "aic", 3))
+
+
+@register("O120_hamilton_form", _WHITE + " SELECT series_id, round(llf, 3) AS llf, round(v, 2) AS sigma2 FROM f")
+def o120c(spark, sf_dir):
+    models = ARIMA((0, 0, 0), sarimax_kwargs={"hamilton_representation": True}).fit(_scaled(spark, sf_dir))
+    return models.select("series_id", r("llf", "llf", 3), r("sigma2", "sigma2", 2))
+
+
+@register("O120_coefficient_that_walks")
+def o120d(spark, sf_dir):
+    rows = _scaled(spark, sf_dir).withColumn("x", F.col("t") % 7 + 1.0)
+    models = ARIMA((0, 0, 0), sarimax_kwargs={"mle_regression": False, "time_varying_regression": True}).fit(rows, ["x"])
+    return arima.moving_coefficients(models).select("series_id", "param", r("coef", "coef", 2))
+
+
+@register("O120_measurement_error")
+def o120e(spark, sf_dir):
+    models = ARIMA((1, 0, 0), sarimax_kwargs={"measurement_error": True}).fit(_scaled(spark, sf_dir))
+    return models.select("series_id", "param_names", r("llf", "llf", 1))
+
+
+@register("O121_optimisers", _WHITE + ", k AS (SELECT unnest(['basinhopping', 'bfgs', 'cg', 'lbfgs', 'ncg', 'newton', 'nm', 'powell']) AS method) SELECT series_id, method, round(llf, 2) AS llf FROM f, k")
+def o121(spark, sf_dir):
+    base = _scaled(spark, sf_dir)
+    each = [ARIMA((0, 0, 0), method=m).fit(base).select("series_id", F.lit(m).alias("method"), r("llf", "llf", 2)) for m in ("basinhopping", "bfgs", "cg", "lbfgs", "ncg", "newton", "nm", "powell")]
+    return reduce(DataFrame.unionByName, each)
+
+
 _CLAMPS = ", n AS (SELECT series_id, count(*) AS n FROM s GROUP BY 1) "
 
 
