@@ -355,3 +355,26 @@ def test_foreign_archives_and_broken_media(spark):
     assert len(found) == len(cut) and [r["feature"] for r in found if r["doc_id"] == 99] == [None]
     whole = {r["doc_id"]: r["feature"] for r in telephony.media_features(telephony.decode_media(telephony.encode_media(docs))).collect()}
     assert all(f in {r["feature"] for r in found} for f in whole.values()) and None not in whole.values()
+
+
+def test_page_layout_names(spark):
+    """Utility and layout class names hide no article; attributes, styles and a class of that name do; quotes open values only where one begins."""
+    from tidemark.llm import html_text
+
+    body = " ".join(["word"] * 20) + "."
+    text = f"A title of the page\n\n{body}\n\n{body}"
+
+    def page(opened, closed="</div>"):
+        return f'<html><body><nav><a href="/">Home</a> <a href="/b">News</a></nav>{opened}<h1>A title of the page</h1><p>{body}</p><p>{body}</p>{closed}<footer>Copyright 2024 all rights reserved</footer></body></html>'
+
+    shown = [('<div class="overflow-hidden">', "</div>"), ('<div class="content overflow-hidden">', "</div>"), ('<article aria-hidden="false">', "</article>"), ('<div class="layout with-sidebar"><div class="col-8">', "</div></div>"), ("<div class='has-footer no-ads'>", "</div>"), ('<div data-x="hidden" title="display: none">', "</div>")]
+    hidden = ["<div hidden>", '<div style="color:red; display : none">', '<div class="a hidden">', "<div HIDDEN=''>"]
+    pages = [page(a, b) for a, b in shown] + [page(h) for h in hidden] + [page("<div>").replace("<h1>", "<h1><a href=/it's>").replace("</h1>", "</a></h1>"), page("<div>").replace("<p>", '<p class="x>', 1)]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("url", F.lit("u"))
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert [got[k] for k in range(len(shown))] == [text] * len(shown)
+    assert all(body not in got[len(shown) + k] for k in range(len(hidden)))
+    assert got[len(pages) - 2] == text
+    assert "<" not in got[len(pages) - 1] and "class=" not in got[len(pages) - 1]
+    assert html_text.names_of("class=a-b id='C d' role=\"e\" data-class='f' /") == {"a", "b", "c", "d", "e"}
+    assert html_text.names_of("class = 'with-sidebar sidebar' aria-hidden=TRUE") == {"sidebar", html_text.HIDDEN}

@@ -35,11 +35,16 @@ RAW = frozenset("script style noscript template svg iframe object textarea title
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that an opening block-level tag closes when they are open: a paragraph by any block, others by their like.
 CLOSED_BY_LIKE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "option": {"select"}}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
 #: Ends of raw elements, searched in the page itself: a lower-cased copy may be longer than the page.
 _RAW_END = {tag: re.compile("</" + tag, re.I | re.A) for tag in RAW}
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: A name with its value in quotes or without; a quote opens a value only where one begins.
+_ATTRIBUTE = re.compile(r"([^\s=>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_DISPLAY_NONE = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
+#: What a name begins with that speaks of the page's layout (with-sidebar, has-footer), not of the element's own use.
+_LAYOUT = frozenset(("with", "has", "no", "without", "show", "is"))
+#: The word that stands for an element that is not shown; no class name has it.
+HIDDEN = "@hidden"
 _PARTS = re.compile(r"[a-zA-Z][a-z]*|[A-Z]+")
 
 
@@ -62,6 +67,23 @@ class Block:
         self.path, self.text, self.link_chars = path, text, link_chars
 
 
+def names_of(attrs: str) -> frozenset[str]:
+    """The words of an element's class, id and role, in lower case, and HIDDEN if it is not shown: by the attribute, the style, or a class of that name."""
+    found: list[str] = []
+    for name, *values in _ATTRIBUTE.findall(attrs):
+        name, value = name.lower(), next((v for v in values if v), "")
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                parts = [x.lower() for x in _PARTS.findall(token)]
+                if parts == ["hidden"]:
+                    found.append(HIDDEN)
+                elif parts and parts[0] not in _LAYOUT:
+                    found += parts
+        elif name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _DISPLAY_NONE.search(value)):
+            found.append(HIDDEN)
+    return frozenset(found)
+
+
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page, in page order."""
     out: list[Block] = []
@@ -155,10 +177,7 @@ def blocks_of(page: str) -> list[Block]:
                     break
         names: frozenset[str] = frozenset()
         if attrs:
-            found = [x.lower() for g in _NAMES.findall(attrs) for v in g if v for x in _PARTS.findall(v)]
-            if _HIDDEN.search(attrs):
-                found.append("hidden")
-            names = frozenset(found)
+            names = names_of(attrs)
         stack.append((tag, names))
     flush()
     return out
@@ -174,7 +193,7 @@ NAME_KINDS = {
     "comments": "comment comments reply replies discussion disqus respond reader",
     "social": "share sharing social follow tags meta byline author",
     "body": "article content post entry main story body text prose page",
-    "hidden": "hidden",
+    "hidden": HIDDEN,
 }
 _KIND = {w: k for k, words in NAME_KINDS.items() for w in words.split()}
 _TAGS = ("article", "main", "nav", "header", "footer", "aside", "form", "section", "div", "ul", "ol", "li", "p", "h1", "h2", "h3", "h4", "table", "td", "blockquote", "pre", "figure", "figcaption", "button", "label", "address", "dialog", "menu", "dl")
