@@ -11,6 +11,7 @@ import math
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from numbers import Integral
 from statistics import NormalDist
 
 import numpy as np
@@ -311,8 +312,29 @@ def predict(models: DataFrame, n_periods: int = 10, future: DataFrame | None = N
     return models.groupBy("series_id").cogroup(future.groupBy("series_id")).applyInPandas(pair, schema)
 
 
-def predict_in_sample(models: DataFrame, start: int | None = None, end: int | None = None, dynamic: bool = False, return_conf_int: bool = False, alpha: float = 0.05) -> DataFrame:
-    """(series_id, t, yhat, lower, upper) of rows start..end."""
+def _bounds(models: DataFrame, index: DataFrame | None, label: str, start, end) -> DataFrame:
+    """models with first_row and last_row: start and end as row numbers, looked up in the index where they are labels."""
+    named = {k: v for k, v in (("first_row", start), ("last_row", end)) if v is not None and not isinstance(v, Integral)}
+    bounds = {k: F.lit(None if v is None else int(v)).cast("long") for k, v in (("first_row", start), ("last_row", end)) if k not in named}
+    if named:
+        if index is None:
+            raise TypeError("start and end are row numbers unless an index is given")
+        # Of rows with one label, the first is a start and the last an end.
+        pick = {"first_row": F.min, "last_row": F.max}
+        value = lambda v: F.lit(v.to_pydatetime() if isinstance(v, pd.Timestamp) else v)
+        rows = index.groupBy("series_id").agg(*[pick[k](F.when(F.col(label) == value(v), F.col("t"))).alias(k) for k, v in named.items()])
+        models = models.drop(*named).join(rows, "series_id", "left")
+        for k, v in named.items():
+            bounds[k] = F.coalesce(F.col(k), F.raise_error(F.concat(F.lit(f"no row is labelled {v} in series "), "series_id")).cast("long")).cast("long")
+    return models.withColumns(bounds)
+
+
+def predict_in_sample(models: DataFrame, start=None, end=None, dynamic: bool = False, return_conf_int: bool = False, alpha: float = 0.05, index: DataFrame | None = None, label: str = "ts") -> DataFrame:
+    """(series_id, t, yhat, lower, upper) of rows start..end, both included; rows beyond the last are forecasts.
+
+    start and end are row numbers, or values (such as timestamps) of the column ``label`` of ``index`` (series_id, t, label);
+    the job fails for a series without such a row. Only a start by number is held against the order of differencing.
+    """
     if dynamic and return_conf_int:
         warnings.warn("dynamic predictions have no intervals here; dynamic=False is used", stacklevel=2)
         dynamic = False
@@ -323,16 +345,22 @@ def predict_in_sample(models: DataFrame, start: int | None = None, end: int | No
             out = []
             for row in pdf.to_dict("records"):
                 made = loaded(row)
-                first = start if start is not None else 0
-                if start is not None and start < made.spec.order.d:
+                first = 0 if pd.isna(row["first_row"]) else int(row["first_row"])
+                if isinstance(start, Integral) and start < made.spec.order.d:
                     raise ValueError("in-sample predictions undefined for start < d when d > 0")
-                last = end if end is not None else made.nobs - 1
-                mean, se = made.in_sample(first, last, dynamic)
+                last = made.nobs - 1 if pd.isna(row["last_row"]) else int(row["last_row"])
+                if last < first:
+                    raise ValueError("end is before start")
+                if dynamic or last < made.nobs:
+                    mean, se = made.in_sample(first, last, dynamic)
+                else:
+                    parts = [x[max(first - made.nobs, 0) :] for x in made.forecast(last - made.nobs + 1)]
+                    mean, se = (np.concatenate(x) for x in zip(made.in_sample(first, made.nobs - 1), parts, strict=True))
                 out.append(pd.DataFrame({"series_id": row["series_id"], "t": np.arange(first, last + 1), "yhat": mean, "lower": mean - z * se, "upper": mean + z * se}))
             if out:
                 yield pd.concat(out)
 
-    return models.where("error is null").mapInPandas(batches, "series_id string, t long, yhat double, lower double, upper double")
+    return _bounds(models.where("error is null"), index, label, start, end).mapInPandas(batches, "series_id string, t long, yhat double, lower double, upper double")
 
 
 def update(models: DataFrame, new: DataFrame, maxiter: int | None = None, method: str | None = None) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -204,15 +206,20 @@ def density(df: DataFrame, points: int = 61, span: float = 4.0, column: str = "y
     return rows.groupBy("series_id", "x").agg(F.sum(bump).alias("density"))
 
 
-def pacf(df: DataFrame, nlags: int, method: str = "ywadjusted") -> DataFrame:
-    """(series_id, lag, r)."""
+def pacf(df: DataFrame, nlags: int, method: str = "ywadjusted", alpha: float | None = None) -> DataFrame:
+    """(series_id, lag, r); with alpha also se (one over the root of the rows, none at lag 0), lower and upper."""
+    name = method.replace("unbiased", "adjusted") if "unbiased" in method else {"ywu": "ywa", "ldu": "lda"}.get(method, method)
+    if name != method:
+        warnings.warn(f"{method!r} is an old name of {name!r}", DeprecationWarning, stacklevel=2)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("t").y.to_numpy(float)
         k = min(nlags, len(y) - 1)
-        return pd.DataFrame({"series_id": pdf.series_id.iloc[0], "lag": range(k + 1), "r": statespace.pacf(y, k, method)})
+        se = np.append(0.0, np.full(k, len(y) ** -0.5))
+        return pd.DataFrame({"series_id": pdf.series_id.iloc[0], "lag": range(k + 1), "r": statespace.pacf(y, k, name), "se": se})
 
-    return df.select("series_id", "t", "y").groupBy("series_id").applyInPandas(run, "series_id string, lag int, r double")
+    found = df.select("series_id", "t", "y").groupBy("series_id").applyInPandas(run, "series_id string, lag int, r double, se double")
+    return found.drop("se") if alpha is None else windows.bounded(found, alpha)
 
 
 def histogram(df: DataFrame, bins: int = 25, column: str = "y") -> DataFrame:

@@ -3,6 +3,11 @@ one exchange and one sort for a chain of them."""
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,23 +100,92 @@ def decompose(df: DataFrame, kind: str, m: int, filter_: list[float] | None = No
     return df.select("series_id", "t", "x", "trend", "seasonal", random.alias("random"))
 
 
-def acf(df: DataFrame, nlags: int, adjusted: bool = False) -> DataFrame:
-    """(series_id, lag, r, se, q): autocorrelations, Bartlett standard errors, Ljung-Box Q.
+#: Lags up to which autocorrelations are columns of one window pass; more are correlated by blocks, with the same results.
+WINDOW_LAGS = 64
+#: Rows of a block of a long series, at least; a block is never shorter than the lags.
+BLOCK_ROWS = 4096
+MISSING = ("none", "raise", "conservative", "drop")
+
+
+def acf(df: DataFrame, nlags: int, adjusted: bool = False, alpha: float | None = None, missing: str = "none", fft: bool | None = None) -> DataFrame:
+    """(series_id, lag, r, se, q): autocorrelations, Bartlett standard errors, Ljung-Box Q; with alpha also lower and upper bounds.
 
-    The lags are columns of one window pass and one aggregate, so the shuffle does not grow
-    with their number.
+    Null and NaN are missing. ``missing``: "none" gives null for a series that has such rows, "raise" fails the job, "drop"
+    closes the gaps, "conservative" sums the pairs that have both values (``adjusted`` then divides by their number).
+    Standard errors and Q count all rows. ``fft`` chooses between one window pass with a column a lag and
+    correlations of blocks by Fourier transforms; without it the number of lags does.
     """
-    centred = df.select("series_id", "t", (F.col("y") - F.avg("y").over(whole())).alias("d"))
-    products = centred.select("series_id", "d", *[(F.col("d") * F.lag("d", k).over(by_time())).alias(f"p{k}") for k in range(1, nlags + 1)])
-    sums = products.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("d") * F.col("d")).alias("p0"), *[F.sum(f"p{k}").alias(f"p{k}") for k in range(1, nlags + 1)])
-    shrink = lambda k: F.col("n") / (F.col("n") - k) if adjusted else F.lit(1.0)
-    rows = sums.select("series_id", "n", F.posexplode(F.array(*[F.try_divide(F.col(f"p{k}"), F.col("p0")) * shrink(k) for k in range(nlags + 1)])).alias("lag", "r")).where("lag < n")
+    if missing not in MISSING:
+        raise ValueError(f"{missing!r} must be one of {', '.join(MISSING)}")
+    value = F.when(~F.isnan(F.col("y").cast("double")), F.col("y").cast("double"))
+    if missing == "raise":
+        value = F.coalesce(value, F.raise_error(F.lit("y has missing values")).cast("double"))
+    rows = df.select("series_id", "t", value.alias("y")).select("series_id", "t", F.count(F.lit(1)).over(whole()).alias("n"), (F.col("y") - F.avg("y").over(whole())).alias("d"))
+    if missing == "drop":
+        rows = rows.where("d is not null")
+    sums = _sums_by_blocks(rows, nlags) if (nlags > WINDOW_LAGS if fft is None else fft) else _sums_by_window(rows, nlags)
+    pairs = lambda k: F.greatest(F.get("c", k), F.lit(1))
+    share = F.transform("p", lambda x, k: F.try_divide(x, F.get("p", F.lit(0))) * (F.col("valid") / pairs(k) if adjusted else F.lit(1.0)))
+    sums = sums.withColumn("valid", F.get("c", F.lit(0)))
+    rows = sums.select("series_id", "n", "valid", F.posexplode(share).alias("lag", "r")).where("lag < valid" if missing == "drop" else "lag < n")
+    if missing == "none":
+        rows = rows.withColumn("r", F.when(F.col("valid") == F.col("n"), F.col("r")))
     before = Window.partitionBy("series_id").orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("series_id").orderBy("lag").rowsBetween(Window.unboundedPreceding, 0)
     square = F.when(F.col("lag") > 0, F.col("r") * F.col("r")).otherwise(0.0)
     se = F.when(F.col("lag") == 0, 0.0).otherwise(F.sqrt((1 + 2 * F.sum(square).over(before)) / F.col("n")))
     q = F.when(F.col("lag") > 0, F.col("n") * (F.col("n") + 2) * F.sum(square / (F.col("n") - F.col("lag"))).over(upto))
-    return rows.select("series_id", "lag", "r", se.alias("se"), q.alias("q"))
+    return bounded(rows.select("series_id", "lag", "r", se.alias("se"), q.alias("q")), alpha)
+
+
+def bounded(df: DataFrame, alpha: float | None) -> DataFrame:
+    """df with lower and upper, r less and plus its standard errors at the level alpha; df as it is without one."""
+    if alpha is None:
+        return df
+    z = NormalDist().inv_cdf(1 - alpha / 2)
+    return df.withColumns({"lower": F.col("r") - z * F.col("se"), "upper": F.col("r") + z * F.col("se")})
+
+
+def _sums_by_window(rows: DataFrame, nlags: int) -> DataFrame:
+    """(series_id, n, p, c): sums and numbers of the lag products 0..nlags. One shuffle, whatever the number of lags."""
+    lagged = [(F.col("d") * F.lag("d", k).over(by_time())).alias(f"p{k}") for k in range(1, nlags + 1)]
+    products = rows.select("series_id", "n", (F.col("d") * F.col("d")).alias("p0"), *lagged)
+    each = [f(F.col(f"p{k}")).alias(f"{name}{k}") for name, f in (("p", F.sum), ("c", F.count)) for k in range(nlags + 1)]
+    return products.groupBy("series_id", "n").agg(*each).select("series_id", "n", *[F.array(*[F.col(f"{name}{k}") for k in range(nlags + 1)]).alias(name) for name in "pc"])
+
+
+def _sums_by_blocks(rows: DataFrame, nlags: int) -> DataFrame:
+    """The same by blocks of rows: each has the lags' number of rows of the next one beside it, so no task holds a series.
+
+    A block is correlated with itself and these rows by Fourier transforms; its sums are added to the others' by lag.
+    """
+    size = max(BLOCK_ROWS, nlags)
+    at = F.row_number().over(by_time()) - 1
+    own = F.floor(F.col("i") / size)
+    blocks = F.explode(F.when((F.col("i") % size < nlags) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own)))
+    dealt = rows.select("series_id", "n", "d", at.alias("i")).select("series_id", "n", "i", "d", blocks.alias("block"))
+    packed = dealt.groupBy("series_id", "n", "block").agg(F.sort_array(F.collect_list(F.struct("i", "d"))).alias("rows"))
+    packed = packed.select("series_id", "n", F.transform(F.col("rows.d"), lambda x: F.coalesce(x, F.lit(math.nan))).alias("d"))
+
+    def correlated(frames):
+        for pdf in frames:
+            out = []
+            for d in pdf["d"]:
+                d = np.asarray(d, float)
+                here = ~np.isnan(d)
+                width = 1 << (min(len(d), size) + nlags).bit_length()
+                sums = []
+                for x in (np.where(here, d, 0.0), here.astype(float)):
+                    # Products of a block's own rows with those k rows later; the width keeps them from going round.
+                    pairs = np.fft.irfft(np.conj(np.fft.rfft(x[:size], width)) * np.fft.rfft(x, width), width)
+                    sums.append(pairs[: nlags + 1])
+                out.append((sums[0].tolist(), np.rint(sums[1]).astype(np.int64).tolist()))
+            yield pd.DataFrame({"series_id": pdf["series_id"], "n": pdf["n"], "p": [x for x, _ in out], "c": [x for _, x in out]})
+
+    parts = packed.mapInPandas(correlated, "series_id string, n long, p array<double>, c array<long>")
+    lags = parts.select("series_id", "n", F.posexplode(F.arrays_zip("p", "c")).alias("lag", "x")).groupBy("series_id", "n", "lag").agg(F.sum("x.p").alias("p"), F.sum("x.c").alias("c"))
+    ordered = lags.groupBy("series_id", "n").agg(F.sort_array(F.collect_list(F.struct("lag", "p", "c"))).alias("x"))
+    return ordered.select("series_id", "n", F.col("x.p").alias("p"), F.col("x.c").alias("c"))
 
 
 def default_lags(n: int) -> int:

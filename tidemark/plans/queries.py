@@ -7,6 +7,7 @@ daily sum of events by type. Doubles are rounded on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 from functools import reduce
 
 import numpy as np
@@ -279,6 +280,20 @@ def o56(spark, sf_dir):
     return windows.acf(s5(spark, sf_dir), 12).select("series_id", "lag", r("r", "r", 6))
 
 
+_PAIRS = ", e AS (SELECT series_id, t, y - avg(y) OVER (PARTITION BY series_id) AS d, count(*) OVER (PARTITION BY series_id) AS n FROM z), p AS (SELECT a.series_id, k, a.n, sum(a.d * b.d) AS p, count(a.d * b.d) AS c FROM e a JOIN range({lags}) AS k(k) ON true JOIN e b ON a.series_id = b.series_id AND b.t = a.t + k GROUP BY 1, 2, 3), r AS (SELECT p.series_id, p.k, p.n, p.p / o.p * {shrink} AS r FROM p JOIN p o ON o.series_id = p.series_id AND o.k = 0)"
+
+
+@register("O56_acf_long", ", z AS (SELECT series_id, t, y FROM s)" + _PAIRS.format(lags=101, shrink="1.0") + " SELECT series_id, CAST(k AS INTEGER) AS lag, round(r, 6) + 0.0 AS r FROM r", S2_SQL)
+def o56b(spark, sf_dir):
+    return windows.acf(s2(spark, sf_dir), 100).select("series_id", "lag", r("r", "r", 6))
+
+
+@register("O56_acf_missing", ", z AS (SELECT series_id, t, CASE WHEN t % 7 <> 3 THEN y END AS y FROM s)" + _PAIRS.format(lags=13, shrink="o.c / greatest(p.c, 1)") + " SELECT series_id, CAST(k AS INTEGER) AS lag, round(r, 6) + 0.0 AS r, round(r - 1.959963984540054 * CASE WHEN k = 0 THEN 0 ELSE sqrt((1 + 2 * coalesce(sum(CASE WHEN k > 0 THEN r * r ELSE 0 END) OVER (PARTITION BY series_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n) END, 6) + 0.0 AS lower FROM r")
+def o56c(spark, sf_dir):
+    gaps = s5(spark, sf_dir).withColumn("y", F.when(F.col("t") % 7 != 3, F.col("y")))
+    return windows.acf(gaps, 12, adjusted=True, alpha=0.05, missing="conservative").select("series_id", "lag", r("r", "r", 6), r("lower", "lower", 6))
+
+
 # Durbin and Levinson: the coefficients of one order from those of the order before, as lists.
 _PACF = """
 , e AS (SELECT series_id, t, y - avg(y) OVER (PARTITION BY series_id) AS d FROM s),
@@ -583,6 +598,14 @@ def o107(spark, sf_dir):
     return diagnostics.is_stationary(s5(spark, sf_dir), "pp").select("series_id", "should_diff")
 
 
+_PACF_BOUNDS = "SELECT series_id, CAST(k AS INTEGER) AS lag, round(CASE WHEN k = 0 THEN 1 ELSE phi[k] - 1.959963984540054 / sqrt(n) END, 6) + 0.0 AS lower, round(CASE WHEN k = 0 THEN 1 ELSE phi[k] + 1.959963984540054 / sqrt(n) END, 6) + 0.0 AS upper FROM rec JOIN n USING (series_id)"
+
+
+@register("O57_pacf_bounds", _PACF[: _PACF.rindex("SELECT series_id, CAST(k")] + _PACF_BOUNDS, S5_SQL.replace("WITH base_m", "WITH RECURSIVE base_m"))
+def o57b(spark, sf_dir):
+    return diagnostics.pacf(s5(spark, sf_dir), 12, alpha=0.05).select("series_id", "lag", r("lower", "lower", 6), r("upper", "upper", 6))
+
+
 # Models. The maximum likelihood of white noise around a mean has a closed form, so SQL can state what fits of it give.
 
 
@@ -617,6 +640,12 @@ def o113b(spark, sf_dir):
     return arima.predict_in_sample(_white(spark, sf_dir)).select("series_id", "t", r("yhat", "yhat", 3), r("upper", "upper", 2))
 
 
+@register("O113_predict_in_sample_labels", _WHITE + f", b AS (SELECT series_id, min(CASE WHEN ts = TIMESTAMP '1996-01-01' THEN t END) AS a, max(CASE WHEN ts = TIMESTAMP '1997-06-01' THEN t END) AS b FROM s GROUP BY 1) SELECT f.series_id, z.t, round(c, 3) AS yhat, round(c - {_Z95} * sqrt(v), 2) + 0.0 AS lower FROM f JOIN b ON b.series_id = f.series_id JOIN z ON z.series_id = f.series_id AND z.t BETWEEN b.a AND b.b")
+def o113c(spark, sf_dir):
+    found = arima.predict_in_sample(_white(spark, sf_dir), datetime(1996, 1, 1), datetime(1997, 6, 1), index=s5(spark, sf_dir))
+    return found.select("series_id", "t", r("yhat", "yhat", 3), r("lower", "lower", 2))
+
+
 @register("O115_update_white_noise", _WHITE + " SELECT series_id, n AS nobs, round(c, 3) AS c, round(llf, 3) AS llf FROM f")
 def o115b(spark, sf_dir):
     df = _scaled(spark, sf_dir)
