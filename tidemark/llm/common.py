@@ -30,11 +30,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, what: str, level: int = 3) -> DataFrame:
-    """df, written once as Parquet (zstd of this level) to the shared folder and read back: lineage ends here."""
+def stored(df: DataFrame, what: str, level: int = 3, page: int = 1 << 20) -> DataFrame:
+    """df, written once as Parquet (zstd of this level, pages of so many bytes) to the shared folder and read back: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).option("parquet.page.size", page).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out

@@ -35,7 +35,7 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = telephony.decode_media(telephony.encode_media(_table(spark, sf_dir, "documents")))
-    return telephony.media_features(stored(media, "media", level=6))
+    return telephony.media_features(stored(media, "media", level=9, page=4 << 20))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
