@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import statespace
 from tidemark.operators import arima, diagnostics, windows
 from tidemark.operators.arima import ARIMA
 
@@ -72,6 +73,17 @@ def test_bounds_and_options(df):
     assert windows.acf(empty, 3, fft=True).count() == windows.acf(empty, 3).count() == 0
 
 
+@pytest.mark.parametrize("method", ["ywadjusted", "ldb", "ols"])
+def test_partial_correlations_match_the_kernel(df, method):
+    found = diagnostics.pacf(df.where("series_id in ('long', 'flat', 'one', 'gaps')") if method != "ols" else df.where("series_id = 'long'"), 9, method).cache()
+    assert np.allclose(rows_of(found, "long"), statespace.pacf(LONG, 9, method), atol=1e-9)
+    if method != "ols":
+        assert rows_of(found, "flat") == [1.0] + [None] * 8 and rows_of(found, "one") == [1.0] and rows_of(found, "gaps") == [1.0] + [None] * 9
+        assert np.allclose(rows_of(diagnostics.pacf(df, 70, method), "long"), statespace.pacf(LONG, 70, method), atol=1e-7)
+    with pytest.raises(ValueError):
+        diagnostics.pacf(df, 3, "other")
+
+
 def test_in_sample_by_label_and_beyond_the_end(spark):
     days = [datetime(2020, 1, 1 + t) for t in range(24)]
     index = spark.createDataFrame([(k, t, x) for k in "ab" for t, x in enumerate(days)], "series_id string, t long, ts timestamp")

@@ -206,20 +206,62 @@ def density(df: DataFrame, points: int = 61, span: float = 4.0, column: str = "y
     return rows.groupBy("series_id", "x").agg(F.sum(bump).alias("density"))
 
 
+#: Methods of the partial autocorrelation whose covariances are divided by the number of pairs, and by the number of rows.
+ADJUSTED = ("yw", "ywadjusted", "ywa", "ld", "lda", "ldadjusted")
+BIASED = ("ywm", "ywmle", "ldb", "ldbiased")
+
+
 def pacf(df: DataFrame, nlags: int, method: str = "ywadjusted", alpha: float | None = None) -> DataFrame:
-    """(series_id, lag, r); with alpha also se (one over the root of the rows, none at lag 0), lower and upper."""
+    """(series_id, lag, r); with alpha also se (one over the root of the rows, none at lag 0), lower and upper.
+
+    Sums of lag products, then Durbin and Levinson's recursion as a fold over their array; only "ols" needs a series
+    in one task. Constant series and series with missing values have null beyond lag 0.
+    """
     name = method.replace("unbiased", "adjusted") if "unbiased" in method else {"ywu": "ywa", "ldu": "lda"}.get(method, method)
     if name != method:
         warnings.warn(f"{method!r} is an old name of {name!r}", DeprecationWarning, stacklevel=2)
+    if name == "ols":
+        found = _pacf_by_regressions(df, nlags)
+    elif name in (*ADJUSTED, *BIASED):
+        found = _pacf_by_recursion(df, nlags, name in ADJUSTED)
+    else:
+        raise ValueError(f"{method!r} is not a method of the partial autocorrelation")
+    return found.drop("se") if alpha is None else windows.bounded(found, alpha)
+
 
+def _pacf_by_recursion(df: DataFrame, nlags: int, adjusted: bool) -> DataFrame:
+    y = F.when(~F.isnan(F.col("y").cast("double")), F.col("y").cast("double"))
+    rows = df.select("series_id", "t", y.alias("y")).select("series_id", "t", F.count(F.lit(1)).over(whole()).alias("n"), (F.col("y") - F.avg("y").over(whole())).alias("d"))
+    sums = windows.lag_sums(rows, nlags).withColumn("whole", F.get("c", F.lit(0)) == F.col("n"))
+    share = F.transform("p", lambda x, k: F.when(F.col("whole"), F.try_divide(x, F.col("n") - k if adjusted else F.col("n"))))
+    sums = sums.select("series_id", "n", share.alias("g"))
+    # phi[j - 1] is the coefficient of lag j; an order's last one is the partial autocorrelation.
+    one = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def step(s, k):
+        known = F.aggregate(F.transform(s["phi"], lambda x, j: x * F.get("g", k - 1 - j)), F.lit(0.0), lambda a, x: a + x)
+        last = F.try_divide(F.get("g", k) - known, s["v"])
+        follow = lambda a: F.concat(F.transform(s["phi"], lambda x, j: x - a * F.get(s["phi"], k - 2 - j)), F.array(a))
+        return one(last, lambda a: F.struct(follow(a).alias("phi"), (s["v"] * (1 - a * a)).alias("v"), F.concat(s["r"], F.array(a)).alias("r")))
+
+    # Arrays whose type says that they may hold nulls, which the fold needs.
+    head = lambda n: F.slice(F.array(F.lit(1.0), F.lit(None).cast("double")), 1, n)
+    start = F.struct(head(0).alias("phi"), F.get("g", F.lit(0)).alias("v"), head(1).alias("r"))
+    most = F.least(F.lit(nlags).cast("long"), F.col("n") - 1).cast("int")
+    orders = F.when(most > 0, F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
+    found = sums.select("series_id", "n", F.aggregate(orders, start, step)["r"].alias("r"))
+    se = F.when(F.col("lag") == 0, 0.0).otherwise(1 / F.sqrt("n"))
+    return found.select("series_id", "n", F.posexplode("r").alias("lag", "r")).select("series_id", "lag", "r", se.alias("se"))
+
+
+def _pacf_by_regressions(df: DataFrame, nlags: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y = pdf.sort_values("t").y.to_numpy(float)
         k = min(nlags, len(y) - 1)
         se = np.append(0.0, np.full(k, len(y) ** -0.5))
-        return pd.DataFrame({"series_id": pdf.series_id.iloc[0], "lag": range(k + 1), "r": statespace.pacf(y, k, name), "se": se})
+        return pd.DataFrame({"series_id": pdf.series_id.iloc[0], "lag": range(k + 1), "r": statespace.pacf(y, k, "ols"), "se": se})
 
-    found = df.select("series_id", "t", "y").groupBy("series_id").applyInPandas(run, "series_id string, lag int, r double, se double")
-    return found.drop("se") if alpha is None else windows.bounded(found, alpha)
+    return df.select("series_id", "t", "y").groupBy("series_id").applyInPandas(run, "series_id string, lag int, r double, se double")
 
 
 def histogram(df: DataFrame, bins: int = 25, column: str = "y") -> DataFrame:

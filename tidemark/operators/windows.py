@@ -123,7 +123,7 @@ def acf(df: DataFrame, nlags: int, adjusted: bool = False, alpha: float | None =
     rows = df.select("series_id", "t", value.alias("y")).select("series_id", "t", F.count(F.lit(1)).over(whole()).alias("n"), (F.col("y") - F.avg("y").over(whole())).alias("d"))
     if missing == "drop":
         rows = rows.where("d is not null")
-    sums = _sums_by_blocks(rows, nlags) if (nlags > WINDOW_LAGS if fft is None else fft) else _sums_by_window(rows, nlags)
+    sums = lag_sums(rows, nlags, fft)
     pairs = lambda k: F.greatest(F.get("c", k), F.lit(1))
     share = F.transform("p", lambda x, k: F.try_divide(x, F.get("p", F.lit(0))) * (F.col("valid") / pairs(k) if adjusted else F.lit(1.0)))
     sums = sums.withColumn("valid", F.get("c", F.lit(0)))
@@ -146,8 +146,13 @@ def bounded(df: DataFrame, alpha: float | None) -> DataFrame:
     return df.withColumns({"lower": F.col("r") - z * F.col("se"), "upper": F.col("r") + z * F.col("se")})
 
 
+def lag_sums(rows: DataFrame, nlags: int, fft: bool | None = None) -> DataFrame:
+    """(series_id, n, p, c): of (series_id, t, n, d), the sums and numbers of the products of d with lags 0..nlags."""
+    return (_sums_by_blocks if (nlags > WINDOW_LAGS if fft is None else fft) else _sums_by_window)(rows, nlags)
+
+
 def _sums_by_window(rows: DataFrame, nlags: int) -> DataFrame:
-    """(series_id, n, p, c): sums and numbers of the lag products 0..nlags. One shuffle, whatever the number of lags."""
+    """One shuffle, whatever the number of lags."""
     lagged = [(F.col("d") * F.lag("d", k).over(by_time())).alias(f"p{k}") for k in range(1, nlags + 1)]
     products = rows.select("series_id", "n", (F.col("d") * F.col("d")).alias("p0"), *lagged)
     each = [f(F.col(f"p{k}")).alias(f"{name}{k}") for name, f in (("p", F.sum), ("c", F.count)) for k in range(nlags + 1)]
@@ -155,7 +160,7 @@ def _sums_by_window(rows: DataFrame, nlags: int) -> DataFrame:
 
 
 def _sums_by_blocks(rows: DataFrame, nlags: int) -> DataFrame:
-    """The same by blocks of rows: each has the lags' number of rows of the next one beside it, so no task holds a series.
+    """Each block of rows has the lags' number of rows of the next one beside it, so no task holds a series.
 
     A block is correlated with itself and these rows by Fourier transforms; its sums are added to the others' by lag.
     """
