@@ -130,6 +130,18 @@ def test_in_sample_and_hold_out(two):
     assert arima.predict_in_sample(fitted, 80, 88, dynamic=True).count() == 18
 
 
+def test_stored_pipeline_fits_once(two):
+    steps = [("log", transforms.LogEndogTransformer()), ("m", ARIMA((1, 0, 0)))]
+    plain, stored = pipeline.Pipeline(steps).fit(two.where("t < 60")), pipeline.Pipeline(steps, store=True).fit(two.where("t < 60"))
+    for step in (lambda p: p, lambda p: p.update(two.where("t between 60 and 69"))):
+        step(plain), step(stored)
+        assert "MapInPandas" not in stored.models_._jdf.queryExecution().executedPlan().toString()
+        want, got = ([tuple(r) for r in p.predict(3).orderBy("series_id", "h").collect()] for p in (plain, stored))
+        assert len(got) == 6 and all(np.allclose(a[1:], b[1:]) for a, b in zip(want, got, strict=True))
+    with pytest.raises(ValueError):
+        pipeline.Pipeline([("store", ARIMA())])
+
+
 def test_pipeline_and_cross_validation(two):
     pipe = pipeline.Pipeline([("log", transforms.LogEndogTransformer()), ("f", transforms.FourierFeaturizer(12, 1)), ("m", ARIMA((1, 0, 0)))])
     out = pipe.fit(two).predict(4)

@@ -18,24 +18,30 @@ from tidemark.operators.auto import AutoARIMA, search_many
 from tidemark.operators.guards import check_is_fitted
 from tidemark.operators.metrics import BaseTSCrossValidator, average_forecasts, check_cv
 from tidemark.operators.transforms import BaseEndogTransformer, BaseExogFeaturizer, BaseTransformer, UpdatableMixin, horizon
+from tidemark.sources.scratch import written
 
 
 class Pipeline:
-    """Named transformers and, last, an ARIMA or AutoARIMA."""
+    """Named transformers and, last, an ARIMA or AutoARIMA.
 
-    def __init__(self, steps: list[tuple[str, object]]):
+    ``models_`` is lazy, so every action on it fits again. With ``store``, fit() and update() run at once and leave their
+    models as a table in the folder that driver and executors share: forecasts, summaries and updates read it.
+    """
+
+    def __init__(self, steps: list[tuple[str, object]], store: bool = False):
         names = [n for n, _ in steps]
         if len({*names}) != len(names):
             raise ValueError("step names must be unique")
         if any("__" in n for n in names):
             raise ValueError("step names must not contain '__'")
-        if "steps" in names:
+        if {"steps", "store"} & {*names}:
             raise ValueError("step names must not be names of the constructor's arguments")
         if any(not isinstance(s, BaseTransformer) for _, s in steps[:-1]):
             raise TypeError("all steps but the last must be transformers")
         if not steps or not isinstance(steps[-1][1], (ARIMA, AutoARIMA)):
             raise TypeError("the last step must be an ARIMA or AutoARIMA")
         self.steps = list(steps)
+        self.store = store
 
     def __len__(self) -> int:
         return len(self.steps)
@@ -66,7 +72,8 @@ class Pipeline:
             self.fitted_.append((name, step))
             self.exog_ = [c for c in self.exog_ if c in df.columns] + [c for c in df.columns if c not in before and c not in base]
         self.rows_ = df
-        self.models_ = self.steps[-1][1].fit(df, self.exog_, **args[self.steps[-1][0]])
+        models = self.steps[-1][1].fit(df, self.exog_, **args[self.steps[-1][0]])
+        self.models_ = written(models) if self.store else models
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -105,7 +112,8 @@ class Pipeline:
         check_is_fitted(self, "models_")
         for _, step in self.fitted_:
             new = step.update_and_transform(new) if isinstance(step, UpdatableMixin) else step.transform(new)
-        self.models_ = arima.update(self.models_, new, maxiter)
+        models = arima.update(self.models_, new, maxiter)
+        self.models_ = written(models) if self.store else models
         self.rows_ = self.rows_.select("series_id", "t", "y", *self.exog_).unionByName(new.select("series_id", "t", "y", *self.exog_))
         return self
 
