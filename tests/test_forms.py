@@ -66,6 +66,35 @@ def test_coefficients_as_states_are_least_squares():
     assert np.allclose(mean, ahead @ best, rtol=1e-3) and (se > np.sqrt(made.params[-1])).all()
 
 
+@pytest.mark.parametrize("scale", [1e-3, 1.0, 1e4, 1e9])
+def test_coefficients_as_states_owe_nothing_to_their_start(scale):
+    """Least squares on any scale of the series; coefficients that walk follow the scale too."""
+    rng = np.random.default_rng(3)
+    x = np.column_stack([np.arange(80) % 7 + 1.0, rng.normal(size=80) * 1e-3])
+    y = (5 * x[:, 0] + rng.normal(size=80)) * scale
+    spec = statespace.Spec(Order(), 2, mle_regression=False)
+    for gone in ([], [0, 1, 7]):
+        seen = np.delete(np.arange(80), gone)
+        rows = y.copy()
+        rows[gone] = np.nan
+        got = statespace.kalman(spec, np.array([[scale**2]]), rows, x)
+        best, cov = np.linalg.lstsq(x[seen], y[seen], rcond=None)[0], np.linalg.inv(x[seen].T @ x[seen]) * scale**2
+        assert (np.abs(got.mean[0][-2:] - best) <= 1e-6 * np.sqrt(np.diag(cov))).all()
+        assert np.allclose(got.cov[0][-2:, -2:], cov, rtol=1e-5)
+    walk = statespace.Spec(Order(1, 0, 0), 1, mle_regression=False, time_varying_regression=True)
+    params = lambda k: np.array([[0.5, 0.01 * k**2, k**2]])
+    one, other = (statespace.kalman(walk, params(k), y * (k / scale), x[:, :1]) for k in (1.0, scale))
+    assert np.allclose(other.mean, one.mean * scale, rtol=1e-8) and np.allclose(other.cov, one.cov * scale**2, rtol=1e-8)
+
+
+def test_rows_that_do_not_determine_coefficients():
+    """Two coefficients of one row, and of equal regressors, stay finite."""
+    spec = statespace.Spec(Order(), 2, mle_regression=False)
+    for n in (1, 30):
+        got = statespace.kalman(spec, np.array([[1.0]]), np.full(n, 3.0), np.ones((n, 2)))
+        assert np.isfinite(got.mean).all() and np.isfinite(got.cov).all() and got.mean[0][-2:].sum() == pytest.approx(3, rel=1e-5)
+
+
 def test_coefficients_that_walk():
     x = RNG.normal(size=(250, 1)) + 1
     path = np.cumsum(RNG.normal(scale=0.2, size=250)) + 3

@@ -94,7 +94,7 @@ def unstationary(phi: np.ndarray) -> np.ndarray:
 class Spec:
     """How a parameter vector is laid out: trend, regression, AR, MA, seasonal AR, seasonal MA, variances of the coefficients and of the measurement, variance.
 
-    With ``mle_regression=False`` the coefficients are states instead, approximately diffuse at the start, which the
+    With ``mle_regression=False`` the coefficients are states instead, diffuse at the start, which the
     observation row of the time's regressors sees; ``time_varying_regression`` lets them walk. ``measurement_error``
     adds noise to the observation. ``concentrate_scale`` takes the variance out of the search: the start of the
     differencing states scales with it, and the best one follows from the other parameters.
@@ -311,14 +311,46 @@ class Filtered:
     cov: np.ndarray
 
 
+def _widths(spec: Spec, y: np.ndarray, exog: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Start variances (B, k) of the coefficients that are states: DIFFUSE in units of what a coefficient may be."""
+    seen = ~np.isnan(y)
+    power = (exog[seen] ** 2).sum(0)
+    units = np.divide((y[seen] ** 2).sum(), power, out=np.ones(spec.k_moving), where=power > 0)
+    units = np.where(np.isfinite(units) & (units > 0), units, 1)
+    return DIFFUSE * units * (v[:, None] if spec.concentrate_scale else np.ones((len(v), 1)))
+
+
+def _without_start(a: np.ndarray, p: np.ndarray, across: np.ndarray, mean: np.ndarray, cov: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of the states without the start N(0, widths) of the coefficients, if the rows determine them.
+
+    across (B, n, k) is the covariance of the states with the coefficients at the start, whose own mean and covariance follow.
+    """
+    size = np.sqrt(widths)
+    left = np.eye(widths.shape[1]) - cov / size[:, :, None] / size[:, None, :]
+    across, mean = across / size[:, None, :], mean / size[:, :]
+    a, p = a.copy(), p.copy()
+    for i in range(len(a)):
+        if np.isfinite(left[i]).all() and np.linalg.eigvalsh(left[i]).min() > 1e-6:
+            a[i] += across[i] @ np.linalg.solve(left[i], mean[i])
+            p[i] += across[i] @ np.linalg.solve(left[i], across[i].T)
+    return a, p
+
+
 def kalman(spec: Spec, params: np.ndarray, y: np.ndarray, exog: np.ndarray | None, begin: tuple[np.ndarray, np.ndarray, int] | None = None) -> Filtered:
     """Filter y for each parameter vector of a batch; a missing value (NaN) is skipped.
 
     ``begin`` goes on after earlier rows: their last prediction (mean, covariance) and their number.
+    The last prediction owes nothing to the start of coefficients that are states, as soon as the rows determine them.
     """
     t, noise, z, a, p, v = spec.system(params)
     b, n = len(params), len(y)
     first = 0
+    tracked = spec.k_moving > 0 and begin is None
+    if tracked:
+        widths, moving = _widths(spec, y, exog, v), np.arange(spec.n_states - spec.k_moving, spec.n_states)
+        p[:, moving, moving] = widths
+        # The coefficients at the start, given the rows so far, and their covariance with the states.
+        across, start_mean, start_cov = p[:, :, moving].copy(), np.zeros((b, spec.k_moving)), p[:, moving[:, None], moving].copy()
     if begin is not None:
         a, p, first = np.broadcast_to(begin[0], a.shape).copy(), np.broadcast_to(begin[1], p.shape).copy(), begin[2]
     base, path = spec.order.n_diffuse, spec.input_path(params, first, n + 1)
@@ -343,6 +375,8 @@ def kalman(spec: Spec, params: np.ndarray, y: np.ndarray, exog: np.ndarray | Non
             variances[:, i] = f
             if missing[i]:
                 errors[:, i] = np.nan
+                if tracked:
+                    across = t @ across
                 a = np.einsum("bij,bj->bi", t, a)
                 a[:, base] += path[:, i + 1]
                 p = t @ p @ tt + q
@@ -356,8 +390,15 @@ def kalman(spec: Spec, params: np.ndarray, y: np.ndarray, exog: np.ndarray | Non
                 if first + i > spec.burn and i % 4 == 0 and not missing[i:].any():
                     settled = bool(np.abs(new - p).max(axis=(1, 2)).max() <= 1e-9 * np.abs(new).max() * 1e-3)
                 p = new
+            if tracked:
+                told = np.einsum("bnk,bn->bk", across, z)
+                start_mean += told * (e / f)[:, None]
+                start_cov -= told[:, :, None] * told[:, None, :] / f[:, None, None]
+                across = t @ across - gain[:, :, None] * told[:, None, :]
             a = np.einsum("bij,bj->bi", t, a) + gain * e[:, None]
             a[:, base] += path[:, i + 1]
+        if tracked:
+            a, p = _without_start(a, p, across, start_mean, start_cov, widths)
     terms[:, : max(0, spec.burn - first)] = 0
     return Filtered(terms, errors, variances, a, p)
 
