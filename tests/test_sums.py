@@ -83,6 +83,18 @@ def test_lambdas_by_sums(spark):
     assert got == pytest.approx({k: transforms.box_cox_lambda(y) for k, y in series.items()}, abs=1e-5)
 
 
+def test_lambdas_with_digits_are_the_most_likely(spark):
+    """Of the lambdas from -5 to 5 with so many digits, each alone, as SQL has it: not the best one rounded, and none beyond the ends."""
+    rng = np.random.default_rng(4)
+    series = {"above": 10 - np.exp(rng.normal(size=80) * 0.5), "below": 1 / (10 - np.exp(rng.normal(size=80) * 0.5)), **{f"s{k}": np.exp(rng.normal(size=12)) + k / 20 for k in range(20)}}
+    for digits in (0, 1, 2):
+        grid = np.arange(-5 * 10**digits, 5 * 10**digits + 1) / 10**digits
+        got = {r["series_id"]: r["lmbda"] for r in transforms.box_cox_lambdas(table(spark, series), digits).collect()}
+        assert got == pytest.approx({k: grid[np.argmax([transforms.box_cox_llf(y, x) for x in grid])] for k, y in series.items()}, abs=1e-9)
+    plain = {r["series_id"]: r["lmbda"] for r in transforms.box_cox_lambdas(table(spark, series)).collect()}
+    assert plain["above"] == 5 and plain["below"] == -5
+
+
 def test_folds_over_packed_series(spark):
     series = {"a": SERIES["noise0"], "b": SERIES["walk0"][:40]}
     df = table(spark, series)

@@ -374,7 +374,7 @@ def o73(spark, sf_dir):
     ", g AS (SELECT series_id, exp(avg(ln(y))) AS g, count(*) AS n FROM s GROUP BY 1), k AS (SELECT s.series_id, l / 100.0 AS l, -any_value(n) / 2.0 * ln(var_pop(CASE WHEN l = 0 THEN ln(y / g) ELSE (pow(y / g, l / 100.0) - 1) / (l / 100.0) END)) AS llf FROM s JOIN g ON s.series_id = g.series_id, range(-500, 501) AS r(l) GROUP BY 1, 2) SELECT series_id, round(CAST(arg_max(l, llf) AS DOUBLE), 2) + 0.0 AS lmbda FROM k GROUP BY 1",
 )
 def o80(spark, sf_dir):
-    return transforms.BoxCoxEndogTransformer().fit(s5(spark, sf_dir)).lambdas_.select("series_id", r("lmbda", "lmbda", 2))
+    return transforms.BoxCoxEndogTransformer(digits=2).fit(s5(spark, sf_dir)).lambdas_.select("series_id", r("lmbda", "lmbda", 2))
 
 
 @register("O81_boxcox", "SELECT series_id, t, round((pow(y + 1, 0.5) - 1) / 0.5, 6) AS y FROM s")
