@@ -1,20 +1,23 @@
 """The corpus operators against brute force, exact round trips and held-out accuracy, with edge cases."""
 
+import gc
 import hashlib
 import math
 import os
 import random
 import re
 import unicodedata
+import weakref
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from tidemark.llm import bpe, html_text, langid, line_dedup, near_dup, packing, quality, suffix_dedup, telephony, warc
 
@@ -749,3 +752,56 @@ def test_pipeline(spark, tmp_path, docs):
             assert {r.doc_id: r.text for r in df.collect()} == state
     assert {r.doc_id for r in df.collect()} == {*state}
     assert ordered(corpus_pipeline.run(spark, str(tmp_path)).collect()) == ordered(df.collect())
+
+
+def test_digests_keep_their_words_in_two_generations():
+    """A full table forgets no word of the last generation, and results don't depend on what is held."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder = bpe.loaded(path)
+    texts = [f"common words {k} unheard{k}of again, <|endoftext|> naïve{k % 7}" if k % 5 == 0 else f"common words {k} other{k % 30}" for k in range(120)]
+    learned = []
+    plain = bpe._Digests(coder)
+    small = bpe._Digests(coder, 40)
+    learn, coder.learn = coder.learn, lambda chunks: learned.extend(chunks) or learn(chunks)
+    try:
+        got = [x for k in range(0, 120, 4) for x in small(texts[k : k + 4])]
+    finally:
+        coder.learn = learn
+    assert got == plain(texts) and len(small.ids) <= 40
+    # Met in every batch, so it moves on; texts with special tokens have a table of their own.
+    assert learned.count("common") <= 2
+    for text, (n, ids, decoded) in zip(texts, got, strict=True):
+        want = coder.encode(text)
+        assert n == len(want) and ids == " ".join(map(str, want)) and decoded == coder.decode(want)
+    assert bpe.digests_of(path) is bpe.digests_of(path)
+
+
+def test_class_ranges_are_the_library_s():
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        own = re.compile(f"[{bpe.class_ranges(name)}]+")
+        sample = "".join(chr(c) for c in [*range(0x3000), 0xD7FB, 0xE000, 0xF900, 0xFEFF, 0xFF21, 0x10400, 0x1D7CE, 0x20000, 0x10FFFF])
+        assert own.findall(sample) == [x[0] for x in pre_tokenizers.Split(Regex(f"{name}+"), "removed", invert=True).pre_tokenize_str(sample)]
+
+
+def test_a_language_model_goes_with_its_broadcast():
+    """Nothing of the process holds a model that Spark has let go, nor the scores of a task that has ended."""
+    model = langid.WordFirstModel(["a", "b"], {("a", 0): {"ja": 2}, ("b", 0): {"no": 1}, ("a", 1): {"j": 1}, ("b", 1): {"n": 1}})
+    shipped = SimpleNamespace(value=model)
+    batch = pa.record_batch({"doc_id": pa.array([1], pa.int64()), "text": ["ja ja"]})
+    assert [b.column("lang_pred").to_pylist() for b in langid._predict(shipped)(iter([batch]))] == [["a"]]
+    assert sum(b.num_rows for b in langid._identified(shipped)(iter([batch]))) == 1
+    assert not model._seen
+    gone = weakref.ref(model)
+    del model, shipped
+    gc.collect()
+    assert gone() is None
+
+
+def test_features_follow_from_the_decoded_samples(spark):
+    """op6: no other column stands in for what decode_media() makes."""
+    docs = spark.createDataFrame([(k, f"text {k} " * 90) for k in range(12)], "doc_id long, text string")
+    media = telephony.decode_media(telephony.encode_media(docs))
+    changed = media.withColumn("pcm", F.expr("substring(pcm, 3)"))
+    by = lambda df: {r["doc_id"]: r["feature"] for r in telephony.media_features(df).collect()}
+    one, other = by(media), by(changed)
+    assert all(one[k] != other[k] for k in range(12))

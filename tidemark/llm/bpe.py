@@ -25,12 +25,14 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+from tokenizers import Regex, Tokenizer, models, normalizers, pre_tokenizers
 
 from tidemark.llm.common import SPACES, slices, texts_of, tokenizer_file
 
-#: Entries that a table may hold before it starts anew; bounds the memory of a Python worker.
+#: Entries that a table may hold; bounds the memory of a Python worker.
 WORDS_HELD = 400_000
+#: Words whose digests a Python process holds, in two generations.
+DIGESTS_HELD = 1_200_000
 
 
 def byte_alphabet() -> list[str]:
@@ -50,11 +52,16 @@ def byte_alphabet() -> list[str]:
 def class_ranges(name: str) -> str:
     """The code points that the tokenizers library counts as \\p{L}, \\p{N} or \\s, as ranges of a regular expression.
 
-    The library is asked: other modules follow other versions of Unicode.
+    The library is asked, to take all others out: other modules follow other versions of Unicode.
     """
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-    found = pre_tokenizers.Split(Regex(f"{name}+"), "removed", invert=True).pre_tokenize_str(every)
-    return "".join(f"{re.escape(x[0])}-{re.escape(x[-1])}" for x, _ in found)
+    every = np.arange(0x110000, dtype="<u4")
+    every = every[(every < 0xD800) | (every >= 0xE000)].tobytes().decode("utf-32-le")
+    left = normalizers.Replace(Regex(name.replace("\\", "[^\\", 1) + "]+"), "").normalize_str(every)
+    points = np.frombuffer(left.encode("utf-32-le"), "<u4").astype(np.int64)
+    # Surrogates are no code points of a text, so they part no range.
+    place = np.where(points < 0xE000, points, points - 0x800)
+    runs = np.split(points, (np.diff(place) > 1).nonzero()[0] + 1)
+    return "".join(f"{re.escape(chr(x[0]))}-{re.escape(chr(x[-1]))}" for x in runs if len(x))
 
 
 def compiled(pattern: str) -> re.Pattern:
@@ -192,21 +199,28 @@ class ForcedBoundaryBPE:
 
 
 class _Digests:
-    """Per word the texts that the digests need, so that a document is two joins."""
+    """Per word the texts that the digests need, so that a document is two joins.
 
-    def __init__(self, bpe: ForcedBoundaryBPE):
-        self.bpe, self.ids, self.decoded = bpe, {}, {}
+    The words of two generations are held: when the younger one is full it becomes the older one, and words
+    that are met again move on without being learned again.
+    """
+
+    def __init__(self, bpe: ForcedBoundaryBPE, most: int = DIGESTS_HELD):
+        self.bpe, self.most, self.ids, self.decoded, self.older = bpe, most, {}, {}, ({}, {})
 
     def __call__(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Number of tokens, ids joined by spaces, decoded text."""
         bpe = self.bpe
         split = [None if bpe.is_special.search(x) else bpe.chunks(bpe.normalise(x)) for x in texts]
         needed = set().union(*(x for x in split if x))
-        new = [*needed.difference(self.ids)]
-        if len(self.ids) + len(new) > WORDS_HELD:
-            self.ids.clear()
-            self.decoded.clear()
-            new = [*needed]
+        new = needed.difference(self.ids)
+        if 2 * (len(self.ids) + len(new)) > self.most:
+            self.older, self.ids, self.decoded = (self.ids, self.decoded), {}, {}
+            new = needed
+        old_ids, old_decoded = self.older
+        for chunk in new.intersection(old_ids):
+            self.ids[chunk], self.decoded[chunk] = old_ids[chunk], old_decoded[chunk]
+        new = [*new.difference(old_ids)]
         token, digits = bpe.token, bpe.digits
         for chunk, ids in zip(new, bpe.learn(new), strict=True):
             self.ids[chunk] = " ".join([digits[i] for i in ids])
@@ -217,8 +231,8 @@ class _Digests:
                 ids = bpe.encode(text)
                 out.append((len(ids), " ".join(map(str, ids)), bpe.decode(ids)))
             else:
-                line = " ".join([known[c] for c in chunks])
-                out.append((line.count(" ") + 1 if line else 0, line, " ".join([decoded[c] for c in chunks])))
+                line = " ".join(map(known.__getitem__, chunks))
+                out.append((line.count(" ") + 1 if line else 0, line, " ".join(map(decoded.__getitem__, chunks))))
         return out
 
 
@@ -232,6 +246,16 @@ def loaded(path: str) -> ForcedBoundaryBPE:
     return _LOADED[path]
 
 
+_DIGESTS: dict[str, _Digests] = {}
+
+
+def digests_of(path: str) -> _Digests:
+    """The words of a file's encoder, once in each Python process, so that tasks learn from those before."""
+    if path not in _DIGESTS:
+        _DIGESTS[path] = _Digests(loaded(path))
+    return _DIGESTS[path]
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
@@ -264,7 +288,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def _round_trip(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digests = _Digests(loaded(path))
+        digests = digests_of(path)
         sha = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:
             n, ids, texts = [], [], []
