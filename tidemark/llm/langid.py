@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import weakref
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -66,8 +67,8 @@ def units(word: str, order: int) -> list[str]:
     return [marked[i : i + order] for i in range(len(marked) - order + 1)]
 
 
-#: The model that this process predicts with.
-_IN_USE: list[WordFirstModel] = []
+#: The model that this process predicts with. Only weakly: it goes with Spark's broadcast, before other operators need the memory.
+_IN_USE: weakref.WeakSet[WordFirstModel] = weakref.WeakSet()
 
 
 class WordFirstModel:
@@ -118,10 +119,11 @@ class WordFirstModel:
 
     def use(self) -> WordFirstModel:
         """This model; the scores that the process remembers of another one go, so that models of earlier queries cost no more than their tables."""
-        for other in _IN_USE:
+        for other in [*_IN_USE]:
             if other is not self:
                 other._forget()
-        _IN_USE[:] = [self]
+                _IN_USE.discard(other)
+        _IN_USE.add(self)
         return self
 
     def _forget(self) -> None:
@@ -216,6 +218,7 @@ def _predict(shipped):
                     score.append(p)
                     held.append(doc is not None and zlib.crc32(str(doc).encode()) % 4 == 2)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held, pa.bool_()), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        model._forget()
 
     return run
 
@@ -236,6 +239,7 @@ def _identified(shipped):
         model = shipped.value.use()
         for batch in batches:
             yield batch.filter(pa.array([model.predict(x)[0] != UNKNOWN for x in texts_of(batch, "text")], pa.bool_()))
+        model._forget()
 
     return run
 
