@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, texts_of
+from tidemark.llm.common import slices, texts_of, tidied
 
 UNKNOWN = "und"
 #: The sample that is learned from: about so many documents and characters over all languages.
@@ -197,7 +197,7 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int =
     if len(rows) <= BROADCAST_LANGUAGES:
         limits = F.broadcast(limits)
     sample = labelled.join(limits, "lang").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(scale)) < F.col("limit"))
-    counted = sample.select("text", "lang").mapInArrow(_count(orders), "lang string, n int, unit string, k long").groupBy("lang", "n", "unit").agg(F.sum("k").alias("k"))
+    counted = sample.select("text", "lang").mapInArrow(tidied(_count(orders)), "lang string, n int, unit string, k long").groupBy("lang", "n", "unit").agg(F.sum("k").alias("k"))
     rows = counted.toArrow()  # the sample's own units: bounded as it is
     found: dict[tuple[str, int], dict[str, int]] = {(x, n): {} for x in languages for n in (0, *orders)}
     for lang, n, unit, k in sorted(zip(*(rows.column(c).to_pylist() for c in ("lang", "n", "unit", "k")), strict=True)):
@@ -226,7 +226,7 @@ def _predict(shipped):
 def predict(docs: DataFrame, model: WordFirstModel) -> DataFrame:
     """The contract's columns for each row of docs."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInArrow(_predict(shipped), "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidied(_predict(shipped)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, **options) -> DataFrame:
@@ -247,4 +247,4 @@ def _identified(shipped):
 def identified(docs: DataFrame, model: WordFirstModel) -> DataFrame:
     """The rows of docs, with all their columns, whose language is not ``und``."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_identified(shipped), docs.schema)
+    return docs.mapInArrow(tidied(_identified(shipped)), docs.schema)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, free_name, shared_dir, stored, texts_of, with_text
+from tidemark.llm.common import discard, free_name, shared_dir, stored, texts_of, tidied, with_text
 
 _STRIP = " \t\n\x0b\x0c\r"
 _TWO = struct.Struct(">qq")
@@ -161,7 +161,7 @@ def _row_key():
 def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, n_batches: int = 4, fanout: int = 2) -> DataFrame:
     """(doc_id, row_key, drop): for each document that loses lines, the hashes of the lines it loses."""
     keyed = docs.select("doc_id", _row_key().alias("row_key"), "text")
-    lines = stored(keyed.mapInArrow(_hash_lines(min_chars), "h1 long, h2 long, doc_id long, row_key long"), "line-hashes")
+    lines = stored(keyed.mapInArrow(tidied(_hash_lines(min_chars)), "h1 long, h2 long, doc_id long, row_key long"), "line-hashes")
     runs = LineRuns(fanout)
     for part in batches_by_id(lines, n_batches):
         runs.add(part)
@@ -214,13 +214,13 @@ def _rewrite(drop: str):
 
 def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, kept, n_lines, n_dropped) for each row of docs; options as for dropped_lines()."""
-    return _with_drops(docs.select("doc_id", "text"), "drop", options).mapInArrow(_counted("drop"), "doc_id long, kept string, n_lines long, n_dropped long")
+    return _with_drops(docs.select("doc_id", "text"), "drop", options).mapInArrow(tidied(_counted("drop")), "doc_id long, kept string, n_lines long, n_dropped long")
 
 
 def rewritten(docs: DataFrame, **options) -> DataFrame:
     """docs with all their columns, their texts without the dropped lines."""
     drop = free_name(docs.columns, "drop")
-    return _with_drops(docs, drop, options).mapInArrow(_rewrite(drop), docs.schema)
+    return _with_drops(docs, drop, options).mapInArrow(tidied(_rewrite(drop)), docs.schema)
 
 
 def digest(rows: DataFrame) -> DataFrame:

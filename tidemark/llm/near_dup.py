@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, free_name, mix, slices, stored, texts_of
+from tidemark.llm.common import discard, free_name, mix, slices, stored, texts_of, tidied
 
 WORDS, THRESHOLD = 5, 0.8
 #: A pair at the threshold agrees in no unit-weight band with probability (1 - 0.8**5) ** 24 = 0.00007.
@@ -274,7 +274,7 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _frequencies(sets: DataFrame) -> np.ndarray:
     """Shingles by slot, summed by Spark: SLOTS rows at most come back, whatever the corpus."""
-    rows = sets.mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    rows = sets.mapInArrow(tidied(_slot_counts), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SLOTS, np.int64)
     out[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
     return out
@@ -333,7 +333,7 @@ def _prefix_pairs(apart: DataFrame, sets: DataFrame, threshold: float, words: in
     shipped = rows.sparkSession.sparkContext.broadcast(_frequencies(rows.select("shingles")))
     maps = [f"m{k}" for k in range(words)]
     schema = "id long, label long, buckets array<long>, n long, at long, shingle long" + "".join(f", {m} long" for m in maps)
-    prefix = stored(rows.mapInArrow(_prefixes(threshold, words, shipped), schema), "prefixes")
+    prefix = stored(rows.mapInArrow(tidied(_prefixes(threshold, words, shipped)), schema), "prefixes")
     several = prefix.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("shingle")
     kept = prefix.join(several, "shingle", "left_semi")
     a = kept.select("shingle", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("buckets").alias("ba"), *[F.col(m).alias(f"a{m}") for m in maps])
@@ -358,7 +358,7 @@ def _order():
 
 def _signatures(docs: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
     keyed = docs.select("doc_id", "text", _row_key().alias("row_key"))
-    return stored(keyed.mapInArrow(_sign(bands, rows, width), "doc_id long, row_key long, k1 long, k2 long, n_words long, bands array<long>"), "signatures")
+    return stored(keyed.mapInArrow(tidied(_sign(bands, rows, width)), "doc_id long, row_key long, k1 long, k2 long, n_words long, bands array<long>"), "signatures")
 
 
 def _vertices(signed: DataFrame) -> DataFrame:
@@ -381,7 +381,7 @@ def _components_of(docs: DataFrame, texts: DataFrame, signed: DataFrame, thresho
     with_mates = texts.join(mates.select("id"), "id", "left_semi").select("id", "doc_id", "row_key")
     shipped = docs.sparkSession.sparkContext.broadcast(_filter_of(with_mates))
     with_places = docs.select("doc_id", "text", _row_key().alias("row_key")).withColumns({f"p{k}": x for k, x in enumerate(_places(FILTER_BITS))})
-    every = with_places.mapInArrow(_sets(width, shipped), "doc_id long, row_key long, shingles binary")
+    every = with_places.mapInArrow(tidied(_sets(width, shipped)), "doc_id long, row_key long, shingles binary")
     of = with_mates.withColumnRenamed("doc_id", "of").withColumnRenamed("row_key", "of_key")
     # Repeated rows give the same set again.
     sets = every.join(of, every.doc_id.eqNullSafe(of.of) & (every.row_key == of.of_key)).groupBy("id").agg(F.first("shingles").alias("shingles"))
@@ -395,7 +395,7 @@ def _components_of(docs: DataFrame, texts: DataFrame, signed: DataFrame, thresho
     def verified(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a")), "a")
         with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b")), "b")
-        return kept(with_b.select("a", "b", "set_a", "set_b").mapInArrow(_verify(threshold), "a long, b long"), "verified")
+        return kept(with_b.select("a", "b", "set_a", "set_b").mapInArrow(tidied(_verify(threshold)), "a long, b long"), "verified")
 
     def labelled(labels: DataFrame) -> DataFrame:
         large = members.where(F.col("n") > small).join(labels.withColumnRenamed("node", "id"), "id", "left")

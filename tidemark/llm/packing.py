@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm.bpe import byte_alphabet
-from tidemark.llm.common import SPACES, slices, texts_of, tokenizer_file
+from tidemark.llm.common import SPACES, slices, texts_of, tidied, tokenizer_file
 
 SEQUENCE = 2048
 END_ID = 1
@@ -191,7 +191,7 @@ def pieces(docs: DataFrame, path: str, length: int = SEQUENCE, end_id: int = END
 
     place is the number of the piece in its partition of the input.
     """
-    return docs.select("doc_id", "text").mapInArrow(_pieces(path, length, end_id), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long")
+    return docs.select("doc_id", "text").mapInArrow(tidied(_pieces(path, length, end_id)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, place long")
 
 
 def _pack(length: int):
@@ -212,7 +212,7 @@ def pack(rows: DataFrame, groups: int, length: int = SEQUENCE, seed: int = 20) -
     """pieces() with sequence_id (unique over all groups) and offset."""
     dealt = rows.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", "place"), F.lit(groups))).drop("place")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return dealt.groupBy("group").applyInArrow(_pack(length), schema)
+    return dealt.groupBy("group").applyInArrow(tidied(_pack(length)), schema)
 
 
 def pack_documents(docs: DataFrame, path: str, length: int = SEQUENCE, end_id: int = END_ID, group_docs: int = GROUP_DOCS) -> DataFrame:

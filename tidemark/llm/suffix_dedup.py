@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_name, hash_ranges, mix, slices, with_text
+from tidemark.llm.common import free_name, hash_ranges, mix, slices, tidied, with_text
 
 WINDOW, ANCHOR = 50, 16
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
@@ -552,13 +552,13 @@ class _Blocks:
     def removed(self, rewrite: bool, schema) -> DataFrame:
         """The texts are shuffled once: the three steps over blocks share that exchange."""
         text, block, n = self.text, self.column, self.n_blocks
-        asked = text.groupBy(block).applyInArrow(_ask(block, n, self.anchor), "bucket long, block long, hashes binary, powers binary")
-        answers = asked.groupBy("bucket").applyInArrow(_answer(self.hot_runs), "block long, bucket long, bits binary, hot binary, levels binary")
+        asked = text.groupBy(block).applyInArrow(tidied(_ask(block, n, self.anchor)), "bucket long, block long, hashes binary, powers binary")
+        answers = asked.groupBy("bucket").applyInArrow(tidied(_answer(self.hot_runs)), "block long, bucket long, bits binary, hot binary, levels binary")
         send = _send(block, n, self.n_buckets, self.anchor)
-        segments = text.groupBy(block).cogroup(answers.groupBy("block")).applyInArrow(send, "suffix_bucket long, block long, sizes binary, docs binary, bytes binary, numbers binary")
-        found = segments.groupBy("suffix_bucket").applyInArrow(_sort_bucket, "block long, numbers binary, counts binary, lengths binary, least binary")
+        segments = text.groupBy(block).cogroup(answers.groupBy("block")).applyInArrow(tidied(send), "suffix_bucket long, block long, sizes binary, docs binary, bytes binary, numbers binary")
+        found = segments.groupBy("suffix_bucket").applyInArrow(tidied(_sort_bucket), "block long, numbers binary, counts binary, lengths binary, least binary")
         back = found.unionByName(answers, allowMissingColumns=True)
-        return text.groupBy(block).cogroup(back.groupBy("block")).applyInArrow(_remove(block, n, rewrite, self.anchor), schema)
+        return text.groupBy(block).cogroup(back.groupBy("block")).applyInArrow(tidied(_remove(block, n, rewrite, self.anchor)), schema)
 
 
 def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_runs: int | None = None, anchor: int | None = None) -> DataFrame:
