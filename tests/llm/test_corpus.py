@@ -395,6 +395,25 @@ def test_telephony_round_trip(spark, docs, rows, empty):
     assert telephony.media_features(telephony.decode_media(telephony.encode_media(empty))).count() == 0
 
 
+def test_media_are_encoded_and_decoded_by_one_worker(spark, docs, empty, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from tidemark.llm import queries
+
+    all_docs = docs.unionByName(docs.limit(3))
+    for to in (8000, 4000):
+        apart = telephony.decode_media(telephony.encode_media(all_docs), to)
+        assert ordered(telephony.encode_decoded(all_docs, to).select(*apart.columns).collect()) == ordered(apart.collect())
+    assert telephony.encode_decoded(empty).count() == 0
+    found = []
+    made = DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, f, *a, **b: found.append(f.__qualname__) or made(self, f, *a, **b))
+    all_docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert queries.op6_telephony(spark, str(tmp_path)).count() == all_docs.count()
+    # One for what is stored, one for what is read back; both give back their memory.
+    assert [x.split(".")[0] for x in found] == ["tidied"] * 2
+
+
 def test_each_telephony_format_has_a_third_of_the_texts(spark):
     df = spark.createDataFrame([(k, f"text {k} " * (1 + k % 90)) for k in range(1500)], "doc_id long, text string")
     found = Counter(r.feature.split()[0] for r in telephony.media_features(telephony.decode_media(telephony.encode_media(df))).collect())
