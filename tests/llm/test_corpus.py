@@ -286,6 +286,37 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+@pytest.mark.parametrize("ranked", [True, False])
+def test_chunks_part_texts_as_the_library_does(ranked, monkeypatch):
+    """Runs of white space of all kinds at the start, inside and at the end, with few chunks held."""
+    monkeypatch.setattr(packing, "CHUNKS_HELD", 40)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = packing.ChunkEncoder(path), Tokenizer.from_file(path)
+    library.no_truncation(), library.no_padding()
+    if not ranked:
+        encoder.ranked = None
+    rng = random.Random(8)
+    signs = [" ", " ", "\n", "\n", "\t", "\r", "\x1c", "\x85", "\u3000", "a", "the", "é", "日", "1", ".", "'s", "<|endoftext|>"]
+    texts = ["", *("".join(rng.choices(signs[: rng.choice([4, 9, 16, 17])] + ["of"], k=rng.randint(1, 9))) for _ in range(4000))]
+    for at in range(0, len(texts), 50):
+        part = texts[at : at + 50]
+        want = [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(part)] == want
+
+
+def test_chunks_met_again_are_not_encoded_again(monkeypatch):
+    """Words of every batch stay known while rare ones come and go, within the bound."""
+    monkeypatch.setattr(packing, "CHUNKS_HELD", 400)
+    encoder = packing.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    learned, learn = Counter(), encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda new: learned.update(x.strip() for x in new) or learn(new))
+    often = [f"word{chr(97 + i)}" for i in range(20)]
+    for i in range(30):
+        encoder.encode([" ".join(["x", *often, *(f"rare{i}q{k}" for k in range(60))])])
+        assert len(encoder.known) + len(getattr(encoder, "older", ())) <= 400
+    assert {learned[x] for x in often} == {1}
+
+
 def test_packing_deals_equal_rows_and_long_texts_out(spark):
     """Neither rows without an id nor one long document land in one group."""
     path = public_tokenizers.path("byte_bpe_50k.json")

@@ -26,22 +26,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm.bpe import byte_alphabet
-from tidemark.llm.common import SPACES, slices, texts_of, tidied, tokenizer_file
+from tidemark.llm.common import RARE_SPACES, SPACES, slices, texts_of, tidied, tokenizer_file
 
 SEQUENCE = 2048
 END_ID = 1
 #: Mean number of documents in a group, and at most so many full sequences on the mean.
 GROUP_DOCS = 4096
-#: Fixed: the regular expression that byte-level tokenizers split texts by.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Chunks that a worker remembers the ids of.
+#: Fixed: the regular expression that byte-level tokenizers split chunks by; what it has for runs of white space is left out.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\n"""
+#: Chunks that a worker remembers the ids of, in two generations.
 CHUNKS_HELD = 300_000
+#: Code points of text that are encoded at once.
+SLICE = 1 << 21
 
 
 class TournamentTree:
@@ -91,8 +94,17 @@ class ChunkEncoder:
     """Byte-level BPE ids of texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer's own regular expression never joins across the chunks ``" ?\\S+"`` and runs
-    of white space, so a text's ids are its chunks' ids in a row. Chunks are encoded many at
-    once, with a newline between them (which is a token of its own there), and remembered.
+    of white space, so a text's ids are its chunks' ids in a row.
+
+    Where single blanks and line ends part the words, texts are split at the blanks, after one
+    is put before each line end: then a chunk stands for itself behind a blank, or without one
+    if it begins with a line end. Other white space is cut out before; the last character of
+    such a run, if it is a blank, belongs to the word behind it. The distinct chunks of many
+    texts are looked up, new ones are encoded in one call with a line end between them (which
+    is a token of its own there), and texts are gathered from them as arrays.
+
+    Chunks are remembered in two generations: when the younger one is full it becomes the
+    older one, and chunks that are met again move on without being encoded again.
     """
 
     def __init__(self, path: str):
@@ -100,10 +112,12 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
-        self.chunks = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]").findall
-        self.newline = self._ids("\n")
+        # Runs of white space but " ", "\n", "\n\n" and "\n " before a word.
+        self.irregular = re.compile(rf"(?!\n?[ \n][^{SPACES}])[{SPACES}]+").finditer
+        self.rare = re.compile(f"[{RARE_SPACES}]").search
         self.ranked = self._by_ranks(path)
-        self.known: dict[str, bytes] = {}
+        self.newline = np.array(self._ids("\n"), "<u4")
+        self.most, self.known, self.older = CHUNKS_HELD, {}, {}
 
     @staticmethod
     def _by_ranks(path: str) -> tiktoken.Encoding | None:
@@ -127,36 +141,80 @@ class ChunkEncoder:
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in ids])
-
-    def _learn(self, new: list[str]) -> None:
-        joined = []
-        for chunk in new:
-            if chunk.isspace():
-                self.known[chunk] = self._bytes(self._ids(chunk))
-            else:
-                joined.append(chunk)
-        if not joined:
+    def _bytes(self, text: str) -> bytes:
+        return np.array(self._ids(text), "<u4").tobytes()
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        out = {x: self._bytes(x or " ") for x in new if x in ("", "\n")}
+        joined = [x for x in new if x not in out]
+        if joined:
+            ids = self._array("\n".join([x[1:] if x[0] == "\n" else " " + x for x in joined]))
+            ends = np.append((ids == self.newline[0]).nonzero()[0], len(ids)) * 4
+            starts = np.append(0, ends[:-1] + 4)
+            data, head = ids.tobytes(), self.newline.tobytes()
+            for x, a, b in zip(joined, starts.tolist(), ends.tolist(), strict=True):
+                out[x] = head + data[a:b] if x[0] == "\n" else data[a:b]
+        return out
+
+    def _look_up(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks."""
+        new = [x for x in chunks if x not in self.known]
+        if 2 * (len(self.known) + len(new)) > self.most:
+            self.older, self.known, new = self.known, {}, chunks
+        known, older = self.known, self.older
+        known.update((x, older[x]) for x in new if x in older)
+        known.update(self._learn([x for x in new if x not in older]))
+        out = [*map(known.__getitem__, chunks)]
+        if 2 * len(known) > self.most:
+            self.known = {}
+        return out
+
+    def _regular(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        # A line end is put before each text, so that its first chunk does not stand for one behind a blank.
+        parts = pc.split_pattern(pa.array(["\n" + x.replace("\n", " \n") for x in texts], pa.large_string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        known = self._look_up(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        data = np.frombuffer(b"".join(known), "<u4")
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        of = coded.indices.to_numpy()
+        counts = sizes[of]
+        ends = np.cumsum(counts)
+        places = np.repeat((np.cumsum(sizes) - sizes)[of] - (ends - counts), counts)
+        places += np.arange(len(places))
+        ids = data[places].tobytes()
+        cuts = (4 * np.append(0, ends)[parts.offsets.to_numpy()]).tolist()
+        return [ids[a + self.newline.nbytes : b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _is_regular(self, text: str) -> bool:
+        found = "  " in text or " \n" in text or "\n\n\n" in text or "\n\n " in text or text.endswith(("\n\n", "\n "))
+        return not found and not self.rare(text)
+
+    def _cut(self, text: str) -> Iterator[tuple[str, bool]]:
+        """Parts of a text, and whether the library is to encode them as they are."""
+        if self.special.search(text):
+            yield text, True
             return
-        (cut,) = self.newline
-        ids = self._array("\n".join(joined))
-        ends = np.append((ids == cut).nonzero()[0], len(ids)) * 4
-        starts = np.append(0, ends[:-1] + 4)
-        data = ids.tobytes()
-        self.known.update(zip(joined, [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], strict=True))
+        at = 0
+        for m in () if self._is_regular(text) else self.irregular(text):
+            yield text[at : m.start()], False
+            run, at = m[0], m.end()
+            if at == len(text):
+                yield run, True
+            else:
+                yield run[:-1], True
+                if run[-1] == " ":
+                    at -= 1
+                else:
+                    yield run[-1], True
+        yield text[at:], False
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.special.search(x) else self.chunks(x) for x in texts]
-        new = set().union(*(x for x in split if x)).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > CHUNKS_HELD:
-                self.known.clear()
-                new = set().union(*(x for x in split if x))
-            self._learn(list(new))
-        known = self.known
-        return [self._bytes(self._ids(text)) if chunks is None else b"".join([known[c] for c in chunks]) for text, chunks in zip(texts, split, strict=True)]
+        cut = [[*self._cut(x)] for x in texts]
+        regular = iter(self._regular([x for parts in cut for x, alone in parts if not alone]))
+        runs = {x: self._bytes(x) for x in {x for parts in cut for x, alone in parts if alone}}
+        return [b"".join([runs[x] if alone else next(regular) for x, alone in parts]) for parts in cut]
 
 
 _LOADED: dict[str, ChunkEncoder] = {}
@@ -173,7 +231,7 @@ def _pieces(path: str, length: int, end_id: int):
             ids = batch.column("doc_id").to_pylist()
             texts = texts_of(batch, "text")
             rows: tuple[list, ...] = [], [], [], [], [], []
-            for a, b in slices((len(x) for x in texts), 1 << 20):
+            for a, b in slices((len(x) for x in texts), SLICE):
                 for doc, data in zip(ids[a:b], encoder.encode(texts[a:b]), strict=True):
                     data += end
                     for at in range(0, len(data), 4 * length):
