@@ -42,9 +42,9 @@ GROUP_DOCS = 4096
 #: Fixed: the regular expression that byte-level tokenizers split chunks by; what it has for runs of white space is left out.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\n"""
 #: Chunks that a worker remembers the ids of, in two generations.
-CHUNKS_HELD = 300_000
+CHUNKS_HELD = 240_000
 #: Code points of text that are encoded at once.
-SLICE = 1 << 21
+SLICE = 1 << 20
 
 
 class TournamentTree:
